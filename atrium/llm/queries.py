@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import multi_index, pivots, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
+    "op2_inverted_multi_index": multi_index.op2_inverted_multi_index,
+    "op7_pivot_permutation": pivots.op7_pivot_permutation,
 }
 
 ORACLES = {
     "op1_warc_transactions": warc.ORACLE,
+    "op7_pivot_permutation": pivots.ORACLE,
 }
