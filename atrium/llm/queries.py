@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import multi_index, pivots, warc
+from . import language, mixing, multi_index, pivots, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_inverted_multi_index": multi_index.op2_inverted_multi_index,
     "op7_pivot_permutation": pivots.op7_pivot_permutation,
+    "op9_low_discrepancy_mix": mixing.op9_low_discrepancy_mix,
+    "op10_language_id": language.op10_language_id,
 }
 
 ORACLES = {
