@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, materialise, table
 
 REVISIT_FROM_BYTES = 1000
 #: A hot payload's copies are joined with its response in this many parts.
@@ -163,13 +163,15 @@ def page_captures(pages: DataFrame, path: str) -> DataFrame:
     """Write ``pages`` as archives under ``path``, read them, and describe each page's record."""
     spark = pages.sparkSession
     write_warc(plan_records(pages), path)
-    captures = assemble_transactions(read_warc(spark, path, with_payload=False))
+    records = materialise(read_warc(spark, path, with_payload=False), "warc-records")  # parsed once
+    captures = assemble_transactions(records)
     page_id = F.regexp_extract(F.col("metadata")[0]["fields"], r"pageId: (-?\d+)", 1)
     rows = captures.select(
         F.when(page_id != "", page_id.cast("long")).alias("page_id"), "capture_id", F.col("response.record_type").alias("record_type"),
         F.col("response.refers_to").alias("target"), F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_digest").alias("own_digest"),
         F.size("requests").cast("long").alias("n_requests"),
     )
+    rows = materialise(rows, "warc-captures")
     stored = rows.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"), "own_bytes", "own_digest")
     again = rows.where("record_type = 'revisit'").drop("own_bytes", "own_digest").join(stored, "target")
     first = rows.where("record_type = 'response'").select("page_id", "record_type", F.lit(None).cast("long").alias("refers_to"), "own_bytes", "own_digest", "n_requests")
