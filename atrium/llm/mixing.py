@@ -35,7 +35,7 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, total: float = TO
     )
     per = per.withColumn("level", (F.col("whole") - most * F.coalesce("below", F.lit(0))) / F.col("heavy"))
     per = per.withColumn("stops", F.col("level") * F.col("weight") >= F.col("cap"))
-    per = per.selectExpr("*", "min(case when not stops then level end) over () as shared")
+    per = per.selectExpr("*", "max(case when not stops then level end) over () as shared")
     target = F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.col("shared") * F.col("weight"))
     return per.select("source", F.col("ord").cast("int").alias("ord"), "source_size", "weight", target.alias("target"))
 
