@@ -149,13 +149,12 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
     side = F.struct("record_id", "target_uri", "fields")
     named = others.select(F.explode_outer("concurrent_to").alias("capture_id"), "record_id", "record_type", side.alias("side"))
     back = anchors.select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("record_id"))
-    known = others.select("record_id", "record_type", side.alias("side")).join(back, "record_id").select("capture_id", "record_id", "record_type", "side")
-    named = named.select(F.coalesce("capture_id", "record_id").alias("capture_id"), "record_id", "record_type", "side", F.col("capture_id").isNull().alias("loose"))
-    named = named.join(back.select("record_id").distinct().withColumn("found", F.lit(True)), "record_id", "left").where("not (loose and found is not null)")
-    links = named.select("capture_id", "record_id", "record_type", "side").union(known).dropDuplicates(["capture_id", "record_id"])
+    known = others.select("record_id", "record_type", side.alias("side")).join(back, "record_id").select("capture_id", "record_type", "side")
+    loose = named.where("capture_id is null").join(back, "record_id", "left_anti").select(F.col("record_id").alias("capture_id"), "record_type", "side")
+    links = named.where("capture_id is not null").select("capture_id", "record_type", "side").union(known).union(loose)
     both = anchors.select(F.col("record_id").alias("capture_id"), body.alias("response"), F.lit(None).cast("string").alias("record_type"), F.lit(None).cast("struct<record_id:string,target_uri:string,fields:string>").alias("side"))
-    both = both.unionByName(links.select("capture_id", "record_type", "side"), allowMissingColumns=True)
-    gathered = lambda kind: F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, F.col("side"))))
+    both = both.unionByName(links, allowMissingColumns=True)
+    gathered = lambda kind: F.array_sort(F.collect_set(F.when(F.col("record_type") == kind, F.col("side"))))
     return both.groupBy("capture_id").agg(F.first("response", ignorenulls=True).alias("response"), gathered("request").alias("requests"), gathered("metadata").alias("metadata"))
 
 
