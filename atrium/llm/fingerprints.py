@@ -199,7 +199,7 @@ def op4_fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 with w as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as ws from documents),
+  select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as ws from documents),
 s as (select doc_id, unnest(range(1, len(ws) - 48)) as i, ws from w where len(ws) >= 50),
 h as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as k from s),
 f as (select k, min(doc_id) as low from h group by k having count(distinct doc_id) > 1),
