@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, mixing, multi_index, pivots, warc
+from . import fingerprints, jaccard, language, mixing, multi_index, pivots, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_inverted_multi_index": multi_index.op2_inverted_multi_index,
     "op4_fingerprint_dedup": fingerprints.op4_fingerprint_dedup,
+    "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_pivot_permutation": pivots.op7_pivot_permutation,
     "op9_low_discrepancy_mix": mixing.op9_low_discrepancy_mix,
     "op10_language_id": language.op10_language_id,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op1_warc_transactions": warc.ORACLE,
     "op4_fingerprint_dedup": fingerprints.ORACLE,
+    "op6_ngram_jaccard_join": jaccard.ORACLE,
     "op7_pivot_permutation": pivots.ORACLE,
 }
