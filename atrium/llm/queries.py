@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, language, mixing, multi_index, pivots, warc
+from . import fingerprints, jaccard, language, lines, mixing, multi_index, pages, pivots, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_inverted_multi_index": multi_index.op2_inverted_multi_index,
     "op4_fingerprint_dedup": fingerprints.op4_fingerprint_dedup,
+    "op5_suffix_array_lines": lines.op5_suffix_array_lines,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_pivot_permutation": pivots.op7_pivot_permutation,
+    "op8_template_extraction": pages.op8_template_extraction,
     "op9_low_discrepancy_mix": mixing.op9_low_discrepancy_mix,
     "op10_language_id": language.op10_language_id,
 }
@@ -17,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_warc_transactions": warc.ORACLE,
     "op4_fingerprint_dedup": fingerprints.ORACLE,
+    "op5_suffix_array_lines": lines.ORACLE,
     "op6_ngram_jaccard_join": jaccard.ORACLE,
     "op7_pivot_permutation": pivots.ORACLE,
 }
