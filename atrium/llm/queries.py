@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, language, lines, mixing, multi_index, pages, pivots, warc
+from . import fingerprints, jaccard, language, lines, mixing, multi_index, pages, pivots, segmentations, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_inverted_multi_index": multi_index.op2_inverted_multi_index,
+    "op3_gumbel_segmentations": segmentations.op3_gumbel_segmentations,
     "op4_fingerprint_dedup": fingerprints.op4_fingerprint_dedup,
     "op5_suffix_array_lines": lines.op5_suffix_array_lines,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
