@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, word_count
+from .common import SPACE_CLASS, materialise, table, word_count
 
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
 BLOCK_WORDS = 64
@@ -100,6 +100,26 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: i
     return both.select("d.doc_id", "d.nth_row", "d.size", "d.source_size", "d.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken")), pieces
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, with the columns of ``docs``: a row for each pass that takes words.
+
+    A pass that takes all words of a document keeps its text as it is; else text is the taken words
+    joined by one space. n_chars, if there, is counted anew. A document the mix doesn't take is gone.
+    """
+    _, pieces = mix(docs, **options)
+    taken = pieces.groupBy("doc_id", "nth_row").agg(F.max("size").alias("size_"), F.max("rounds").alias("rounds_"), F.array_sort(F.collect_list(F.struct("from_word", "words", "rounds"))).alias("pieces_"))
+    own = docs.withColumn("size_", word_count("text"))
+    own = own.withColumn("nth_row", F.expr("row_number() over (partition by doc_id order by source, size_)")).drop("size_")
+    rows = own.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.nth_row") == F.col("t.nth_row")))
+    rows = rows.select("d.*", "t.size_", "t.pieces_", F.explode(F.expr("sequence(0, cast(rounds_ as int) - 1)")).alias("pass_"))
+    rows = rows.withColumn("pieces_", F.expr("filter(pieces_, p -> p.rounds > pass_)"))
+    rows = rows.withColumn("n_", F.expr("aggregate(pieces_, 0L, (a, p) -> a + p.words)"))
+    words = F.filter(F.split("text", SPACE_CLASS), lambda w: w != "")
+    cut = rows.withColumn("words_", F.when(F.col("n_") < F.col("size_"), words))
+    cut = cut.withColumn("text", F.expr("case when words_ is null then text else array_join(flatten(transform(pieces_, p -> slice(words_, cast(p.from_word as int) + 1, cast(p.words as int)))), ' ') end"))
+    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def op9_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return planned.select("doc_id", "size", "source_size", "target", "taken")

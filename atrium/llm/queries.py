@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import fingerprints, jaccard, language, lines, mixing, multi_index, pages, pivots, segmentations, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_inverted_multi_index": multi_index.op2_inverted_multi_index,
     "op3_gumbel_segmentations": segmentations.op3_gumbel_segmentations,
