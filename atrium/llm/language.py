@@ -15,13 +15,12 @@ from .common import table
 
 #: The model learns from at most this many documents of each language, those with the smallest
 #: hash of doc_id, and from at most this many characters of each: a documented bound.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4000
+SAMPLE_DOCS, SAMPLE_CHARS = 500, 4000
 #: A language is a candidate for a script that holds this share of its letters in the sample.
 SCRIPT_SHARE = 0.02
 #: Cost in nats of a change of language from one word to the next.
 SWITCH = 6.0
 GRAMS, SMOOTH, WORD_CAP = (1, 2, 3), 0.5, 12.0
-CACHE = 400_000
 UNKNOWN = "und"
 #: First code point of each block of scripts.
 SCRIPT_STARTS = {
@@ -33,10 +32,9 @@ NAMES = list(SCRIPT_STARTS.values())
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def script_of(word: str) -> str:
-    """Script of the first letter; empty without letters."""
-    m = LETTER.search(word)
-    return NAMES[max(0, int(np.searchsorted(STARTS, ord(m[0]), side="right")) - 1)] if m else ""
+def script_of(word: str) -> int:
+    """Position of the block of scripts that the first letter, in lower case, is in."""
+    return max(0, int(np.searchsorted(STARTS, ord(letters_of(word)[1]), side="right")) - 1)
 
 
 def letters_of(word: str) -> str:
@@ -45,59 +43,92 @@ def letters_of(word: str) -> str:
     return f"<{only}>" if only else ""
 
 
+class Words(dict):
+    """Numbers distinct words in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        return found
+
+
+def packed(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The n code points from each place as one number (21 bits each)."""
+    out = codes[at]
+    for i in range(1, n):
+        out = out | codes[at + i] << (21 * i)
+    return out
+
+
 class Model:
     """Character n-gram scores of each language and the languages each script is used by."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        counts = [Counter() for _ in self.languages]
-        scripts = [Counter() for _ in self.languages]
+        n = len(self.languages)
+        counts: list[Counter] = [Counter() for _ in GRAMS]
+        script_letters = np.zeros((len(NAMES), n))
         for i, lang in enumerate(self.languages):
-            for text in samples[lang]:
-                for word in text.split():
-                    if marked := letters_of(word):
-                        scripts[i][script_of(word)] += len(marked) - 2
-                        counts[i].update(marked[a : a + n] for n in GRAMS for a in range(len(marked) - n + 1))
-        grams = sorted(set().union(*counts)) if counts else []
-        totals = np.array([sum(c.values()) for c in counts], dtype=float)
-        table_ = np.array([[c[g] for g in grams] for c in counts]).T.reshape(len(grams), len(counts)) + SMOOTH
-        score = np.log(table_ / (totals + SMOOTH * (len(grams) + 1)))
-        score -= score.max(axis=1, keepdims=True)
-        self.scores = dict(zip(grams, score))
-        names = sorted(set().union(*scripts)) if scripts else []
-        self.allowed = {s: np.array([c[s] >= SCRIPT_SHARE * max(1, sum(c.values())) for c in scripts]) for s in names}
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Log-likelihood of each language, at most WORD_CAP apart; zeros without letters."""
-        found = self.cache.get(word)
-        if found is None:
-            marked = letters_of(word)
-            found = np.zeros(len(self.languages))
-            if marked:
-                known = [self.scores[g] for n in GRAMS for a in range(len(marked) - n + 1) if (g := marked[a : a + n]) in self.scores]
-                if known:
-                    found = np.sum(known, axis=0) / len(GRAMS)
-                allowed = self.allowed.get(script_of(word))
-                if allowed is not None and allowed.any():
-                    found = np.where(allowed, found, -np.inf)
-                found = np.maximum(found - found.max(), -WORD_CAP)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
-
-    def viterbi(self, docs: list[list[str]]) -> list[np.ndarray]:
+            words = Counter(w for text in samples[lang] for w in text.split())
+            for word, times in words.items():
+                marked = letters_of(word)
+                if marked:
+                    script_letters[script_of(word), i] += times * (len(marked) - 2)
+                    for c, size in zip(counts, GRAMS):
+                        for a in range(len(marked) - size + 1):
+                            c[marked[a : a + size], i] += times
+        self.keys, self.scores = [], []
+        grams = sum(len({g for g, _ in c}) for c in counts)
+        totals = np.zeros(n)
+        for c in counts:
+            for (_, i), times in c.items():
+                totals[i] += times
+        for c, size in zip(counts, GRAMS):
+            own = sorted({g for g, _ in c}, key=lambda g: [ord(x) for x in reversed(g)])
+            keys = packed(np.array([ord(x) for g in own for x in g], dtype=np.int64), np.arange(len(own)) * size, size) if own else np.zeros(0, np.int64)
+            order = np.argsort(keys)
+            score = np.log((np.array([[c[g, i] for i in range(n)] for g in own]).reshape(-1, n) + SMOOTH) / (totals + SMOOTH * (grams + 1)))
+            self.keys.append(keys[order])
+            self.scores.append((score - score.max(axis=1, keepdims=True)).astype(np.float32)[order] if own else np.zeros((0, n), np.float32))
+        # A script's languages; one that no language uses says nothing about any.
+        used = script_letters >= SCRIPT_SHARE * np.maximum(1, script_letters.sum(axis=0))
+        used &= script_letters > 0
+        by_name = {name: np.any([used[k] for k, x in enumerate(NAMES) if x == name], axis=0) for name in set(NAMES)}
+        self.allowed = np.array([by_name[x] if by_name[x].any() else np.ones(n, dtype=bool) for x in NAMES]).reshape(len(NAMES), n)
+
+    def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihoods, letters) of distinct words: the scores of a word differ by WORD_CAP at
+        most and are zeros without letters."""
+        marked = [letters_of(w) for w in words]
+        lengths = np.array([len(m) for m in marked], dtype=np.int64)
+        out = np.zeros((len(words), len(self.languages)))
+        some = np.flatnonzero(lengths)
+        if len(some):
+            codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            ends = np.cumsum(lengths[some])
+            starts = ends - lengths[some]
+            end_of = np.repeat(ends, lengths[some])
+            total = np.zeros((len(some), len(self.languages)), dtype=np.float32)
+            for size, keys, scores in zip(GRAMS, self.keys, self.scores):
+                if len(keys):
+                    at = np.flatnonzero(np.arange(len(codes)) + size <= end_of)
+                    asked = packed(codes, at, size)
+                    place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                    own = np.zeros((len(codes), len(self.languages)), dtype=np.float32)
+                    own[at] = np.where((keys[place] == asked)[:, None], scores[place], 0)
+                    total += np.add.reduceat(own, starts)
+            script = np.maximum(0, np.searchsorted(STARTS, codes[starts + 1], side="right") - 1)
+            total = np.where(self.allowed[script], total / len(GRAMS), -np.inf)
+            out[some] = np.maximum(total - total.max(axis=1, keepdims=True), -WORD_CAP)
+        return out, np.maximum(lengths - 2, 0)
+
+    def viterbi(self, docs: list[np.ndarray], scores: np.ndarray) -> list[np.ndarray]:
         """The language index of every word, for the texts together: step t extends all texts that
         have a word t, longest text first. A change of language costs SWITCH."""
         order = sorted(range(len(docs)), key=lambda d: -len(docs[d]))
-        lengths = np.array([len(docs[d]) for d in order])
+        lengths = np.array([len(docs[d]) for d in order], dtype=np.int64)
         steps, n = (int(lengths[0]) if len(order) else 0), len(self.languages)
-        index: dict[str, int] = {}
-        codes = [np.array([index.setdefault(w, len(index)) for w in docs[d]], dtype=np.int64) for d in order]
-        emit = np.array([self.word(w) for w in index]).reshape(-1, n)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(order) else np.zeros(0, int)
-        flat = np.concatenate(codes) if codes else np.zeros(0, int)
+        flat = np.concatenate([docs[d] for d in order]) if len(order) else np.zeros(0, int)
         stay = np.zeros((len(flat), n), dtype=bool)
         jump = np.zeros(len(flat), dtype=np.int8)
         alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
@@ -111,7 +142,7 @@ class Model:
                 keep = v >= top
                 stay[at], jump[at] = keep, best
                 v = np.where(keep, v, top)
-            value[:live] = v + emit[flat[at]]
+            value[:live] = v + scores[flat[at]]
         path = np.zeros(len(flat), dtype=np.int8)
         state = value.argmax(axis=1) if len(order) else np.zeros(0, int)
         for t in range(steps - 1, -1, -1):
@@ -130,8 +161,12 @@ def learn(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPL
     """A model of the labelled rows outside the held-out fold, from a bounded sample of them."""
     fold = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out("doc_id"))
     fold = fold.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, most_chars).alias("text"))
-    languages = [r["lang"] for r in fold.select("lang").distinct().collect()]
-    samples = {lang: [r["text"] for r in fold.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(most_docs).select("text").collect()] for lang in languages}
+    samples = {}
+    for lang, n in fold.groupBy("lang").count().collect():
+        # Thin by the hash first, so that no more than a few times the sample is ever sent.
+        share = min(1.0, 2 * most_docs / n)
+        thin = fold.where((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < max(1, int(share * 1_000_000))))
+        samples[lang] = [r["text"] for r in thin.orderBy(F.pmod("h", F.lit(1_000_000)), "h", "doc_id").limit(most_docs).select("text").collect()]
     return Model(samples)
 
 
@@ -155,12 +190,13 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", " + OUT
 
     def label(texts: list) -> list[tuple]:
-        m = shared.value
-        words = [(t or "").split() if isinstance(t, str) else [] for t in texts]
-        paths = m.viterbi(words) if m.languages else [np.zeros(len(w), dtype=np.int8) for w in words]
+        m, index = shared.value, Words()
+        words = [np.fromiter(map(index.__getitem__, t.split()), dtype=np.int64) if isinstance(t, str) else np.zeros(0, np.int64) for t in texts]
+        scores, letters = m.score_words(list(index))
+        paths = m.viterbi(words, scores) if m.languages else words
         rows = []
         for own, path in zip(words, paths):
-            size = np.array([len(letters_of(w)) - 2 if LETTER.search(w) else 0 for w in own] or [0])
+            size = letters[own]
             if not m.languages or not size.sum():
                 rows.append((UNKNOWN, 0.0, []))
                 continue
@@ -184,7 +220,7 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = predict(docs.select("doc_id", "text").withColumn("n", F.lit(1)), learn(docs), with_spans=False)
+    out = predict(docs.select("doc_id", "text"), learn(docs), with_spans=False)
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

@@ -34,6 +34,9 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bounded_sample(vectors: DataFrame, most: int) -> np.ndarray:
     """At most ``most`` distinct unit vectors, chosen by a hash of the vector: a documented bound."""
-    distinct = vectors.select(F.xxhash64("v").alias("h"), "v").orderBy("h").limit(4 * most).dropDuplicates(["h"]).orderBy("h").limit(most)
+    hashed = vectors.select(F.xxhash64("v").alias("h"), "v")
+    share = min(1.0, 8 * most / max(1, vectors.count()))  # thinned by the hash, so that a task sorts a few times the sample
+    thin = hashed.where(F.pmod("h", F.lit(1_000_000)) <= int(share * 1_000_000))
+    distinct = thin.orderBy(F.pmod("h", F.lit(1_000_000)), "h").limit(4 * most).dropDuplicates(["h"]).orderBy(F.pmod("h", F.lit(1_000_000)), "h").limit(most)
     rows = [r["v"] for r in distinct.collect()]
     return unit(matrix(rows)) if rows else np.zeros((0, 0))
