@@ -1,6 +1,6 @@
-"""Registry of the venue queries: each module contributes QUERIES and ORACLES."""
+"""Registry of the venue queries: each module registers its own when it is imported."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import features, frames, text  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
