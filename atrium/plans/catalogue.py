@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import features, frames, grids, labels, routes, text  # noqa: F401
+from . import corridors, features, frames, grids, labels, legacy, quality, routes, taps, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
