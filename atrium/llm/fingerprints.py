@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,18 +69,16 @@ def profile(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     """doc_id, n_words, sha (of the words joined by one space), fingerprints of each document."""
 
     def run(batches):
-        for frame in batches:
-            for at in range(0, len(frame), 1000):
-                part = frame.iloc[at : at + 1000]
-                words, flat, starts = flat_words(part["text"].tolist())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                words, flat, starts = flat_words(part.column("text").to_pylist())
                 least = least_grams(Rolling(flat), len(flat), window, gram)
-                rows = []
-                for doc, own, a, b in zip(part["doc_id"], words, starts, starts[1:]):
-                    found = np.unique(least[a : b - window + 1]).view(np.int64) if b - a >= window else np.zeros(0, np.int64)
-                    rows.append((doc, len(own), hashlib.sha256(b" ".join(own)).hexdigest(), found))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_words", "sha", "fingerprints"])
+                found = [np.unique(least[a : b - window + 1]).view(np.int64) if b - a >= window else np.zeros(0, np.int64) for a, b in zip(starts, starts[1:])]
+                new = [pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string()), pa.array(found, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *new], names=["doc_id", "n_words", "sha", "fingerprints"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_words long, sha string, fingerprints array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, sha string, fingerprints array<long>")
 
 
 def contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,14 +208,17 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
             rows.append((m.languages[top], float(share[top]), spans))
         return rows
 
-    def run(batches):
-        for frame in batches:
-            for at in range(0, len(frame), 1000):
-                part = frame.iloc[at : at + 1000]
-                rows = label(part["text"].tolist())
-                yield part[kept].assign(lang_pred=[r[0] for r in rows], score=[r[1] for r in rows], spans=[r[2] for r in rows])
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
-    return docs.mapInPandas(run, schema)
+    def run(batches):
+        for batch in batches:  # as Arrow, so that the other columns pass as they are
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows = label(part.column("text").to_pylist())
+                new = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], spans_type)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *new], names=[*kept, "lang_pred", "score", "spans"])
+
+    return docs.select(kept).mapInArrow(run, schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

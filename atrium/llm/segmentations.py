@@ -20,7 +20,7 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -318,19 +318,22 @@ def sample_segmentations(docs: DataFrame, model: str = MODEL, k: int = SAMPLES,
     held: dict = {}
 
     def run(batches):
-        for frame in batches:
+        for batch in batches:
             vocabulary = held.get("v") or held.setdefault("v", Vocabulary(proto.value, power))
-            for at in range(0, len(frame), 500):
-                part = frame.iloc[at : at + 500]
-                texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                rows = [(j, n, *r) for j, found in enumerate(encode_texts(vocabulary, part["seed_key"].tolist(), texts, k)) for n, r in enumerate(found, 1)]
-                which = [r[0] for r in rows]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                rows = [(j, n, *r) for j, found in enumerate(encode_texts(vocabulary, part.column("seed_key").to_pylist(), texts, k)) for n, r in enumerate(found, 1)]
                 fine = [vocabulary.decode(r[2]) == texts[r[0]] for r in rows]
-                yield part[list(keep)].iloc[which].assign(sample=[r[1] for r in rows], ids=[r[2] for r in rows], log_p=[r[3] for r in rows], log_inclusion=[r[4] for r in rows], decoded=fine)
+                lengths = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([np.zeros(0, np.int32), *[r[2] for r in rows]])))
+                which = pa.array([r[0] for r in rows], pa.int32())
+                new = [pa.array([r[1] for r in rows], pa.int32()), ids, *[pa.array([r[i] for r in rows], pa.float64()) for i in (3, 4)], pa.array(fine, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(which) for c in keep], *new], names=[*keep, "sample", "ids", "log_p", "log_inclusion", "decoded"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(*keep, "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("seed_key"))
-    return rows.mapInPandas(run, f"{schema}, {OUT}")
+    return rows.mapInArrow(run, f"{schema}, {OUT}")
 
 
 def op3_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
