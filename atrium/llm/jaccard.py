@@ -28,6 +28,8 @@ NUM, DEN = 75, 100
 INJECTIVE, RATIO, WIDTH, TAIL = 64, 3.0, 1.6, 0.2
 DOCS_PER_BUCKET, MIN_BUCKETS = 4000, 256
 TILE, CENTRE_PART = 512, 400
+#: Hash groups of the sketches that rule pairs out.
+GROUPS = 256
 
 
 def largest_partner(size: np.ndarray) -> np.ndarray:
@@ -104,24 +106,43 @@ def fingerprint(elements: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-EMIT = "bucket long, doc_id long, size long, h1 long, h2 long, sigs binary, docs binary, sets binary"
+BLOCK = 2000
+EMIT = "bucket long, block long, doc_id long, nth int, size long, h1 long, h2 long, sketch binary, sigs binary, nths binary"
+MET = "list_id long, block long, nth int, doc_id long, size long, h1 long, h2 long, sketch binary"
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall in each of GROUPS hash groups, 255 for that many or more."""
+    counts = np.bincount((mixed(elements ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(n: np.ndarray, m: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """False only for pairs of sets of n and m elements, rows s and t of sketches, that can't be similar:
+    the lesser counts add up to a bound on the intersection. Full groups bound nothing."""
+    common = np.minimum(np.minimum(s, t).sum(axis=-1, dtype=np.int64), np.minimum(n, m))
+    common = np.where((s == 255).any(axis=-1) | (t == 255).any(axis=-1), np.minimum(n, m), common)
+    return DEN * common >= NUM * (n + m - common)
 
 
 def emit(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds: one for each document, and packed postings of a block for each bucket.
+    """Rows of two kinds: one for each document, and a block's packed postings for each bucket.
 
-    Documents of one block with equal sets index them once, under the smallest doc_id.
+    A posting is six bytes of a signature and the document's place in its block. Documents of one
+    block with equal sets index them once, under the smallest doc_id.
     """
 
     def run(batches):
         for frame in batches:
-            for at in range(0, len(frame), 2000):
-                part = frame.iloc[at : at + 2000]
+            for at in range(0, len(frame), BLOCK):
+                part = frame.iloc[at : at + BLOCK]
                 ids = part["doc_id"].to_numpy(dtype=np.int64)
+                block = int(mixed(np.array([np.add.reduce(mixed(ids.astype(np.uint64) * np.uint64(2 * BLOCK) + np.arange(len(ids)).astype(np.uint64)))]))[0].view(np.int64))
                 sets = shingle_sets(part["text"].tolist())
                 marks = [fingerprint(x) if len(x) else (0, 0) for x in sets]
-                yield pd.DataFrame({"bucket": mixed(ids.astype(np.uint64)) % np.uint64(buckets), "doc_id": ids, "size": [len(x) for x in sets],
-                                    "h1": [a for a, _ in marks], "h2": [b for _, b in marks], "sigs": None, "docs": None, "sets": None}).astype({"bucket": "int64"})
+                own = {"bucket": (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), "block": block, "doc_id": ids, "nth": np.arange(len(ids)), "size": [len(x) for x in sets],
+                       "h1": [a for a, _ in marks], "h2": [b for _, b in marks], "sketch": [sketch(x) for x in sets], "sigs": None, "nths": None}
+                yield pd.DataFrame(own)
                 first: dict = {}
                 for i, mark in enumerate(marks):
                     if len(sets[i]) and (mark not in first or ids[i] < ids[first[mark]]):
@@ -130,47 +151,50 @@ def emit(docs: DataFrame, buckets: int) -> DataFrame:
                 if not heads:
                     continue
                 sigs = [signatures(sets[i]) for i in heads]
-                n = [len(x) for x in sigs]
-                sig, doc = np.concatenate(sigs), np.repeat(ids[heads], n)
-                mark = np.repeat(np.array([marks[i][0] for i in heads]), n)
+                sig, nth = np.concatenate(sigs), np.repeat(np.array(heads, dtype=np.uint16), [len(x) for x in sigs])
                 bucket = (mixed(sig) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                sig, doc, mark, bucket = sig[order], doc[order], mark[order], bucket[order]
+                sig, nth, bucket = sig[order], nth[order], bucket[order]
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-                rows = [(int(bucket[a]), sig[a:b].tobytes(), doc[a:b].tobytes(), mark[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
-                packed = pd.DataFrame(rows, columns=["bucket", "sigs", "docs", "sets"])
-                yield packed.reindex(columns=["bucket", "doc_id", "size", "h1", "h2", "sigs", "docs", "sets"]).astype({c: "Int64" for c in ("doc_id", "size", "h1", "h2")})
+                six = np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 8)[:, :6]
+                rows = [(int(bucket[a]), block, six[a:b].tobytes(), nth[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+                packed = pd.DataFrame(rows, columns=["bucket", "block", "sigs", "nths"])
+                yield packed.reindex(columns=list(own)).astype({c: "Int64" for c in ("doc_id", "nth", "size", "h1", "h2")})
 
     return docs.mapInPandas(run, EMIT)
 
 
 def collide(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: documents pass through; of the postings, the lists of sets that share a signature.
+    """One bucket: documents pass through; of the postings, the lists of places that share a signature.
 
-    Each distinct list comes out once, as rows of its id and its documents (the smallest of each set).
+    Each distinct list comes out once, as rows of its id and its places.
     """
-    own = rows[rows["sigs"].isna()]
-    out = [pd.DataFrame({"list_id": None, "doc_id": own["doc_id"], "size": own["size"], "h1": own["h1"], "h2": own["h2"]})]
+    columns = ["list_id", "block", "nth", "doc_id", "size", "h1", "h2", "sketch"]
+    whole = {c: "Int64" for c in columns[:-1]}
+    out = [rows[rows["sigs"].isna()].reindex(columns=columns).astype(whole)]
     packed = rows[rows["sigs"].notna()]
     if len(packed):
-        sig = np.frombuffer(b"".join(packed["sigs"]), dtype=np.uint64)
-        doc = np.frombuffer(b"".join(packed["docs"]), dtype=np.int64)
-        mark = np.frombuffer(b"".join(packed["sets"]), dtype=np.int64)
-        order = np.lexsort((doc, mark, sig))
-        sig, doc, mark = sig[order], doc[order], mark[order]
-        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (mark[1:] != mark[:-1])])
-        sig, doc = sig[new], doc[new]
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
+        six = np.frombuffer(b"".join(packed["sigs"]), dtype=np.uint8).reshape(-1, 6)
+        sig = np.zeros((len(six), 8), dtype=np.uint8)
+        sig[:, :6] = six
+        sig = sig.view(np.uint64)[:, 0]
+        nth = np.frombuffer(b"".join(packed["nths"]), dtype=np.uint16)
+        row = np.repeat(np.arange(len(packed)), [len(x) // 2 for x in packed["nths"]])
+        blocks = packed["block"].to_numpy(dtype=np.int64)
+        order = np.argsort(sig, kind="stable")
+        sig, nth, row = sig[order], nth[order], row[order]
         starts = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1])
         n = np.diff(np.concatenate([starts, [len(sig)]]))
-        name = np.add.reduceat(mixed(doc.astype(np.uint64) + np.uint64(7)), starts)
         many = np.flatnonzero(n > 1)
-        _, at = np.unique(name[many], return_index=True)
-        many = many[at]
-        take = np.repeat(starts[many], n[many]) + (np.arange(n[many].sum()) - np.repeat(np.cumsum(n[many]) - n[many], n[many]))
-        out.append(pd.DataFrame({"list_id": np.repeat(name[many], n[many]).view(np.int64), "doc_id": doc[take.astype(np.int64)]}))
-    return pd.concat(out).astype({c: "Int64" for c in ("list_id", "doc_id", "size", "h1", "h2")} if len(packed) else {"list_id": "Int64"}).reindex(columns=["list_id", "doc_id", "size", "h1", "h2"])
+        if len(many):
+            place = mixed(blocks[row].astype(np.uint64) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            name = np.add.reduceat(place, starts)[many]
+            _, at = np.unique(name, return_index=True)
+            many, name = many[at], name[at]
+            take = np.repeat(starts[many], n[many]) + np.arange(n[many].sum()) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+            lists = pd.DataFrame({"list_id": np.repeat(name, n[many]).view(np.int64), "block": blocks[row[take]], "nth": nth[take].astype(np.int64)})
+            out.append(lists.reindex(columns=columns).astype(whole))
+    return pd.concat(out)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -196,42 +220,41 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("centre", "piece")).applyInPandas(check, "a long, b long")
 
 
-def sketch(elements: np.ndarray, groups: int) -> np.ndarray:
-    """How many elements fall in each hash group: the sum of the lesser counts bounds an intersection."""
-    return np.bincount((mixed(elements ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sketches (doc_id, size, sketch) don't rule out."""
+    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+
+    def keep(batches):
+        for frame in batches:
+            if len(frame):
+                s, t = (np.frombuffer(b"".join(frame[c]), dtype=np.uint8).reshape(-1, GROUPS) for c in ("sa", "sb"))
+                yield frame.loc[may_be_similar(frame["na"].to_numpy(), frame["nb"].to_numpy(), s, t), ["a", "b"]]
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(keep, "a long, b long")
 
 
-def rest_pairs(lists: DataFrame, components: DataFrame, texts: DataFrame, groups: int = 256) -> DataFrame:
+def rest_pairs(lists: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs still to be verified: in one list, not yet in one component, neither its centre.
 
     Lists that verified links already hold together give none, so copies aren't expanded into pairs.
     The sketches rule out most pairs that only share a passage; none that is similar.
     """
     known = lists.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    known = known.where("doc_id <> centre")
+    known = known.where("doc_id <> centre").select("list_id", "doc_id", "component")
     open_ = known.groupBy("list_id").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("x <> y").select("list_id", "tiles")
-    rows = materialise(known.join(open_, "list_id"), "open-lists")
-
-    def describe(batches):
-        for frame in batches:
-            sets = shingle_sets(frame["text"].tolist())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": [len(x) for x in sets], "counts": [sketch(x, groups).astype(np.int32) for x in sets]})
-
-    counts = texts.join(rows.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInPandas(describe, "doc_id long, n long, counts array<int>")
-    rows = rows.join(counts, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    tiled = rows.select("list_id", "doc_id", "component", "n", "counts", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    tiled = tiled.select("list_id", "doc_id", "component", "n", "counts", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    rows = known.join(open_, "list_id").join(sketches, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
+    tiled = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiled = tiled.select("list_id", "doc_id", "component", "size", "sketch", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def cross(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
         left, right = tile[tile["own"] == int(key[1])], tile[tile["own"] == int(key[2])]
         out = []
         if len(left) and len(right):
-            c, n = np.stack(right["counts"].to_numpy()), right["n"].to_numpy()
-            comp, ids = right["component"].to_numpy(), right["doc_id"].to_numpy()
-            for doc, own, size, counts_ in zip(left["doc_id"], left["component"], left["n"], left["counts"]):
-                near = np.flatnonzero((comp != own) & (ids != doc) & (DEN * np.minimum(n, size) >= NUM * np.maximum(n, size)))
-                common = np.minimum(c[near], counts_).sum(axis=1)
-                near = near[DEN * common >= NUM * (n[near] + size - common)]
+            t = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint8).reshape(-1, GROUPS)
+            n, comp, ids = (right[c].to_numpy() for c in ("size", "component", "doc_id"))
+            for doc, own, size, s in zip(left["doc_id"], left["component"], left["size"], left["sketch"]):
+                near = np.flatnonzero((comp != own) & (DEN * np.minimum(n, size) >= NUM * np.maximum(n, size)))
+                near = near[may_be_similar(n[near], np.int64(size), t[near], np.frombuffer(s, dtype=np.uint8)[None])]
                 out.append(pd.DataFrame({"a": np.minimum(ids[near], doc), "b": np.maximum(ids[near], doc)}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
 
@@ -249,22 +272,27 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     valid = docs.where("doc_id is not null")
     buckets = max(MIN_BUCKETS, docs.count() // DOCS_PER_BUCKET)
-    met = materialise(emit(valid, buckets).groupBy("bucket").applyInPandas(collide, "list_id long, doc_id long, size long, h1 long, h2 long"), "shared-signatures")
-    sizes = met.where("list_id is null").select("doc_id", "size", "h1", "h2")
-    heads = sizes.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("head"), F.first("size").alias("size"), F.count("*").alias("copies"))
-    heads = materialise(heads, "set-heads")
+    met = materialise(emit(valid, buckets).groupBy("bucket").applyInPandas(collide, MET), "shared-signatures")
+    sizes = met.where("list_id is null").select("block", "nth", "doc_id", "size", "h1", "h2", "sketch")
+    heads = sizes.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("head"))
     # A block's smallest copy may stand for a set whose smallest copy is elsewhere: take that one.
-    of = sizes.join(heads.select("h1", "h2", "head"), ["h1", "h2"]).select("doc_id", "head", "size")
-    posted = met.where("list_id is not null").select("list_id", "doc_id").distinct()
-    lists = posted.join(of, "doc_id").select("list_id", F.col("head").alias("doc_id"), "size").distinct()
+    of = materialise(sizes.drop("sketch").join(heads, ["h1", "h2"]).select("block", "nth", "doc_id", "head", "size"), "set-heads")
+    posted = met.where("list_id is not null").select("list_id", "block", "nth").distinct()
+    lists = posted.join(of.select("block", "nth", "head", "size"), ["block", "nth"]).select("list_id", F.col("head").alias("doc_id"), "size").distinct()
     centres = lists.groupBy("list_id").agg(F.min(F.struct("doc_id", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
     lists = materialise(lists.join(centres.select("list_id", F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size")), "list_id"), "candidate-lists")
-    texts = materialise(valid.dropDuplicates(["doc_id"]).join(lists.select("doc_id").distinct(), "doc_id"), "candidate-texts")
     near = f"{DEN} * least(size, centre_size) >= {NUM} * greatest(size, centre_size)"
     star = lists.where(f"doc_id <> centre and {near}").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    sketches = sizes.select("doc_id", "size", "sketch").dropDuplicates(["doc_id"]).join(lists.select("doc_id").distinct(), "doc_id", "left_semi")
+    sketches = materialise(sketches, "sketches")
+    star = materialise(plausible(star, sketches), "star-pairs")
+    # What the first pass leaves open is found while whole texts move once for both.
+    wide = lists.where("doc_id <> centre").groupBy("list_id").agg(F.count("*").alias("n")).where("n > 1").select("list_id")
+    members = star.select(F.col("a").alias("doc_id")).union(star.select("b")).union(lists.join(wide, "list_id", "left_semi").where("doc_id <> centre").select("doc_id")).distinct()
+    texts = materialise(valid.dropDuplicates(["doc_id"]).join(members, "doc_id"), "candidate-texts")
     links = materialise(verify(star, texts), "star-links")
     part = connected_components(links, "a", "b")
-    rest = materialise(rest_pairs(lists, part, texts), "rest-pairs")
+    rest = materialise(rest_pairs(lists, part, sketches), "rest-pairs")
     links = links.union(verify(rest, texts)).union(of.where("doc_id <> head").select("head", "doc_id"))
     whole = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
     out = docs.join(sizes.select("doc_id", "size").distinct(), "doc_id", "left").join(whole, "doc_id", "left")
