@@ -123,3 +123,24 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def op9_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE = r"""
+with d as (select doc_id, source, len([x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''])::bigint as size from documents),
+p as (select source, sum(size)::double as source_size, row_number() over (order by source is null, source) - 1 as ord from d group by source),
+w as (select *, [3.0, 1.0, 2.0][ord % 3 + 1]::double as weight, 2 * source_size as cap, 1.5 * sum(source_size) over () as whole from p),
+l as (select *, (whole - 2 * coalesce(sum(source_size) over (order by source_size / weight, ord rows between unbounded preceding and 1 preceding), 0))
+  / sum(weight) over (order by source_size / weight, ord rows between current row and unbounded following) as level from w),
+s as (select *, level * weight >= cap as stops from l),
+t as (select source, ord, source_size, case when stops then cap else max(case when not stops then level end) over () * weight end as target from s),
+e as (select ord, ceil(source_size / 64)::bigint as blocks, (sum(target) over (order by ord) - target) / sum(target) over () as low,
+  case when ord = max(ord) over () then 2.0 else sum(target) over (order by ord) / sum(target) over () end as high from t),
+z as (select i as slot, i * 0.6180339887498949::double - floor(i * 0.6180339887498949::double) as point from range((select ceil(sum(target) / 64)::bigint from t)) r(i)),
+n as (select ord, blocks, row_number() over (partition by ord order by slot) - 1 as nth from z join e on point >= low and point < high),
+b as (select ord, nth % blocks as block, count(*) as rounds from n where nth < 2 * blocks group by all),
+m as (select d.*, t.ord, t.source_size, t.target, coalesce(sum(size) over (partition by t.ord order by md5(doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from d join t on d.source is not distinct from t.source),
+c as (select doc_id, ord, start, size, unnest(range(start // 64, (start + size - 1) // 64 + 1)) as block from m where size > 0),
+k as (select doc_id, sum((least(start + size, (block + 1) * 64) - greatest(start, block * 64)) * rounds)::bigint as taken from c join b using (ord, block) group by doc_id)
+select m.doc_id, size, source_size::bigint as source_size, target, coalesce(taken, 0)::bigint as taken from m left join k on k.doc_id = m.doc_id
+"""

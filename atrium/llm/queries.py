@@ -26,4 +26,5 @@ ORACLES = {
     "op5_suffix_array_lines": lines.ORACLE,
     "op6_ngram_jaccard_join": jaccard.ORACLE,
     "op7_pivot_permutation": pivots.ORACLE,
+    "op9_low_discrepancy_mix": mixing.ORACLE,
 }
