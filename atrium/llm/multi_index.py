@@ -66,7 +66,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
         return empty
     n, width = vectors.count(), fitted.shape[1]
     half = max(1, width // 2)
-    size = int(min(64, max(4, round(2 * n**0.25))))
+    size = int(min(64, max(32, round(2 * n**0.25))))
     one, two = kmeans(fitted[:, :half], size), kmeans(fitted[:, half:], size) if width > 1 else np.zeros((1, 0))
 
     def assign(batches):
