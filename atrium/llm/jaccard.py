@@ -28,6 +28,8 @@ NUM, DEN = 75, 100
 INJECTIVE, RATIO, WIDTH, TAIL = 64, 3.0, 1.6, 0.2
 DOCS_PER_BUCKET, MIN_BUCKETS = 4000, 256
 TILE, CENTRE_PART = 512, 400
+#: Lists of up to so many documents give their open pairs by a join, longer ones tile by tile.
+FEW = 48
 #: Hash groups of the sketches that rule pairs out.
 GROUPS = 256
 
@@ -241,9 +243,13 @@ def rest_pairs(lists: DataFrame, components: DataFrame, sketches: DataFrame) ->
     """
     known = lists.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = known.where("doc_id <> centre").select("list_id", "doc_id", "component")
-    open_ = known.groupBy("list_id").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("x <> y").select("list_id", "tiles")
-    rows = known.join(open_, "list_id").join(sketches, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    tiled = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    open_ = known.groupBy("list_id").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("n")).where("x <> y").select("list_id", "tiles", "n")
+    rows = materialise(known.join(open_, "list_id"), "open-lists")
+    few = rows.where(f"n <= {FEW}").select("list_id", "doc_id", "component")
+    other = few.select("list_id", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
+    small = few.join(other, "list_id").where("doc_id < b and component <> of_b").select(F.col("doc_id").alias("a"), "b").distinct()
+    large = rows.where(f"n > {FEW}").join(sketches, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
+    tiled = large.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     tiled = tiled.select("list_id", "doc_id", "component", "size", "sketch", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def cross(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
@@ -258,7 +264,7 @@ def rest_pairs(lists: DataFrame, components: DataFrame, sketches: DataFrame) ->
                 out.append(pd.DataFrame({"a": np.minimum(ids[near], doc), "b": np.maximum(ids[near], doc)}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
 
-    return tiled.groupBy("list_id", "p", "q").applyInPandas(cross, "a long, b long").distinct()
+    return plausible(small, sketches).union(tiled.groupBy("list_id", "p", "q").applyInPandas(cross, "a long, b long")).distinct()
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
