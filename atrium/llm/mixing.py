@@ -12,7 +12,7 @@ BLOCK_WORDS = 64
 #: Fraction of the golden ratio: the points t * GOLDEN modulo 1 fill the unit interval evenly.
 GOLDEN = 0.6180339887498949
 #: Running sums are taken within 2**CHUNK_BITS neighbours, then over the chunks' totals.
-CHUNK_BITS, SHUFFLES = 12, 4096
+CHUNK_BITS, CELLS = 12, 4096
 
 
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -61,7 +61,9 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOS
     edges = shares.where("whole > 0").selectExpr("ord", f"cast(ceil(source_size / {block_words}) as long) as blocks", "after / whole as low", "case when ord = max(ord) over () then 2.0D else upto / whole end as high")
     whole = targets.agg(F.sum("target")).first()[0] or 0
     slots = spark.range(int(-(-whole // block_words))).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))).alias("point"))
-    taken = slots.join(F.broadcast(edges), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    # Points and shares meet by an equi-join on the cell of the unit interval, whatever the number of sources.
+    edges = edges.withColumn("cell", F.explode(F.expr(f"sequence(cast(floor(low * {CELLS}) as int), cast(least({CELLS} - 1, floor(high * {CELLS})) as int))")))
+    taken = slots.withColumn("cell", F.floor(F.col("point") * CELLS).cast("int")).join(edges, "cell").where("point >= low and point < high")
     taken = taken.select("slot", "ord", "blocks", F.shiftright("slot", CHUNK_BITS).alias("stretch"), F.lit(1).cast("long").alias("one"))
     nth = running_sum(taken, "ord", "stretch", ["slot"], "one", "nth")
     return nth.where(f"nth < {most} * blocks").selectExpr("slot", "ord", "nth", "nth % blocks as block", "nth div blocks as round")
@@ -73,7 +75,7 @@ def laid_out(sized: DataFrame, targets: DataFrame) -> DataFrame:
     The order is that of md5 of doc_id: reruns agree.
     """
     spread = F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
-    rows = sized.join(F.broadcast(targets.select("source", "ord", "source_size", "target")), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    rows = sized.join(targets.select("source", "ord", "source_size", "target"), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.withColumn("spread", spread).withColumn("slice", F.conv(F.substring("spread", 1, 3), 16, 10).cast("int"))
     return running_sum(rows, "ord", "slice", ["spread", "doc_id", "nth_row"], "size", "start")
 
