@@ -5,6 +5,8 @@ A grid is (venue, i, j, free). Neighbours meet by equi-joins on (venue, i, j); n
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -17,8 +19,12 @@ NEIGHBOURS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -
 
 
 def work_path(spark, name: str) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or in the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that all executors share: in spark.checkpoint.dir; where that is unset, in the
+    warehouse, or in a temporary folder if all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.startswith("local[")
+        base = os.path.join(tempfile.gettempdir(), f"atrium-{spark.sparkContext.applicationId}") if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
