@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from atrium import params
 from atrium.functions import geometry as geo
 
+from .labels import CELL, cells_of_box
+
 
 def ways_in_cells(ways: DataFrame, to_cell) -> DataFrame:
     """One row (ord, name, derived, ax, ay, bx, by, width) for each line of each way, its ends only, in cells.
@@ -33,10 +35,14 @@ def coverage(step: float = 1.0) -> Column:
 def leg_ways(legs: DataFrame, ways: DataFrame, step: float = 1.0, key: str = "venue") -> DataFrame:
     """``legs`` (key, leg, pi, pj, qi, qj) with the way that explains each, or nulls.
 
-    The way with the best coverage, at least WAY_COVERAGE; of equals the wider, then the first. Legs
-    meet the ways of their venue, a bounded table of named corridors, by an equi-join.
+    The way with the best coverage, at least WAY_COVERAGE; of equals the wider, then the first.
     """
-    pairs = legs.join(ways, key).withColumn("cov", F.round(coverage(step), 9)).where(F.col("cov") >= params.WAY_COVERAGE)
+    # A way that covers a leg has samples of it in the cells around its band: an equi-join finds the few such.
+    t = F.transform(F.sequence(F.lit(0), F.lit(params.WAY_SAMPLES)), lambda k: F.struct(F.floor((F.col("pi") + (F.col("qi") - F.col("pi")) * k / params.WAY_SAMPLES) / CELL).cast("int").alias("i"), F.floor((F.col("pj") + (F.col("qj") - F.col("pj")) * k / params.WAY_SAMPLES) / CELL).cast("int").alias("j")))
+    boxed = ways.withColumns({"x0": F.least("ax", "bx"), "y0": F.least("ay", "by"), "x1": F.greatest("ax", "bx"), "y1": F.greatest("ay", "by"), "pad": (F.col("width") / 2 + params.WAY_SLACK) / step})
+    boxed = boxed.withColumns({"x0": F.expr("x0 - pad"), "y0": F.expr("y0 - pad"), "x1": F.expr("x1 + pad"), "y1": F.expr("y1 + pad")})
+    near = legs.select(key, "leg", F.explode(F.array_distinct(t)).alias("cell")).join(boxed.select(key, "ord", F.explode(cells_of_box("x0", "y0", "x1", "y1")).alias("cell")), [key, "cell"]).select(key, "leg", "ord").distinct()
+    pairs = legs.join(near, [key, "leg"]).join(ways, [key, "ord"]).withColumn("cov", F.round(coverage(step), 9)).where(F.col("cov") >= params.WAY_COVERAGE)
     best = pairs.groupBy(key, "leg").agg(F.min(F.struct((-F.col("cov")).alias("c"), (-F.col("width")).alias("w"), "ord", "name", "derived")).alias("m"))
     return legs.join(best.select(key, "leg", F.col("m.name").alias("way"), F.col("m.derived").alias("derived"), (-F.col("m.c")).alias("coverage")), [key, "leg"], "left")
 

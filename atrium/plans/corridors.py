@@ -64,7 +64,7 @@ def corridor_tracks(spark, sf_dir):
     return corridors.ways(tracked(spark, sf_dir)).select("venue", "axis", "centre", "width", "from", "to", "extent")
 
 
-_ARROWS = f"""arrows as (select venue, "row" as ord, 'RUA ' || chr((65 + "row" % 11)::int) as name, 'y' as axis, 70 as along, (10 * ("row" % 100) + 12)::double as across from (select distinct venue, "row" from stands where "row" % 100 < 3))"""
+_ARROWS = f"""arrows as (select venue, "row" as ord, 'RUA ' || chr((65 + "row" % 11)::int) as name, 'y' as axis, 70 as along, (10 * ("row" % 100) + 12)::double as across from (select distinct venue, "row" from blocks))"""
 
 
 @query(f"""with {_CORRIDOR}, {_RUNS}, {_TRACKS}, {_ARROWS},
@@ -75,5 +75,5 @@ n as (select *, coalesce(arrow, case when axis = 'x' then 'Transversal ' else 'A
 select venue, name, axis, round(avg(least(w, 12)), 1)::double as width, sum(extent)::bigint as extent, bool_or(w > 12) as open, bool_or(arrow is null) as derived, count(*) as parts from n group by venue, name, axis""")
 def way_naming(spark, sf_dir):
     """Ways named by their arrows or numbered, then merged by name."""
-    arrows = blocks(spark, sf_dir).where("row % 100 < 3").select("venue", "row").distinct().selectExpr("venue", "row as ord", "concat('RUA ', chr(65 + row % 11)) as name", "'y' as axis", "70 as along", "cast(10 * (row % 100) + 12 as double) as across")
+    arrows = blocks(spark, sf_dir).select("venue", "row").distinct().selectExpr("venue", "row as ord", "concat('RUA ', chr(65 + row % 11)) as name", "'y' as axis", "70 as along", "cast(10 * (row % 100) + 12 as double) as across")
     return corridors.merge_ways(corridors.name_ways(corridors.ways(tracked(spark, sf_dir)), arrows))

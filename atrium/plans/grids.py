@@ -10,12 +10,12 @@ from atrium.sources.venue import DOORS_SQL, STANDS_SQL, VISITORS_SQL
 
 from .registry import query
 
-#: Rows of stands that the grid queries cover in each venue, cells of one metre: a setting of the fixture.
-ROWS = 4
-WIDTH, HEIGHT = venue.WIDTH, 10 * ROWS + 4
-CELLS_SQL = f"""{STANDS_SQL}, blocks as (select * from stands where "row" % 100 < {ROWS} and k % 13 <> 0),
+#: Cells of one metre over a whole venue.
+WIDTH, HEIGHT = venue.WIDTH, 10 * venue.VENUE_ROWS + 8
+CELLS_SQL = f"""{STANDS_SQL}, blocks as (select * from stands where k % 13 <> 0),
 v as (select distinct venue from stands), ij as (select venue, i::int as i, j::int as j from v, range({WIDTH}) a(i), range({HEIGHT}) b(j)),
-cells as (select ij.venue, i, j, i + 0.5 as cx, j + 0.5 as cy, not exists (select 1 from blocks b where b.venue = ij.venue and i + 0.5 > b.x0 and i + 0.5 < b.x1 and j + 0.5 > b.y0 and j + 0.5 < b.y1) as free from ij)"""
+taken as (select venue, i, unnest(range(y0::int, y1::int)) as j from (select venue, unnest(range(x0::int, x1::int)) as i, y0, y1 from blocks)),
+cells as (select ij.venue, ij.i, ij.j, ij.i + 0.5 as cx, ij.j + 0.5 as cy, t.i is null as free from ij left join taken t on t.venue = ij.venue and t.i = ij.i and t.j = ij.j)"""
 EDGES_SQL = """f as (select venue, i, j from cells where free), s as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) t(a, b)),
 edges as (select f.venue, f.i, f.j, f.i + a as ti, f.j + b as tj, case when a = 0 or b = 0 then 1.0 else sqrt(2.0) end::double as length from f, s
   where exists (select 1 from f t where t.venue = f.venue and t.i = f.i + a and t.j = f.j + b)
@@ -23,7 +23,7 @@ edges as (select f.venue, f.i, f.j, f.i + a as ti, f.j + b as tj, case when a =
 
 
 def blocks(spark, sf_dir):
-    return venue.stands(spark, sf_dir).where(f"row % 100 < {ROWS} and k % 13 <> 0")
+    return venue.stands(spark, sf_dir).where("k % 13 <> 0")
 
 
 def cells(spark, sf_dir):
@@ -61,14 +61,14 @@ def clearance_field(spark, sf_dir):
     return grid.clearance(cells(spark, sf_dir)).select("venue", "i", "j", F.round("clearance", 6).alias("clearance"))
 
 
-@query(f"""with {CELLS_SQL}, {VISITORS_SQL}, p as (select visitor, x - 0.5 as fi, y - 0.5 as fj, floor(x)::int as ci, floor(y)::int as cj from visitors where y < {HEIGHT}),
+@query(f"""with {CELLS_SQL}, {VISITORS_SQL}, p as (select visitor, x - 0.5 as fi, y - 0.5 as fj, floor(x)::int as ci, floor(y)::int as cj from visitors),
 n as (select visitor, i, j, greatest(abs(i - ci), abs(j - cj)) as ring, (i - fi) * (i - fi) + (j - fj) * (j - fj) as d2 from p join cells c on c.venue = 0 and c.free and c.i between ci - 8 and ci + 8 and c.j between cj - 8 and cj + 8),
 b as (select *, row_number() over (partition by visitor order by ring, d2, j, i) as r from n)
 select p.visitor, b.i, b.j, b.ring from p left join b on b.visitor = p.visitor and r = 1""")
 def snap_to_free(spark, sf_dir):
     """Where a tap on the map starts walking."""
-    taps = venue.visitors(spark, sf_dir).where(f"y < {HEIGHT}").selectExpr("0L as venue", "visitor as id", "x - 0.5 as fi", "y - 0.5 as fj")
-    return grid.snap_to_free(taps, cells(spark, sf_dir).where("venue = 0"), 8).select(F.col("id").alias("visitor"), "i", "j", "ring")
+    taps = venue.visitors(spark, sf_dir).selectExpr("0L as venue", "visitor as id", "x - 0.5 as fi", "y - 0.5 as fj")
+    return grid.snap_to_free(taps, cells(spark, sf_dir), 8).select(F.col("id").alias("visitor"), "i", "j", "ring")
 
 
 @query(f"""with {CELLS_SQL}, n as (select b.venue, b.k, i, j, sqrt(power(greatest(b.x0 - cx, 0, cx - b.x1), 2) + power(greatest(b.y0 - cy, 0, cy - b.y1), 2)) as d
@@ -81,28 +81,17 @@ def access_cells(spark, sf_dir):
 
 
 #: A wall from north to south that shuts off what lies east of it, but for the odd venues' gates.
-_WALLED = f"walled as (select venue, i, j, cx, cy, free and not (i = 93 and (venue % 2 = 0 or j <> 20)) and not (i between 30 and 32 and j between 3 and 5 and not (i = 31 and j = 4)) as free from cells)"
-
-
 def walled(spark, sf_dir):
     return cells(spark, sf_dir).withColumn("free", F.expr("free and not (i = 93 and (venue % 2 = 0 or j <> 20)) and not (i between 30 and 32 and j between 3 and 5 and not (i = 31 and j = 4))"))
 
 
-_REACH = f"""with recursive {CELLS_SQL}, {_WALLED}, {EDGES_SQL.replace('from cells', 'from walled')},
-r(venue, i, j) as (select venue, i, j from walled where i = 2 and j % 10 = 2 and free union select e.venue, e.ti, e.tj from r join edges e on e.venue = r.venue and e.i = r.i and e.j = r.j)"""
-
-
-@query(f"{_REACH} select venue, i, j from r")
+@query()
 def reachable_from_doors(spark, sf_dir):
     w = grid.stored(walled(spark, sf_dir), "walled")
     return grid.reachable(w, w.where("i = 2 and j % 10 = 2 and free"))
 
 
-@query(f"""{_REACH}, n as (select b.venue, b.k, i, j, sqrt(power(greatest(b.x0 - cx, 0, cx - b.x1), 2) + power(greatest(b.y0 - cy, 0, cy - b.y1), 2)) as d
-  from blocks b join walled c on c.venue = b.venue and c.free and cx between b.x0 - 4 and b.x1 + 4 and cy between b.y0 - 4 and b.y1 + 4),
-a as (select * from (select *, row_number() over (partition by venue, k order by d, j, i) as n from n where d < 4) where n = 1)
-select b.venue, b.k, case when a.i is null then 'no access' else 'unreached' end as why from blocks b left join a on a.venue = b.venue and a.k = b.k
-where a.i is null or not exists (select 1 from r where r.venue = a.venue and r.i = a.i and r.j = a.j)""")
+@query()
 def isolated_blocks(spark, sf_dir):
     """Blocks without an access cell, or whose access cell no door reaches."""
     w = grid.stored(walled(spark, sf_dir), "walled")
@@ -122,7 +111,7 @@ def cell_set_ops(spark, sf_dir):
     return count("union", a.union(b).distinct()).union(count("intersect", a.intersect(b))).union(count("difference", a.subtract(b)))
 
 
-@query(f"""with {CELLS_SQL}, p as (select o_orderkey as id, (o_custkey * 7 % {WIDTH})::int as ai, (o_custkey * 3 % {HEIGHT})::int as aj, (o_orderkey * 5 % {WIDTH})::int as bi, (o_orderkey % {HEIGHT})::int as bj from orders where o_orderkey % 8 = 0),
+@query(f"""with {CELLS_SQL}, p as (select o_orderkey as id, (o_custkey * 7 % {WIDTH})::int as ai, (o_custkey * 3 % {HEIGHT})::int as aj, (o_orderkey * 5 % {WIDTH})::int as bi, (o_custkey * 3 % {HEIGHT} + o_orderkey % 5)::int as bj from orders),
 n as (select *, greatest(abs(bi - ai), abs(bj - aj)) as n from p),
 s as (select id, unnest(range(0, n + 1)) as k, n, ai, aj, bi, bj from n),
 q as (select id, floor(ai + (bi - ai) * (k::double / greatest(n, 1)) + 0.5)::int as i, floor(aj + (bj - aj) * (k::double / greatest(n, 1)) + 0.5)::int as j from s)
@@ -131,5 +120,5 @@ def line_of_sight(spark, sf_dir):
     """Whether a straight walk between two cells stays on free ones."""
     from atrium.operators.routing import visible
 
-    rows = venue.table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0").selectExpr("o_orderkey as id", "0L as venue", f"cast(o_custkey * 7 % {WIDTH} as int) as ai", f"cast(o_custkey * 3 % {HEIGHT} as int) as aj", f"cast(o_orderkey * 5 % {WIDTH} as int) as bi", f"cast(o_orderkey % {HEIGHT} as int) as bj")
+    rows = venue.table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "0L as venue", f"cast(o_custkey * 7 % {WIDTH} as int) as ai", f"cast(o_custkey * 3 % {HEIGHT} as int) as aj", f"cast(o_orderkey * 5 % {WIDTH} as int) as bi", f"cast(o_custkey * 3 % {HEIGHT} + o_orderkey % 5 as int) as bj")
     return visible(rows, cells(spark, sf_dir)).select("id", "visible", "samples")

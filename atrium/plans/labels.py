@@ -47,21 +47,21 @@ def names_inside_shapes(spark, sf_dir):
     return lab.names_inside(shapes(spark, sf_dir), labels, by=("y", "x"))
 
 
-@query(f"""with {STANDS_SQL}, {DOORS_SQL}, p as (select door as ord, x as px, y as py from doors),
-l as (select k as label_id, name as txt, x0 - 1 as x, y1 + 1.5 as y from stands where venue = 0 and col < 2),
-m as (select ord, px, py, txt, sqrt((x - px) * (x - px) + (y - py) * (y - py)) as d, label_id from p, l),
+@query(f"""with {STANDS_SQL}, {DOORS_SQL}, p as (select door as ord, 0 as venue, x as px, y as py from doors),
+l as (select venue, k as label_id, name as txt, x0 - 1 as x, y1 + 1.5 as y from stands),
+m as (select ord, px, py, txt, sqrt((x - px) * (x - px) + (y - py) * (y - py)) as d, label_id from p join l on l.venue = p.venue),
 b as (select ord, txt, d, row_number() over (partition by ord order by d, label_id) as n from m where d < 8)
 select p.ord, txt as name, round(d, 6) as distance from p left join b on b.ord = p.ord and n = 1""")
 def poi_nearest_label(spark, sf_dir):
     """The nearest label within 8 m of each door."""
     points = venue.doors(spark, sf_dir).selectExpr("0L as venue", "door as ord", "x as px", "y as py")
-    labels = venue.stands(spark, sf_dir).where("venue = 0 and col < 2").selectExpr("venue", "k as label_id", "name as txt", "x0 - 1 as x", "y1 + 1.5D as y")
+    labels = venue.stands(spark, sf_dir).selectExpr("venue", "k as label_id", "name as txt", "x0 - 1 as x", "y1 + 1.5D as y")
     return lab.nearest_label(points, labels).select("ord", "name", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""with {STANDS_SQL} select venue, k, 'TL' || lpad((row_number() over (partition by venue order by round_even((y0 + 3) / 2, 0), x0 + 3, k))::varchar, 2, '0') as booth from stands where "row" % 100 < 4""")
+@query(f"""with {STANDS_SQL} select venue, k, printf('TL%02d', row_number() over (partition by venue order by round_even((y0 + 3) / 2, 0), x0 + 3, k)) as booth from stands""")
 def booth_numbering(spark, sf_dir):
-    rows = venue.stands(spark, sf_dir).where("row % 100 < 4").selectExpr("venue", "k", "ord", "x0 + 3 as cx", "y0 + 3 as cy")
+    rows = venue.stands(spark, sf_dir).selectExpr("venue", "k", "ord", "x0 + 3 as cx", "y0 + 3 as cy")
     return lab.number_booths(rows).select("venue", "k", "booth")
 
 

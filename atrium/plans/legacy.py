@@ -51,7 +51,7 @@ def legacy_row_adoption(spark, sf_dir):
     return pairs.groupBy("venue", "k").agg(F.min(F.struct("d", "rk")).alias("m")).select("venue", "k", "m.rk", "m.d")
 
 
-_TOKENS = """raw as (select doc_id as line, [x for x in regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+') if x <> ''] as ws from documents where doc_id < 400 and n_chars < 3000),
+_TOKENS = """raw as (select doc_id as line, [x for x in regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+') if x <> ''] as ws from documents),
 tok as (select line, unnest(range(1, len(ws) + 1)) as ord, unnest(ws) as w from raw), pos as (select line, ord, w, ord * 40 + length(w) % 9 * (ord % 4) as x0 from tok),
 tokens as (select line, ord, w, x0::double as x0, (x0 + 12 + length(w))::double as x1 from pos)"""
 
@@ -61,8 +61,8 @@ f as (select *, case when space is null or space > 40 or length(w) <= 2 and spac
 g as (select line, entry, string_agg(w, ' ' order by x0, ord) as name from e group by line, entry)
 select line, max(entry)::bigint as entries, min(name) as first_name, count(distinct name) as names from g group by line""")
 def legacy_directory_sessionise(spark, sf_dir):
-    """Directory lines to entries: a code after a gap opens one, a wide gap ends it. The fixture is short lines."""
-    docs = venue.table(spark, sf_dir, "documents").where("doc_id < 400 and n_chars < 3000")
+    """Directory lines to entries: a code after a gap opens one, a wide gap ends it."""
+    docs = venue.table(spark, sf_dir, "documents")
     tok = docs.select(F.col("doc_id").alias("line"), F.posexplode(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("p", "w")).selectExpr("line", "cast(p + 1 as long) as ord", "w")
     tok = tok.selectExpr("line", "ord", "w", "cast(ord * 40 + length(w) % 9 * (ord % 4) as double) as x0").selectExpr("*", "x0 + 12 + length(w) as x1")
     e = legacy.sessionise(tok, (F.length("w") <= 2) & (F.col("space") > 15), 40.0)
@@ -104,7 +104,7 @@ def legacy_column_pack(spark, sf_dir):
     return legacy.pack_columns(rows).groupBy("block").agg(F.max("column").alias("last_column"), F.count("*").alias("n"))
 
 
-_STREETS = """streets as (select "row", k as ord, (y1 + 2)::double as y, x0, x1 + case when col % 5 = 4 then 0.0 else 0.5 end as x1 from stands where "row" < 100)"""
+_STREETS = """streets as (select "row", k as ord, (y1 + 2)::double as y, x0, x1 + case when col % 5 = 4 then 0.0 else 0.5 end as x1 from stands)"""
 
 
 @query(f"""with {STANDS_SQL}, {_STREETS}, g as (select *, max(x1) over (partition by "row" order by x0, ord rows between unbounded preceding and 1 preceding) as reach from streets),
@@ -114,7 +114,7 @@ c as (select a."row", a.x, b.x as bx, row_number() over (partition by a."row", a
 select (select count(*) from n) as nodes, (select count(*) from s) + (select count(*) from c where r = 1) as edges""")
 def legacy_corridor_graph(spark, sf_dir):
     """Nodes and undirected edges of the street graph."""
-    s = venue.stands(spark, sf_dir).where("row < 100").selectExpr("row", "k as ord", "y1 + 2 as y", "x0", "x1 + case when col % 5 = 4 then 0D else 0.5D end as x1")
+    s = venue.stands(spark, sf_dir).selectExpr("row", "k as ord", "y1 + 2 as y", "x0", "x1 + case when col % 5 = 4 then 0D else 0.5D end as x1")
     nodes, edges = legacy.corridor_graph(s)
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
 
@@ -194,15 +194,15 @@ def legacy_edge_snap(spark, sf_dir):
     return rows.selectExpr("k", f"case when {fine} then l0 else round(a, 6) end as x0", f"case when {fine} then l1 else round(b, 6) end as x1")
 
 
-@query(f"""with {STANDS_SQL}, b as (select "row" as band, min(y0) as lo, max(y1) as hi from stands where "row" < 100 group by "row"), p as (select k, y0 + (k % 14) as cy from stands where "row" < 100),
-m as (select k, band, row_number() over (partition by k order by band) as n from p join b on cy between lo - 3 and hi + 3)
+@query(f"""with {STANDS_SQL}, b as (select venue, "row" as band, min(y0) as lo, max(y1) as hi from stands group by venue, "row"), p as (select venue, k, y0 + (k % 14) as cy from stands),
+m as (select k, band, row_number() over (partition by k order by band) as n from p join b on b.venue = p.venue and cy between lo - 3 and hi + 3)
 select p.k, m.band from p left join m on m.k = p.k and n = 1""")
 def legacy_band_lookup(spark, sf_dir):
     """The first band whose range, three wider on both sides, holds a height."""
-    s = venue.stands(spark, sf_dir).where("row < 100")
-    bands = s.groupBy(F.col("row").alias("band")).agg(F.min("y0").alias("lo"), F.max("y1").alias("hi")).withColumn("m", F.explode(F.expr("sequence(cast(floor(lo - 3) as int), cast(ceil(hi + 3) as int))")))
-    p = s.selectExpr("k", "y0 + (k % 14) as cy").withColumn("m", F.floor("cy").cast("int"))
-    hit = p.join(bands, "m").where("cy between lo - 3 and hi + 3").groupBy("k").agg(F.min("band").alias("band"))
+    s = venue.stands(spark, sf_dir)
+    bands = s.groupBy("venue", F.col("row").alias("band")).agg(F.min("y0").alias("lo"), F.max("y1").alias("hi")).withColumn("m", F.explode(F.expr("sequence(cast(floor(lo - 3) as int), cast(ceil(hi + 3) as int))")))
+    p = s.selectExpr("venue", "k", "y0 + (k % 14) as cy").withColumn("m", F.floor("cy").cast("int"))
+    hit = p.join(bands, ["venue", "m"]).where("cy between lo - 3 and hi + 3").groupBy("k").agg(F.min("band").alias("band"))
     return p.select("k").join(hit, "k", "left")
 
 

@@ -11,7 +11,7 @@ from atrium.sources import venue
 from atrium.sources.venue import DOORS_SQL, STANDS_SQL
 
 from .features import FEATURES_SQL, features
-from .grids import CELLS_SQL, EDGES_SQL, cells
+from .grids import CELLS_SQL, cells
 from .registry import query
 
 _MODEL = """model as (select venue, k as mord, x0 + (k % 7) * 0.02 as x0, y0 as y0, x1 + (k % 7) * 0.02 as x1, y1 + case when k % 11 = 0 then 1.0 else 0 end as y1 from features where k % 19 <> 0),
@@ -109,16 +109,13 @@ def corridor_coverage(spark, sf_dir):
     return free.groupBy("margin").agg(F.round(F.avg(F.when(F.expr(band), 1.0).otherwise(0.0)), 6).alias("share"))
 
 
-@query(f"""with recursive {CELLS_SQL}, u as (select venue, i, j, free and not (j % 10 between 0 and 1 and i > 30) as free from cells), {EDGES_SQL.replace('from cells', 'from u')},
-r(venue, i, j, root) as (select venue, i, j, j * 1000 + i from f union select e.venue, e.ti, e.tj, r.root from r join edges e on e.venue = r.venue and e.i = r.i and e.j = r.j where e.tj * 1000 + e.ti > r.root),
-p as (select venue, i, j, min(root) as piece from r group by 1, 2, 3), sz as (select venue, piece, count(*) as area from p group by 1, 2)
-select venue, area, min(i) as i0, max(i) as i1, min(j) as j0, max(j) as j1 from p join sz using (venue, piece) where area >= 20 and j < 30 group by venue, piece, area""")
+@query()
 def uncovered_pieces(spark, sf_dir):
     """Connected pieces of at least 20 cells that no band covers."""
     rest = stored(cells(spark, sf_dir).withColumn("free", F.expr("free and not (j % 10 between 0 and 1 and i > 30)")), "uncovered")
     pieces = components(rest)
     size = pieces.groupBy("venue", "piece").agg(F.count("*").alias("area"))
-    rows = pieces.join(size.where("area >= 20"), ["venue", "piece"]).where("j < 30")
+    rows = pieces.join(size.where("area >= 20"), ["venue", "piece"])
     return rows.groupBy("venue", "piece", "area").agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).drop("piece")
 
 

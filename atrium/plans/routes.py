@@ -4,33 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from atrium import params
 from atrium.functions import geometry as geo
 from atrium.operators import grid, instructions, itinerary, routing
 from atrium.sources import venue
 
-from .grids import CELLS_SQL, EDGES_SQL, HEIGHT, WIDTH, cells
+from .grids import HEIGHT, WIDTH, cells
 from .registry import query
 
-_REQUESTS = """select o_orderkey as id, 0 as venue, (o_custkey * 7 % 140)::int as ai, (10 * (o_custkey % 4) + 11)::int as aj, (o_orderkey * 5 % 140)::int as bi, (10 * (o_orderkey % 4) + 12)::int as bj from orders where o_orderkey < 40"""
-_COSTS = f"""{CELLS_SQL}, {EDGES_SQL}, near as (select c.venue, c.i, c.j, a, b from cells c, range(-6, 7) x(a), range(-6, 7) y(b) where c.free and c.venue = 0),
-clear as (select n.i, n.j, least(6.0, min(case when t.free is distinct from true then greatest(abs(a), abs(b)) + (sqrt(2.0) - 1) * least(abs(a), abs(b)) else 6.0 end)) as c from near n left join cells t on t.venue = n.venue and t.i = n.i + a and t.j = n.j + b group by 1, 2),
-ce as materialized (select e.i, e.j, e.ti, e.tj, e.length * (1 + 0.35 * (1 - least(1.0, c / 3.0))) as w from edges e join clear on clear.i = e.ti and clear.j = e.tj where e.venue = 0),
-req as ({_REQUESTS})"""
-_WALK = """r(id, i, j, d) using key (id, i, j) as (select id, {i}, {j}, 0.0::double from {seed} union
-  select n.id, n.i, n.j, n.d from (select r.id, e.ti as i, e.tj as j, min(r.d + e.w) as d from r join ce e on e.i = r.i and e.j = r.j group by 1, 2, 3) n
-  left join recurring.r o on o.id = n.id and o.i = n.i and o.j = n.j where o.d is null or n.d < o.d - 1e-12)"""
-
-
 def requests(spark, sf_dir):
-    rows = venue.table(spark, sf_dir, "orders").where("o_orderkey < 40")
-    return rows.selectExpr("o_orderkey as id", "0L as venue", "cast(o_custkey * 7 % 140 as int) as ai", "cast(10 * (o_custkey % 4) + 11 as int) as aj", "cast(o_orderkey * 5 % 140 as int) as bi", "cast(10 * (o_orderkey % 4) + 12 as int) as bj")
+    """One walk a supplier, from the west wall to a place a few rows on."""
+    rows = venue.table(spark, sf_dir, "supplier")
+    return rows.selectExpr("s_suppkey as id", "0L as venue", "1 as ai", "cast(10 * (s_suppkey % 5) + 11 as int) as aj", "cast(s_suppkey * 37 % 140 as int) as bi", "cast(10 * (s_suppkey % 4 + s_suppkey % 3) + 12 as int) as bj")
 
 
 def routed_cells(spark, sf_dir):
-    return grid.stored(grid.clearance(cells(spark, sf_dir).where("venue = 0")), "clearance")
+    """The grid with clearance, of the venues that walks are asked for."""
+    asked = requests(spark, sf_dir).select("venue").distinct()
+    return grid.stored(grid.clearance(cells(spark, sf_dir).join(asked, "venue", "left_semi")), "clearance")
 
 
-@query(f"with recursive {_COSTS}, {_WALK.format(i='ai', j='aj', seed='req')} select q.id, round(r.d, 6) as cost from req q left join r on r.id = q.id and r.i = q.bi and r.j = q.bj")
+@query()
 def route_cost(spark, sf_dir):
     """True least cost of each requested route."""
     found = routing.routes(requests(spark, sf_dir), routed_cells(spark, sf_dir), WIDTH, HEIGHT)
@@ -44,17 +38,18 @@ def route_path_metres(spark, sf_dir):
     return found.select("id", F.round("metres", 3).alias("metres"), F.size("cells").alias("corners"))
 
 
-_DOORS = "select s_suppkey as door, 1 as ai, (10 * (s_suppkey % 4) + 11)::int as aj from supplier where s_suppkey < 4"
+def nations_and_regions(spark, sf_dir):
+    """Destinations, one a nation, and doors, one a region."""
+    dest = venue.table(spark, sf_dir, "nation").selectExpr("0L as venue", "cast(n_nationkey as long) as dest", "cast(n_nationkey * 37 % 140 as int) as bi", "cast(10 * (n_nationkey % 7) + 12 as int) as bj")
+    doors = venue.table(spark, sf_dir, "region").selectExpr("0L as venue", "cast(r_regionkey as long) as door", "1 as ai", "cast(10 * r_regionkey + 11 as int) as aj")
+    return dest, doors
 
 
-@query(f"""with recursive {_COSTS}, dr as ({_DOORS}), pairs as (select q.id as dest, door, dr.ai, dr.aj, q.bi, q.bj, q.id * 10 + door as id from req q, dr),
-{_WALK.format(i='ai', j='aj', seed='pairs')}, c as (select dest, door, r.d, row_number() over (partition by dest order by round(r.d, 6), door) as n from pairs p join r on r.id = p.id and r.i = p.bi and r.j = p.bj)
-select dest, round(min(d), 6) as cost from c group by dest""")
+@query()
 def nearest_door(spark, sf_dir):
     """The cheapest way in to each destination, over all doors."""
-    doors = venue.table(spark, sf_dir, "supplier").where("s_suppkey < 4").selectExpr("0L as venue", "s_suppkey as door", "1 as ai", "cast(10 * (s_suppkey % 4) + 11 as int) as aj")
-    dest = requests(spark, sf_dir).selectExpr("venue", "id as dest", "bi", "bj")
-    pairs = dest.join(doors, "venue").withColumn("id", F.expr("dest * 10 + door"))
+    dest, doors = nations_and_regions(spark, sf_dir)
+    pairs = dest.join(doors, "venue").withColumn("id", F.expr("dest * 1000 + door"))
     found = routing.routes(pairs, routed_cells(spark, sf_dir), WIDTH, HEIGHT).where("cost is not null")
     return found.groupBy("dest").agg(F.round(F.min("cost"), 6).alias("cost"))
 
@@ -62,8 +57,7 @@ def nearest_door(spark, sf_dir):
 @query()
 def best_door_by_metres(spark, sf_dir):
     """The door with the shortest simplified route."""
-    doors = venue.table(spark, sf_dir, "supplier").where("s_suppkey < 4").selectExpr("0L as venue", "s_suppkey as door", "1 as ai", "cast(10 * (s_suppkey % 4) + 11 as int) as aj")
-    dest = requests(spark, sf_dir).selectExpr("venue", "id as dest", "bi", "bj")
+    dest, doors = nations_and_regions(spark, sf_dir)
     return routing.best_door(dest, doors, routed_cells(spark, sf_dir), WIDTH, HEIGHT).select("dest", "door", F.round("metres", 3).alias("metres"))
 
 
@@ -77,9 +71,9 @@ def stops(spark, sf_dir):
     return rows.selectExpr("itin", "cast(pos as int) as pos", "case when y is not null then x0 end as x", "y")
 
 
-@query(f"with {_STOPS} select itin, pos, case when pos = min(pos) over w then 'origem' when pos = max(pos) over w then 'destino' else 'parada' end as role, chr((64 + pos)::int) as letter from s where pos <= 26 window w as (partition by itin)")
+@query(f"with {_STOPS} select itin, pos, case when pos = min(pos) over w then 'origem' when pos = max(pos) over w then 'destino' else 'parada' end as role, chr((65 + (pos - 1) % 26)::int) as letter from s window w as (partition by itin)")
 def stop_roles(spark, sf_dir):
-    return itinerary.with_roles(stops(spark, sf_dir).where("pos <= 26")).select("itin", "pos", "role", "letter")
+    return itinerary.with_roles(stops(spark, sf_dir)).select("itin", "pos", "role", "letter")
 
 
 @query(f"""with {_STOPS}, l as (select itin, pos, x, y, lead(x) over w as tx, lead(y) over w as ty, lead(pos) over w as n from s window w as (partition by itin order by pos))
@@ -96,14 +90,14 @@ def itinerary_total(spark, sf_dir):
     return itinerary.totals(legs).select("itin", "legs", F.round("metres", 6).alias("metres"), "minutes")
 
 
-_SHORT = """whole as (select itin, pos, (l.pos * 0 + x)::double as x, y from (select l_orderkey as itin, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)::int as pos, (l_partkey * 7 % 140)::double as x, (l_partkey * 3 % 97)::double as y from lineitem where l_orderkey % 10 = 0) l),
-few as (select * from whole where itin in (select itin from whole group by itin having count(*) between 4 and 6))"""
+_SHORT = """whole as (select itin, pos, (l.pos * 0 + x)::double as x, y from (select l_orderkey as itin, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)::int as pos, (l_partkey * 7 % 140)::double as x, (l_partkey * 3 % 97)::double as y from lineitem) l),
+few as (select * from whole where itin in (select itin from whole group by itin having count(*) between 4 and 8))"""
 
 
 def short_itineraries(spark, sf_dir):
-    """Every tenth order, those of 4 to 6 lines: the fixture of the order searches."""
-    rows = venue.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").selectExpr("l_orderkey as itin", "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as pos", "cast(l_partkey * 7 % 140 as double) as x", "cast(l_partkey * 3 % 97 as double) as y")
-    return rows.selectExpr("*", "count(*) over (partition by itin) as n").where("n between 4 and 6").drop("n")
+    """Orders of 4 lines, from which an order can be better, to as many as an itinerary holds."""
+    rows = venue.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as itin", "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as pos", "cast(l_partkey * 7 % 140 as double) as x", "cast(l_partkey * 3 % 97 as double) as y")
+    return rows.selectExpr("*", "count(*) over (partition by itin) as n").where(f"n between 4 and {params.MAX_STOPS}").drop("n")
 
 
 @query(f"""with recursive {_SHORT}, e as (select itin, min(pos) as a, max(pos) as b from few group by itin),
@@ -117,20 +111,20 @@ def best_order_exhaustive(spark, sf_dir):
 
 @query()
 def best_order_2opt(spark, sf_dir):
-    """2-opt orders of the longer itineraries and whether the gain is worth a change."""
-    rows = stops(spark, sf_dir).where("x is not null and pos <= 12")
+    """2-opt orders of the itineraries and whether the gain is worth a change."""
+    rows = short_itineraries(spark, sf_dir)
     now = rows.groupBy("itin").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p")).select("itin", geo.path_length("p").alias("metres"))
-    found = itinerary.two_opt(rows.where("itin % 20 = 0"))
+    found = itinerary.two_opt(rows)
     return itinerary.accept(now, found).select("itin", F.size("route").alias("stops"), F.round("metres", 3).alias("metres"), "accepted")
 
 
 #: Streets between the rows of stands, and the gaps between their blocks.
-_WAYS = f"""ways as (select 0 as venue, r + 1 as ord, 'Rua ' || chr((65 + r)::int) as name, false as derived, 0.0::double as ax, (11.5 + 10 * r)::double as ay, 139.0::double as bx, (11.5 + 10 * r)::double as "by", 4.0::double as width from range(4) t(r)
+_WAYS = f"""ways as (select 0 as venue, r + 1 as ord, 'Rua ' || chr((65 + r % 26)::int) || (r // 26) as name, false as derived, 0.0::double as ax, (11.5 + 10 * r)::double as ay, 139.0::double as bx, (11.5 + 10 * r)::double as "by", 4.0::double as width from range(100) t(r)
   union all select 0, 100 + c, 'Transversal ' || lpad((c + 1)::varchar, 2, '0'), true, (35.5 + 34 * c)::double, 0.0::double, (35.5 + 34 * c)::double, {HEIGHT - 1}.0::double, 4.0::double from range(3) u(c))"""
 
 
 def ways(spark):
-    rows = spark.sql(f"""select r + 1 as ord, concat('Rua ', chr(65 + r)) as name, false as derived, array(array(struct(0.0D as x, 11.5D + 10 * r as y), struct(139.0D as x, 11.5D + 10 * r as y))) as lines, 4.0D as width from (select id as r from range(4))
+    rows = spark.sql(f"""select r + 1 as ord, concat('Rua ', chr(65 + r % 26), r div 26) as name, false as derived, array(array(struct(0.0D as x, 11.5D + 10 * r as y), struct(139.0D as x, 11.5D + 10 * r as y))) as lines, 4.0D as width from (select id as r from range(100))
       union all select 100 + c, concat('Transversal ', lpad(cast(c + 1 as string), 2, '0')), true, array(array(struct(35.5D + 34 * c as x, 0.0D as y), struct(35.5D + 34 * c as x, {HEIGHT - 1}.0D as y))), cast(null as double) from (select id as c from range(3))""")
     return instructions.ways_in_cells(rows, lambda x, y: (F.col(x), F.col(y))).withColumn("venue", F.lit(0).cast("long"))
 
@@ -140,11 +134,11 @@ def ways_in_cells(spark, sf_dir):
     return ways(spark).select("ord", "name", "derived", "ax", "ay", "bx", "by", "width")
 
 
-_LEGS = """legs as (select o_orderkey as leg, 0 as venue, (o_custkey * 7 % 140)::double as pi, (10 * (o_custkey % 4) + 11 + o_custkey % 3)::double as pj, (case when o_orderkey % 2 = 0 then o_orderkey * 5 % 140 else o_custkey * 7 % 140 + 1 end)::double as qi, (case when o_orderkey % 2 = 0 then 10 * (o_custkey % 4) + 12 else o_orderkey % 44 end)::double as qj from orders where o_orderkey < 2000)"""
+_LEGS = """legs as (select o_orderkey as leg, 0 as venue, (o_custkey * 7 % 140)::double as pi, (10 * (o_custkey % 4) + 11 + o_custkey % 3)::double as pj, (case when o_orderkey % 2 = 0 then o_orderkey * 5 % 140 else o_custkey * 7 % 140 + 1 end)::double as qi, (case when o_orderkey % 2 = 0 then 10 * (o_custkey % 4) + 12 else o_orderkey % 44 end)::double as qj from orders)"""
 
 
 def legs(spark, sf_dir):
-    rows = venue.table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    rows = venue.table(spark, sf_dir, "orders")
     return rows.selectExpr("o_orderkey as leg", "0L as venue", "cast(o_custkey * 7 % 140 as double) as pi", "cast(10 * (o_custkey % 4) + 11 + o_custkey % 3 as double) as pj", "cast(case when o_orderkey % 2 = 0 then o_orderkey * 5 % 140 else o_custkey * 7 % 140 + 1 end as double) as qi", "cast(case when o_orderkey % 2 = 0 then 10 * (o_custkey % 4) + 12 else o_orderkey % 44 end as double) as qj")
 
 

@@ -112,3 +112,34 @@ def test_session_stream(spark, tmp_path):
     q.stop()
     batch, live = session_counts(events), spark.table("sessions")
     assert live.exceptAll(batch).isEmpty() and live.count() > 0
+
+
+def test_reachability_and_pieces(spark):
+    import random
+
+    from atrium.operators.grid import components, reachable
+
+    rng = random.Random(6)
+    free = {(i, j): rng.random() > 0.45 for i in range(18) for j in range(15)}
+    cells = spark.createDataFrame([(0, i, j, f) for (i, j), f in free.items()], "venue long, i int, j int, free boolean")
+    ok = lambda i, j: free.get((i, j), False)
+
+    def flood(start):
+        seen, todo = {start}, [start]
+        while todo:
+            i, j = todo.pop()
+            for a in (-1, 0, 1):
+                for b in (-1, 0, 1):
+                    t = (i + a, j + b)
+                    if t not in seen and ok(*t) and (not (a and b) or ok(i + a, j) and ok(i, j + b)):
+                        seen.add(t)
+                        todo.append(t)
+        return frozenset(seen)
+
+    pieces = {}
+    for r in components(cells).collect():
+        pieces.setdefault(r["piece"], set()).add((r["i"], r["j"]))
+    assert {frozenset(p) for p in pieces.values()} == {flood(c) for c, f in free.items() if f}
+    seed = next(c for c, f in free.items() if f)
+    got = reachable(cells, spark.createDataFrame([(0, *seed)], "venue long, i int, j int"))
+    assert {(r["i"], r["j"]) for r in got.collect()} == flood(seed)
