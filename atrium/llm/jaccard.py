@@ -30,8 +30,8 @@ DOCS_PER_BUCKET, MIN_BUCKETS = 4000, 256
 TILE, CENTRE_PART = 512, 400
 #: Lists of up to so many documents give their open pairs by a join, longer ones tile by tile.
 FEW = 48
-#: Hash groups of the sketches that rule pairs out.
-GROUPS = 256
+#: Elements in each hash group of the sketches that rule pairs out; pairs of a tile that are ruled on at once.
+PER_GROUP, PAIRS = 4, 20000
 
 
 def largest_partner(size: np.ndarray) -> np.ndarray:
@@ -114,17 +114,32 @@ MET = "list_id long, block long, nth int, doc_id long, size long, h1 long, h2 lo
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """How many elements fall in each of GROUPS hash groups, 255 for that many or more."""
-    counts = np.bincount((mixed(elements ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    """How many elements fall in each hash group, 255 for that many or more.
+
+    A power of two of groups, with about PER_GROUP elements each: a longer sketch folds to a shorter.
+    """
+    groups = 1 << max(6, int(len(elements) // PER_GROUP).bit_length())
+    counts = np.bincount((mixed(elements ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def may_be_similar(n: np.ndarray, m: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """False only for pairs of sets of n and m elements, rows s and t of sketches, that can't be similar:
+def folded(sketches: np.ndarray, groups: int) -> np.ndarray:
+    return sketches.reshape(len(sketches), -1, groups).sum(axis=1, dtype=np.int32)
+
+
+def may_be_similar(n, m, s: list[bytes], t: list[bytes]) -> np.ndarray:
+    """False only for pairs of sets of n and m elements, with sketches s and t, that can't be similar:
     the lesser counts add up to a bound on the intersection. Full groups bound nothing."""
-    common = np.minimum(np.minimum(s, t).sum(axis=-1, dtype=np.int64), np.minimum(n, m))
-    common = np.where((s == 255).any(axis=-1) | (t == 255).any(axis=-1), np.minimum(n, m), common)
-    return DEN * common >= NUM * (n + m - common)
+    n, m = np.asarray(n, dtype=np.int64), np.asarray(m, dtype=np.int64)
+    bound = np.minimum(n, m)
+    lengths = pd.DataFrame({"s": [len(x) for x in s], "t": [len(x) for x in t]})
+    for (p, q), own in lengths.groupby(["s", "t"]).indices.items():
+        a = np.frombuffer(b"".join([s[i] for i in own]), dtype=np.uint8).reshape(-1, p)
+        b = np.frombuffer(b"".join([t[i] for i in own]), dtype=np.uint8).reshape(-1, q)
+        common = np.minimum(folded(a, min(p, q)), folded(b, min(p, q))).sum(axis=1, dtype=np.int64)
+        full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
+        bound[own] = np.where(full, bound[own], np.minimum(bound[own], common))
+    return DEN * bound >= NUM * (n + m - bound)
 
 
 def emit(docs: DataFrame, buckets: int) -> DataFrame:
@@ -229,8 +244,7 @@ def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     def keep(batches):
         for frame in batches:
             if len(frame):
-                s, t = (np.frombuffer(b"".join(frame[c]), dtype=np.uint8).reshape(-1, GROUPS) for c in ("sa", "sb"))
-                yield frame.loc[may_be_similar(frame["na"].to_numpy(), frame["nb"].to_numpy(), s, t), ["a", "b"]]
+                yield frame.loc[may_be_similar(frame["na"], frame["nb"], frame["sa"].tolist(), frame["sb"].tolist()), ["a", "b"]]
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(keep, "a long, b long")
 
@@ -256,12 +270,18 @@ def rest_pairs(lists: DataFrame, components: DataFrame, sketches: DataFrame) ->
         left, right = tile[tile["own"] == int(key[1])], tile[tile["own"] == int(key[2])]
         out = []
         if len(left) and len(right):
-            t = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint8).reshape(-1, GROUPS)
-            n, comp, ids = (right[c].to_numpy() for c in ("size", "component", "doc_id"))
-            for doc, own, size, s in zip(left["doc_id"], left["component"], left["size"], left["sketch"]):
-                near = np.flatnonzero((comp != own) & (DEN * np.minimum(n, size) >= NUM * np.maximum(n, size)))
-                near = near[may_be_similar(n[near], np.int64(size), t[near], np.frombuffer(s, dtype=np.uint8)[None])]
-                out.append(pd.DataFrame({"a": np.minimum(ids[near], doc), "b": np.maximum(ids[near], doc)}))
+            # The pairs of sizes that fit, then one bound for all of them.
+            n, m = left["size"].to_numpy(), right["size"].to_numpy()
+            i, j = np.nonzero((DEN * np.minimum(n[:, None], m) >= NUM * np.maximum(n[:, None], m)) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()))
+            x, y, s, t = left["doc_id"].to_numpy(), right["doc_id"].to_numpy(), left["sketch"].tolist(), right["sketch"].tolist()
+            if int(key[1]) == int(key[2]):
+                half = x[i] < y[j]
+                i, j = i[half], j[half]
+            for at in range(0, len(i), PAIRS):
+                u, v = i[at : at + PAIRS], j[at : at + PAIRS]
+                fine = may_be_similar(n[u], m[v], [s[k] for k in u], [t[k] for k in v])
+                u, v = u[fine], v[fine]
+                out.append(pd.DataFrame({"a": np.minimum(x[u], y[v]), "b": np.maximum(x[u], y[v])}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
 
     return plausible(small, sketches).union(tiled.groupBy("list_id", "p", "q").applyInPandas(cross, "a long, b long")).distinct()
