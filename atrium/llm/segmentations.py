@@ -34,14 +34,23 @@ MARK = "▁"
 SALT = [np.uint64(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
-def uniform(seed, *counters) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the seed and the counters alone."""
+def state(seed, *counters, first: int = 0) -> np.ndarray:
+    """64 random bits that depend on the seed and the counters alone; ``first``: counters the seed holds already."""
     x = np.atleast_1d(np.asarray(seed, dtype=np.uint64))
-    for salt, c in zip(SALT, counters):
+    for salt, c in zip(SALT[first:], counters):
         x = mixed(x ^ (np.atleast_1d(np.asarray(c)).astype(np.uint64) + np.uint64(1)) * salt)
+    return x
+
+
+def unit_interval(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def uniform(seed, *counters) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the seed and the counters alone."""
+    return unit_interval(state(seed, *counters))
+
+
 class Vocabulary:
     """Pieces, their weights and a table of all their prefixes.
 
@@ -156,8 +165,9 @@ class Lattices:
         """A segmentation of each occurrence of a unit: (edges, occurrence of each edge, log probability)."""
         node, alive, step = self.starts[unit].copy(), np.arange(len(unit)), 0
         total, edges, owner = np.zeros(len(unit)), [], []
+        begun = state(seed, path, nth)  # the same for every step of an occurrence
         while len(alive):
-            u = uniform(seed[alive], np.full(len(alive), path), nth[alive], np.full(len(alive), step))
+            u = unit_interval(state(begun[alive], step, first=2))
             e, stop = self.first[node], self.first[node + 1] - 1
             more = np.flatnonzero((self.upto[e] < u) & (e < stop))
             while len(more):
@@ -260,10 +270,18 @@ def log_inclusion(log_p: float, threshold: float) -> float:
     return d if d < -30 else float(np.log(-np.expm1(-np.exp(min(d, 700.0)))))
 
 
+class Numbers(dict):
+    """Numbers distinct units in the order in which they are asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        found = self[unit] = len(self)
+        return found
+
+
 def encode_texts(vocabulary: Vocabulary, keys: list, texts: list, k: int) -> list[list[tuple]]:
     """Per text: (ids, log probability, log inclusion) of each of its at most k distinct samples."""
-    index: dict[str, int] = {}
-    chains = [np.array([index.setdefault(u, len(index)) for u in vocabulary.split(t or "")], dtype=np.int64) for t in texts]
+    index = Numbers()
+    chains = [np.fromiter(map(index.__getitem__, vocabulary.split(t or "")), dtype=np.int64) for t in texts]
     lattices = Lattices(vocabulary, list(index))
     sizes = np.array([len(c) for c in chains], dtype=np.int64)
     stops = np.cumsum(sizes)
