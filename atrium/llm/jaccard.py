@@ -31,7 +31,7 @@ TILE, CENTRE_PART = 512, 400
 #: Lists of up to so many documents give their open pairs by a join, longer ones tile by tile.
 FEW = 48
 #: Elements in each hash group of the sketches that rule pairs out; pairs of a tile that are ruled on at once.
-PER_GROUP, PAIRS = 4, 20000
+PER_GROUP, SHORTEST, PAIRS = 4, 64, 20000
 
 
 def largest_partner(size: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def sketch(elements: np.ndarray) -> bytes:
 
     A power of two of groups, with about PER_GROUP elements each: a longer sketch folds to a shorter.
     """
-    groups = 1 << max(6, int(len(elements) // PER_GROUP).bit_length())
+    groups = max(SHORTEST, 1 << int(len(elements) // PER_GROUP).bit_length())
     counts = np.bincount((mixed(elements ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -142,6 +142,16 @@ def may_be_similar(n, m, s: list[bytes], t: list[bytes]) -> np.ndarray:
     return DEN * bound >= NUM * (n + m - bound)
 
 
+def shortest_bound(n: np.ndarray, m: np.ndarray, s: list[bytes], t: list[bytes]) -> np.ndarray:
+    """may_be_similar for all pairs of two short lists, on sketches folded to SHORTEST groups."""
+    a, b = (np.concatenate([folded(np.frombuffer(x, dtype=np.uint8)[None], SHORTEST) for x in side]) for side in (s, t))
+    common = np.zeros((len(s), len(t)), dtype=np.int32)
+    for g in range(SHORTEST):
+        common += np.minimum(a[:, g, None], b[:, g])
+    full = np.array([255 in x for x in s])[:, None] | np.array([255 in x for x in t])
+    return full | (DEN * common >= NUM * (n[:, None] + m - common))
+
+
 def emit(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows of two kinds: one for each document, and a block's packed postings for each bucket.
 
@@ -270,10 +280,12 @@ def rest_pairs(lists: DataFrame, components: DataFrame, sketches: DataFrame) ->
         left, right = tile[tile["own"] == int(key[1])], tile[tile["own"] == int(key[2])]
         out = []
         if len(left) and len(right):
-            # The pairs of sizes that fit, then one bound for all of them.
+            # The pairs of sizes and shortest sketches that fit, then the full bound for those.
             n, m = left["size"].to_numpy(), right["size"].to_numpy()
             i, j = np.nonzero((DEN * np.minimum(n[:, None], m) >= NUM * np.maximum(n[:, None], m)) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()))
             x, y, s, t = left["doc_id"].to_numpy(), right["doc_id"].to_numpy(), left["sketch"].tolist(), right["sketch"].tolist()
+            near = shortest_bound(n, m, s, t)[i, j]
+            i, j = i[near], j[near]
             if int(key[1]) == int(key[2]):
                 half = x[i] < y[j]
                 i, j = i[half], j[half]
