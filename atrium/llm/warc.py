@@ -48,7 +48,7 @@ def plan_records(pages: DataFrame, revisit_from: int = REVISIT_FROM_BYTES) -> Da
     slim = slim.select("*", F.pmod(F.xxhash64("page_key"), F.lit(SALTS)).cast("int").alias("salt"))
     origin = slim.join(first, ["digest", "salt"]).select("page_key", "digest", "origin").distinct()
     out = keyed.join(origin, ["page_key", "digest"], "left")
-    nth = F.expr("row_number() over (partition by page_key order by digest, url)")
+    nth = F.expr("row_number() over (partition by page_key, digest order by url)")
     out = out.select("*", nth.alias("nth")).withColumn("revisit", F.coalesce(F.col("origin") != F.col("page_id"), F.col("origin").isNotNull()))
     # The response's own row is the first with its page_key and digest; its identifier needs no position.
     own = _uuid(F.lit("response"), F.coalesce("origin", F.col("page_key")).cast("string"), F.col("digest"), F.when(F.col("origin").isNull(), F.col("nth")).otherwise(0).cast("string"))
@@ -56,8 +56,8 @@ def plan_records(pages: DataFrame, revisit_from: int = REVISIT_FROM_BYTES) -> Da
         "page_id", "page_key", "url", "html", "digest", "bytes", "revisit",
         F.when(F.col("revisit"), own).alias("refers_to"),
         F.when(F.col("origin").isNull(), own)
-        .when(F.col("revisit"), _uuid(F.lit("revisit"), F.col("page_key"), F.col("nth").cast("string")))
-        .otherwise(F.when(F.col("nth") == 1, own).otherwise(_uuid(F.lit("again"), F.col("page_key"), F.col("nth").cast("string"))))
+        .when(F.col("revisit"), _uuid(F.lit("revisit"), F.col("page_key"), F.col("digest"), F.col("nth").cast("string")))
+        .otherwise(F.when(F.col("nth") == 1, own).otherwise(_uuid(F.lit("again"), F.col("page_key"), F.col("digest"), F.col("nth").cast("string"))))
         .alias("record_id"),
         F.col("nth").cast("string").alias("nth"),
     )
@@ -159,7 +159,10 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
 
 
 def page_captures(pages: DataFrame, path: str) -> DataFrame:
-    """Write ``pages`` as archives under ``path``, read them, and describe each page's record."""
+    """Write ``pages`` as archives under ``path``, read them, and describe each page's record.
+
+    A revisit whose response isn't in the archives stays, with null for what the response would tell.
+    """
     spark = pages.sparkSession
     write_warc(plan_records(pages), path)
     records = materialise(read_warc(spark, path, with_payload=False), "warc-records")  # parsed once
@@ -172,7 +175,7 @@ def page_captures(pages: DataFrame, path: str) -> DataFrame:
     )
     rows = materialise(rows, "warc-captures")
     stored = rows.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"), "own_bytes", "own_digest")
-    again = rows.where("record_type = 'revisit'").drop("own_bytes", "own_digest").join(stored, "target")
+    again = rows.where("record_type = 'revisit'").drop("own_bytes", "own_digest").join(stored, "target", "left")
     first = rows.where("record_type = 'response'").select("page_id", "record_type", F.lit(None).cast("long").alias("refers_to"), "own_bytes", "own_digest", "n_requests")
     out = first.unionByName(again.select(*first.columns))
     return out.select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to", "n_requests")

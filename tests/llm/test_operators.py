@@ -80,6 +80,15 @@ def test_warc_round_trip(spark):
     assert sorted(out, key=key) == sorted(want, key=key)
 
 
+def test_warc_page_of_two_payloads(spark):
+    hot = "x" * 1200
+    other = next(h for h in (c * 1500 for c in "abcdefghijk") if hashlib.sha1(h.encode()).hexdigest() < hashlib.sha1(hot.encode()).hexdigest())
+    rows = [(9, "http://a", other), (9, "http://a", hot), (1, "http://b", hot), (2, "http://c", hot), (3, "http://d", other)]
+    out = warc.page_captures(spark.createDataFrame(rows, "page_id long, url string, html string"), fresh_path(spark, "w"))
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0, r["n_requests"]) for r in out.collect())
+    assert got == [(1, 1200, "revisit", 9, 1), (2, 1200, "revisit", 9, 1), (3, 1500, "revisit", 9, 1), (9, 1200, "response", 0, 1), (9, 1500, "response", 0, 1)]
+
+
 def test_warc_payload_and_orphans(spark):
     path = fresh_path(spark, "w")
     warc.write_warc(warc.plan_records(spark.createDataFrame([(1, "http://a", "hällo")], "page_id long, url string, html string")), path, records_per_file=1)
