@@ -57,13 +57,13 @@ def repair_codes(labels: DataFrame, key: str = "venue") -> DataFrame:
     """Codes broken over two labels, joined: (key, label_id, txt, joined).
 
     A tail lies at most 1.2 sizes below its head and within one size sideways, and both make a code.
-    Heads in order take their first tail that is still free; the greedy pass runs per cluster of
-    labels that can compete, found by their cell column, in a small pandas kernel.
+    Heads in order take their first tail that is still free; the greedy pass runs over the pairs of a
+    venue, in a small pandas kernel.
     """
     t = labels.select(F.col(key), F.col("label_id").alias("tail"), F.col("txt").alias("tail_txt"), F.col("x").alias("tx"), F.col("y").alias("ty"), cell_of("x", "y").alias("cell"))
     near = labels.withColumn("cell", F.explode(cells_of_box("x", "y", "x", "y", 3.0))).join(t, [key, "cell"])
     pairs = near.where("tail <> label_id and ty - y > 0 and ty - y <= 1.2 * size and abs(tx - x) <= size").where(F.concat("txt", "tail_txt").rlike(params.CODE_RE) & ~F.col("tail_txt").rlike(params.CODE_RE))
-    pairs = pairs.select(key, "label_id", "tail", F.concat("txt", "tail_txt").alias("joined"), F.floor(F.col("x") / CELL).alias("strip"))
+    pairs = pairs.select(key, "label_id", "tail", F.concat("txt", "tail_txt").alias("joined"))
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["label_id", "tail"])
@@ -76,7 +76,7 @@ def repair_codes(labels: DataFrame, key: str = "venue") -> DataFrame:
         return rows.loc[keep, [key, "label_id", "tail", "joined"]]
 
     schema = f"{key} long, label_id long, tail long, joined string"
-    done = pairs.groupBy(key, "strip").applyInPandas(greedy, schema)
+    done = pairs.groupBy(key).applyInPandas(greedy, schema)
     rest = labels.join(done.select(key, F.col("tail").alias("label_id")), [key, "label_id"], "left_anti")
     out = rest.join(done.select(key, "label_id", F.col("joined").alias("whole")), [key, "label_id"], "left")
     return out.withColumns({"joined": F.col("whole").isNotNull(), "txt": F.coalesce("whole", "txt")}).drop("whole")

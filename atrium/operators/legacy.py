@@ -75,11 +75,12 @@ def fuzzy_duplicates(areas: DataFrame, radius: float = 8.0, key: str = "venue")
 def nearest_unused(wanted: DataFrame, free: DataFrame, radius: float = 10.0, key: str = "venue") -> DataFrame:
     """(key, ord, code): each of ``wanted`` (ord, x, y) in order takes the nearest code of ``free`` (code, x, y) still unused.
 
-    The order decides, so it is a greedy kernel, over the candidate pairs of a venue's strip of cells.
+    The order decides, so it is a greedy kernel over all candidate pairs of a venue: a code that one
+    part of the venue takes is used in the others too. A venue has a fixed size.
     """
     w = wanted.withColumn("cell", F.explode(cells_of_box("x", "y", "x", "y", radius)))
     f = free.select(F.col(key), "code", F.col("x").alias("fx"), F.col("y").alias("fy"), F.explode(cells_of_box("x", "y", "x", "y")).alias("cell"))
-    pairs = w.join(f, [key, "cell"]).withColumn("d", F.expr("hypot(fx - x, fy - y)")).where(F.col("d") <= radius).select(key, "ord", "code", "d", F.floor(F.col("y") / 32).alias("strip"))
+    pairs = w.join(f, [key, "cell"]).withColumn("d", F.expr("hypot(fx - x, fy - y)")).where(F.col("d") <= radius).select(key, "ord", "code", "d")
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -90,7 +91,7 @@ def nearest_unused(wanted: DataFrame, free: DataFrame, radius: float = 10.0, key
                 out.append((own[key].iloc[0], o, code))
         return pd.DataFrame(out, columns=[key, "ord", "code"])
 
-    return pairs.groupBy(key, "strip").applyInPandas(take, f"{key} long, ord long, code string")
+    return pairs.groupBy(key).applyInPandas(take, f"{key} long, ord long, code string")
 
 
 def weld(boxes: DataFrame, gap: float = 5.0, overlap: float = 0.5, by: str = "row") -> DataFrame:

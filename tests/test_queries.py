@@ -143,3 +143,25 @@ def test_reachability_and_pieces(spark):
     seed = next(c for c, f in free.items() if f)
     got = reachable(cells, spark.createDataFrame([(0, *seed)], "venue long, i int, j int"))
     assert {(r["i"], r["j"]) for r in got.collect()} == flood(seed)
+
+
+def test_nearest_unused_is_one_greedy_pass(spark):
+    from atrium.sources import venue
+
+    s = [r for r in venue.stands(spark, SF).select("k", "venue", "code", "x0", "y0").collect()]
+    used, want = set(), []
+    for w in sorted((r for r in s if r["k"] % 3 == 0), key=lambda r: r["k"]):
+        near = sorted((d, f["code"]) for f in s if f["k"] % 3 == 1 and f["venue"] == w["venue"] and (d := ((f["x0"] - w["x0"]) ** 2 + (f["y0"] - w["y0"]) ** 2) ** 0.5) <= 10)
+        code = next((c for _, c in near if (w["venue"], c) not in used), None)
+        if code:
+            used.add((w["venue"], code))
+            want.append((w["venue"], w["k"], code))
+    assert sorted(tuple(r) for r in QUERIES["legacy_nearest_unused_code"](spark, SF).select("venue", "ord", "code").collect()) == sorted(want)
+
+
+def test_a_tail_joins_one_head(spark):
+    from atrium.operators.labels import repair_codes
+
+    rows = [(0, 1, "A", 15.5, 10.0, 4.0), (0, 2, "B", 16.5, 10.0, 4.0), (0, 3, "07", 16.0, 12.0, 4.0)]
+    out = repair_codes(spark.createDataFrame(rows, "venue long, label_id long, txt string, x double, y double, size double"))
+    assert sorted((r["label_id"], r["txt"], r["joined"]) for r in out.collect()) == [(1, "A07", True), (2, "B", False)]
