@@ -13,16 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import SPACE_CLASS, materialise, table
 
-#: Runs of fewer lines than this stay.
+#: Runs of fewer lines than this stay, in the query, whose SQL says so. The pipeline's stage takes single lines too.
 LEAST_RUN = 2
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line): the identifier of each line of (doc_id, text), rows of null doc_id or text left out."""
+    """(doc_id, pos, line, blank): the identifier of each line of (doc_id, text) and whether it is white space only; rows of null doc_id or text left out."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "words"))
-    return lines.select("doc_id", "pos", F.xxhash64("words").alias("line"))
+    return lines.select("doc_id", "pos", F.xxhash64("words").alias("line"), F.col("words").rlike(f"^(?:{SPACE_CLASS})?$").alias("blank"))
 
 
 def refine(suffixes: DataFrame, shift: int) -> DataFrame:
@@ -42,19 +42,21 @@ def refine(suffixes: DataFrame, shift: int) -> DataFrame:
     return pairs.join(intervals, key).select("doc_id", "pos", "line", F.col("new_off").cast("long").alias("off"), "first")
 
 
-def suffix_array(lines: DataFrame, least: int = LEAST_RUN) -> tuple[DataFrame, DataFrame]:
+def suffix_array(lines: DataFrame, least: int = LEAST_RUN, blank: bool = True) -> tuple[DataFrame, DataFrame]:
     """(ranks, repeats) of the lines (doc_id, pos, line).
 
     ranks: doc_id, pos, line, off, length: the suffixes that repeat, with their rank and the length
     of the interval they were in last. repeats: doc_id, pos, length: suffixes whose first ``length``
-    lines, at least ``least``, also start earlier, in order of (doc_id, pos).
+    lines, at least ``least``, also start earlier, in order of (doc_id, pos). Without ``blank``, a
+    single line for which the column blank holds is no repeat.
     """
+    alone = F.lit(True) if blank else ~F.col("blank")
     once = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
-    level = materialise(lines.distinct().join(once, "line").select("doc_id", "pos", "line", F.lit(0).cast("long").alias("off")), "suffixes")
-    length, ranks, repeats = 1, [level.withColumn("length", F.lit(1))], []
+    level = materialise(lines.distinct().join(once, "line").select("doc_id", "pos", "line", F.lit(0).cast("long").alias("off"), *([] if blank else ["blank"])), "suffixes")
+    length, ranks, repeats = 1, [level.select("doc_id", "pos", "line", "off", F.lit(1).alias("length"))], []
     later = F.struct("doc_id", "pos") > F.col("first")
     if least == 1:
-        low = level.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+        low = level.where(alone).groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
         repeats.append(level.join(low, "line").where(later).select("doc_id", "pos", F.lit(1).alias("length")))
     while True:
         if length < least < 2 * length:  # the interval of exactly that many lines, from two overlapping prefixes
@@ -85,18 +87,19 @@ def repeated_runs(repeats: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
-def remove_repeated_lines(docs: DataFrame, least: int = LEAST_RUN) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, least: int = LEAST_RUN, blank: bool = True) -> DataFrame:
     """``docs`` with later copies of repeated line runs taken out of text, and n_lines, n_removed, n_runs.
 
     A run of at least ``least`` lines that also stands earlier, in order of (doc_id, line number),
     goes; its first copy stays. Lines are what newlines separate, compared as they are, empty ones
-    included. A null text stays null with 0 lines. Rows that repeat a doc_id must hold the same text
+    included; without ``blank``, a single line of white space isn't a run and goes only as part of a
+    longer one. A null text stays null with 0 lines. Rows that repeat a doc_id must hold the same text
     and each lose the same lines; a null doc_id stays whole. Other columns pass through; columns
     called n_lines, n_removed or n_runs are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
     lines = materialise(line_ids(docs.select(F.col("doc_id").cast("long"), "text")), "lines")
-    _, repeats = suffix_array(lines, least)
+    _, repeats = suffix_array(lines if not blank else lines.drop("blank"), least, blank)
     runs = repeated_runs(repeats)
     out = docs.join(runs, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long"))
@@ -114,11 +117,12 @@ def op5_suffix_array_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without later copies of repeated line runs; a document left without text goes.
+    """``docs`` without later copies of repeated lines, alone or in runs; a document left with white space only goes.
 
+    A blank line, of white space only, goes as part of a repeated run of two lines or more but not alone.
     n_chars, if there, is counted anew where lines went.
     """
-    out = remove_repeated_lines(docs).where("n_removed = 0 or length(text) > 0")
+    out = remove_repeated_lines(docs, 1, blank=False).where((F.col("n_removed") == 0) | ~F.col("text").rlike(f"^(?:{SPACE_CLASS})?$"))
     count = [F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*count)
 

@@ -296,6 +296,13 @@ def test_line_edges(spark):
     assert sorted(str(r["doc_id"]) for r in lines.drop_repeated_lines(docs(spark, rows)).collect()) == ["1", "1", "None"]
 
 
+def test_stage_drops_single_lines_but_no_single_blanks(spark):
+    rows = [(1, "a\n\nb\nc", "s"), (2, "x\nb\ny\n\nz", "s"), (3, "c", "s"), (4, "p\n \nc\n \nq", "s"), (5, "b\n\nc", "s"), (6, "new\nx\nb", "s"), (7, " ", "s"), (None, "a", "s")]
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.drop_repeated_lines(docs(spark, rows)).collect()}
+    want = {1: "a\n\nb\nc", 2: "x\ny\n\nz", 4: "p\n \n \nq", 6: "new", 7: " ", None: "a"}
+    assert out == {d: (t, len(t)) for d, t in want.items()}
+
+
 # --- 6 similarity join
 
 
