@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from .common import materialise, table
 #: A class of tokens is template if its tokens occur in this share of a host's distinct pages, in
 #: so many of them at least, and the class has so many tokens.
 SUPPORT, LEAST_PAGES, LEAST_TOKENS = 0.5, 5, 2
+#: Pages of a host whose longest article blocks are the same, up to this share of the article's characters, count once.
+SAME_ARTICLE = 0.8
 
 #: Names of HTML elements, and words of class, id and role that mark what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -126,42 +129,131 @@ def token(path: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\x00{text}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def page_mark(page: str, found: list) -> int:
+    """A mark that near copies of a page share: of its longest article blocks that make SAME_ARTICLE of
+    the article; of all blocks that aren't noise where there is no article, else of the page."""
+    shown = [b for b in found if not b[2]]
+    texts = sorted((text for _, text, _, main in shown if main), key=lambda t: (-len(t), t))
+    if not texts:
+        return digest("\n".join(["blocks", *(text for _, text, _, _ in shown)]) if shown else page)
+    left, kept = SAME_ARTICLE * sum(map(len, texts)), ["article"]
+    for text in texts:
+        if left <= 0:
+            break
+        kept.append(text)
+        left -= len(text)
+    return digest("\n".join(kept))
+
+
+def nested(order: list[int], classes: list[list[int]]) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
+    """(orders, slots) of the classes of tokens that a page holds, given its tokens in page order.
+
+    orders: a mark of the one order that all repetitions of the class keep, or 0 if there is none.
+    slots[c, p]: the slot of class p, from 1, that holds every repetition of class c, or 0.
+    """
+    of = {t: c for c, tokens in enumerate(classes) for t in tokens}
+    at: dict = defaultdict(list)
+    for k, t in enumerate(order):
+        if t in of:
+            at[of[t]].append(k)
+    orders, slots = {}, {}
+    for c, places in at.items():
+        first = [order[k] for k in places[: len(classes[c])]]
+        kept = len(set(first)) == len(classes[c]) and len(places) % len(first) == 0 and all(order[k] == first[n % len(first)] for n, k in enumerate(places))
+        orders[c] = digest(" ".join(map(str, first))) or 1 if kept else 0
+    for c in at:
+        for p in at:
+            if c == p or not orders[c] or not orders[p]:
+                continue
+            m, size, root = len(classes[c]), len(classes[p]), order[0] in classes[p]
+            held = set()
+            for k in range(0, len(at[c]), m):
+                a, b = bisect(at[p], at[c][k]), bisect(at[p], at[c][k + m - 1])
+                held.add(size if root and a == b == size else a % size if a == b else 0)  # the root's last slot ends with the page
+            slots[c, p] = held.pop() if len(held) == 1 else 0
+    return orders, slots
+
+
 def template_tokens(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(host, tokens): the tokens of each host's template.
 
     A token is a block element with its path, or a block's text with its path. Its occurrence vector
     holds how often each distinct page of the host has it; tokens with equal vectors are an
-    equivalence class. A class is valid if it is frequent and large enough and its elements nest:
-    each class hangs below one that occurs in all its pages, the outermost having the page's root.
-    Copies of a page count once, so an article that was crawled often doesn't become template. The
-    vectors are compared by sums of hashes of (page, times): they are added up before the shuffle.
+    equivalence class. A class is valid if it is frequent and large enough, its tokens keep one order
+    on all its pages, and it nests: it lies in one and the same slot of an already valid class on each
+    of its pages. The outermost class holds the page's root; where that class keeps no order, the root
+    alone is outermost. Near copies of a page count once (page_mark), so an article that was crawled
+    often doesn't become template. The vectors are compared by sums of hashes of (page, times): they
+    are added up before the shuffle.
     """
+    start = token("", "")
 
     def count(batches):
         for batch in batches:
             rows: dict = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                mark = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                if (host, mark) in rows:
+                found = blocks(page)
+                mark, own = page_mark(page, found), digest(page)
+                if (host, mark) in rows and rows[host, mark][0] <= own:
                     continue
-                found = Counter([token("", "")])
-                for path, text, _, _ in blocks(page):
+                seen = [start]
+                for path, text, _, _ in found:
                     steps = path.split("/")
-                    found.update([token(path, text), *(token("/".join(steps[:k]), "") for k in range(1, len(steps) + 1))])
-                rows[host, mark] = [{"token": t, "times": n} for t, n in found.items()]
+                    seen += [*(token("/".join(steps[:k]), "") for k in range(1, len(steps) + 1)), token(path, text)]
+                times = Counter(seen)
+                number = {t: k for k, t in enumerate(times)}
+                rows[host, mark] = own, [{"token": t, "times": n} for t, n in times.items()], [number[t] for t in seen]
             kind = pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([m for _, m in rows], pa.int64()), pa.array(list(rows.values()), kind)], names=["host", "mark", "tokens"])
+            own, tokens, order = zip(*rows.values()) if rows else ((), (), ())
+            columns = [pa.array([h for h, _ in rows], pa.string()), pa.array([m for _, m in rows], pa.int64()), pa.array(own, pa.int64()), pa.array(tokens, kind), pa.array(order, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "mark", "own", "tokens", "seen"])
 
-    distinct = pages.select("host", "html").mapInArrow(count, "host string, mark long, tokens array<struct<token:long,times:int>>").dropDuplicates(["host", "mark"])
+    counted = pages.select("host", "html").mapInArrow(count, "host string, mark long, own long, tokens array<struct<token:long,times:int>>, seen array<int>")
+    distinct = counted.groupBy("host", "mark").agg(F.min_by(F.struct("tokens", "seen"), "own").alias("p")).select("host", "mark", "p.*")
+    distinct = materialise(distinct, "distinct-pages")
     each = distinct.select("host", "mark", F.explode("tokens").alias("t")).select("host", "t.token", F.xxhash64("mark", "t.times").cast("decimal(20,0)").alias("part"))
     per = each.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("part").alias("vector"))
     per = materialise(per.where(F.col("pages") >= least_pages), "page-tokens")
-    root = per.where(F.col("token") == token("", "")).select("host", F.col("pages").alias("of"))
+    root = per.where(F.col("token") == start).select("host", F.col("pages").alias("of"))
     frequent = per.join(root, "host").where(F.col("pages") >= support * F.col("of"))
-    classes = frequent.groupBy("host", "vector").agg(F.count("*").alias("size"), F.collect_set("token").alias("tokens"))
-    full = frequent.where("pages = of").select("host").distinct()
-    valid = classes.where(F.col("size") >= least_tokens).join(full, "host", "left_semi")
-    return valid.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    classes = frequent.groupBy("host", "vector").agg(F.count("*").alias("size"), F.max("pages").alias("pages"), F.array_sort(F.collect_set("token")).alias("tokens"))
+    classes = classes.where(F.col("size") >= least_tokens).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("tokens", "pages"))).alias("classes"))
+    classes = materialise(classes, "page-classes")
+
+    def place(batches):
+        for batch in batches:
+            rows: Counter = Counter()
+            for host, tokens, seen, own in zip(*(batch.column(c).to_pylist() for c in ("host", "tokens", "seen", "classes"))):
+                orders, slots = nested([tokens[k]["token"] for k in seen], [c["tokens"] for c in own])
+                rows.update((host, c, -1, x) for c, x in orders.items())
+                rows.update((host, c, p, x) for (c, p), x in slots.items() if own[p]["pages"] >= own[c]["pages"])
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(x, t) for x, t in zip([*columns[1:], tuple(rows.values())], (pa.int32(), pa.int32(), pa.int64(), pa.int64())))], names=["host", "class", "parent", "value", "n"])
+
+    placed = distinct.join(classes, "host").select("host", "tokens", "seen", "classes").mapInArrow(place, "host string, class int, parent int, value long, n long")
+    # One value, an order or a slot, on all pages that were counted.
+    placed = placed.groupBy("host", "class", "parent").agg(F.min("value").alias("low"), F.max("value").alias("value"), F.sum("n").alias("n")).where("low = value and value <> 0")
+    placed = placed.groupBy("host").agg(F.collect_list(F.struct("class", "parent", "n")).alias("placed")).join(classes, "host")
+
+    def nest(batches):
+        for batch in batches:
+            out = []
+            for own, rows in zip(batch.column("classes").to_pylist(), batch.column("placed").to_pylist()):
+                whole = {(r["class"], r["parent"]) for r in rows if r["n"] == own[r["class"]]["pages"]}
+                ordered = {c for c, p in whole if p == -1}
+                valid = {c for c in ordered if start in own[c]["tokens"]}
+                if not valid:
+                    valid = set(ordered)
+                while more := {c for c, p in whole if p in valid and c in ordered and c not in valid}:
+                    valid |= more
+                out.append([t for c in sorted(valid) for t in own[c]["tokens"]])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.list_(pa.int64()))], names=["host", "tokens"])
+
+    return placed.mapInArrow(nest, "host string, tokens array<long>")
 
 
 def main_text(page: str, template: set[int]) -> str:

@@ -379,6 +379,25 @@ def test_blocks_and_noise():
     assert pages.main_text("<p>a<!-- x --><p>b<script>never closed", set()) == "a\nb"
 
 
+def test_template_classes_keep_order_and_nest(spark):
+    make = lambda i, x, y: f"<html><body><div>Welcome to the site</div><p>story {i} one</p>{x}<p>story {i} two</p><div>Middle of the page</div>{y}<p>story {i} end</p><div>All rights reserved</div></body></html>"
+    fixed, (u, v) = "<div>fixed a</div><div>fixed b</div>", ("<div>loose u</div>", "<div>loose v</div>")
+    rows = [(i, "http://a/", make(i, fixed if i < 8 else "", "")) for i in range(10)]  # in one slot
+    rows += [(20 + i, "http://b/", make(i, u + v if i % 2 else v + u, "") if i < 8 else make(i, "", "")) for i in range(10)]  # two orders
+    rows += [(40 + i, "http://c/", make(i, *((u + v, "") if i % 2 else ("", u + v))) if i < 8 else make(i, "", "")) for i in range(10)]  # two slots
+    out = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1].split("\n") == ["story 1 one", "story 1 two", "story 1 end"]
+    assert out[21].split("\n") == ["story 1 one", "loose u", "loose v", "story 1 two", "story 1 end"]
+    assert out[40].split("\n") == ["story 0 one", "story 0 two", "loose u", "loose v", "story 0 end"]
+
+
+def test_near_copies_of_an_article_count_once(spark):
+    make = lambda i, d: f"<html><body><div>Welcome</div><article><h1>Title {i}</h1><time>{d}</time><p>{f'paragraph {i} one ' * 9}</p><p>{f'paragraph {i} two ' * 7}</p></article><div class=ad>{d}</div><div>Rights</div></body></html>"
+    rows = [(i, "http://h/", make(i, i)) for i in range(6)] + [(10 + i, "http://h/", make(3, 100 + i)) for i in range(9)]
+    out = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("paragraph 3 one" in out[k] and "paragraph 3 two" in out[k] for k in (3, *range(10, 19))) and "Welcome" not in out[1]
+
+
 def test_template_leaves_slots(spark):
     make = lambda i: f"<html><body><div>Welcome to the site</div><p>story {i} one</p><p>story {i} two</p><div>All rights reserved</div></body></html>"
     rows = [(i, f"http://h/{i}", make(i)) for i in range(8)] + [(20 + i, f"http://h/{i}", make(3)) for i in range(9)] + [(50, "http://other/1", make(1)), (51, None, None), (52, "http://h/x", "")]
