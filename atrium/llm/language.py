@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-
-import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokens import slices
 
-#: The model learns from at most this many documents of each language, those with the smallest
-#: hash of doc_id, and from at most this many characters of each: a documented bound.
-SAMPLE_DOCS, SAMPLE_CHARS = 500, 4000
+#: The model learns from the whole texts of at most this many documents of each language, those with
+#: the smallest hash of doc_id: a documented bound.
+SAMPLE_DOCS = 500
 #: A language is a candidate for a script that holds this share of its letters in the sample.
 SCRIPT_SHARE = 0.02
 #: Cost in nats of a change of language from one word to the next.
@@ -29,7 +31,6 @@ SCRIPT_STARTS = {
 }
 STARTS = np.array(list(SCRIPT_STARTS))
 NAMES = list(SCRIPT_STARTS.values())
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def script_of(word: str) -> int:
@@ -39,7 +40,8 @@ def script_of(word: str) -> int:
 
 def letters_of(word: str) -> str:
     """The word's letters in lower case between marks; empty without letters."""
-    only = "".join(LETTER.findall(word.lower()))
+    low = word.lower()
+    only = low if low.isalpha() else "".join(filter(str.isalpha, low))
     return f"<{only}>" if only else ""
 
 
@@ -59,23 +61,41 @@ def packed(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: What grams_of counts beside n-grams: letters in words of a block of scripts.
+SCRIPT = 0
+
+
+def grams_of(words: Iterable[tuple[str, int]]) -> Counter:
+    """(kind, gram) -> times in the words and their times: n-grams of letters by their length n, and
+    letters by the block of scripts of their word (kind SCRIPT)."""
+    found: Counter = Counter()
+    for word, times in words:
+        marked = letters_of(word)
+        if marked:
+            found[SCRIPT, str(script_of(word))] += times * (len(marked) - 2)
+            for size in GRAMS:
+                for a in range(len(marked) - size + 1):
+                    found[size, marked[a : a + size]] += times
+    return found
+
+
 class Model:
     """Character n-gram scores of each language and the languages each script is used by."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.languages = sorted(samples)
+    def __init__(self, samples: dict[str, list[str]], counted: dict[str, dict] | None = None):
+        """From texts of each language, or from what grams_of counted in them."""
+        if counted is None:
+            counted = {lang: grams_of(Counter(w for text in texts for w in text.split()).items()) for lang, texts in samples.items()}
+        self.languages = sorted(counted)
         n = len(self.languages)
         counts: list[Counter] = [Counter() for _ in GRAMS]
         script_letters = np.zeros((len(NAMES), n))
         for i, lang in enumerate(self.languages):
-            words = Counter(w for text in samples[lang] for w in text.split())
-            for word, times in words.items():
-                marked = letters_of(word)
-                if marked:
-                    script_letters[script_of(word), i] += times * (len(marked) - 2)
-                    for c, size in zip(counts, GRAMS):
-                        for a in range(len(marked) - size + 1):
-                            c[marked[a : a + size], i] += times
+            for (kind, gram), times in counted[lang].items():
+                if kind == SCRIPT:
+                    script_letters[int(gram), i] = times
+                else:
+                    counts[GRAMS.index(kind)][gram, i] = times
         self.keys, self.scores = [], []
         grams = sum(len({g for g, _ in c}) for c in counts)
         totals = np.zeros(n)
@@ -84,11 +104,15 @@ class Model:
                 totals[i] += times
         for c, size in zip(counts, GRAMS):
             own = sorted({g for g, _ in c}, key=lambda g: [ord(x) for x in reversed(g)])
-            keys = packed(np.array([ord(x) for g in own for x in g], dtype=np.int64), np.arange(len(own)) * size, size) if own else np.zeros(0, np.int64)
+            if not own:
+                self.keys.append(np.zeros(0, np.int64))
+                self.scores.append(np.zeros((0, n), np.float32))
+                continue
+            keys = packed(np.array([ord(x) for g in own for x in g], dtype=np.int64), np.arange(len(own)) * size, size)
             order = np.argsort(keys)
             score = np.log((np.array([[c[g, i] for i in range(n)] for g in own]).reshape(-1, n) + SMOOTH) / (totals + SMOOTH * (grams + 1)))
             self.keys.append(keys[order])
-            self.scores.append((score - score.max(axis=1, keepdims=True)).astype(np.float32)[order] if own else np.zeros((0, n), np.float32))
+            self.scores.append((score - score.max(axis=1, keepdims=True)).astype(np.float32)[order])
         # A script's languages; one that no language uses says nothing about any.
         used = script_letters >= SCRIPT_SHARE * np.maximum(1, script_letters.sum(axis=0))
         used &= script_letters > 0
@@ -102,7 +126,7 @@ class Model:
         lengths = np.array([len(m) for m in marked], dtype=np.int64)
         out = np.zeros((len(words), len(self.languages)))
         some = np.flatnonzero(lengths)
-        if len(some):
+        if len(some) and self.languages:
             codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
             ends = np.cumsum(lengths[some])
             starts = ends - lengths[some]
@@ -130,7 +154,7 @@ class Model:
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(order) else np.zeros(0, int)
         flat = np.concatenate([docs[d] for d in order]) if len(order) else np.zeros(0, int)
         stay = np.zeros((len(flat), n), dtype=bool)
-        jump = np.zeros(len(flat), dtype=np.int8)
+        jump = np.zeros(len(flat), dtype=np.int16)
         alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
         value = np.zeros((len(order), n))
         for t in range(steps):
@@ -143,7 +167,7 @@ class Model:
                 stay[at], jump[at] = keep, best
                 v = np.where(keep, v, top)
             value[:live] = v + scores[flat[at]]
-        path = np.zeros(len(flat), dtype=np.int8)
+        path = np.zeros(len(flat), dtype=np.int16)
         state = value.argmax(axis=1) if len(order) else np.zeros(0, int)
         for t in range(steps - 1, -1, -1):
             live = alive[t]
@@ -157,17 +181,38 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> Model:
-    """A model of the labelled rows outside the held-out fold, from a bounded sample of them."""
+def learn(docs: DataFrame, most_docs: int = SAMPLE_DOCS) -> Model:
+    """A model of the labelled rows outside the held-out fold, from a bounded sample of them.
+
+    The sample's documents are chosen on the driver, at most a few times ``most_docs`` identifiers a
+    language; their whole texts are counted by Spark, and only the n-grams' sums come back. Rows of
+    null text, lang or doc_id teach nothing; without any other row the model knows no language.
+    """
+    spark = docs.sparkSession
     fold = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out("doc_id"))
-    fold = fold.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, most_chars).alias("text"))
-    samples = {}
-    for lang, n in fold.groupBy("lang").count().collect():
-        # Thin by the hash first, so that no more than a few times the sample is ever sent.
-        share = min(1.0, 2 * most_docs / n)
-        thin = fold.where((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < max(1, int(share * 1_000_000))))
-        samples[lang] = [r["text"] for r in thin.orderBy(F.pmod("h", F.lit(1_000_000)), "h", "doc_id").limit(most_docs).select("text").collect()]
-    return Model(samples)
+    fold = fold.select("lang", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    sizes = {r["lang"]: r["count"] for r in fold.groupBy("lang").count().collect()}
+    if not sizes:
+        return Model({})
+    # Thin by the hash first, so that no more than a few times the sample is ever sent.
+    share = F.element_at(F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(max(1, int(min(1.0, 2 * most_docs / n) * 1_000_000))))]), F.col("lang"))
+    hashed = fold.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"))
+    by_lang: dict[str, list] = {}
+    for r in hashed.where(F.col("h") < share).distinct().collect():
+        by_lang.setdefault(r["lang"], []).append((r["h"], r["doc_id"]))
+    chosen = [(lang, doc) for lang, rows in by_lang.items() for _, doc in sorted(rows)[:most_docs]]
+    sample = fold.join(F.broadcast(spark.createDataFrame(chosen, "lang string, doc_id string")), ["lang", "doc_id"])
+
+    def count(batches):
+        for frame in batches:
+            for lang, own in frame.groupby("lang")["text"]:
+                found = grams_of(Counter(w for text in own for w in text.split()).items())
+                yield pd.DataFrame([(lang, kind, gram, n) for (kind, gram), n in found.items()], columns=["lang", "kind", "gram", "n"])
+
+    counted: dict[str, dict] = {}
+    for r in sample.select("lang", "text").mapInPandas(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).collect():
+        counted.setdefault(r["lang"], {})[r["kind"], r["gram"]] = r["n"]
+    return Model({}, counted)
 
 
 def held_out(column: str) -> F.Column:
@@ -183,7 +228,9 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
     spans: runs of words of one language, in order (start: index of its first word). lang_pred: the
     language of the most letters; score: its share of the letters, weighted by how far the words
     agree with it. ``und`` and 0 for a text that is null or has no letter, or if nothing was learnt.
-    Columns of these names in ``docs`` are replaced; all others pass through unchanged.
+    Columns of these names in ``docs`` are replaced; all others pass through unchanged. A letter is a
+    character of a Unicode letter category: digits, superscripts and fractions are none. Repeated rows
+    each come back with the same answer, no rows give none, and a long text is scored whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
@@ -212,8 +259,8 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
 
     def run(batches):
         for batch in batches:  # as Arrow, so that the other columns pass as they are
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for a, b in slices(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+                part = batch.slice(a, b - a)
                 rows = label(part.column("text").to_pylist())
                 new = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], spans_type)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *new], names=[*kept, "lang_pred", "score", "spans"])
@@ -222,6 +269,7 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every row of documents by a model of the rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     out = predict(docs.select("doc_id", "text"), learn(docs), with_spans=False)
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-CACHE = 400_000
+#: Distinct words whose hashes a worker remembers, each of so many bytes at most.
+CACHE, CACHED_WORD = 100_000, 64
+#: Texts are worked on in slices of at most so many bytes, one text at least.
+SLICE_BYTES = 1_000_000
+
+
+def slices(sizes, most: int = SLICE_BYTES, rows: int = 2000) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring rows that hold ``most`` bytes and ``rows`` rows at most, one row at least."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (held + n > most or i - start >= rows):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(sizes):
+        yield start, len(sizes)
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_WORD and len(self) < CACHE:
+            self[word] = found
         return found
 
 
@@ -21,7 +40,7 @@ _cache = _Words()
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
-    if len(_cache) > CACHE:
+    if len(_cache) >= CACHE:
         _cache.clear()
     return np.fromiter(map(_cache.__getitem__, words), dtype=np.uint64, count=len(words))
 

@@ -489,3 +489,18 @@ def test_viterbi_is_exact():
         path = model.viterbi([np.array(seq)], scores)[0]
         cost = lambda p: sum(scores[w, k] for w, k in zip(seq, p)) - language.SWITCH * sum(x != y for x, y in zip(p, p[1:]))
         assert abs(cost(path) - max(cost(p) for p in itertools.product(range(2), repeat=4))) < 1e-9
+
+
+def test_letters_and_many_languages():
+    assert [language.letters_of(w) for w in ("²½", "12", "a²B", "_", "é-É")] == ["", "", "<ab>", "", "<éé>"]
+    alphabet = [chr(0x4E00 + 40 * i) for i in range(200)]
+    model = language.Model({f"l{i:03}": [c * 3] for i, c in enumerate(alphabet)})
+    scores, _ = model.score_words([c * 3 for c in alphabet])
+    assert [int(model.viterbi([np.array([i])], scores)[0][0]) for i in range(200)] == list(range(200))
+
+
+def test_language_held_out_accuracy(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language.op10_language_id(spark, "/root/testdata/sf0.01").join(frame.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = out.select(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 100 and right / n >= 0.97
