@@ -162,26 +162,34 @@ def page_captures(pages: DataFrame, path: str) -> DataFrame:
     """Write ``pages`` as archives under ``path``, read them, and describe each page's record.
 
     A revisit whose response isn't in the archives stays, with null for what the response would tell.
+    A null html is an empty payload, a null page_id stays null; rows that repeat a page each come back;
+    no pages give no rows. A long html makes one long record, which a task holds whole.
     """
     spark = pages.sparkSession
     write_warc(plan_records(pages), path)
-    records = materialise(read_warc(spark, path, with_payload=False), "warc-records")  # parsed once
-    captures = assemble_transactions(records)
-    page_id = F.regexp_extract(F.col("metadata")[0]["fields"], r"pageId: (-?\d+)", 1)
+    # Of a metadata record's fields only the page's identifier is asked for, so only that moves.
+    found = F.regexp_extract("fields", r"pageId: (-?\d+)", 1)
+    named = F.when((F.col("record_type") == "metadata") & (found != ""), found)
+    slim = read_warc(spark, path, with_payload=False).withColumns({"fields": named, "target_uri": F.lit(None).cast("string")})
+    captures = assemble_transactions(materialise(slim, "warc-records"))  # parsed once
     rows = captures.select(
-        F.when(page_id != "", page_id.cast("long")).alias("page_id"), "capture_id", F.col("response.record_type").alias("record_type"),
+        F.col("metadata")[0]["fields"].cast("long").alias("page_id"), "capture_id", F.col("response.record_type").alias("record_type"),
         F.col("response.refers_to").alias("target"), F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_digest").alias("own_digest"),
         F.size("requests").cast("long").alias("n_requests"),
     )
     rows = materialise(rows, "warc-captures")
     stored = rows.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"), "own_bytes", "own_digest")
-    again = rows.where("record_type = 'revisit'").drop("own_bytes", "own_digest").join(stored, "target", "left")
+    again = rows.where("record_type = 'revisit'").drop("own_bytes", "own_digest")
+    # Only responses that are revisited, in SALTS parts each, so that a hot one's revisits spread.
+    stored = stored.join(again.select("target").distinct(), "target", "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    again = again.withColumn("salt", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)).cast("int")).join(stored, ["target", "salt"], "left")
     first = rows.where("record_type = 'response'").select("page_id", "record_type", F.lit(None).cast("long").alias("refers_to"), "own_bytes", "own_digest", "n_requests")
     out = first.unionByName(again.select(*first.columns))
     return out.select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to", "n_requests")
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of every row of pages, as page_captures defines it."""
     return page_captures(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
 
 
