@@ -17,16 +17,16 @@ from __future__ import annotations
 
 import heapq
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import Rolling, mixed
+from .tokens import Rolling, mixed, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -73,8 +73,13 @@ class Vocabulary:
             for n in range(1, len(self.text[i])):
                 prefixes.setdefault(self.text[i][:n], -1)
             prefixes[self.text[i]] = i
+        # What one character is: a piece, the start of one only (-1), or neither (-2).
+        self.single = np.full(0x110000, -2, dtype=np.int32)
+        for piece, i in prefixes.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
         self.tables = []
-        for n in range(1, self.longest + 1):
+        for n in range(2, self.longest + 1):
             own = [p for p in prefixes if len(p) == n]
             codes = Rolling(char_values("".join(own)))
             hashes = codes.span(np.arange(len(own)) * n, n)
@@ -88,39 +93,67 @@ class Vocabulary:
         held = set("".join(self.text[i] for i in plain))
         if any(MARK in self.text[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece has the word mark inside: the lattice is no chain of words")
-        stop = "" if "\n" in held else r"\n"
-        self.units = re.compile(rf"{MARK}+[^{MARK}{stop}]*|{stop or '(?!)'}[^{MARK}{stop}]*|[^{MARK}{stop}]+")
-
-    def split(self, text: str) -> list[str]:
-        return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
+        self.splits_lines = "\n" not in held
+
+    def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(characters of the texts end to end, where each unit starts, units of each text).
+
+        A unit starts at the first of neighbouring marks, and at a newline if no piece holds one. An
+        empty text has no units.
+        """
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.array([len(m) for m in marked], dtype=np.int64)
+        mark = codes == ord(MARK)
+        begin = mark.copy()
+        begin[1:] &= ~mark[:-1]
+        if self.splits_lines:
+            begin |= codes == 10
+        begin[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(begin)
+        return codes, starts, np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
 
     def decode(self, ids) -> str:
         """The text of a segmentation; exact for every text without the word mark in it."""
-        ids = np.asarray(ids, dtype=np.int64)
+        return self.decode_all(np.asarray(ids, dtype=np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
+
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The texts, in UTF-8, of segmentations of so many ids that stand end to end."""
         n = self.spelt_n[ids]
-        place = np.repeat(self.spelt_at[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.spelt[place].tobytes()[1:].decode("utf-8", "replace")
+        ends = np.cumsum(n)
+        place = np.repeat(self.spelt_at[ids] - (ends - n), n) + np.arange(int(n.sum()))
+        spelt = self.spelt[place].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [spelt[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
 
 
-def char_values(text: str) -> np.ndarray:
-    return mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(11))
+def char_values(text) -> np.ndarray:
+    """A mixed value of each character of a str or of an array of code points."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) if isinstance(text, str) else text
+    return mixed(codes.astype(np.uint64) + np.uint64(11))
 
 
 class Lattices:
     """The lattices of distinct units, end to end: node = position of a character, edge = piece."""
 
-    def __init__(self, vocabulary: Vocabulary, units: list[str]):
-        text = "".join(units)
-        n = len(text)
-        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        lengths = np.array([len(u) for u in units], dtype=np.int64)
-        self.ends = np.cumsum(lengths)
+    def __init__(self, vocabulary: Vocabulary, codes: np.ndarray, lengths: np.ndarray):
+        n = len(codes)
+        self.codes, self.ends = codes.astype(np.int64), np.cumsum(lengths)
         self.starts = self.ends - lengths
         end_of = np.repeat(self.ends, lengths)
-        roll = Rolling(char_values(text))
-        at, found = np.arange(n), []
-        single = np.zeros(n, dtype=bool)
-        for size, (hashes, ids) in enumerate(vocabulary.tables, 1):
+        roll = Rolling(char_values(codes))
+        # Edges in order of their start, shorter pieces first: a place's edges are counted as they are found.
+        count, found, at = np.zeros(n, dtype=np.int64), [], np.arange(n)
+        piece = vocabulary.single[self.codes]
+        single = piece >= 0
+
+        def add(where: np.ndarray, size: int, pieces: np.ndarray) -> None:
+            found.append((where, count[where], size, pieces))
+            count[where] += 1
+
+        add(at[single], 1, piece[single])
+        at = at[piece > -2]
+        for size, (hashes, ids) in enumerate(vocabulary.tables, 2):
             at = at[at + size <= end_of[at]]
             if not len(at):
                 break
@@ -129,42 +162,44 @@ class Lattices:
             known = hashes[place] == h
             at, piece = at[known], ids[place[known]]
             whole = piece >= 0
-            found.append((at[whole], np.full(int(whole.sum()), size), piece[whole]))
-            if size == 1:
-                single[at[whole]] = True
+            add(at[whole], size, piece[whole])
         bare = np.flatnonzero(~single)  # characters that are no piece: their bytes, noted as -1 - code
-        found.append((bare, np.ones(len(bare), dtype=np.int64), -1 - self.codes[bare]))
-        source, size, piece = (np.concatenate(x) for x in zip(*found))
-        n_bytes = np.array([len(chr(c).encode("utf-8", "surrogatepass")) for c in -1 - piece[piece < 0]], dtype=np.int64)
-        weight = vocabulary.weight[np.maximum(piece, 0)]
-        weight[piece < 0] = n_bytes * vocabulary.weight.min() if not vocabulary.byte_id else n_bytes * vocabulary.weight[next(iter(vocabulary.byte_id.values()))]
-        order = np.argsort(source, kind="stable")
-        self.source, self.size, self.piece, weight = source[order], size[order], piece[order], weight[order]
-        self.first = np.searchsorted(self.source, np.arange(n + 1))
-        back = np.zeros(n + 1)
-        left = end_of[self.source] - self.source  # characters from the edge's start to the unit's end
-        by = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by], np.arange(1, (left.max() if n else 0) + 2))
-        last = np.zeros(n + 1, dtype=bool)
-        last[self.ends] = True
+        add(bare, 1, -1 - self.codes[bare])
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        self.source, self.size, self.piece = (np.zeros(self.first[-1], dtype=np.int64) for _ in range(3))
+        for where, nth, size, pieces in found:
+            edge = self.first[where] + nth
+            self.source[edge], self.size[edge], self.piece[edge] = where, size, pieces
+        weight = vocabulary.weight[np.maximum(self.piece, 0)]
+        raw = self.piece < 0
+        n_bytes = 1 + (self.piece[raw] < -0x80) + (self.piece[raw] < -0x800) + (self.piece[raw] < -0x10000)  # of -1 - code
+        weight[raw] = n_bytes * (vocabulary.weight[next(iter(vocabulary.byte_id.values()))] if vocabulary.byte_id else vocabulary.weight.min())
         target = self.source + self.size
         done = target == end_of[self.source]
+        # Backward sums, by rising distance of an edge's start from its unit's end. Place n + 1 is any unit's end.
+        left = end_of - np.arange(n)
+        left = left[self.source]
+        by = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        source, upward, heavy = self.source[by], np.where(done, n + 1, target)[by], weight[by]
+        heads = np.flatnonzero(np.diff(source, prepend=-1))
+        cuts = np.searchsorted(left[by[heads]], np.arange(1, (left.max() if n else 0) + 2)).tolist()
+        back = np.zeros(n + 2)
+        limits = np.concatenate([heads, [len(by)]])
         for a, b in zip(cuts, cuts[1:]):
-            e = by[a:b]
-            if len(e):
-                value = weight[e] + np.where(done[e], 0.0, back[target[e]])
-                heads = np.flatnonzero(np.diff(self.source[e], prepend=-1))
-                back[self.source[e][heads]] = np.logaddexp.reduceat(value, heads)
+            if a < b:
+                start, stop = limits[a], limits[b]
+                back[source[heads[a:b]]] = np.logaddexp.reduceat(heavy[start:stop] + back[upward[start:stop]], heads[a:b] - start)
         self.log_p = weight + np.where(done, 0.0, back[target]) - back[self.source]
-        sums = np.cumsum(np.exp(self.log_p))
+        self.p = np.exp(self.log_p)
+        sums = np.cumsum(self.p)
         before = np.concatenate([[0.0], sums])[self.first[self.source]]
         self.upto = sums - before  # running conditional probability inside a node
         self.done, self.target = done, target
 
     def draw(self, unit: np.ndarray, seed: np.ndarray, nth: np.ndarray, path: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A segmentation of each occurrence of a unit: (edges, occurrence of each edge, log probability)."""
-        node, alive, step = self.starts[unit].copy(), np.arange(len(unit)), 0
-        total, edges, owner = np.zeros(len(unit)), [], []
+        """A segmentation of each occurrence of a unit: (edges, where each occurrence's start, log probability)."""
+        node, alive, step = self.starts[unit], np.arange(len(unit)), 0
+        total, taken, steps = np.zeros(len(unit)), np.zeros(len(unit), dtype=np.int64), []
         begun = state(seed, path, nth)  # the same for every step of an occurrence
         while len(alive):
             u = unit_interval(state(begun[alive], step, first=2))
@@ -174,53 +209,66 @@ class Lattices:
                 e[more] += 1
                 more = more[(self.upto[e[more]] < u[more]) & (e[more] < stop[more])]
             total[alive] += self.log_p[e]
-            edges.append(e)
-            owner.append(alive)
-            go = ~self.done[e]
+            steps.append((alive, e))
+            taken[alive] += 1
+            go = np.flatnonzero(~self.done[e])
             alive, node, step = alive[go], self.target[e[go]], step + 1
-        if not edges:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), total
-        edges, owner = np.concatenate(edges), np.concatenate(owner)
-        order = np.argsort(owner, kind="stable")
-        return edges[order], owner[order], total
+        cuts = np.concatenate([[0], np.cumsum(taken)])
+        edges = np.zeros(cuts[-1], dtype=np.int64)
+        for step, (owner, e) in enumerate(steps):
+            edges[cuts[owner] + step] = e
+        return edges, cuts, total
 
-    def draw_other(self, unit: int, excluded: list[tuple], rng) -> tuple[tuple, float]:
+    def draw_other(self, unit: int, excluded: list[tuple], rng) -> tuple[list[int], float]:
         """A segmentation of one unit, from its distribution without the excluded ones."""
         node, chosen, log_p = int(self.starts[unit]), [], 0.0
-        open_ = list(excluded)
+        open_ = []  # excluded ones that go as the chosen edges do, each with the probability of what follows each place
+        for seg in excluded:
+            rest = [1.0]
+            for p in self.p[list(reversed(seg))].tolist():
+                rest.append(rest[-1] * p)
+            open_.append((seg, rest[::-1]))
         while True:
-            a, b = int(self.first[node]), int(self.first[node + 1])
-            mass = np.exp(self.log_p[a:b])
-            for seg in open_:
-                mass[seg[len(chosen)] - a] -= np.exp(self.log_p[list(seg[len(chosen) :])].sum())
-            for seg in open_:  # rounding must not leave a taken segmentation open
-                if len(seg) == len(chosen) + 1:
-                    mass[seg[len(chosen)] - a] = 0.0
-            mass = np.maximum(mass, 0.0)
-            if not mass.any():
-                mass = np.exp(self.log_p[a:b])
-                for seg in open_:
-                    if len(seg) == len(chosen) + 1:
-                        mass[seg[len(chosen)] - a] = 0.0
-            e = a + int(min(np.searchsorted(np.cumsum(mass) / mass.sum(), rng()), b - a - 1))
+            k, a, b = len(chosen), int(self.first[node]), int(self.first[node + 1])
+            mass = self.p[a:b].tolist()
+            for seg, rest in open_:
+                mass[seg[k] - a] -= rest[k]
+            mass = [max(m, 0.0) for m in mass]
+            for seg, _ in open_:  # rounding must not leave a taken segmentation open
+                if len(seg) == k + 1:
+                    mass[seg[k] - a] = 0.0
+            if not any(mass):
+                mass = self.p[a:b].tolist()
+                for seg, _ in open_:
+                    if len(seg) == k + 1:
+                        mass[seg[k] - a] = 0.0
+            left, e = rng() * sum(mass), b - 1
+            for i, m in enumerate(mass):
+                left -= m
+                if left < 0 < m:
+                    e = a + i
+                    break
+            else:  # the last that is open
+                e = a + max(i for i, m in enumerate(mass) if m)
             chosen.append(e)
             log_p += float(self.log_p[e])
-            open_ = [s for s in open_ if len(s) > len(chosen) and s[len(chosen) - 1] == e]
+            open_ = [(seg, rest) for seg, rest in open_ if len(seg) > k + 1 and seg[k] == e]
             if self.done[e]:
-                return tuple(chosen), log_p
+                return chosen, log_p
             node = int(self.target[e])
 
 
-def below(phi, bound, u) -> np.ndarray:
-    """A Gumbel of location phi that is at most ``bound``."""
-    return phi - np.log(np.exp(np.minimum(phi - bound, 700.0)) - np.log(u))
+def below(phi, bound, log_u) -> np.ndarray:
+    """A Gumbel of location phi that is at most ``bound``, from the logarithm of a uniform number."""
+    return phi - np.log(np.exp(np.minimum(phi - bound, 700.0)) - log_u)
 
 
 def top_k(lattices: Lattices, units: np.ndarray, paths: list, seed: int, k: int) -> tuple[list, float]:
     """The k segmentations of a chain of units with the largest perturbed values, and the next value.
 
-    ``paths``: k independent draws (edges, where each unit's start, log probabilities by unit). Returns
-    [(log probability, value, edges)], largest value first, and the k+1-th value (-inf if none).
+    ``paths``: k independent draws (edges, where each unit's start, by unit: log probability, log of
+    the probability of any other segmentation, log of a uniform number). Returns [(log probability,
+    value, edges)], largest value first, and the k+1-th value (-inf if none).
     """
     draw = random.Random(seed).random
 
@@ -231,32 +279,31 @@ def top_k(lattices: Lattices, units: np.ndarray, paths: list, seed: int, k: int)
     heap: list = []
     out: list = []
     value = -np.log(-np.log(rng()))
-    edges, cuts, logs = paths[0]  # cuts[i]: where unit i's edges start
+    edges, cuts, logs = paths[0][:3]  # cuts[i]: where unit i's edges start
     at, excluded = -1, []
     while True:
-        before = np.concatenate([[0.0], np.cumsum(logs)])
+        before = np.zeros(n + 1)
+        np.cumsum(logs, out=before[1:])
         out.append((float(before[-1]), float(value), edges))
+        here = (edges, cuts, logs)
         if at >= 0:  # the same unit, without this segmentation too
             taken = [*excluded, tuple(edges[cuts[at] : cuts[at + 1]].tolist())]
             rest = 1.0 - sum(np.exp(lattices.log_p[list(s)].sum()) for s in taken)
             if rest > 1e-12:
                 phi = before[at] + np.log(rest)
-                heapq.heappush(heap, (-float(below(phi, value, rng())), len(out), at, taken, (edges, cuts, logs)))
+                heapq.heappush(heap, (-float(below(phi, value, np.log(rng()))), len(out), at, taken, here))
         # A later unit that differs first: a node each, of which only the best k + 1 can matter.
-        rest = -np.expm1(np.minimum(logs[at + 1 :], 0.0))
-        later = np.flatnonzero(rest > 1e-12)
-        if len(later):
-            phi = before[at + 1 + later] + np.log(rest[later])
-            g = below(phi, value, uniform(np.uint64(seed), (1 << 21) + len(out), at + 1 + later, 0))
-            best = np.argpartition(-g, k)[: k + 1] if len(g) > k + 1 else np.arange(len(g))
-            for b in best:
-                i = at + 1 + int(later[b])
-                heapq.heappush(heap, (-float(g[b]), len(out) * n + i + (1 << 40), i, [tuple(edges[cuts[i] : cuts[i + 1]].tolist())], (edges, cuts, logs)))
+        log_rest, log_u = paths[len(out) - 1][3:]
+        g = below(before[at + 1 : n] + log_rest[at + 1 :], value, log_u[at + 1 :])
+        for b in np.argpartition(-g, k)[: k + 1] if len(g) > k + 1 else range(len(g)):
+            if g[b] > -np.inf:
+                heapq.heappush(heap, (-float(g[b]), len(out) * n + at + 1 + int(b) + (1 << 40), at + 1 + int(b), None, here))
         if not heap or len(out) == k:
             return out, -heap[0][0] if heap else -np.inf
         negative, _, at, excluded, (old, old_cuts, old_logs) = heapq.heappop(heap)
+        excluded = excluded or [tuple(old[old_cuts[at] : old_cuts[at + 1]].tolist())]
         value = -negative
-        fresh, fresh_cuts, fresh_logs = paths[len(out)]
+        fresh, fresh_cuts, fresh_logs = paths[len(out)][:3]
         segment, log_p = lattices.draw_other(int(units[at]), excluded, rng)
         head, tail = old_cuts[at], fresh_cuts[at + 1]
         edges = np.concatenate([old[:head], segment, fresh[tail:]])
@@ -270,52 +317,78 @@ def log_inclusion(log_p: float, threshold: float) -> float:
     return d if d < -30 else float(np.log(-np.expm1(-np.exp(min(d, 700.0)))))
 
 
-class Numbers(dict):
-    """Numbers distinct units in the order in which they are asked for."""
-
-    def __missing__(self, unit: str) -> int:
-        found = self[unit] = len(self)
-        return found
-
-
-def encode_texts(vocabulary: Vocabulary, keys: list, texts: list, k: int) -> list[list[tuple]]:
-    """Per text: (ids, log probability, log inclusion) of each of its at most k distinct samples."""
-    index = Numbers()
-    chains = [np.fromiter(map(index.__getitem__, vocabulary.split(t or "")), dtype=np.int64) for t in texts]
-    lattices = Lattices(vocabulary, list(index))
-    sizes = np.array([len(c) for c in chains], dtype=np.int64)
-    stops = np.cumsum(sizes)
-    flat = np.concatenate(chains) if len(chains) else np.zeros(0, np.int64)
+def encode_slice(vocabulary: Vocabulary, keys: list, texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """(ids of all samples end to end, ids of each sample, (text, sample from 1, log probability, log
+    inclusion) of each sample): at most k distinct samples of each text."""
+    codes, starts, chain_sizes = vocabulary.units(texts)
+    lengths = np.diff(np.concatenate([starts, [len(codes)]]))
+    hashes = Rolling(char_values(codes)).span(starts, lengths)
+    _, first, flat = np.unique(hashes, return_index=True, return_inverse=True)
+    own = lengths[first]
+    lattices = Lattices(vocabulary, codes[np.repeat(starts[first] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))], own)
+    stops = np.cumsum(chain_sizes)
     seeds = mixed(np.array([int(x) % 2**64 for x in keys], dtype=np.uint64) + np.uint64(0x51ED270B))
-    nth = np.arange(len(flat)) - np.repeat(stops - sizes, sizes)
+    nth, of_unit = np.arange(len(flat)) - np.repeat(stops - chain_sizes, chain_sizes), np.repeat(seeds, chain_sizes)
     drawn = []
     for path in range(k):
-        edges, owner, logs = lattices.draw(flat, np.repeat(seeds, sizes), nth, path)
-        drawn.append((edges, np.searchsorted(owner, np.arange(len(flat) + 1)), logs))
-    out = []
-    for i, (chain, stop) in enumerate(zip(chains, stops)):
-        start = stop - len(chain)
-        if not len(chain):
-            out.append([(np.zeros(0, np.int32), 0.0, 0.0)])
+        edges, cuts, logs = lattices.draw(flat, of_unit, nth, path)
+        rest = -np.expm1(np.minimum(logs, 0.0))
+        with np.errstate(divide="ignore"):
+            log_rest = np.where(rest > 1e-12, np.log(rest), -np.inf)
+        drawn.append((edges, cuts, logs, log_rest, np.log(uniform(of_unit, (1 << 21) + path + 1, nth, 0))))
+    samples, rows = [], []
+    for i, (start, stop, seed) in enumerate(zip((stops - chain_sizes).tolist(), stops.tolist(), seeds.tolist())):
+        if start == stop:
+            samples.append(np.zeros(0, np.int64))
+            rows.append((i, 1, 0.0, 0.0))
             continue
-        paths = [(edges[cuts[start] : cuts[stop]], cuts[start : stop + 1] - cuts[start], logs[start:stop]) for edges, cuts, logs in drawn]
-        found, threshold = top_k(lattices, chain, paths, int(seeds[i]), k)
-        out.append([(spell(vocabulary, lattices.piece[edges]), log_p, log_inclusion(log_p, threshold)) for log_p, _, edges in found])
+        paths = [(edges[cuts[start] : cuts[stop]], cuts[start : stop + 1] - cuts[start], *(x[start:stop] for x in by_unit)) for edges, cuts, *by_unit in drawn]
+        found, threshold = top_k(lattices, flat[start:stop], paths, seed, k)
+        samples += [edges for _, _, edges in found]
+        rows += [(i, j, log_p, log_inclusion(log_p, threshold)) for j, (log_p, _, _) in enumerate(found, 1)]
+    edges = np.concatenate(samples) if samples else np.zeros(0, np.int64)
+    return *spell(vocabulary, lattices.piece[edges.astype(np.int64)], np.array([len(x) for x in samples], dtype=np.int64)), rows
+
+
+def encode_texts(vocabulary: Vocabulary, keys: list, texts: list, k: int) -> list[list[tuple]]:
+    """Per text: (ids, log probability, log inclusion) of each of its at most k distinct samples."""
+    ids, sizes, rows = encode_slice(vocabulary, keys, [t or "" for t in texts], k)
+    out: list[list[tuple]] = [[] for _ in texts]
+    for own, (i, _, log_p, log_q) in zip(np.split(ids, np.cumsum(sizes)[:-1]), rows):
+        out[i].append((own, log_p, log_q))
     return out
 
 
-def spell(vocabulary: Vocabulary, pieces: np.ndarray) -> np.ndarray:
-    """Piece ids, with characters that are no piece as the ids of their UTF-8 bytes (or unknown)."""
+def spell(vocabulary: Vocabulary, pieces: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece ids, ids of each sample) of samples of so many pieces end to end: characters that are no
+    piece become the ids of their UTF-8 bytes (or unknown)."""
     bare = np.flatnonzero(pieces < 0)
     if not len(bare):
-        return pieces.astype(np.int32)
+        return pieces.astype(np.int32), sizes
     codes, which = np.unique(pieces[bare], return_inverse=True)
     as_bytes = [[vocabulary.byte_id.get(b, 0) for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in codes.tolist()]
+    wide = np.array([len(x) for x in as_bytes])
     n = np.ones(len(pieces), dtype=np.int64)
-    n[bare] = np.array([len(x) for x in as_bytes])[which]
-    out = np.repeat(pieces, n)
-    out[out < 0] = np.concatenate([as_bytes[w] for w in which.tolist()])
-    return out.astype(np.int32)
+    n[bare] = wide[which]
+    out = np.repeat(pieces, n).astype(np.int32)
+    table = np.zeros((len(as_bytes), wide.max()), dtype=np.int32)
+    for i, own in enumerate(as_bytes):
+        table[i, : len(own)] = own
+    out[out < 0] = table[which][np.arange(wide.max()) < wide[which][:, None]]
+    ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+    return out, np.diff(ends)
+
+
+_held: dict = {}
+
+
+def vocabulary_of(proto: bytes, power: float) -> Vocabulary:
+    """The vocabulary of a model file; a worker keeps the last one it built."""
+    key = (hash(proto), len(proto), power)
+    if key not in _held:
+        _held.clear()
+        _held[key] = Vocabulary(proto, power)
+    return _held[key]
 
 
 OUT = "sample int, ids array<int>, log_p double, log_inclusion double, decoded boolean"
@@ -333,20 +406,19 @@ def sample_segmentations(docs: DataFrame, model: str = MODEL, k: int = SAMPLES,
     """
     with open(model, "rb") as f:
         proto = docs.sparkSession.sparkContext.broadcast(f.read())
-    held: dict = {}
 
     def run(batches):
         for batch in batches:
-            vocabulary = held.get("v") or held.setdefault("v", Vocabulary(proto.value, power))
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            vocabulary = vocabulary_of(proto.value, power)
+            for a, b in slices(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+                part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                rows = [(j, n, *r) for j, found in enumerate(encode_texts(vocabulary, part.column("seed_key").to_pylist(), texts, k)) for n, r in enumerate(found, 1)]
-                fine = [vocabulary.decode(r[2]) == texts[r[0]] for r in rows]
-                lengths = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([np.zeros(0, np.int32), *[r[2] for r in rows]])))
-                which = pa.array([r[0] for r in rows], pa.int32())
-                new = [pa.array([r[1] for r in rows], pa.int32()), ids, *[pa.array([r[i] for r in rows], pa.float64()) for i in (3, 4)], pa.array(fine, pa.bool_())]
+                ids, sizes, rows = encode_slice(vocabulary, part.column("seed_key").to_pylist(), texts, k)
+                which, sample, log_p, log_q = (list(x) for x in zip(*rows))
+                fine = [x == texts[i].encode() for i, x in zip(which, vocabulary.decode_all(ids, sizes))]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids, pa.int32()))
+                new = [pa.array(sample, pa.int32()), lists, pa.array(log_p, pa.float64()), pa.array(log_q, pa.float64()), pa.array(fine, pa.bool_())]
+                which = pa.array(which, pa.int32())
                 yield pa.RecordBatch.from_arrays([*[part.column(c).take(which) for c in keep], *new], names=[*keep, "sample", "ids", "log_p", "log_inclusion", "decoded"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
