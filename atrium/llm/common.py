@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,21 +12,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder if
-    all runs on one machine, else one in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="atrium-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        base = _own[app]
+    """The folder all executors share: spark.checkpoint.dir or, where that is unset, one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return base.rstrip("/")
 
 

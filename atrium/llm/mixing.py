@@ -109,20 +109,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     joined by one space. n_chars, if there, is counted anew. A document the mix doesn't take is gone.
     """
     _, pieces = mix(docs, **options)
-    taken = pieces.groupBy("doc_id", "nth_row").agg(F.max("size").alias("size_"), F.max("rounds").alias("rounds_"), F.array_sort(F.collect_list(F.struct("from_word", "words", "rounds"))).alias("pieces_"))
-    own = docs.withColumn("size_", word_count("text"))
-    own = own.withColumn("nth_row", F.expr("row_number() over (partition by doc_id order by source, size_)")).drop("size_")
+    taken = pieces.groupBy("doc_id", "nth_row").agg(F.max("size").alias("size"), F.max("rounds").alias("rounds"), F.array_sort(F.collect_list(F.struct("from_word", "words", "rounds"))).alias("pieces"))
+    # The documents' own columns travel as one struct, so that no name of theirs can meet one of these.
+    own = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count("text").alias("size"))
+    own = own.withColumn("nth_row", F.expr("row_number() over (partition by doc_id order by source, size)")).select("doc_id", "nth_row", "row")
     rows = own.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.nth_row") == F.col("t.nth_row")))
-    rows = rows.select("d.*", "t.size_", "t.pieces_", F.explode(F.expr("sequence(0, cast(rounds_ as int) - 1)")).alias("pass_"))
-    rows = rows.withColumn("pieces_", F.expr("filter(pieces_, p -> p.rounds > pass_)"))
-    rows = rows.withColumn("n_", F.expr("aggregate(pieces_, 0L, (a, p) -> a + p.words)"))
-    words = F.filter(F.split("text", SPACE_CLASS), lambda w: w != "")
-    cut = rows.withColumn("words_", F.when(F.col("n_") < F.col("size_"), words))
-    cut = cut.withColumn("text", F.expr("case when words_ is null then text else array_join(flatten(transform(pieces_, p -> slice(words_, cast(p.from_word as int) + 1, cast(p.words as int)))), ' ') end"))
-    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows = rows.select("d.row", "t.size", "t.pieces", F.explode(F.expr("sequence(0, cast(rounds as int) - 1)")).alias("pass"))
+    rows = rows.withColumn("pieces", F.expr("filter(pieces, p -> p.rounds > pass)"))
+    rows = rows.withColumn("n", F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)"))
+    words = F.filter(F.split("row.text", SPACE_CLASS), lambda w: w != "")
+    cut = rows.withColumn("words", F.when(F.col("n") < F.col("size"), words))
+    cut = cut.withColumn("text", F.expr("case when words is null then row.text else array_join(flatten(transform(pieces, p -> slice(words, cast(p.from_word as int) + 1, cast(p.words as int)))), ' ') end"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op9_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row of documents, as mix defines it."""
     planned, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
