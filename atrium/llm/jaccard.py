@@ -2,11 +2,17 @@
 
 Two sets of sizes s and t with Jaccard similarity of at least 3/4 differ in at most (s + t) / 7
 elements. A hash deals the universe of shingles into segments, numbered alike for all sets of a size
-band. Going through the segments in order, each non-empty one of a set can absorb one difference
-fewer than its budget: 1 for a segment indexed as it is, 2 for one of two or more elements that is
-also indexed with each element left out. A set indexes segments until their budgets exceed the most
-it may differ from a partner; whichever of two similar sets stops first has a segment among its own
-that the other indexes too, equal or equal but for one element.
+band. Going through its non-empty segments in order, each can absorb one difference fewer than its
+budget: 1 for a segment indexed as it is, 2 for one of two or more elements that is also indexed
+with each element left out. A set indexes segments until their budgets exceed the most it may differ
+from a partner.
+
+The order allocates by cost: segments whose content is rare in the corpus first, common ones last,
+so a passage that many documents share is hardly ever indexed. Content and its count are the same
+for all sets, so of two similar sets both index the first segment that they share; if they share
+none but in the last segments, which alone have one-deletion neighbourhoods and go by their number,
+then whichever set stops first has one among its own that the other indexes too, equal or equal but
+for one element. A set whose segments' budgets don't suffice is compared with all sets of its size.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, table
-from .tokens import Rolling, mixed, word_hashes
+from .tokens import Rolling, mixed, slices, word_hashes
 
 SHINGLE = 5
 #: Similar: NUM * union <= DEN * intersection.
@@ -27,15 +33,19 @@ NUM, DEN = 75, 100
 #: one-deletion neighbourhoods, which cost more rows but raise the budget where it isn't met yet.
 INJECTIVE, RATIO, WIDTH, TAIL = 64, 3.0, 1.6, 0.2
 DOCS_PER_BUCKET, MIN_BUCKETS = 4000, 256
+#: Shingles are counted over all documents in so many cells, a bound of what is gathered and sent to
+#: the tasks; they pass through Spark in chunks. The counts order segments, they rule nothing out.
+CELLS, CHUNK = 1 << 22, 1 << 18
+#: Signatures of content counted 2**HOT_LEVEL times are lists of their own at once: no task gathers them.
+HOT_LEVEL = 16
 TILE, CENTRE_PART = 512, 400
-#: Lists of up to so many documents give their open pairs by a join, longer ones tile by tile.
-FEW = 48
-#: Elements in each hash group of the sketches that rule pairs out; pairs of a tile that are ruled on at once.
-PER_GROUP, SHORTEST, PAIRS = 4, 64, 20000
-
-
-def largest_partner(size: np.ndarray) -> np.ndarray:
-    return size * DEN // NUM
+#: Lists of up to so many documents give their open pairs by a join, longer ones tile by tile, after
+#: the centres of its PROBED longest lists and ROUNDS passes that compare each document with some of
+#: about CELL_DOCS of those.
+FEW, ROUNDS, CELL_DOCS, PROBED = 48, 2, 8, 4
+#: Elements in each hash group of the sketches that rule pairs out, and the fewest groups.
+PER_GROUP, SHORTEST = 4, 64
+BLOCK_BYTES, BLOCK = 2_000_000, 2000
 
 
 def band_of(size: np.ndarray) -> np.ndarray:
@@ -55,72 +65,158 @@ def segments_in(band: int) -> int:
     return int(band_top(np.array([band]))[0] / WIDTH)
 
 
-def shingle_sets(texts: list) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingles(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all texts end to end, the text of each): repeated ones come again."""
     words = [t.encode().lower().split() if isinstance(t, str) else [] for t in texts]
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    n = np.array([len(w) for w in words], dtype=np.int64)
     roll = Rolling(word_hashes([w for own in words for w in own]))
-    every = roll.windows(SHINGLE)
-    out = []
-    for a, b in zip(starts, starts[1:]):
-        n = int(b - a)
-        out.append(np.unique(every[a : b - SHINGLE + 1]) if n >= SHINGLE else roll.span(np.array([a]), n) if n else np.zeros(0, np.uint64))
+    starts = np.cumsum(n) - n
+    each = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
+    of = np.repeat(np.arange(len(texts)), each)
+    at = np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    return roll.span(at, np.minimum(n, SHINGLE)[of]), of
+
+
+def shingle_sets(texts: list) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    every, of = shingles(texts)
+    return [np.unique(x) for x in np.split(every, np.searchsorted(of, np.arange(1, len(texts))))] if len(texts) else []
+
+
+def cell_of(elements: np.ndarray) -> np.ndarray:
+    return (mixed(elements ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def popularity(docs: DataFrame) -> np.ndarray:
+    """For each cell of shingles, how many digits the binary count of its shingles in all documents has; of each
+    task's documents 255 count at most, which keeps common content apart from rare all the same."""
+
+    def count(batches):
+        total = np.zeros(CELLS, dtype=np.uint16)
+        for frame in batches:
+            texts = frame["text"].tolist()
+            for a, b in slices([len(t) if isinstance(t, str) else 0 for t in texts], BLOCK_BYTES):
+                cells, times = np.unique(cell_of(shingles(texts[a:b])[0]), return_counts=True)
+                total[cells] = np.minimum(total[cells] + times, 255)
+        yield pd.DataFrame({"chunk": np.arange(CELLS // CHUNK), "counts": [x.tobytes() for x in np.split(total.astype(np.uint8), CELLS // CHUNK)]})
+
+    def add(batches):  # as a stream: whatever the number of tasks, one chunk's sums are held
+        sums: dict = {}
+        for frame in batches:
+            for chunk, counts in zip(frame["chunk"], frame["counts"]):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype=np.uint8).astype(np.int64)
+        digits = [np.frexp(x.astype(float))[1].astype(np.uint8).tobytes() for x in sums.values()]
+        yield pd.DataFrame({"chunk": list(sums), "digits": digits}, columns=["chunk", "digits"])
+
+    counted = docs.select("text").mapInPandas(count, "chunk int, counts binary")
+    out = np.zeros(CELLS, dtype=np.uint8)
+    for row in counted.repartition(CELLS // CHUNK, "chunk").mapInPandas(add, "chunk int, digits binary").collect():
+        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["digits"], dtype=np.uint8)
     return out
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
-    """The signatures that a set indexes in its own band and, if a partner can be there, the next."""
-    s = len(elements)
-    own = int(band_of(np.array([s]))[0])
-    top, most = int(band_top(np.array([own]))[0]), s * DEN // NUM
-    out = [_in_band(elements, own, (s + min(most, top)) // 7)]
-    if most > top:
-        out.append(_in_band(elements, own + 1, (s + most) // 7))
-    return np.unique(np.concatenate(out))
-
-
-def _in_band(elements: np.ndarray, band: int, differ: int) -> np.ndarray:
-    salt = np.uint64(0xA0761D6478BD642F * (2 * band + 1) % 2**64)
-    values = mixed(elements ^ salt)
-    if band == 0:  # every element its own segment, in the order of its hash
-        return np.partition(values, differ)[: differ + 1] if differ + 1 < len(values) else values
-    m = segments_in(band)
-    segment = ((values >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    segment, values = segment[order], values[order]
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1])
-    sizes = np.diff(np.concatenate([starts, [len(segment)]]))
-    ids = segment[starts]
-    deep = (ids >= m * (1 - TAIL)) & (sizes >= 2)
-    upto = int(np.searchsorted(np.cumsum(1 + deep), differ + 1)) + 1
-    sums = np.add.reduceat(mixed(values), starts)
-    name = mixed(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)
-    out = [mixed(sums[:upto] ^ name[:upto])]
-    for i in np.flatnonzero(deep[:upto]):
-        inside = mixed(values[starts[i] : starts[i] + sizes[i]])
-        out.append(mixed((sums[i] - inside) ^ name[i]))
-    return np.concatenate(out)
-
-
-def fingerprint(elements: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for the set."""
-    a, b = mixed(elements + np.uint64(1)).sum(dtype=np.uint64), mixed(elements ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
-
-
-BLOCK = 2000
-EMIT = "bucket long, block long, doc_id long, nth int, size long, h1 long, h2 long, sketch binary, sigs binary, nths binary"
-MET = "list_id long, block long, nth int, doc_id long, size long, h1 long, h2 long, sketch binary"
-
-
-def sketch(elements: np.ndarray) -> bytes:
-    """How many elements fall in each hash group, 255 for that many or more.
+def signed(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, set of each, level of each, whether each set's budgets were too small) of sets that
+    stand end to end: what they index in their own band and, if a partner can be there, the next."""
+    own = band_of(sizes)
+    top, most = band_top(own), sizes * DEN // NUM
+    level = levels[cell_of(flat)]
+    parts = [_in_band(flat, sizes, level, own, np.where(own == 0, sizes // 4, (sizes + np.minimum(most, top)) // 7), np.flatnonzero(sizes > 0))]
+    parts.append(_in_band(flat, sizes, level, own + 1, (sizes + most) // 7, np.flatnonzero((sizes > 0) & (most > top))))
+    short = np.zeros(len(sizes), dtype=bool)
+    for *_, few in parts:
+        short[few] = True
+    return *(np.concatenate([p[i] for p in parts]) for i in range(3)), short
+
+
+def _in_band(flat: np.ndarray, sizes: np.ndarray, level: np.ndarray, bands: np.ndarray, differ: np.ndarray, use: np.ndarray) -> tuple:
+    """(signatures, set of each, level of each, sets whose budgets are too small) in one band a set."""
+    starts = np.cumsum(sizes) - sizes
+    salts = np.uint64(0xA0761D6478BD642F) * (2 * bands + 1).astype(np.uint64)
+    out: list = [[], [], []]
+    few = np.zeros(0, dtype=np.int64)
+    for plain in (True, False):
+        docs = use[(bands[use] == 0) == plain]
+        if not len(docs):
+            continue
+        n = sizes[docs]
+        of = np.repeat(np.arange(len(docs)), n)
+        at = np.repeat(starts[docs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        values, lev = mixed(flat[at] ^ salts[docs][of]), level[at]
+        if plain:  # every element its own segment; a shared one is missing for at most a quarter of a set
+            order = np.lexsort((values, lev, of))
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+            order = order[rank <= differ[docs][of[order]]]
+            for x, y in zip(out, (values[order], docs[of[order]], lev[order])):
+                x.append(y)
+            continue
+        m = np.array([segments_in(b) for b in range(int(bands[docs].max()) + 1)])[bands[docs]]
+        segment = ((values >> np.uint64(32)) * m[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        key = of << 40 | segment
+        order = np.argsort(key, kind="stable")
+        key, values, lev = key[order], values[order], lev[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        held = np.diff(np.concatenate([first, [len(key)]]))
+        owner, ids = key[first] >> 40, key[first] & ((1 << 40) - 1)
+        rare = np.minimum.reduceat(lev, first)
+        tail = ids >= m[owner] * (1 - TAIL)
+        deep = tail & (held >= 2)
+        walk = np.lexsort((ids, np.where(tail, 0, rare), tail, owner))
+        budget = np.cumsum(1 + deep[walk])
+        begin = np.searchsorted(owner[walk], np.arange(len(docs)))
+        spent = budget - (1 + deep[walk]) - np.concatenate([[0], budget])[begin][owner[walk]]
+        taken = walk[spent <= differ[docs][owner[walk]]]
+        total = np.bincount(owner, 1 + deep, len(docs))
+        few = docs[total < differ[docs] + 1]
+        sums = np.add.reduceat(mixed(values), first)
+        name = mixed(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salts[docs][owner])
+        for x, y in zip(out, (mixed(sums[taken] ^ name[taken]), docs[owner[taken]], rare[taken])):
+            x.append(y)
+        cut = taken[deep[taken]]
+        token = np.repeat(cut, held[cut])
+        inside = np.repeat(first[cut] - (np.cumsum(held[cut]) - held[cut]), held[cut]) + np.arange(int(held[cut].sum()))
+        for x, y in zip(out, (mixed((sums[token] - mixed(values[inside])) ^ name[token]), docs[owner[token]], rare[token])):
+            x.append(y)
+    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+    return *(np.concatenate([e, *x]).astype(e.dtype) for e, x in zip(empty, out)), few
+
+
+def signatures(elements: np.ndarray, levels: np.ndarray | None = None) -> np.ndarray:
+    """What one set indexes."""
+    return np.unique(signed(elements, np.array([len(elements)]), np.zeros(CELLS, np.uint8) if levels is None else levels)[0])
+
+
+EMIT = "bucket long, block long, doc_id long, nth int, size long, h1 long, h2 long, short boolean, sketch binary, sig long, sigs binary, nths binary"
+MET = "list_id long, block long, nth int, doc_id long, size long, h1 long, h2 long, short boolean, sketch binary"
+
+
+def fingerprints(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits that stand for each set, as two columns."""
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros((len(sizes), 2), dtype=np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some, 0] = np.add.reduceat(mixed(flat + np.uint64(1)), starts[some])
+        out[some, 1] = np.add.reduceat(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)), starts[some])
+    return out.view(np.int64)
+
+
+def sketches_of(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """How many elements of each set fall in each hash group, 255 for that many or more.
 
     A power of two of groups, with about PER_GROUP elements each: a longer sketch folds to a shorter.
     """
-    groups = max(SHORTEST, 1 << int(len(elements) // PER_GROUP).bit_length())
-    counts = np.bincount((mixed(elements ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    groups = np.maximum(SHORTEST, 1 << np.frexp((sizes // PER_GROUP).astype(float))[1].astype(np.int64))
+    ends = np.cumsum(groups)
+    group = (mixed(flat ^ np.uint64(0x2545F4914F6CDD1D)) & np.repeat(groups - 1, sizes).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(group + np.repeat(ends - groups, sizes), minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8).tobytes()
+    return [counts[b - n : b] for b, n in zip(ends.tolist(), groups.tolist())]
+
+
+def brief(sketch: bytes) -> bytes:
+    """A sketch folded to SHORTEST groups."""
+    a = np.frombuffer(sketch, dtype=np.uint8)
+    return np.where((a == 255).any(), 255, np.minimum(folded(a[None], SHORTEST)[0], 255)).astype(np.uint8).tobytes()
 
 
 def folded(sketches: np.ndarray, groups: int) -> np.ndarray:
@@ -143,62 +239,73 @@ def may_be_similar(n, m, s: list[bytes], t: list[bytes]) -> np.ndarray:
 
 
 def shortest_bound(n: np.ndarray, m: np.ndarray, s: list[bytes], t: list[bytes]) -> np.ndarray:
-    """may_be_similar for all pairs of two short lists, on sketches folded to SHORTEST groups."""
-    a, b = (np.concatenate([folded(np.frombuffer(x, dtype=np.uint8)[None], SHORTEST) for x in side]) for side in (s, t))
-    common = np.zeros((len(s), len(t)), dtype=np.int32)
+    """may_be_similar for all pairs of two short lists, on sketches folded by brief."""
+    a, b = (np.frombuffer(b"".join(side), dtype=np.uint8).reshape(-1, SHORTEST) for side in (s, t))
+    common = np.zeros((len(s), len(t)), dtype=np.int16)
     for g in range(SHORTEST):
         common += np.minimum(a[:, g, None], b[:, g])
-    full = np.array([255 in x for x in s])[:, None] | np.array([255 in x for x in t])
-    return full | (DEN * common >= NUM * (n[:, None] + m - common))
+    full = (a == 255).any(axis=1)[:, None] | (b == 255).any(axis=1)
+    return full | (DEN * common.astype(np.int32) >= NUM * (n[:, None] + m - common))
 
 
-def emit(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds: one for each document, and a block's packed postings for each bucket.
+def emit(docs: DataFrame, buckets: int, levels: np.ndarray, hot: int = HOT_LEVEL) -> DataFrame:
+    """Rows of three kinds: one for each document, a block's packed postings for each bucket, and one
+    for each posting of hot content (sig).
 
-    A posting is six bytes of a signature and the document's place in its block. Documents of one
-    block with equal sets index them once, under the smallest doc_id.
+    A packed posting is six bytes of a signature and the document's place in its block. Documents of
+    one block with equal sets index them once, under the smallest doc_id.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
+    columns = [x.split()[0] for x in EMIT.split(", ")]
+    kinds = {c: "Int64" for c in ("bucket", "block", "doc_id", "nth", "size", "h1", "h2", "sig")} | {"short": "boolean"}
 
     def run(batches):
         for frame in batches:
-            for at in range(0, len(frame), BLOCK):
-                part = frame.iloc[at : at + BLOCK]
-                ids = part["doc_id"].to_numpy(dtype=np.int64)
+            texts = frame["text"].tolist()
+            for a, b in slices([len(t) if isinstance(t, str) else 0 for t in texts], BLOCK_BYTES, BLOCK):
+                ids = frame["doc_id"].to_numpy(dtype=np.int64)[a:b]
                 block = int(mixed(np.array([np.add.reduce(mixed(ids.astype(np.uint64) * np.uint64(2 * BLOCK) + np.arange(len(ids)).astype(np.uint64)))]))[0].view(np.int64))
-                sets = shingle_sets(part["text"].tolist())
-                marks = [fingerprint(x) if len(x) else (0, 0) for x in sets]
-                own = {"bucket": (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), "block": block, "doc_id": ids, "nth": np.arange(len(ids)), "size": [len(x) for x in sets],
-                       "h1": [a for a, _ in marks], "h2": [b for _, b in marks], "sketch": [sketch(x) for x in sets], "sigs": None, "nths": None}
-                yield pd.DataFrame(own)
+                sets = shingle_sets(texts[a:b])
+                sizes, flat = np.array([len(x) for x in sets], dtype=np.int64), np.concatenate(sets)
+                marks = fingerprints(flat, sizes)
                 first: dict = {}
-                for i, mark in enumerate(marks):
-                    if len(sets[i]) and (mark not in first or ids[i] < ids[first[mark]]):
+                for i, mark in enumerate(map(tuple, marks.tolist())):
+                    if sizes[i] and (mark not in first or ids[i] < ids[first[mark]]):
                         first[mark] = i
-                heads = list(first.values())
-                if not heads:
+                heads = np.array(sorted(first.values()), dtype=np.int64)
+                sig, own, level, short = signed(np.concatenate([flat[:0], *(sets[i] for i in heads)]), sizes[heads], shared.value)
+                few = np.zeros(len(ids), dtype=bool)
+                few[heads] = short
+                yield pd.DataFrame({"bucket": (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), "block": block, "doc_id": ids, "nth": np.arange(len(ids)), "size": sizes,
+                                    "h1": marks[:, 0], "h2": marks[:, 1], "short": few, "sketch": sketches_of(flat, sizes)}).reindex(columns=columns).astype(kinds)
+                nth = heads[own].astype(np.uint16)
+                alone = level > hot
+                if alone.any():
+                    spread = (mixed(sig[alone] ^ np.uint64(block % 2**64)) % np.uint64(buckets)).astype(np.int64)
+                    yield pd.DataFrame({"bucket": spread, "block": block, "nth": nth[alone], "sig": sig[alone].view(np.int64)}).reindex(columns=columns).astype(kinds)
+                sig, nth = sig[~alone], nth[~alone]
+                if not len(sig):
                     continue
-                sigs = [signatures(sets[i]) for i in heads]
-                sig, nth = np.concatenate(sigs), np.repeat(np.array(heads, dtype=np.uint16), [len(x) for x in sigs])
                 bucket = (mixed(sig) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 sig, nth, bucket = sig[order], nth[order], bucket[order]
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
                 six = np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 8)[:, :6]
-                rows = [(int(bucket[a]), block, six[a:b].tobytes(), nth[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
-                packed = pd.DataFrame(rows, columns=["bucket", "block", "sigs", "nths"])
-                yield packed.reindex(columns=list(own)).astype({c: "Int64" for c in ("doc_id", "nth", "size", "h1", "h2")})
+                rows = [(int(bucket[x]), block, six[x:y].tobytes(), nth[x:y].tobytes()) for x, y in zip(edges, edges[1:])]
+                yield pd.DataFrame(rows, columns=["bucket", "block", "sigs", "nths"]).reindex(columns=columns).astype(kinds)
 
     return docs.mapInPandas(run, EMIT)
 
 
 def collide(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: documents pass through; of the postings, the lists of places that share a signature.
+    """One bucket: documents and hot postings pass through; of the other postings, the lists of places
+    that share a signature.
 
     Each distinct list comes out once, as rows of its id and its places.
     """
-    columns = ["list_id", "block", "nth", "doc_id", "size", "h1", "h2", "sketch"]
-    whole = {c: "Int64" for c in columns[:-1]}
-    out = [rows[rows["sigs"].isna()].reindex(columns=columns).astype(whole)]
+    columns = ["list_id", "block", "nth", "doc_id", "size", "h1", "h2", "short", "sketch"]
+    whole = {c: "Int64" for c in columns[:-2]} | {"short": "boolean"}
+    out = [rows[rows["sigs"].isna()].rename(columns={"sig": "list_id"}).reindex(columns=columns).astype(whole)]
     packed = rows[rows["sigs"].notna()]
     if len(packed):
         six = np.frombuffer(b"".join(packed["sigs"]), dtype=np.uint8).reshape(-1, 6)
@@ -259,78 +366,135 @@ def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(keep, "a long, b long")
 
 
-def rest_pairs(lists: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs still to be verified: in one list, not yet in one component, neither its centre.
+def near(one: str, other: str) -> str:
+    """SQL: sets of these sizes may be similar."""
+    return f"{DEN} * least({one}, {other}) >= {NUM} * greatest({one}, {other})"
+
+
+def open_members(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """(list_id, doc_id, size, component, main, n, others) of the lists that verified links don't hold
+    together yet: their n members, with the component that most of them are in and the number of
+    members outside it."""
+    known = lists.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list_id", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    parts = known.groupBy("list_id", "component").agg(F.count("*").alias("n")).groupBy("list_id")
+    open_ = parts.agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    return known.join(open_.selectExpr("list_id", "top.component as main", "n", "n - top.n as others"), "list_id")
+
+
+def probe_pairs(members: DataFrame, nth: int) -> DataFrame:
+    """Pairs of different components within random cells of about CELL_DOCS members of a long list:
+    as many as the members, whatever the length of their list. It finds most links of a large group
+    of near copies; what it leaves open is compared in full afterwards."""
+    rows = members.where(f"n > {FEW}").selectExpr("*", "row_number() over (partition by doc_id order by n desc, list_id) as nth").where(f"nth <= {PROBED}")
+    rows = rows.select("list_id", "doc_id", "size", "component", F.pmod(F.xxhash64("doc_id", "list_id", F.lit(nth)), F.ceil(F.col("n") / CELL_DOCS)).alias("cell"))
+    other = rows.select("list_id", "cell", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), F.col("size").alias("size_b"))
+    return rows.join(other, ["list_id", "cell"]).where(f"doc_id < b and component <> of_b and {near('size', 'size_b')}").select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def rest_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs still to be verified: in one open list and not yet in one component.
 
     Lists that verified links already hold together give none, so copies aren't expanded into pairs.
-    The sketches rule out most pairs that only share a passage; none that is similar.
+    In a long list the members outside the main component meet all of it, in tiles. The sketches
+    rule out most pairs that only share a passage; none that is similar.
     """
-    known = lists.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    known = known.where("doc_id <> centre").select("list_id", "doc_id", "component")
-    open_ = known.groupBy("list_id").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("n")).where("x <> y").select("list_id", "tiles", "n")
-    rows = materialise(known.join(open_, "list_id"), "open-lists")
-    few = rows.where(f"n <= {FEW}").select("list_id", "doc_id", "component")
-    other = few.select("list_id", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
-    small = few.join(other, "list_id").where("doc_id < b and component <> of_b").select(F.col("doc_id").alias("a"), "b").distinct()
-    large = rows.where(f"n > {FEW}").join(sketches, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    tiled = large.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    tiled = tiled.select("list_id", "doc_id", "component", "size", "sketch", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-
-    def cross(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
-        left, right = tile[tile["own"] == int(key[1])], tile[tile["own"] == int(key[2])]
-        out = []
-        if len(left) and len(right):
-            # The pairs of sizes and shortest sketches that fit, then the full bound for those.
-            n, m = left["size"].to_numpy(), right["size"].to_numpy()
-            i, j = np.nonzero((DEN * np.minimum(n[:, None], m) >= NUM * np.maximum(n[:, None], m)) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()))
-            x, y, s, t = left["doc_id"].to_numpy(), right["doc_id"].to_numpy(), left["sketch"].tolist(), right["sketch"].tolist()
-            near = shortest_bound(n, m, s, t)[i, j]
-            i, j = i[near], j[near]
-            if int(key[1]) == int(key[2]):
-                half = x[i] < y[j]
-                i, j = i[half], j[half]
-            for at in range(0, len(i), PAIRS):
-                u, v = i[at : at + PAIRS], j[at : at + PAIRS]
-                fine = may_be_similar(n[u], m[v], [s[k] for k in u], [t[k] for k in v])
-                u, v = u[fine], v[fine]
-                out.append(pd.DataFrame({"a": np.minimum(x[u], y[v]), "b": np.maximum(x[u], y[v])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
-
-    return plausible(small, sketches).union(tiled.groupBy("list_id", "p", "q").applyInPandas(cross, "a long, b long")).distinct()
-
-
-def similar_documents(docs: DataFrame) -> DataFrame:
+    few = members.where(f"n <= {FEW}").select("list_id", "doc_id", "size", "component")
+    other = few.select("list_id", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), F.col("size").alias("size_b"))
+    small = few.join(other, "list_id").where(f"doc_id < b and component <> of_b and {near('size', 'size_b')}").select(F.col("doc_id").alias("a"), "b").distinct()
+    long_ = members.where(f"n > {FEW}")
+    # Lists of nearly the same members, such as those of one passage, are compared as one: they meet by MinHash.
+    marks = [F.min(F.xxhash64("doc_id", F.lit(salt))) for salt in (11, 12)]
+    merged = long_.groupBy("list_id").agg(F.xxhash64(*marks).alias("of"))
+    long_ = long_.join(merged, "list_id").groupBy(F.col("of").alias("list_id"), "doc_id", "size", "component").agg(F.max("main").alias("main"))
+    per = long_.groupBy("list_id").agg(F.count("*").alias("n"), F.max("main").alias("whole"))
+    long_ = long_.join(per, "list_id").withColumn("main", F.col("whole"))
+    outside = long_.where("component <> main").groupBy("list_id").agg(F.count("*").alias("others"))
+    large = long_.join(outside, "list_id").join(sketches.select("doc_id", "brief"), "doc_id")
+    large = large.withColumns({"rows": F.ceil(F.col("others") / TILE).cast("int"), "columns": F.ceil(F.col("n") / TILE).cast("int"), "outside": F.col("component") != F.col("main")})
+    spread = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    keep = ["list_id", "doc_id", "component", "size", "brief", "outside"]
+    left = large.where("outside").select(*keep, F.lit(True).alias("left"), spread("rows").alias("p"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("q"))
+    right = large.select(*keep, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("p"), spread("columns").alias("q"))
+
+    def cross(tile: pd.DataFrame) -> pd.DataFrame:
+        side = tile["left"].to_numpy(dtype=bool)
+        left, right = tile[side], tile[~side]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        x, y, n, m = left["doc_id"].to_numpy(), right["doc_id"].to_numpy(), left["size"].to_numpy(), right["size"].to_numpy()
+        fine = (DEN * np.minimum(n[:, None], m) >= NUM * np.maximum(n[:, None], m)) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy())
+        fine &= ~right["outside"].to_numpy(dtype=bool) | (x[:, None] < y)  # two outside members meet twice
+        if fine.any():
+            fine &= shortest_bound(n, m, left["brief"].tolist(), right["brief"].tolist())
+        i, j = np.nonzero(fine)
+        return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j])})
+
+    crossed = left.unionByName(right).groupBy("list_id", "p", "q").applyInPandas(cross, "a long, b long")
+    return plausible(small.union(crossed).distinct(), sketches)
+
+
+def size_pairs(sketches: DataFrame) -> DataFrame:
+    """Pairs of each set whose budgets were too small with every set of about its size."""
+    step = F.floor(F.log(F.col("size")) / float(np.log(DEN / NUM)))
+    few = sketches.where("short").select(F.col("doc_id").alias("a"), F.explode(F.sequence(step - 2, step + 2)).alias("step"))
+    every = sketches.where("size > 0").select(F.col("doc_id").alias("b"), step.alias("step"))
+    return few.join(every, "step").where("a <> b").select("a", "b").distinct()
+
+
+def similar_documents(docs: DataFrame, hot: int = HOT_LEVEL) -> DataFrame:
     """doc_id, n_shingles and component_id of each document (doc_id, text); other columns are ignored.
 
     component_id: the smallest doc_id reachable by links, itself included. A null or empty text has
     no shingle and links with nothing; a text of fewer words than a shingle is one. Equal sets are
     linked through their smallest doc_id and indexed once. Rows that repeat a doc_id each come back;
     they must hold the same text. A null doc_id links with nothing and is its own (null) component.
+    Texts count whole, however long; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     valid = docs.where("doc_id is not null")
     buckets = max(MIN_BUCKETS, docs.count() // DOCS_PER_BUCKET)
-    met = materialise(emit(valid, buckets).groupBy("bucket").applyInPandas(collide, MET), "shared-signatures")
-    sizes = met.where("list_id is null").select("block", "nth", "doc_id", "size", "h1", "h2", "sketch")
+    met = materialise(emit(valid, buckets, popularity(valid), hot).groupBy("bucket").applyInPandas(collide, MET), "shared-signatures")
+    sizes = met.where("doc_id is not null").select("block", "nth", "doc_id", "size", "h1", "h2", "short", "sketch")
     heads = sizes.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("head"))
     # A block's smallest copy may stand for a set whose smallest copy is elsewhere: take that one.
-    of = materialise(sizes.drop("sketch").join(heads, ["h1", "h2"]).select("block", "nth", "doc_id", "head", "size"), "set-heads")
+    of = materialise(sizes.drop("sketch", "short").join(heads, ["h1", "h2"]).select("block", "nth", "doc_id", "head", "size"), "set-heads")
     posted = met.where("list_id is not null").select("list_id", "block", "nth").distinct()
     lists = posted.join(of.select("block", "nth", "head", "size"), ["block", "nth"]).select("list_id", F.col("head").alias("doc_id"), "size").distinct()
     centres = lists.groupBy("list_id").agg(F.min(F.struct("doc_id", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    lists = materialise(lists.join(centres.select("list_id", F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size")), "list_id"), "candidate-lists")
-    near = f"{DEN} * least(size, centre_size) >= {NUM} * greatest(size, centre_size)"
-    star = lists.where(f"doc_id <> centre and {near}").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sketches = sizes.select("doc_id", "size", "sketch").dropDuplicates(["doc_id"]).join(lists.select("doc_id").distinct(), "doc_id", "left_semi")
-    sketches = materialise(sketches, "sketches")
+    lists = materialise(lists.join(centres.select("list_id", "n", F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size")), "list_id"), "candidate-lists")
+    star = lists.where(f"doc_id <> centre and {near('size', 'centre_size')}")
+    longest = star.where(f"n > {FEW}").selectExpr("*", "row_number() over (partition by doc_id order by n desc, list_id) as nth").where(f"nth <= {PROBED}").drop("nth")
+    star = star.where(f"n <= {FEW}").unionByName(longest).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    whole = of.where("doc_id = head").select("doc_id").distinct()
+    short = sizes.where("short").select("doc_id")
+    asked = lists.select("doc_id").distinct() if short.isEmpty() else whole
+
+    def fold(batches):
+        for frame in batches:
+            yield frame.assign(brief=[brief(x) for x in frame["sketch"]])
+
+    sketches = sizes.select("doc_id", "size", "short", "sketch").dropDuplicates(["doc_id"]).join(asked, "doc_id", "left_semi")
+    sketches = materialise(sketches.mapInPandas(fold, "doc_id long, size long, short boolean, sketch binary, brief binary"), "sketches")
+    if not short.isEmpty():
+        star = star.union(size_pairs(sketches)).distinct()
     star = materialise(plausible(star, sketches), "star-pairs")
-    # What the first pass leaves open is found while whole texts move once for both.
-    wide = lists.where("doc_id <> centre").groupBy("list_id").agg(F.count("*").alias("n")).where("n > 1").select("list_id")
-    members = star.select(F.col("a").alias("doc_id")).union(star.select("b")).union(lists.join(wide, "list_id", "left_semi").where("doc_id <> centre").select("doc_id")).distinct()
-    texts = materialise(valid.dropDuplicates(["doc_id"]).join(members, "doc_id"), "candidate-texts")
-    links = materialise(verify(star, texts), "star-links")
-    part = connected_components(links, "a", "b")
-    rest = materialise(rest_pairs(lists, part, sketches), "rest-pairs")
+    # What the first pass leaves open is found while whole texts move once for all.
+    wide = lists.groupBy("list_id").agg(F.count("*").alias("n")).where("n > 2").select("list_id")
+    asked = star.select(F.col("a").alias("doc_id")).union(star.select("b")).union(lists.join(wide, "list_id", "left_semi").select("doc_id")).distinct()
+    texts = materialise(valid.dropDuplicates(["doc_id"]).join(asked, "doc_id"), "candidate-texts")
+    lists = lists.select("list_id", "doc_id", "size").join(wide, "list_id", "left_semi")
+    links = materialise(verify(star, texts), "links")
+    for nth in range(ROUNDS):
+        members = materialise(open_members(lists, connected_components(links, "a", "b")), "open-lists")
+        if members.where(f"n > {FEW}").isEmpty():
+            break
+        lists = members.select("list_id", "doc_id", "size")
+        found = verify(plausible(probe_pairs(members, nth), sketches), texts)
+        links = links.union(materialise(found, "links"))
+        members = None
+    if members is None:
+        members = materialise(open_members(lists, connected_components(links, "a", "b")), "open-lists")
+    rest = materialise(rest_pairs(members, sketches).join(star, ["a", "b"], "left_anti"), "rest-pairs")
     links = links.union(verify(rest, texts)).union(of.where("doc_id <> head").select("head", "doc_id"))
     whole = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
     out = docs.join(sizes.select("doc_id", "size").distinct(), "doc_id", "left").join(whole, "doc_id", "left")
@@ -338,6 +502,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every row of documents, as similar_documents defines them."""
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
