@@ -408,6 +408,74 @@ def test_template_leaves_slots(spark):
     assert pages.extract(frame.where("false")).count() == 0
 
 
+def plain_article(page):
+    """The article's blocks as the standard library's parser sees them."""
+    from html.parser import HTMLParser
+
+    out, open_ = [], []
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside = 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("article", "p", "h1", "br", "li", "div"):
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "p", "h1", "li", "div"):
+                self.cut()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                open_.append(data)
+
+        def cut(self):
+            text = " ".join("".join(open_).split())
+            open_.clear()
+            if text:
+                out.append(text)
+
+    Reader().feed(page)
+    return "\n".join(out)
+
+
+def test_template_gives_the_articles_without_names(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    want = {r["page_id"]: plain_article(r["html"]) for r in rows}
+    assert {r["page_id"]: r["text"] for r in pages.op8_template_extraction(spark, sf).collect()} == want
+    # Of the larger hosts the template alone gives the articles, whatever the elements are called.
+    monkeypatch.setattr(pages, "NOISE", frozenset())
+    monkeypatch.setattr(pages, "DROPPED", pages.RAW | {"head"})
+    template = {r["host"]: r for r in pages.template_tokens(spark.createDataFrame(rows).select(pages.host_of("url").alias("host"), "html")).collect()}
+    hosted = [r for r in rows if r["url"].split("/")[2] in template]
+    assert len(hosted) > 80
+    for r in hosted:
+        t = template[r["url"].split("/")[2]]
+        assert pages.main_text(r["html"], set(t["tokens"]), t["container"], frozenset(t["menus"])) == want[r["page_id"]]
+        assert pages.main_text(r["html"], set()) != want[r["page_id"]]
+
+
+def test_names_say_no_more_than_they_mean():
+    assert pages.main_text('<div class="post no-comments">a</div><div class="content has-sidebar">b</div><div class="sidebar-left">c</div>', set()) == "a\nb"
+    assert pages.main_text("<article><p>A</p></article><div><p>Body</p></div>", set()) == "A\nBody"
+    assert pages.main_text('<p title="it\'s>a</p><p title=\'x"y\'>b</p>', set()) == "a\nb"
+
+
+def test_odd_pages_take_one_pass():
+    import time
+
+    began = time.process_time()
+    n = 60000
+    for page in ("<a " * n, '<p title="' * n + ">", "<div>x" * n, "<b>" * n + "</i>" * n, "<!--" * n, "<script>" * n, "</div>" * n, "&amp;" * n, "<li>" * n + "x"):
+        pages.parse(page)
+    assert time.process_time() - began < 60
+
+
 # --- 9 mixing
 
 
@@ -448,6 +516,16 @@ def test_mixed_documents(spark, corpus):
     assert got == {r["doc_id"]: r["taken"] for r in planned.collect() if r["taken"]}
 
 
+def test_other_columns_pass_whatever_they_are_called(spark):
+    names = "row runs lines parts left kept size pieces words n pass rounds nth_row text_ n_removed".split()
+    frame = spark.createDataFrame([(i, t, "s", *[f"{c}{i}" for c in names]) for i, t in enumerate(("a b c\nd", "x y\nd\nz", None, ""))], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    kept = [c for c in names if c != "n_removed"]
+    out = {r["doc_id"]: r for r in lines.remove_repeated_lines(frame).collect()}
+    assert out[1]["text"] == "x y\nz" and all(out[i][c] == f"{c}{i}" for i in range(4) for c in kept)
+    mixed = mixing.mixed_documents(frame, block_words=1).collect()
+    assert mixed and all(r[c] == f"{c}{r['doc_id']}" for r in mixed for c in names)
+
+
 def test_mix_edges(spark):
     rows = [(1, "a b c", None), (1, "a b c", None), (None, "d e", "s"), (2, None, "s"), (3, "", "t")]
     out = mixing.mix(docs(spark, rows), block_words=1)[0].collect()
