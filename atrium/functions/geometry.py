@@ -57,6 +57,31 @@ def ring_bbox(ring) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def bbox_centre(ring) -> Column:
+    """Middle of a ring's box: neither of the centroids."""
+    b = ring_bbox(ring)
+    return point((b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2)
+
+
+def fill_ratio(ring) -> Column:
+    """Share of its box that a ring fills; 1 for a box without area."""
+    b = ring_bbox(ring)
+    box = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+    return F.when(box == 0, 1.0).otherwise(F.abs(ring_area(ring)) / F.nullif(box, F.lit(0.0)))
+
+
+def coordinate_box(coordinates) -> Column:
+    """The box (west, south, east, north) of all positions in nested GeoJSON coordinates, given as text;
+    180, 90, -180, -90 where there are none."""
+    number = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
+    axis = lambda n: F.transform(F.regexp_extract_all(col(coordinates), F.lit(rf"\[\s*({number})\s*,\s*({number})"), F.lit(n)), lambda v: v.cast("double"))
+    xs, ys = axis(1), axis(2)
+    return F.struct(
+        F.least(F.lit(180.0), F.array_min(xs)).alias("west"), F.least(F.lit(90.0), F.array_min(ys)).alias("south"),
+        F.greatest(F.lit(-180.0), F.array_max(xs)).alias("east"), F.greatest(F.lit(-90.0), F.array_max(ys)).alias("north"),
+    )
+
+
 def exterior(rings) -> Column:
     """The ring of largest absolute area; the first of equals."""
     ranked = F.transform(col(rings), lambda r, i: F.struct((-F.abs(ring_area(r))).alias("a"), i.alias("i"), r.alias("ring")))

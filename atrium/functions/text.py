@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from atrium import params
 
-#: Accented Latin letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _bare(c: str, form: str) -> str:
+    return "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x))
+
+
+#: Letters with marks, from Latin to the letterlike symbols, and what canonical decomposition leaves of them.
+_MARKED = {c: _bare(c, "NFD") for c in map(chr, range(0xC0, 0x2200))}
+ACCENTED = "".join(c for c, b in _MARKED.items() if b != c and len(b) == 1)
+PLAIN = "".join(_MARKED[c] for c in ACCENTED)
+#: Characters that compatibility decomposition turns into one ASCII character, such as ordinal signs, or into more, such as ligatures.
+_COMPATIBLE = {c: _bare(c, "NFKD").encode("ascii", "ignore").decode().lower() for c in map(chr, [*range(0xA0, 0x2200), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)])}
+_ONE = {c: b for c, b in _COMPATIBLE.items() if len(b) == 1}
+_MORE = {c: b for c, b in _COMPATIBLE.items() if len(b) > 1 and c.isalpha() and c.islower()}
 
 
 def col(c) -> Column:
@@ -34,13 +47,16 @@ def title_case_hyphens(text, particles=params.PARTICLES_MORE) -> Column:
 
 
 def fold(text) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(col(text)), ACCENTED, PLAIN)
+    """Lower case without marks, on whatever letter they stand."""
+    return F.translate(F.regexp_replace(F.lower(col(text)), r"\p{Mn}", ""), ACCENTED, PLAIN)
 
 
 def ascii_fold(text) -> Column:
-    """fold, then without what isn't ASCII."""
-    return F.regexp_replace(fold(text), r"[^\x00-\x7F]", "")
+    """Lower case in ASCII: marks go, compatible forms become plain ones, and what isn't ASCII then goes."""
+    out = F.translate(fold(text), "".join(_ONE), "".join(_ONE.values()))
+    for c, plain in _MORE.items():
+        out = F.replace(out, F.lit(c), F.lit(plain))
+    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
 
 
 def escape_html(text) -> Column:

@@ -24,6 +24,30 @@ def _rgb(r, g, b) -> Column:
     return F.struct(col(r).alias("r"), col(g).alias("g"), col(b).alias("b"))
 
 
+def rgb_ints(c) -> Column:
+    """A colour channel from 0..1 to 0..255, halves to even."""
+    return F.bround(col(c) * 255).cast("int")
+
+
+def first_colour(r, g, b, table, tol: int) -> Column:
+    """The name of the first colour of the table within ``tol`` on every channel; null if none."""
+    return _first([(c, name, None) for c, name in table], _rgb(r, g, b), tol)["kind"]
+
+
+def in_box(ring, box: tuple) -> Column:
+    """Whether a ring's box has its centre in a box, edges included."""
+    from atrium.functions.geometry import bbox_centre
+
+    c, (x0, y0, x1, y1) = bbox_centre(ring), box
+    return c["x"].between(x0, x1) & c["y"].between(y0, y1)
+
+
+def wholly_in(ring, box: tuple) -> Column:
+    """Whether all of a ring's vertices are in a box, edges included."""
+    x0, y0, x1, y1 = box
+    return F.forall(col(ring), lambda p: p["x"].between(x0, x1) & p["y"].between(y0, y1))
+
+
 def snapped(r, g, b, tol: int = params.SNAP_TOL) -> Column:
     """(kind, cat) of the first palette colour within ``tol`` on every channel, after aliases; null if none."""
     colour = _rgb(r, g, b)

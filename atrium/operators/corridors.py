@@ -28,13 +28,30 @@ def erode(cells: DataFrame, radius: int, flag: str, key: str = "venue") -> DataF
 
 
 def walkable(cells: DataFrame, closing: int, opening: int, key: str = "venue") -> DataFrame:
-    """``cells`` (taken) with corridor: the closing of what is taken, less it, opened by ``opening``."""
-    rows = cells.withColumn("hull", F.col("taken"))
+    """``cells`` (taken) with corridor: the closing of what is taken, less it, opened by ``opening``.
+
+    The cells are dealt by venue once: every sliding window then finds its rows in place.
+    """
+    rows = cells.repartition(key).withColumn("hull", F.col("taken"))
     rows = erode(dilate(rows, closing, "hull", key), closing, "hull", key)
     rows = rows.withColumn("corridor", F.col("hull") & ~F.col("taken"))
     return dilate(erode(rows, opening, "corridor", key), opening, "corridor", key).withColumn("corridor", F.expr("corridor and hull and not taken")).drop("hull")
 
 
+def walkable_with_apron(cells: DataFrame, closing: int = params.CLOSING_M, apron: int = params.APRON_M, opening: int = params.WIDTH_MIN // 2, key: str = "venue") -> DataFrame:
+    """``cells`` (taken) with walkable: the closing of what is taken and an apron around it, inside the
+    box of what is taken, less it, opened by ``opening``."""
+    rows = cells.repartition(key).withColumn("hull", F.col("taken"))
+    rows = erode(dilate(rows, closing, "hull", key), closing, "hull", key)
+    rows = dilate(rows.withColumn("apron", F.col("taken")), apron, "apron", key)
+    for axis in ("i", "j"):
+        for end, f in (("first", "min"), ("last", "max")):
+            rows = rows.withColumn(f"_{end}_{axis}", F.expr(f"{f}(case when taken then {axis} end) over (partition by {key})"))
+    inside = F.expr("i between _first_i and _last_i and j between _first_j and _last_j")
+    rows = rows.withColumn("walkable", (F.col("hull") | F.col("apron") & F.coalesce(inside, F.lit(False))) & ~F.col("taken"))
+    return dilate(erode(rows, opening, "walkable", key), opening, "walkable", key).withColumn("walkable", F.expr("walkable and not taken")).select(*cells.columns, "walkable")
+
+
 def scan_runs(cells: DataFrame, along: str, across: str, flag: str = "corridor", key: str = "venue") -> DataFrame:
     """(key, a, lo, hi, width, centre): the runs of true cells on each scan line; cells are one metre."""
     rows = cells.where(flag).selectExpr(key, f"{along} as a", f"{across} as b", f"{across} - row_number() over (partition by {key}, {along} order by {across}) as isle")
@@ -76,6 +93,64 @@ def ways(tracked: DataFrame, axis: str = "axis", key: str = "venue") -> DataFram
     return per.select(key, axis, "track", "centre", F.least("w", F.lit(params.WIDTH_MAX)).alias("width"), (F.col("w") > params.WIDTH_MAX).alias("open"), "from", "to", "extent")
 
 
+def clip_ways(found: DataFrame, runs: DataFrame, axis: str = "axis", key: str = "venue") -> DataFrame:
+    """``found`` cut to the corridor: extent and lines (array of from, to) of the pieces of a way's centre line
+    that lie in the corridor and are at least as long as the way is wide; ways of under LENGTH_MIN in all go.
+
+    ``runs`` (key, axis, a, lo, hi) as scan_runs gives them for both axes: a way along one axis lies on a scan
+    line of the other. The last cell of a piece counts.
+    """
+    other = runs.select(key, F.when(F.col(axis) == "x", "y").otherwise("x").alias(axis), F.col("a").alias("line"), "lo", "hi")
+    rows = found.drop("extent").withColumn("line", F.floor("centre").cast("int")).join(other, [key, axis, "line"]).where("hi >= `from` and lo <= `to`")
+    pieces = rows.withColumns({"lo": F.greatest("lo", "from"), "hi": F.least("hi", "to")}).where("hi - lo + 1 >= width")
+    per = pieces.groupBy(key, axis, "track").agg(F.sum(F.expr("hi - lo + 1")).alias("extent"), F.array_sort(F.collect_list(F.struct(F.col("lo").alias("from"), F.col("hi").alias("to")))).alias("lines"))
+    return found.drop("extent").join(per.where(F.col("extent") >= params.LENGTH_MIN), [key, axis, "track"])
+
+
+def longest_piece(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """Of the pieces (from, to) of each group the longest, the first of equals."""
+    return pieces.groupBy(*by).agg(F.min(F.struct(F.expr("`from` - `to`").alias("n"), F.col("from"), F.col("to"))).alias("m")).select(*by, "m.from", "m.to")
+
+
+def seed_ways(arrows: DataFrame, found: DataFrame, runs: DataFrame, axis: str = "axis", key: str = "venue") -> DataFrame:
+    """Ways (as name_ways gives them) out of arrows (key, ord, name, axis, along, across) whose name no way has.
+
+    The axis is the arrow's. Widths are taken at SEED_OFFSETS beside it, where the run across holds the
+    axis and is WIDTH_MIN to WIDTH_OPEN wide; their upper median counts. The piece of the corridor under
+    the arrow must be LENGTH_MIN long. Of arrows with one name the first that succeeds counts.
+    """
+    a = arrows.join(found.select(key, "name").distinct(), [key, "name"], "left_anti")
+    at = a.select(key, axis, "ord", "along", "across", F.explode(F.array(*[F.lit(float(d)) for d in params.SEED_OFFSETS])).alias("d"))
+    at = at.withColumn("a", F.floor(F.col("along") + F.col("d")).cast("int")).join(runs.select(key, axis, "a", "lo", "hi", F.col("width").alias("w")), [key, axis, "a"])
+    beside = at.where(f"across >= lo and across < hi + 1 and w between {params.WIDTH_MIN} and {params.WIDTH_OPEN}")
+    widths = beside.groupBy(key, axis, "ord").agg(F.expr("array_sort(collect_list(w))[cast(count(*) div 2 as int)]").alias("w"))  # as many as there are offsets, at most
+    lines = runs.select(key, F.when(F.col(axis) == "x", "y").otherwise("x").alias(axis), F.col("a").alias("line"), F.col("lo").alias("from"), F.col("hi").alias("to"))
+    under = a.withColumn("line", F.floor("across").cast("int")).join(lines, [key, axis, "line"]).where(f"along >= `from` and along < `to` + 1 and `to` - `from` + 1 >= {params.LENGTH_MIN}")
+    grown = under.join(widths, [key, axis, "ord"])
+    first = grown.groupBy(key, "name").agg(F.min("ord").alias("ord"))
+    rows = grown.join(first, [key, "name", "ord"], "left_semi")
+    return rows.select(
+        key, axis, F.col("across").alias("centre"), F.least("w", F.lit(params.WIDTH_MAX)).alias("width"), (F.col("w") > params.WIDTH_MAX).alias("open"),
+        F.expr("cast(`to` - `from` + 1 as long)").alias("extent"), F.array(F.struct("from", "to")).alias("lines"), "name", F.lit(False).alias("derived"),
+    )
+
+
+def in_bands(cells: DataFrame, found: DataFrame, margins: tuple, axis: str = "axis", key: str = "venue") -> DataFrame:
+    """(key, i, j, margin): the cells whose centre lies in the band of a way (axis, centre, width, lines), as far
+    beyond its width as each margin. A band is listed line by line, so cells meet the bands of their lines only."""
+    bands = found.select(key, axis, "centre", "width", F.explode("lines").alias("l"), F.explode(F.array(*[F.lit(float(m)) for m in margins])).alias("margin"))
+    reach = "width / 2 + margin"
+    bands = bands.select(key, axis, "margin", F.col("l.from").alias("lo"), F.col("l.to").alias("hi"), F.explode(F.expr(f"sequence(cast(ceil(centre - ({reach}) - 0.5) as int), cast(floor(centre + {reach} - 0.5) as int))")).alias("line"))
+    of = lambda name, line, along: cells.select(key, "i", "j", F.col(line).alias("line"), F.col(along).alias("along")).join(bands.where(F.col(axis) == name), [key, "line"]).where("along between lo and hi")
+    return of("y", "j", "i").union(of("x", "i", "j")).select(key, "i", "j", "margin").distinct()
+
+
+def longest_ways(merged: DataFrame, axis: str = "axis", key: str = "venue") -> DataFrame:
+    """The longest way of each axis that is one line, the first name of equals."""
+    rows = merged.where(F.size("lines") == 1).groupBy(key, axis)
+    return rows.agg(F.min(F.struct((-F.col("extent")).alias("n"), "name")).alias("m")).select(key, axis, "m.name", (-F.col("m.n")).alias("extent"))
+
+
 def name_ways(found: DataFrame, arrows: DataFrame, axis: str = "axis", key: str = "venue") -> DataFrame:
     """``found`` with name and derived: the most frequent arrow (name, axis, along, across, ord) inside a way's band,
     of equals the first; unnamed ways of LENGTH_ANON are numbered by centre, shorter ones go."""
@@ -90,5 +165,6 @@ def name_ways(found: DataFrame, arrows: DataFrame, axis: str = "axis", key: str
 
 
 def merge_ways(named: DataFrame, axis: str = "axis", key: str = "venue") -> DataFrame:
-    """One row a name and axis: mean width, total extent, whether any part is open."""
-    return named.groupBy(key, "name", axis).agg(F.round(F.avg("width"), 1).alias("width"), F.sum("extent").alias("extent"), F.bool_or("open").alias("open"), F.bool_or("derived").alias("derived"), F.count("*").alias("parts"))
+    """One row a name and axis: mean width, total extent, whether any part is open, and all parts' lines."""
+    lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("centre", "lines"))), lambda p: p["lines"]))
+    return named.groupBy(key, "name", axis).agg(F.round(F.avg("width"), 1).alias("width"), F.sum("extent").alias("extent"), F.bool_or("open").alias("open"), F.bool_or("derived").alias("derived"), F.count("*").alias("parts"), lines.alias("lines"))

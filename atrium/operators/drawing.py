@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,30 @@ from atrium.functions import geometry as geo
 CURVE_STEPS = 6
 
 
+def visible_paths(paths: DataFrame, window: tuple) -> DataFrame:
+    """The filled paths of each page that the read window and the clip in force let through.
+
+    ``paths``: page, seq, level, type (clip, group or a fill), filled, x0, y0, x1, y1. A clip holds for
+    the deeper levels after it, until a row of its level or above; the innermost one counts. Boxes that
+    only touch don't meet. The stack is a fold over a page's rows, so a small kernel per page.
+    """
+    x0, y0, x1, y1 = window
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        clips: list[tuple] = []
+        keep = []
+        for level, kind, filled, *box in rows[["level", "type", "filled", "x0", "y0", "x1", "y1"]].itertuples(index=False):
+            clips = [c for c in clips if c[0] < level]
+            if kind == "clip":
+                clips.append((level, box))
+            meets = lambda o: max(o[0], box[0]) < min(o[2], box[2]) and max(o[1], box[1]) < min(o[3], box[3])  # noqa: E731, B023
+            keep.append(kind not in ("clip", "group") and bool(filled) and meets((x0, y0, x1, y1)) and (not clips or meets(clips[-1][1])))
+        return rows[keep]
+
+    return paths.groupBy("page").applyInPandas(scan, paths.schema)
+
+
 def flattened(op, points):
     """The points an operation adds: a cubic curve is CURVE_STEPS chords, others are as they stand."""
     p = geo.col(points)

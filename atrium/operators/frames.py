@@ -81,6 +81,12 @@ class GridFrame:
         return F.when(F.lit(self.ex[0] * scale * self.ey[1] - self.ex[1] * self.ey[0] * scale) > 0, 1).otherwise(-1)
 
 
-def best_bearing(width, height, cos_lat) -> Column:
-    """0, or 90 if the box fits a portrait screen better turned; a tie keeps 0."""
-    return F.when(col(height) > col(width) * col(cos_lat), 90.0).otherwise(0.0)
+def best_bearing(screen_w, screen_h, box, base: float = 0.0) -> Column:
+    """``base``, or 90 degrees more if a box of degrees (west, south, east, north) is shown larger standing
+    on a screen of that size; a tie, or a screen without size, keeps ``base``. Longitudes shrink with the
+    cosine of the middle latitude."""
+    b, w, h = col(box), col(screen_w), col(screen_h)
+    wide = (b["east"] - b["west"]) * F.cos(F.radians((b["south"] + b["north"]) / 2))
+    tall = b["north"] - b["south"]
+    zoom = lambda across, up: F.least(w / F.nullif(across, F.lit(0.0)), h / F.nullif(up, F.lit(0.0)))
+    return F.when((w > 0) & (h > 0) & (zoom(tall, wide) > zoom(wide, tall)), base + 90.0).otherwise(F.lit(base))

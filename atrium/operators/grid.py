@@ -1,30 +1,28 @@
 """The routing grid as a table of cells: raster, packing, edges, clearance, snapping, reachability.
 
-A grid is (venue, i, j, free). Neighbours meet by equi-joins on (venue, i, j); nothing is gathered.
+A grid is (venue, i, j, free). Neighbours meet by equi-joins on (venue, i, j); only a venue's own
+grid, whose size is bounded, is ever gathered.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atrium import params
+from atrium.functions.geometry import js_round
 
 #: The eight neighbours; the diagonals need both cells beside them free.
 NEIGHBOURS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))
 
 
 def work_path(spark, name: str) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir; where that is unset, in the
-    warehouse, or in a temporary folder if all runs on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[")
-        base = os.path.join(tempfile.gettempdir(), f"atrium-{spark.sparkContext.applicationId}") if local else spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that all executors share: in spark.checkpoint.dir or, where that is unset, in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -81,17 +79,32 @@ def edges(cells: DataFrame, key: str = "venue") -> DataFrame:
 def clearance(cells: DataFrame, reach: int = 6, key: str = "venue") -> DataFrame:
     """``cells`` with clearance: the octile distance in cells to the nearest that isn't free, at most ``reach``.
 
-    What lies outside the table is a wall. Distances saturate where comfort does, so a cell meets
-    only the (2 reach + 1)^2 around it, and of a wall only the cells that touch free ones count.
+    What lies outside the table is a wall. Distances saturate where comfort does, so ``reach`` rounds
+    of minima over the neighbours settle them. A venue's grid is a bounded array: it is dealt once,
+    by venue.
     """
-    free = cells.where("free").select(key, "i", "j")
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEIGHBOURS])
-    rim = free.select(key, F.explode(steps).alias("s"), "i", "j").selectExpr(key, "cast(i + s.a as int) as i", "cast(j + s.b as int) as j").distinct().join(free, [key, "i", "j"], "left_anti")
-    around = F.expr(f"flatten(transform(sequence(-{reach}, {reach}), a -> transform(sequence(-{reach}, {reach}), b -> struct(a, b))))")
-    near = rim.select(key, "i", "j", F.explode(around).alias("s")).selectExpr(key, "cast(i + s.a as int) as i", "cast(j + s.b as int) as j", "greatest(abs(s.a), abs(s.b)) + (sqrt(2.0D) - 1) * least(abs(s.a), abs(s.b)) as d")
-    least = near.groupBy(key, "i", "j").agg(F.min("d").alias("d"))
-    out = cells.join(least, [key, "i", "j"], "left")
-    return out.withColumn("clearance", F.when(F.col("free"), F.least(F.coalesce("d", F.lit(float(reach))), F.lit(float(reach)))).otherwise(0.0)).drop("d")
+
+    def measure(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].to_numpy() - rows["i"].min() + 1, rows["j"].to_numpy() - rows["j"].min() + 1
+        d = np.zeros((j.max() + 2, i.max() + 2))
+        d[j, i] = np.where(rows["free"].to_numpy(dtype=bool), float(reach), 0.0)
+        for _ in range(reach):
+            near = d.copy()
+            for a, b in NEIGHBOURS:
+                inner = near[1:-1, 1:-1]
+                step = 1.0 if a == 0 or b == 0 else np.sqrt(2.0)
+                np.minimum(inner, d[1 + b : d.shape[0] - 1 + b, 1 + a : d.shape[1] - 1 + a] + step, out=inner)
+            d = near
+        return rows.assign(clearance=d[j, i])
+
+    return cells.groupBy(key).applyInPandas(measure, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", clearance double")
+
+
+def clearance_at(points: DataFrame, cells: DataFrame, step: float = 1.0, key: str = "venue") -> DataFrame:
+    """``points`` (key, id, fi, fj fractional cells) with clearance_m: that of the cell they round to, halves up; 0 outside."""
+    at = points.withColumns({"i": js_round("fi").cast("int"), "j": js_round("fj").cast("int")})
+    found = cells.select(key, "i", "j", (F.col("clearance") * step).alias("clearance_m"))
+    return at.join(found, [key, "i", "j"], "left").withColumn("clearance_m", F.coalesce("clearance_m", F.lit(0.0))).drop("i", "j")
 
 
 def snap_to_free(points: DataFrame, cells: DataFrame, limit: int, key: str = "venue") -> DataFrame:

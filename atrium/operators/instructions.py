@@ -1,10 +1,7 @@
-"""Turn-by-turn instructions: legs to ways, merging, turns, sentences."""
+"""Turn-by-turn instructions: legs to ways, merging, turns, sentences; all of it column expressions."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +11,15 @@ from atrium.functions import geometry as geo
 from .labels import CELL, cells_of_box
 
 
-def ways_in_cells(ways: DataFrame, to_cell) -> DataFrame:
-    """One row (ord, name, derived, ax, ay, bx, by, width) for each line of each way, its ends only, in cells.
+def ways_in_cells(ways: DataFrame, to_cell, keep: tuple = ()) -> DataFrame:
+    """One row (``keep``, ord, name, derived, ax, ay, bx, by, width) for each line of each way, its ends only, in cells.
 
     ``ways`` has lines: arrays of points; a way without a width gets the default.
     """
-    rows = ways.select("ord", "name", "derived", F.coalesce("width", F.lit(params.WAY_DEFAULT_WIDTH)).alias("width"), F.explode("lines").alias("l"))
+    rows = ways.select(*keep, "ord", "name", "derived", F.coalesce("width", F.lit(params.WAY_DEFAULT_WIDTH)).alias("width"), F.explode("lines").alias("l"))
     rows = rows.withColumns({"p": F.col("l")[0], "q": F.element_at("l", -1)})
     (ax, ay), (bx, by) = to_cell("p.x", "p.y"), to_cell("q.x", "q.y")
-    return rows.select("ord", "name", "derived", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), "width")
+    return rows.select(*keep, "ord", "name", "derived", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), "width")
 
 
 def coverage(step: float = 1.0) -> Column:
@@ -37,12 +34,15 @@ def leg_ways(legs: DataFrame, ways: DataFrame, step: float = 1.0, key: str = "ve
 
     The way with the best coverage, at least WAY_COVERAGE; of equals the wider, then the first.
     """
-    # A way that covers a leg has samples of it in the cells around its band: an equi-join finds the few such.
-    t = F.transform(F.sequence(F.lit(0), F.lit(params.WAY_SAMPLES)), lambda k: F.struct(F.floor((F.col("pi") + (F.col("qi") - F.col("pi")) * k / params.WAY_SAMPLES) / CELL).cast("int").alias("i"), F.floor((F.col("pj") + (F.col("qj") - F.col("pj")) * k / params.WAY_SAMPLES) / CELL).cast("int").alias("j")))
-    boxed = ways.withColumns({"x0": F.least("ax", "bx"), "y0": F.least("ay", "by"), "x1": F.greatest("ax", "bx"), "y1": F.greatest("ay", "by"), "pad": (F.col("width") / 2 + params.WAY_SLACK) / step})
-    boxed = boxed.withColumns({"x0": F.expr("x0 - pad"), "y0": F.expr("y0 - pad"), "x1": F.expr("x1 + pad"), "y1": F.expr("y1 + pad")})
-    near = legs.select(key, "leg", F.explode(F.array_distinct(t)).alias("cell")).join(boxed.select(key, "ord", F.explode(cells_of_box("x0", "y0", "x1", "y1")).alias("cell")), [key, "cell"]).select(key, "leg", "ord").distinct()
-    pairs = legs.join(near, [key, "leg"]).join(ways, [key, "ord"]).withColumn("cov", F.round(coverage(step), 9)).where(F.col("cov") >= params.WAY_COVERAGE)
+    # Legs and the bands of ways meet in the cells of both their boxes; a pair counts in its first common cell.
+    box = lambda df: df.withColumns({"_i0": F.floor(F.col("x0") / CELL), "_j0": F.floor(F.col("y0") / CELL)})
+    reach = (F.col("width") / 2 + params.WAY_SLACK) / step
+    boxed = box(ways.withColumns({"x0": F.least("ax", "bx") - reach, "y0": F.least("ay", "by") - reach, "x1": F.greatest("ax", "bx") + reach, "y1": F.greatest("ay", "by") + reach}))
+    boxed = boxed.select("*", F.explode(cells_of_box("x0", "y0", "x1", "y1")).alias("cell")).withColumnsRenamed({"_i0": "_wi", "_j0": "_wj"}).drop("x0", "y0", "x1", "y1")
+    own = box(legs.withColumns({"x0": F.least("pi", "qi"), "y0": F.least("pj", "qj"), "x1": F.greatest("pi", "qi"), "y1": F.greatest("pj", "qj")}))
+    own = own.select(key, "leg", "pi", "pj", "qi", "qj", "_i0", "_j0", F.explode(cells_of_box("x0", "y0", "x1", "y1")).alias("cell"))
+    near = own.join(boxed, [key, "cell"]).where("cell.i = greatest(_i0, _wi) and cell.j = greatest(_j0, _wj)")
+    pairs = near.withColumn("cov", F.round(coverage(step), 9)).where(F.col("cov") >= params.WAY_COVERAGE)
     best = pairs.groupBy(key, "leg").agg(F.min(F.struct((-F.col("cov")).alias("c"), (-F.col("width")).alias("w"), "ord", "name", "derived")).alias("m"))
     return legs.join(best.select(key, "leg", F.col("m.name").alias("way"), F.col("m.derived").alias("derived"), (-F.col("m.c")).alias("coverage")), [key, "leg"], "left")
 
@@ -57,65 +57,64 @@ def turns(legs: DataFrame, handedness: int = 1) -> DataFrame:
     return rows.withColumn("changed", (F.col("turn") == "frente") & F.col("way").isNotNull() & ~F.col("way").eqNullSafe(F.col("before"))).drop("px", "py", "before")
 
 
-def merged(legs: list[dict]) -> list[dict]:
-    """Legs on one way become one; short unnamed ones join the next, or the last before at the end."""
-    same: list[dict] = []
-    for t in legs:
-        if same and same[-1]["way"] is not None and same[-1]["way"] == t["way"]:
-            last = same[-1]
-            last["m"] += t["m"]
-            if t["m"] > last["m"] / 2:
-                last["dir"] = t["dir"]
-        else:
-            same.append(dict(t))
-    out: list[dict] = []
-    for k, t in enumerate(same):
-        short = t["way"] is None and t["m"] < params.SHORT_M
-        if short and k + 1 < len(same):
-            same[k + 1]["m"] += t["m"]
-        elif short and out:
-            out[-1]["m"] += t["m"]
-        else:
-            out.append(t)
-    return out
-
-
-def rounded(m: float) -> int:
+def one_way_runs(legs: DataFrame) -> DataFrame:
+    """(route, run, way, derived, m, dx, dy, label): neighbouring legs on one named way as one.
+
+    Its direction is that of the last leg that is longer than all before it in the run together.
+    """
+    order = "partition by route order by seq"
+    rows = legs.selectExpr("*", f"case when way is not null and way = lag(way) over ({order}) then 0 else 1 end as opens").selectExpr("*", f"sum(opens) over ({order}) as run")
+    rows = rows.selectExpr("*", "coalesce(sum(metres) over (partition by route, run order by seq rows between unbounded preceding and 1 preceding), -1D) as before")
+    turned = F.when(F.col("metres") > F.col("before"), F.struct("seq", "dx", "dy"))
+    per = rows.groupBy("route", "run").agg(F.first("way").alias("way"), F.bool_or(F.coalesce("derived", F.lit(False))).alias("derived"), F.sum("metres").alias("m"), F.max(turned).alias("d"), F.max("label").alias("label"))
+    return per.select("route", "run", "way", "derived", "m", "d.dx", "d.dy", "label")
+
+
+def without_short(runs: Column) -> Column:
+    """A route's runs (array of run, way, derived, m, dx, dy) without short unnamed ones: such a run's length goes
+    to the next one, which may be long enough then; at the route's end, to the one before, if there is any."""
+    kept = "array<struct<way:string,derived:boolean,m:double,dx:double,dy:double>>"
+    start = F.struct(F.expr(f"cast(array() as {kept})").alias("out"), F.lit(0.0).alias("carry"), F.lit(0).alias("n"))
+
+    def step(state: Column, run: Column) -> Column:
+        m, n, out = run["m"] + state["carry"], state["n"] + 1, state["out"]
+        short = run["way"].isNull() & (m < params.SHORT_M)
+        row = lambda r, length: F.struct(r["way"].alias("way"), r["derived"].alias("derived"), length.alias("m"), r["dx"].alias("dx"), r["dy"].alias("dy"))
+        last = F.get(out, F.size(out) - 1)
+        longer = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(row(last, last["m"] + m)))
+        waits = short & (n < F.size(runs))
+        grown = F.when(waits, out).when(short & (F.size(out) > 0), longer).otherwise(F.concat(out, F.array(row(run, m))))
+        return F.struct(grown.alias("out"), F.when(waits, m).otherwise(0.0).alias("carry"), n.alias("n"))
+
+    return F.aggregate(runs, start, step, lambda s: s["out"])
+
+
+def rounded(m: Column) -> Column:
     """Metres as they are spoken: whole fives, at least five."""
-    return max(5, math.floor(m / 5 + 0.5) * 5)
-
-
-def sentences(legs: list[dict], handedness: int, label: str | None) -> list[tuple]:
-    """(turn, way, derived, metres, text) of merged legs, arrival last."""
-    out = []
-    for k, t in enumerate(legs):
-        way, m, text = t["way"], rounded(t["m"]), params.TEXT
-        if k == 0:
-            turn, line = "partida", text["start_way" if way else "start"]
-        else:
-            (ux, uy), (vx, vy) = legs[k - 1]["dir"], t["dir"]
-            n = math.hypot(ux, uy) * math.hypot(vx, vy) or 1.0
-            angle = math.degrees(math.acos(max(-1.0, min(1.0, (ux * vx + uy * vy) / n))))
-            turn = "frente" if angle < params.TURN_MIN else "esquerda" if (ux * vy - uy * vx) * handedness > 0 else "direita"
-            if turn == "frente":
-                line = text["change" if way and way != legs[k - 1]["way"] else "go_way" if way else "go"]
-            else:
-                line = text["turn_way" if way else "turn"]
-        out.append((turn, way, bool(t["derived"]), float(t["m"]), line.format(way=way, m=m, side=turn)))
-    return [*out, ("chegada", None, False, 0.0, params.TEXT["arrive"].format(label=label) if label else params.TEXT["arrive_plain"])]
+    return F.greatest(F.lit(5), F.floor(m / 5 + 0.5) * 5)
 
 
 def instructions(legs: DataFrame, handedness: int = 1) -> DataFrame:
     """(route, seq, turn, way, derived, metres, text) of legs (route, seq, dx, dy, metres, way, derived, label).
 
-    The merges are folds over a route's few legs: a kernel per route. A route without legs has no steps.
+    Legs on one way are merged, short unnamed ones absorbed; each step is told by its turn against the
+    one before, and the arrival comes last, with the route's label. A route without legs has no steps.
     """
-
-    def tell(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        own = [{"way": w if isinstance(w, str) else None, "derived": d is True or d == 1, "m": m, "dir": (x, y)} for w, d, m, x, y in rows[["way", "derived", "metres", "dx", "dy"]].itertuples(index=False)]
-        label = rows["label"].iloc[0]
-        out = sentences(merged(own), handedness, label if isinstance(label, str) else None)
-        return pd.DataFrame([(rows["route"].iloc[0], k, *s) for k, s in enumerate(out)], columns=["route", "seq", "turn", "way", "derived", "metres", "text"])
-
-    return legs.groupBy("route").applyInPandas(tell, "route long, seq int, turn string, way string, derived boolean, metres double, text string")
+    runs = one_way_runs(legs).groupBy("route").agg(F.array_sort(F.collect_list(F.struct("run", "way", "derived", "m", "dx", "dy"))).alias("runs"), F.max("label").alias("label"))
+    told = runs.withColumn("steps", without_short(F.col("runs"))).select("route", "label", F.posexplode("steps").alias("seq", "s")).select("route", "label", "seq", "s.*")
+    steps = turns(told, handedness).withColumn("say", rounded(F.col("m")).cast("string"))
+    text, named = params.TEXT, F.col("way").isNotNull()
+    pick = lambda way, plain: F.when(named, text[way]).otherwise(text[plain])
+    line = (
+        F.when(F.col("turn") == "partida", pick("start_way", "start"))
+        .when(F.col("turn") != "frente", pick("turn_way", "turn"))
+        .when(F.col("changed"), text["change"])
+        .otherwise(pick("go_way", "go"))
+    )
+    for slot, value in (("{m}", F.col("say")), ("{side}", F.col("turn")), ("{way}", F.coalesce("way", F.lit("")))):
+        line = F.replace(line, F.lit(slot), value)
+    steps = steps.select("route", "label", F.col("seq").cast("int").alias("seq"), "turn", "way", "derived", F.col("m").alias("metres"), line.alias("text"))
+    end = steps.groupBy("route").agg((F.max("seq") + 1).alias("seq"), F.max("label").alias("label"))
+    arrival = F.when(F.col("label").isNotNull(), F.replace(F.lit(text["arrive"]), F.lit("{label}"), F.col("label"))).otherwise(text["arrive_plain"])
+    end = end.select("route", "label", "seq", F.lit("chegada").alias("turn"), F.lit(None).cast("string").alias("way"), F.lit(False).alias("derived"), F.lit(0.0).alias("metres"), arrival.alias("text"))
+    return steps.unionByName(end).drop("label")

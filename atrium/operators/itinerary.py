@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from atrium import params
 from atrium.functions.text import letter
 
+from .routing import routes
+
 MIDDLE = params.EXHAUSTIVE_UPTO - 1
 
 
@@ -33,7 +37,8 @@ def totals(legs: DataFrame) -> DataFrame:
     """(itin, legs, metres, minutes) of legs (itin, metres); blank if any leg is missing."""
     rows = legs.groupBy("itin").agg(F.count("*").alias("legs"), F.sum("metres").alias("m"), F.bool_and(F.col("metres").isNotNull()).alias("whole"))
     metres = F.when(F.col("whole"), F.col("m"))
-    return rows.select("itin", "legs", metres.alias("metres"), F.greatest(F.lit(1), F.floor(metres / params.M_PER_MIN + 0.5)).alias("minutes"))
+    minutes = F.when(F.col("whole"), F.greatest(F.lit(1), F.floor(metres / params.M_PER_MIN + 0.5)))
+    return rows.select("itin", "legs", metres.alias("metres"), minutes.alias("minutes"))
 
 
 def distance_matrix(stops: DataFrame) -> DataFrame:
@@ -44,32 +49,60 @@ def distance_matrix(stops: DataFrame) -> DataFrame:
     return half.unionByName(half.selectExpr("itin", "b as a", "a as b", "d"))
 
 
-def best_order(stops: DataFrame) -> DataFrame:
+def routed_matrix(stops: DataFrame, cells: DataFrame, width: int, height: int, step: float = 1.0, key: str = "venue") -> DataFrame:
+    """(itin, a, b, d) for all ordered pairs of stops (key, itin, pos, i, j) by the metres of their route, one
+    way for both directions; infinite where there is none."""
+    s = stops.where(F.col("pos") <= params.MAX_STOPS)
+    one, two = s.select(key, "itin", F.col("pos").alias("a"), F.col("i").alias("ai"), F.col("j").alias("aj")), s.select(key, "itin", F.col("pos").alias("b"), F.col("i").alias("bi"), F.col("j").alias("bj"))
+    pairs = one.join(two, [key, "itin"]).where("a < b").withColumn("id", F.expr("itin * 100 + a * 10 + b"))
+    half = routes(pairs, cells, width, height, step, key).select("itin", "a", "b", F.coalesce("metres", F.lit(float("inf"))).alias("d"))
+    return half.unionByName(half.select("itin", F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+
+
+#: Orders of the stops between the ends, in lexicographic order, by their number.
+ORDERS = {n: np.array(list(itertools.permutations(range(1, n + 1))), dtype=np.int64).reshape(math.factorial(n), n) for n in range(MIDDLE + 1)}
+
+
+def best_order(stops: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
     """(itin, route, metres): the cheapest order with both ends fixed; of equals the first in lexicographic order.
 
-    Every permutation of the at most MIDDLE stops between the ends is grown one stop at a time by an
-    equi-join with the distances, so no task holds more than it joins.
+    ``matrix`` (itin, a, b, d): distances to use, else straight lines. An itinerary's at most MAX_STOPS
+    stops are one row; its permutations are scored as arrays, some itineraries at a time.
     """
-    d = distance_matrix(stops)
-    ends = stops.groupBy("itin").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.array_sort(F.collect_list("pos")).alias("all"))
-    paths = ends.select("itin", F.array("first").alias("route"), F.lit(0.0).alias("metres"), "last", F.expr("filter(all, p -> p <> first and p <> last)").alias("left"))
-    paths = paths.where(F.size("left") <= MIDDLE)
-    for _ in range(MIDDLE + 1):
-        step = paths.select("*", F.explode_outer("left").alias("next")).withColumns({"a": F.element_at("route", -1), "b": F.coalesce("next", "last")})
-        step = step.join(d, ["itin", "a", "b"], "left")
-        done = F.element_at("route", -1) == F.col("last")
-        paths = step.select("itin", F.when(done, F.col("route")).otherwise(F.array_append("route", F.col("b"))).alias("route"), F.when(done, F.col("metres")).otherwise(F.col("metres") + F.col("d")).alias("metres"), "last", F.expr("filter(left, p -> next is null or p <> next)").alias("left"))
-    return paths.groupBy("itin").agg(F.min(F.struct("metres", "route")).alias("m")).select("itin", "m.route", "m.metres")
-
-
-def two_opt(stops: DataFrame) -> DataFrame:
+    d = distance_matrix(stops) if matrix is None else matrix
+    own = stops.groupBy("itin").agg(F.array_sort(F.collect_list("pos")).alias("all")).where(F.size("all").between(2, MIDDLE + 2))
+    legs = d.groupBy("itin").agg(F.array_sort(F.collect_list(F.struct("a", "b", "d"))).alias("legs"))
+
+    def score(batches):
+        for frame in batches:
+            out = []
+            for n, same in frame.groupby(frame["all"].map(len)):
+                orders = ORDERS[n - 2]
+                paths = np.concatenate([np.zeros((len(orders), 1), dtype=np.int64), orders, np.full((len(orders), 1), n - 1)], axis=1)
+                for at in range(0, len(same), 256):
+                    part = same.iloc[at : at + 256]
+                    cost = np.full((len(part), n, n), np.inf)
+                    for k, (every, own) in enumerate(zip(part["all"], part["legs"])):
+                        place = {p: x for x, p in enumerate(every)}
+                        for leg in own:
+                            cost[k, place[leg["a"]], place[leg["b"]]] = leg["d"]
+                    total = cost[:, paths[:, :-1], paths[:, 1:]].sum(axis=2)
+                    best = total.argmin(axis=1)
+                    out += [(i, [every[x] for x in paths[b]], m) for i, every, b, m in zip(part["itin"], part["all"], best, total[np.arange(len(part)), best])]
+            yield pd.DataFrame(out, columns=["itin", "route", "metres"])
+
+    return own.join(legs, "itin").mapInPandas(score, "itin long, route array<int>, metres double")
+
+
+def two_opt(stops: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
     """(itin, route, metres) by first-improvement 2-opt with both ends fixed: reversals that gain over
     1e-9 are taken while scanning; a kernel per itinerary, since every move depends on the last."""
+    d = distance_matrix(stops) if matrix is None else matrix
 
     def improve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        pts, base = dict(zip(rows["pos"], zip(rows["x"], rows["y"]))), rows["pos"].tolist()
-        cost = lambda o: sum(math.dist(pts[p], pts[q]) for p, q in zip(o, o[1:]))
+        cost_of = {(a, b): m for a, b, m in rows[["a", "b", "d"]].itertuples(index=False)}
+        base = sorted({a for a, _ in cost_of})
+        cost = lambda o: sum(cost_of[p, q] for p, q in zip(o, o[1:]))
         better = True
         while better:
             better = False
@@ -80,7 +113,19 @@ def two_opt(stops: DataFrame) -> DataFrame:
                         base, better = other, True
         return pd.DataFrame({"itin": [rows["itin"].iloc[0]], "route": [base], "metres": [cost(base)]})
 
-    return stops.groupBy("itin").applyInPandas(improve, "itin long, route array<int>, metres double")
+    return d.groupBy("itin").applyInPandas(improve, "itin long, route array<int>, metres double")
+
+
+def optimise(stops: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
+    """(itin, route, metres, before, accepted): all orders are tried where the stops between the ends are few
+    enough, 2-opt improves longer ones; a change needs four stops, all filled in, and a gain."""
+    whole = stops.groupBy("itin").agg(F.count("*").alias("n"), F.bool_and(F.col("x").isNotNull()).alias("whole")).where("whole and n >= 4")
+    d = distance_matrix(stops) if matrix is None else matrix
+    few, many = whole.where(F.col("n") <= MIDDLE + 2), whole.where(F.col("n") > MIDDLE + 2)
+    of = lambda rows, part: rows.join(part.select("itin"), "itin", "left_semi")
+    found = best_order(of(stops, few), of(d, few)).unionByName(two_opt(of(stops, many), of(d, many)))
+    now = stops.selectExpr("itin", "pos as a", "lead(pos) over (partition by itin order by pos) as b").where("b is not null").join(d, ["itin", "a", "b"]).groupBy("itin").agg(F.sum("d").alias("metres"))
+    return accept(now, found)
 
 
 def accept(current: DataFrame, found: DataFrame, gain: float = params.ACCEPT_GAIN) -> DataFrame:
@@ -90,28 +135,91 @@ def accept(current: DataFrame, found: DataFrame, gain: float = params.ACCEPT_GAI
 
 
 def apply_command(stops: list, kind: str, value) -> list:
-    """One edit of an itinerary: open, append (replaces the last when full), remove (two slots stay), move, reverse."""
+    """One edit of a list of stops: open, append (replaces the last when full), remove (two slots stay), move
+    (towards the start), later (towards the end), reverse."""
+    return edit({"stops": list(stops), "choice": None, "last": None}, kind, value)["stops"]
+
+
+def edit(state: dict, kind: str, value, door=None) -> dict:
+    """The state of an itinerary after a command: stops, choice (the slot being filled) and last (a remembered origin).
+
+    open: the first place goes in as destination, with the remembered origin or else ``door(place)`` as
+    origin; further ones are appended. define: fills the chosen slot, or the first free one. append:
+    replaces the last stop when all slots are taken. add: an empty slot to fill, if one is left.
+    choose: a slot to fill; the same again lets go. remove: empties one of two slots. move and later:
+    swap a stop with its neighbour. reverse.
+    """
+    stops, choice = list(state["stops"]), state["choice"]
+    at = value % len(stops) if stops and isinstance(value, int) else 0
+
+    def append() -> None:
+        if len(stops) >= params.MAX_STOPS:
+            stops[-1] = value
+        elif kind == "append" and stops and stops[-1] is None:
+            stops[-1] = value
+        else:
+            stops.append(value)
+
     if kind == "open":
-        return [stops[0] if stops else None, value]
-    if kind == "append":
-        return [*stops[:-1], value] if len(stops) >= params.MAX_STOPS or stops and stops[-1] is None else [*stops, value]
-    if kind == "remove":
-        at = value % len(stops) if stops else 0
-        return [*stops[:at], *stops[at + 1 :]] if len(stops) > 2 else [None if k == at else s for k, s in enumerate(stops)]
-    if kind == "move":
-        at = value % len(stops) if stops else 0
-        rest = [*stops[:at], *stops[at + 1 :]]
-        return [*rest[: at - 1], stops[at], *rest[at - 1 :]] if at else stops
-    return stops[::-1]
+        if stops and not (len(stops) == 2 and stops[1] is None):
+            append()
+        else:
+            origin = stops[0] if stops and stops[0] is not None else state["last"] if state["last"] is not None else door(value) if door else None
+            stops = [origin, value]
+        choice = None
+    elif kind == "define":
+        slot = choice if choice is not None and choice < len(stops) else next((k for k, s in enumerate(stops) if s is None), None)
+        if slot is None:
+            append()
+        else:
+            stops[slot] = value
+        choice = None
+    elif kind == "append":
+        append()
+        choice = None
+    elif kind == "add":
+        if len(stops) < params.MAX_STOPS:
+            stops.append(None)
+            choice = len(stops) - 1
+    elif kind == "choose":
+        choice = None if choice == at else at
+    elif kind == "remove":
+        if len(stops) > 2:
+            del stops[at]
+        elif stops:
+            stops[at] = None
+        choice = None if choice == at or choice is not None and choice >= len(stops) else choice
+    elif kind in ("move", "later"):
+        to = at - 1 if kind == "move" else at + 1
+        if stops and 0 <= to < len(stops):
+            stops[at], stops[to] = stops[to], stops[at]
+        choice = None
+    else:
+        stops.reverse()
+        choice = None
+    return {"stops": stops, "choice": choice, "last": stops[0] if stops and stops[0] is not None else state["last"]}
 
 
 def replay(commands: DataFrame) -> DataFrame:
-    """(user_id, edits, stops): each user's ordered commands (user_id, ts, event_id, kind, value) folded to the final stops."""
+    """(user_id, edits, stops): each user's ordered commands (user_id, ts, event_id, kind, value) folded to the final stops.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        stops: list = []
-        for kind, value in rows.sort_values(["ts", "event_id"])[["kind", "value"]].itertuples(index=False):
-            stops = apply_command(stops, kind, int(value))
-        return pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "edits": [len(rows)], "stops": [stops]})
+    Users are dealt by hash and their commands sorted on disk; a task folds them as a stream, with one
+    user's few stops as its state, so a user of any number of commands fits.
+    """
 
-    return commands.groupBy("user_id").applyInPandas(fold, "user_id long, edits long, stops array<int>")
+    def fold(batches):
+        user, state, edits = None, None, 0
+        for frame in batches:
+            out = []
+            for who, kind, value in frame[["user_id", "kind", "value"]].itertuples(index=False):
+                if who != user:
+                    if edits:
+                        out.append((user, edits, state["stops"]))
+                    user, state, edits = who, {"stops": [], "choice": None, "last": None}, 0
+                state, edits = edit(state, kind, int(value)), edits + 1
+            yield pd.DataFrame(out, columns=["user_id", "edits", "stops"])
+        if edits:
+            yield pd.DataFrame([(user, edits, state["stops"])], columns=["user_id", "edits", "stops"])
+
+    ordered = commands.where("user_id is not null").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return ordered.select("user_id", "kind", "value").mapInPandas(fold, "user_id long, edits long, stops array<int>")

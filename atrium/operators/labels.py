@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from atrium import params
 from atrium.functions import geometry as geo
+from atrium.functions.text import title_case
 
 CELL = 16
 
@@ -45,6 +46,23 @@ def names_inside(shapes: DataFrame, labels: DataFrame, key: str = "venue", by: t
     return found.select(key, "ord", F.nullif(F.trim(F.array_join(F.transform("t", lambda r: r["_t"]), " ")), F.lit("")).alias("name"))
 
 
+def street_name(name) -> Column:
+    """The name of a street arrow in upper case, or null if it isn't one."""
+    n = F.col(name) if isinstance(name, str) else name
+    return F.when(n.rlike(params.STREET_RE), F.upper(n))
+
+
+def door_labels(labels: DataFrame) -> DataFrame:
+    """The labels that name an entrance, exit or access."""
+    return labels.where(F.col("txt").rlike(params.POI_WORDS_RE))
+
+
+def with_directory(stands: DataFrame, directory: DataFrame, on: str = "code") -> DataFrame:
+    """``stands`` with name: the title of their entry in the directory (``on``, name), null if there is none."""
+    entries = directory.select(F.col(on), F.col("name").alias("_entry")).groupBy(on).agg(F.min("_entry").alias("_entry"))
+    return stands.join(entries, on, "left").withColumn("name", title_case("_entry")).drop("_entry")
+
+
 def nearest_label(points: DataFrame, labels: DataFrame, radius: float = params.POI_LABEL_RADIUS, key: str = "venue") -> DataFrame:
     """``points`` (key, ord, px, py) with the text of the nearest label closer than ``radius``, or null."""
     p = points.withColumn("cell", F.explode(cells_of_box("px", "py", "px", "py", radius)))
@@ -83,12 +101,23 @@ def repair_codes(labels: DataFrame, key: str = "venue") -> DataFrame:
 
 
 def label_rows(labels: DataFrame, block: str, gap: str) -> DataFrame:
-    """``labels`` with line: their row inside a block, a new one where y is more than ``gap`` below the last.
+    """``labels`` with line: their row inside a block, a new one where y is more than ``gap`` below the row's first.
 
-    Rows are islands of y; for rows that lie further apart than the gap that is the first y's rule.
+    A drawn block holds few labels: their heights are folded as one array of distinct values a block.
     """
-    rows = labels.selectExpr("*", f"case when y - lag(y) over (partition by {block} order by y, label_id) > {gap} then 1 else 0 end as _new")
-    return rows.selectExpr("*", f"cast(sum(_new) over (partition by {block} order by y, label_id) as int) as line").drop("_new")
+    heights = labels.groupBy(block).agg(F.array_sort(F.collect_set("y")).alias("_ys"))
+    start = F.expr("cast(array() as array<struct<y:double,line:int,first:double>>)")
+
+    def fold(rows: Column, y: Column) -> Column:
+        last = F.get(rows, F.size(rows) - 1)
+        new = (F.size(rows) > 0) & (y - last["first"] > F.expr(gap))
+        line = F.when(F.size(rows) == 0, 0).otherwise(last["line"] + new.cast("int"))
+        first = F.when((F.size(rows) == 0) | new, y).otherwise(last["first"])
+        return F.concat(rows, F.array(F.struct(y.alias("y"), line.alias("line"), first.alias("first"))))
+
+    lines = heights.withColumn("_ys", F.transform("_ys", lambda y: y.cast("double"))).select(block, F.inline(F.aggregate("_ys", start, fold))).select(block, F.col("y").alias("_y"), "line")
+    rows = labels.withColumn("_y", F.col("y").cast("double"))
+    return rows.join(lines, [block, "_y"]).drop("_y")
 
 
 def cut_at_midpoints(labels: DataFrame, block: str, line: str = "line") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atrium import params
 from atrium.functions import geometry as geo
 
-from .labels import cells_of_box
+from .labels import cell_of, cells_of_box
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -38,6 +39,22 @@ def iou_match(expected: DataFrame, model: DataFrame, key: str = "venue") -> Data
     return expected.join(best.select(key, "ord", "b.mord", (-F.col("b.i")).alias("iou"), "b.drift"), [key, "ord"], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
 
 
+def iou_with_parts(matched: DataFrame, model: DataFrame, least: float = params.IOU_MIN, key: str = "venue") -> DataFrame:
+    """``matched`` with the shapes below ``least`` compared with the union of the model's boxes whose centre lies inside
+    them, where that is better: a block may have been cut into cells. Boxes of one block don't overlap."""
+    weak = matched.where(F.col("iou") < least).withColumn("cell", F.explode(cells_of_box(*BOX)))
+    m = model.selectExpr(key, *[f"{c} as m{c}" for c in BOX], "(x0 + x1) / 2 as mx", "(y0 + y1) / 2 as my").withColumn("cell", cell_of("mx", "my"))
+    inner = "greatest(0D, least(x1, mx1) - greatest(x0, mx0)) * greatest(0D, least(y1, my1) - greatest(y0, my0))"
+    parts = weak.join(m, [key, "cell"]).where("mx > x0 and mx < x1 and my > y0 and my < y1").selectExpr(key, "ord", "(x1 - x0) * (y1 - y0) as own", "(x0 + x1) / 2 as cx", "(y0 + y1) / 2 as cy", f"{inner} as both", "(mx1 - mx0) * (my1 - my0) as area", "mx", "my")
+    per = parts.groupBy(key, "ord").agg(
+        (F.sum("both") / (F.first("own") + F.sum("area") - F.sum("both"))).alias("u_iou"),
+        F.hypot(F.sum(F.expr("mx * area")) / F.sum("area") - F.first("cx"), F.sum(F.expr("my * area")) / F.sum("area") - F.first("cy")).alias("u_drift"),
+    )
+    better = F.coalesce(F.col("u_iou") > F.col("iou"), F.lit(False))
+    out = matched.join(per, [key, "ord"], "left")
+    return out.withColumns({"drift": F.when(better, F.col("u_drift")).otherwise(F.col("drift")), "iou": F.when(better, F.col("u_iou")).otherwise(F.col("iou"))}).drop("u_iou", "u_drift")
+
+
 def fidelity(matched: DataFrame, least: float = params.IOU_MIN) -> DataFrame:
     """(category, total, faithful, ratio, drift_cm) of matched shapes."""
     fine = F.sum(F.when(F.col("iou") >= least, 1).otherwise(0))
@@ -62,33 +79,65 @@ def untouched_blocks(blocks: DataFrame, corridors: DataFrame, reach: float = 0.6
     return blocks.join(touched, [key, "ord"], "left_anti")
 
 
-def outside_building(blocks: DataFrame, building: tuple, least: float = 0.5) -> DataFrame:
-    """``blocks`` with more than ``least`` square metres outside the building's box, with outside_m2 and share in percent."""
-    x0, y0, x1, y1 = building
+def clipped_area(ring: list[tuple], box: tuple) -> float:
+    """Area of a ring inside a box: the ring cut at the box's four sides in turn."""
+    x0, y0, x1, y1 = box
+    pts = [tuple(map(float, p)) for p in ring]
+    for axis, bound, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        out = []
+        for p, q in zip(pts, [*pts[1:], *pts[:1]]):
+            d, e = sign * (p[axis] - bound), sign * (q[axis] - bound)
+            if d >= 0:
+                out.append(p)
+            if (d >= 0) != (e >= 0):
+                t = d / (d - e)
+                out.append((p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t))
+        pts = out
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(pts, [*pts[1:], *pts[:1]]))) / 2
+
+
+def outside_building(blocks: DataFrame, building: list[tuple], least: float = 0.5) -> DataFrame:
+    """``blocks`` with more than ``least`` square metres outside the building's ring, with outside_m2 and share in percent."""
+
+    @F.pandas_udf("double")
+    def inside(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([clipped_area(building, box) for box in zip(x0, y0, x1, y1)], dtype=float)
+
     area = F.expr("(x1 - x0) * (y1 - y0)")
-    inside = F.greatest(F.lit(0.0), F.least(F.col("x1"), F.lit(x1)) - F.greatest(F.col("x0"), F.lit(x0))) * F.greatest(F.lit(0.0), F.least(F.col("y1"), F.lit(y1)) - F.greatest(F.col("y0"), F.lit(y0)))
-    rows = blocks.withColumn("outside_m2", area - inside).where(F.col("outside_m2") > least)
+    rows = blocks.withColumn("outside_m2", F.round(area - inside(*BOX), 9)).where(F.col("outside_m2") > least)
     return rows.withColumn("share", F.round(100 * F.col("outside_m2") / area, 1))
 
 
-def scale_sweep(sides: DataFrame, low: float, high: float, step: float, by: tuple = ()) -> DataFrame:
-    """The scale with the smallest mean module deviation of ``sides`` (length), of equals the smaller; by axis if asked.
+def scale_sweep(sides: DataFrame, low: float, high: float, step: float, by: tuple = (), times: str = "1") -> DataFrame:
+    """The scale with the smallest mean module deviation of ``sides`` (length), of equals the smaller; by axis or
+    resample if asked, each side counting ``times``.
 
     Lengths are counted first: a sweep meets each distinct length once.
     """
     spark = sides.sparkSession
-    counts = sides.groupBy(*by, "length").agg(F.count("*").alias("n"))
+    counts = sides.groupBy(*by, "length").agg(F.sum(F.expr(times)).alias("n"))
     scales = F.broadcast(spark.range(int(round((high - low) / step)) + 1).select((F.lit(low) + F.col("id") * step).alias("s")))  # a fixed number
     per = counts.crossJoin(scales).groupBy(*by, "s").agg((F.sum(geo.module_deviation("length", "s") * F.col("n")) / F.sum("n")).alias("dev"))
     return per.groupBy(*by).agg(F.min(F.struct(F.round("dev", 9).alias("dev"), "s")).alias("m")).select(*by, "m.s", "m.dev")
 
 
-def bootstrap(sides: DataFrame, draws: int, statistic, key: str = "k") -> DataFrame:
-    """(draw, value): a statistic of ``draws`` resamples. Each row enters a draw as often as a hash of
-    (row, draw) says: a Poisson-like resample that needs no gathering and repeats itself."""
-    times = F.element_at(F.array(*[F.lit(x) for x in (0, 0, 0, 1, 1, 1, 2, 3)]), (F.pmod(F.crc32(F.concat_ws(":", F.col(key).cast("string"), F.col("draw").cast("string")).cast("binary")), F.lit(8)) + 1).cast("int"))
-    rows = sides.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("times", times)
-    return rows.groupBy("draw").agg(statistic.alias("value"))
+def isotropy(by_axis: DataFrame, slack: float = params.ISOTROPY) -> DataFrame:
+    """One row (sx, sy, ratio, isotropic) of the best scale (axis, s) of both axes."""
+    both = by_axis.agg(F.max(F.when(F.col("axis") == "x", F.col("s"))).alias("sx"), F.max(F.when(F.col("axis") == "y", F.col("s"))).alias("sy"))
+    return both.withColumn("ratio", F.col("sy") / F.col("sx")).withColumn("isotropic", F.abs(F.col("ratio") - 1) <= slack)
+
+
+def resamples(sides: DataFrame, draws: int, key: str = "k") -> DataFrame:
+    """``sides`` in each of ``draws`` resamples, with draw and times: how often a row is in it, by a digest of
+    (row, draw). A Poisson-like resample that needs no gathering and repeats itself."""
+    digit = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("draw").cast("string")).cast("binary")), 1, 1), 16, 10).cast("int")
+    times = F.element_at(F.array(*[F.lit(x) for x in (0, 0, 0, 1, 1, 1, 2, 3)]), digit % 8 + 1)
+    return sides.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("times", times).where("times > 0")
+
+
+def largest_canopy(canopies: DataFrame, key: str = "venue") -> DataFrame:
+    """Of each venue's canopy boxes (key, ord, x0..y1) the widest, the first of equals."""
+    return canopies.groupBy(key).agg(F.min(F.struct(F.expr("x0 - x1").alias("w"), "ord", *BOX)).alias("c")).select(key, "c.ord", *[f"c.{c}" for c in BOX])
 
 
 def anchor_shift(doors: DataFrame, canopy: tuple, back_y: float, reach: int) -> DataFrame:

@@ -28,7 +28,7 @@ def visible(segments: DataFrame, cells: DataFrame, key: str = "venue") -> DataFr
 
 
 class Grid:
-    """One venue's grid as arrays: free[j, i] and the cost factor of entering each cell."""
+    """One venue's grid: free[j, i] and the cost factor of entering each cell; a rim of walls lies around."""
 
     def __init__(self, width: int, height: int, i, j, clearance, comfort: float):
         self.free = np.zeros((height, width), dtype=bool)
@@ -36,39 +36,72 @@ class Grid:
         self.clear = np.zeros((height, width))
         self.clear[j, i] = clearance
         self.factor = 1 + params.WALL_PENALTY * (1 - np.minimum(1.0, self.clear / comfort))
+        # The search works on cell numbers of the walled grid, in plain lists.
+        self.stride = width + 2
+        self._open = np.pad(self.free, 1).ravel().tolist()
+        self._factor = np.pad(self.factor, 1).ravel().tolist()
+        self._cost = np.full((height + 2) * self.stride, math.inf)
+
+    def number(self, cell: tuple[int, int]) -> int:
+        """Number of a cell, -1 if it isn't free."""
+        i, j = cell
+        h, w = self.free.shape
+        return (j + 1) * self.stride + i + 1 if 0 <= i < w and 0 <= j < h and self.free[j, i] else -1
 
-    def path(self, a: tuple[int, int], b: tuple[int, int]) -> tuple[float, list]:
-        """Least cost and cells from a to b by A*; (inf, []) if there is no way.
+    def search(self, a: tuple[int, int], targets: list) -> dict:
+        """{target: (least cost, cells)} of the targets that can be reached from a: one search for all.
 
-        A heap entry never changes: a cheaper way to a cell is a new entry, so the cost is the true least.
+        With one target it is guided by the octile distance, which never exceeds the cost. A heap
+        entry never changes: a cheaper way to a cell is a new entry, so costs are the true least.
         """
-        free, factor = self.free, self.factor
-        h, w = free.shape
-        inside = lambda i, j: 0 <= i < w and 0 <= j < h and free[j, i]
-        if not inside(*a) or not inside(*b):
-            return math.inf, []
-        guess = lambda i, j: max(abs(i - b[0]), abs(j - b[1])) + (ROOT2 - 1) * min(abs(i - b[0]), abs(j - b[1]))
-        cost, came, heap, done = {a: 0.0}, {}, [(guess(*a), 0.0, a)], set()
-        while heap:
-            _, g, at = heapq.heappop(heap)
+        start, wanted = self.number(a), {self.number(t): t for t in targets}
+        wanted.pop(-1, None)
+        if start < 0 or not wanted:
+            return {}
+        s, free, factor = self.stride, self._open, self._factor
+        straight, slant = ((1, -1, s, -s)), ((s + 1, 1, s), (1 - s, 1, -s), (s - 1, -1, s), (-s - 1, -1, -s))
+        goal = next(iter(wanted)) if len(wanted) == 1 else 0
+        gj, gi = divmod(goal, s)
+
+        def left(n: int) -> float:
+            if not goal:
+                return 0.0
+            y, x = divmod(n, s)
+            x, y = abs(x - gi), abs(y - gj)
+            return x + (ROOT2 - 1) * y if x > y else y + (ROOT2 - 1) * x
+
+        cost, came, done = self._cost.tolist(), {start: -1}, set()
+        cost[start] = 0.0
+        heap, out, push, pop = [(left(start), start)], {}, heapq.heappush, heapq.heappop
+        while heap and wanted:
+            _, at = pop(heap)
             if at in done:
                 continue
             done.add(at)
-            if at == b:
-                cells = [b]
-                while cells[-1] != a:
-                    cells.append(came[cells[-1]])
-                return g, cells[::-1]
-            i, j = at
-            for di, dj, length in STEPS:
-                to = (i + di, j + dj)
-                if to in done or not inside(*to) or di and dj and not (inside(i + di, j) and inside(i, j + dj)):
-                    continue
-                new = g + length * factor[to[1], to[0]]
-                if new < cost.get(to, math.inf):
-                    cost[to], came[to] = new, at
-                    heapq.heappush(heap, (new + guess(*to), new, to))
-        return math.inf, []
+            g = cost[at]
+            if at in wanted:
+                way, n = [], at
+                while n >= 0:
+                    way.append((n % s - 1, n // s - 1))
+                    n = came[n]
+                out[wanted.pop(at)] = g, way[::-1]
+            for d in straight:
+                to = at + d
+                if free[to] and g + factor[to] < cost[to]:
+                    cost[to] = g + factor[to]
+                    came[to] = at
+                    push(heap, (cost[to] + left(to), to))
+            for d, x, y in slant:
+                to = at + d
+                if free[to] and free[at + x] and free[at + y] and g + ROOT2 * factor[to] < cost[to]:
+                    cost[to] = g + ROOT2 * factor[to]
+                    came[to] = at
+                    push(heap, (cost[to] + left(to), to))
+        return out
+
+    def path(self, a: tuple[int, int], b: tuple[int, int]) -> tuple[float, list]:
+        """Least cost and cells from a to b; (inf, []) if there is no way."""
+        return self.search(a, [b]).get(b, (math.inf, []))
 
     def sees(self, a, b) -> bool:
         n = max(abs(b[0] - a[0]), abs(b[1] - a[1]))
@@ -102,25 +135,36 @@ def deviation(cells: list, a: int, b: int) -> float:
 ROUTE = "cost double, metres double, cells array<struct<i:int,j:int>>"
 
 
-def routes(requests: DataFrame, cells: DataFrame, width: int, height: int, step: float = 1.0, key: str = "venue") -> DataFrame:
+#: Origins that one search group takes care of, on average.
+ORIGINS_PER_PART = 16
+
+
+def routes(requests: DataFrame, cells: DataFrame, width: int, height: int, step: float = 1.0, key: str = "venue", paths: bool = True) -> DataFrame:
     """``requests`` (key, id, ai, aj, bi, bj) with cost, metres and the simplified cells; nulls if there is no way.
+    Without ``paths`` only the cost is found.
 
-    A search is sequential, so it runs in a kernel beside its venue's grid: grids and requests are
-    dealt by venue (and requests further by a hash, so a busy venue is many groups), and each group
-    builds its grid once. A grid is ``width`` x ``height`` cells: a bounded array.
+    A search is sequential, so it runs in a kernel beside its venue's grid: one search from each
+    origin finds all its destinations. Origins are dealt by venue and a hash, in as many parts as
+    there are origins to share out, so a busy venue is many groups; each builds its grid once. A grid
+    is ``width`` x ``height`` cells: a bounded array. Costs depend on the direction: none is mirrored.
     """
-    parts = 8
-    asked = requests.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    packed = cells.where("free").select(key, "i", "j", "clearance", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    venues, origins = requests.agg(F.count_distinct(key), F.count_distinct(key, "ai", "aj")).first()
+    parts = int(max(1, min(256, -(-origins // (ORIGINS_PER_PART * max(1, venues))))))
+    asked = requests.withColumn("part", F.pmod(F.xxhash64("ai", "aj"), F.lit(parts)).cast("int"))
+    packed = cells.where("free").select(key, "i", "j", "clearance").join(requests.select(key).distinct(), key, "left_semi")
+    packed = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def solve(own: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
-        g = Grid(width, height, grid["i"].to_numpy(), grid["j"].to_numpy(), grid["clearance"].to_numpy(), params.COMFORT_M / step)
         rows = []
-        for v, n, ai, aj, bi, bj in own[[key, "id", "ai", "aj", "bi", "bj"]].itertuples(index=False):
-            cost, way = g.path((int(ai), int(aj)), (int(bi), int(bj)))
-            short = g.simplify(way)
-            metres = step * sum(math.hypot(q[0] - p[0], q[1] - p[1]) for p, q in zip(short, short[1:]))
-            rows.append((v, n, None if math.isinf(cost) else cost, None if math.isinf(cost) else metres, [{"i": int(i), "j": int(j)} for i, j in short] or None))
+        g = Grid(width, height, grid["i"].to_numpy(), grid["j"].to_numpy(), grid["clearance"].to_numpy(), params.COMFORT_M / step) if len(own) else None
+        for (ai, aj), same in own.groupby(["ai", "aj"], sort=False):
+            ends = list(zip(same["bi"].astype(int).tolist(), same["bj"].astype(int).tolist()))
+            found = g.search((int(ai), int(aj)), ends)
+            short = {b: g.simplify(way) for b, (_, way) in found.items()} if paths else {}
+            for v, n, b in zip(same[key], same["id"], ends):
+                way = short.get(b)
+                metres = step * sum(math.hypot(q[0] - p[0], q[1] - p[1]) for p, q in zip(way, way[1:])) if way else None
+                rows.append((v, n, found[b][0] if b in found else None, metres, [{"i": i, "j": j} for i, j in way] if way else None))
         return pd.DataFrame(rows, columns=[key, "id", "cost", "metres", "cells"])
 
     found = asked.groupBy(key, "part").cogroup(packed.groupBy(key, "part")).applyInPandas(solve, f"{key} long, id long, {ROUTE}")
@@ -132,3 +176,17 @@ def best_door(requests: DataFrame, doors: DataFrame, cells: DataFrame, width: in
     pairs = requests.join(doors, key).withColumn("id", F.xxhash64("dest", "door"))
     found = routes(pairs, cells, width, height, step, key).where("metres is not null")
     return found.groupBy(key, "dest").agg(F.min(F.struct("metres", "door", "cost")).alias("m")).select(key, "dest", "m.door", "m.metres", "m.cost")
+
+
+def along(found: DataFrame, cells: DataFrame, step: float = 1.0, least_m: float = 0.0, key: str = "venue") -> DataFrame:
+    """(key, id, clearance_m): clearance at samples a cell apart along the routes of at least ``least_m``, both their
+    first legs and their ends left out, since they start at a wall."""
+    legs = found.where(F.col("metres") >= least_m).select(key, "id", F.col("cells").alias("c"))
+    legs = legs.select(key, "id", F.posexplode(F.zip_with(F.slice("c", F.lit(2), F.greatest(F.size("c") - 2, F.lit(0))), F.slice("c", F.lit(3), F.greatest(F.size("c") - 2, F.lit(0))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))).alias("leg", "l"))
+    legs = legs.where("l.q is not null").withColumn("last", F.expr(f"leg = max(leg) over (partition by {key}, id)")).where("not last")
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.expr("l.q.i - l.p.i"), F.expr("l.q.j - l.p.j"))).cast("int"))
+    at = legs.withColumn("n", n).select(key, "id", "leg", "l", "n", F.explode(F.expr("sequence(0, n)")).alias("s"))
+    at = at.selectExpr(key, "xxhash64(id, leg, s) as sample", "id", "l.p.i + (l.q.i - l.p.i) * s / n as fi", "l.p.j + (l.q.j - l.p.j) * s / n as fj")
+    from atrium.operators.grid import clearance_at
+
+    return clearance_at(at, cells, step, key).select(key, "id", "clearance_m")

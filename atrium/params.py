@@ -25,7 +25,9 @@ POI_COLOURS = (
 SNAP_TOL = 18
 CODE_RE = r"^[A-Z]{1,3}\d{1,3}[A-Z]?$"
 STREET_RE = r"(?i)^RUA\s+[A-Z]{1,2}"
+POI_WORDS_RE = r"(?i)^(ENTRADA|SA[ÍI]DA|ACESSO)"
 
+# The numbers of the model.
 M_PER_POINT = 0.194875
 RING_MIN_AREA = 0.4
 POI_MAX_AREA, POI_MAX_VERTICES = 4.0, 4
@@ -35,6 +37,7 @@ MIN_AREA, MIN_AREA_OF_AREA = 1.0, 5.0
 LABEL_MIN_SIZE = 0.9
 POI_LABEL_RADIUS = 8.0
 
+MIN_SHAPE_AREA, MINI_AREA = 0.5, 6.0
 CLOSING_M, WIDTH_MIN, WIDTH_MAX, WIDTH_OPEN, APRON_M = 12, 2, 12, 20, 6
 SAMPLE_M, CENTRE_TOL, GAP_M = 1.0, 1.5, 14
 LENGTH_MIN, LENGTH_ANON = 12, 20
@@ -47,6 +50,34 @@ MAX_STOPS, EXHAUSTIVE_UPTO, M_PER_MIN, ACCEPT_GAIN = 8, 7, 75, 0.5
 SEARCH_LIMIT = 30
 IOU_MIN, MODULE_SIDE = 0.98, (0.5, 40.0)
 METRES_PER_DEGREE = 111320.0
+ISOTROPY, BASELINE_RATIO, BASELINE_DRIFT_CM = 0.05, 0.01, 1.0
+SEED_OFFSETS = (-12, -10, -8, -6, -5, -4, 4, 5, 6, 8, 10, 12)
+FOOD_COURT = "Praça de Alimentação"
+
+# Conditions of the map's style layers, in drawing order.
+LAYERS = {
+    "piso": "kind = 'piso'", "piso-borda": "kind = 'piso'", "circulacao": "kind = 'circulacao'", "vias": "kind = 'via'", "areas": "kind = 'area'", "areas-borda": "kind = 'area'",
+    "quadras": "kind = 'quadra'", "estandes": "kind = 'estande'", "estandes-borda": "kind = 'estande'",
+    "areas-poi": "kind = 'area' and name is not null and cat is distinct from 'servico' and cat is distinct from 'infra'",
+    "areas-poi-servico": "kind = 'area' and (cat = 'servico' or cat = 'infra') and (name is not null or cat = 'servico')",
+    "pois-entrada": "kind = 'poi'", "ruas-nome": "kind = 'via'", "estandes-nome": "kind = 'estande' and mini is distinct from true",
+    "estandes-nome-mini": "kind = 'estande' and mini", "estandes-codigo": "kind = 'estande' and name is not null",
+}
+
+# Colours of the older map, the first within the tolerance counts.
+LEGACY_STANDS = (((187, 230, 251), "expositor"), ((250, 238, 19), "patrocinador"), ((255, 242, 0), "patrocinador"), ((179, 127, 184), "entidade"))
+LEGACY_AREAS = (
+    ((235, 32, 40), "cultural"), ((237, 33, 36), "cultural"), ((209, 32, 39), "cultural"), ((250, 163, 26), "alimentacao"), ((247, 148, 29), "alimentacao"),
+    ((128, 129, 129), "servico"), ((129, 128, 128), "servico"), ((192, 226, 202), "infra"),
+)
+LEGACY_PALE, LEGACY_TOL, LEGACY_PALE_TOL, LEGACY_PALE_AREA = (198, 199, 200), 10, 6, 2000.0
+# Regions of the older page, in points.
+LIST_Y, DECOR_Y, CORNER, LEGEND_BOX, SHAPE_SIDE, EXTRACT_SIDE = 950.0, 105.0, (1270.0, 300.0), (1075.0, 285.0, 1587.4, 490.0), 5.0, 4.0
+DECOR_SIDE, DECOR_AREA, MARKER_X, MARKER_CHROMA, MARKER_WIDTH, MARKER_HEIGHT = 8.0, 600.0, 215.0, 55, (3.5, 11.0), (15.0, 85.0)
+GRAPH_GAP, GRAPH_ALIGN, GRAPH_APART, GRAPH_OVERLAP, ANNEX_X, ROW_TOL = (8.0, 90.0), 18.0, 120.0, 40.0, 1270.0, 10.0
+RESTAURANTS = r"(?i)PIZZA HUT|JOHNNY|SPOLETO|BOALI|BAUDUCCO|LOCKERS|INDIGO"
+ARTISTS = "Alameda dos Artistas"
+BAND_M, STREET_M, CELL_M, AISLE_M, AISLE_MIN, AISLE_MAX = 10.0, 4.2, 7.4, 5.0, 0.5, 12.0
 
 # Particles that stay in lower case inside a title.
 PARTICLES = ("de", "da", "do", "das", "dos", "e", "em", "a", "o")

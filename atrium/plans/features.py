@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from atrium import params
 from atrium.functions import geometry as geo
-from atrium.operators.classify import classify, fix_prisms
+from atrium.operators.classify import classify, fix_prisms, rgb_ints
 from atrium.sources import venue
 from atrium.sources.venue import STANDS_SQL
 
@@ -105,11 +106,14 @@ def ring_exterior_holes(spark, sf_dir):
     return rows.select("k", F.abs(geo.ring_area("ext")).alias("area"), F.size(geo.holes("rings")).alias("n_holes"), F.col("mean.x").alias("mean_x"), F.col("mean.y").alias("mean_y"), F.round("centroid.x", 6).alias("centroid_x"), F.round("centroid.y", 6).alias("centroid_y"))
 
 
-@query(f"""with {STANDS_SQL}, o as (select k, unnest([1, 2, 3, 4, 5, 6, 7, 8]) as seq, x0, y0, x1, y1, p_size from stands)
+@query(f"""with {STANDS_SQL}
 select k, 1 as ring, 4 as n_points, 36.0::double as area from stands
-union all select k, 2, 4, 4.0::double from stands where p_size % 2 = 0""")
+union all select k, 2, 4, 4.0::double from stands where p_size % 2 = 0
+union all select k, case when p_size % 2 = 0 then 3 else 2 end, 4, 2.0::double from stands where p_size % 3 = 0
+union all select k, case when p_size % 2 = 0 then 3 else 2 end + case when p_size % 3 = 0 then 1 else 0 end, 8, 4.185185::double from stands where p_size % 5 = 0""")
 def path_ops_to_rings(spark, sf_dir):
-    """Drawing operations to rings: an operation that doesn't start where the last ended opens a ring."""
+    """Drawing operations to rings: an operation that doesn't start where the last ended opens a ring, a closed shape is
+    one of its own, and a curve is six chords."""
     from atrium.operators.drawing import rings_of
 
     s = venue.stands(spark, sf_dir)
@@ -119,7 +123,11 @@ def path_ops_to_rings(spark, sf_dir):
     a, b, c, d = x0 + 1, y0 + 1, x0 + 3, y0 + 3
     inner = [line(a, b, c, b), line(c, b, c, d), line(c, d, a, d), line(a, d, a, b)]
     tiny = [line(x1, y1, x1 + 0.5, y1), line(x1 + 0.5, y1, x1 + 0.5, y1 + 0.5), line(x1 + 0.5, y1 + 0.5, x1, y1)]
-    ops = s.select(F.col("k").alias("path_id"), F.posexplode(F.when(F.col("p_size") % 2 == 0, F.array(*outer, *inner, *tiny)).otherwise(F.array(*outer, *tiny))).alias("seq", "o")).select("path_id", "seq", "o.op", "o.points")
+    whole = F.struct(F.lit("re").alias("op"), F.array(geo.point(x0, y0), geo.point(x0 + 2, y0), geo.point(x0 + 2, y0 + 1), geo.point(x0, y0 + 1)).alias("points"))
+    arc = F.struct(F.lit("c").alias("op"), F.array(geo.point(x0, y0), geo.point(x0, y0 + 2), geo.point(x0 + 3, y0 + 2), geo.point(x0 + 3, y0)).alias("points"))
+    arch = [arc, line(x0 + 3, y0, x0 + 3, y0 - 0.5), line(x0 + 3, y0 - 0.5, x0, y0)]
+    some = lambda n, own: F.when(F.col("p_size") % n == 0, F.array(*own)).otherwise(F.slice(F.array(*own), 1, 0))
+    ops = s.select(F.col("k").alias("path_id"), F.posexplode(F.concat(F.array(*outer), some(2, inner), some(3, [whole]), F.array(*tiny), some(5, arch))).alias("seq", "o")).select("path_id", "seq", "o.op", "o.points")
     return rings_of(ops).select(F.col("path_id").alias("k"), "ring", F.size("points").alias("n_points"), F.round(F.abs(geo.ring_area("points")), 6).alias("area"))
 
 
@@ -131,12 +139,43 @@ def worst_k_report(spark, sf_dir):
     return rows.where("pos <= 8")
 
 
-@query(f"""with {FEATURES_SQL}
-select k, coalesce(nullif(name, ''), code) as label, case when kind = 'area' then 'areas' when p_size % 2 = 0 then 'stands' else 'mini' end as layer, -coalesce(area_m2, 0) as sort_key from features where code is not null""")
+_TAGGED = """tagged as (select k, case k % 11 when 0 then 'via' when 1 then 'poi' when 2 then 'piso' when 3 then 'circulacao' when 4 then 'quadra' else kind end as kind, case k % 5 when 0 then 'servico' when 1 then null else cat end as cat, case when k % 3 <> 0 then nullif(name, '') end as name,
+  case k % 4 when 0 then true when 1 then false end as mini, code, area_m2 from features)"""
+
+
+@query(f"""with {FEATURES_SQL}, {_TAGGED}, l as ({' union all '.join(f"select {n} as ord, '{layer}' as layer, k, name, code, area_m2 from tagged where {rule}" for n, (layer, rule) in enumerate(params.LAYERS.items()))})
+select ord, layer, count(*) as n, count(coalesce(name, code)) as labelled, min(-coalesce(area_m2, 0))::double as first_key from l group by ord, layer""")
 def key_presence_layers(spark, sf_dir):
-    """Style filters on key presence, the label's fallback and the collision priority."""
-    layer = F.when(F.col("kind") == "area", "areas").when(F.col("p_size") % 2 == 0, "stands").otherwise("mini")
-    return features(spark, sf_dir).where("code is not null").select("k", F.coalesce(F.nullif("name", F.lit("")), "code").alias("label"), layer.alias("layer"), (-F.coalesce("area_m2", F.lit(0.0))).alias("sort_key"))
+    """The style layers' conditions on key presence, the label's fallback and the collision priority."""
+    rows = features(spark, sf_dir).selectExpr(
+        "k", "case k % 11 when 0 then 'via' when 1 then 'poi' when 2 then 'piso' when 3 then 'circulacao' when 4 then 'quadra' else kind end as kind", "case k % 5 when 0 then 'servico' when 1 then null else cat end as cat",
+        "case when k % 3 <> 0 then nullif(name, '') end as name", "case k % 4 when 0 then true when 1 then false end as mini", "code", "area_m2",
+    )
+    layer = F.array(*[F.when(F.expr(rule), F.struct(F.lit(n).alias("ord"), F.lit(name).alias("layer"))) for n, (name, rule) in enumerate(params.LAYERS.items())])
+    shown = rows.withColumn("l", F.explode(F.filter(layer, lambda x: x.isNotNull()))).select("l.ord", "l.layer", "name", "code", "area_m2")
+    return shown.groupBy("ord", "layer").agg(F.count("*").alias("n"), F.count(F.coalesce("name", "code")).alias("labelled"), F.min(-F.coalesce("area_m2", F.lit(0.0))).alias("first_key"))
+
+
+@query(f"""with {STANDS_SQL} select k, round_even((k % 511) / 510.0::double * 255, 0)::int as v, round_even((k % 256) / 255.0::double * 255, 0)::int as back from stands""")
+def rgb_from_floats(spark, sf_dir):
+    """Colour channels from 0..1 to whole numbers, halves to even."""
+    s = venue.stands(spark, sf_dir).selectExpr("k", "(k % 511) / 510.0D as c", "(k % 256) / 255.0D as d")
+    return s.select("k", rgb_ints("c").alias("v"), rgb_ints("d").alias("back"))
+
+
+@query("""with p as (select l_orderkey as page, l_linenumber as seq, (l_quantity::int % 4) as level, case when l_partkey % 3 = 0 then 'clip' when l_partkey % 11 = 0 then 'group' else 'f' end as type, l_suppkey % 5 <> 0 as filled,
+  (l_partkey % 100)::double as x0, (l_suppkey % 60)::double as y0, (l_partkey % 100 + 10 + l_linenumber)::double as x1, (l_suppkey % 60 + 12)::double as y1, l_partkey, l_suppkey, l_extendedprice from lineitem),
+o as (select *, row_number() over (partition by page order by seq, l_partkey, l_suppkey, l_extendedprice) as n from p),
+c as (select a.page, a.n, max(b.n) as clip from o a join o b on b.page = a.page and b.n < a.n and b.type = 'clip' where b.level < (select min(m.level) from o m where m.page = a.page and m.n > b.n and m.n <= a.n) group by a.page, a.n)
+select a.page, a.n as seq from o a left join c on c.page = a.page and c.n = a.n left join o k on k.page = a.page and k.n = c.clip
+where a.type = 'f' and a.filled and greatest(a.x0, 5) < least(a.x1, 90) and greatest(a.y0, 0) < least(a.y1, 50) and (k.n is null or greatest(a.x0, k.x0) < least(a.x1, k.x1) and greatest(a.y0, k.y0) < least(a.y1, k.y1))""")
+def drawing_scan(spark, sf_dir):
+    """The filled paths of each page that its clips and the read window let through."""
+    from atrium.operators.drawing import visible_paths
+
+    rows = venue.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as page", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq", "cast(l_quantity as int) % 4 as level", "case when l_partkey % 3 = 0 then 'clip' when l_partkey % 11 = 0 then 'group' else 'f' end as type", "l_suppkey % 5 <> 0 as filled",
+                                                             "cast(l_partkey % 100 as double) as x0", "cast(l_suppkey % 60 as double) as y0", "cast(l_partkey % 100 + 10 + l_linenumber as double) as x1", "cast(l_suppkey % 60 + 12 as double) as y1")
+    return visible_paths(rows, (5.0, 0.0, 90.0, 50.0)).select("page", "seq")
 
 
 @query(f"""with {FEATURES_SQL}

@@ -54,13 +54,37 @@ def frame_cell_inverse(spark, sf_dir):
     return rows.select("k", F.round(i, 6).alias("i"), F.round(j, 6).alias("j"), grid.handedness().cast("int").alias("handedness"))
 
 
-@query(f"""with {STANDS_SQL}, t as (select k, (x1 - x0 + k % 3)::double as w, (y1 - y0 + k % 4)::double as h, ((k * 47) % 1000 - 500)::double as a from stands), c as (select unnest([1, 2, 3, 4]) as "case", unnest([1, -1, 1, -1]) as sx, unnest([1, 1, -1, -1]) as sy)
-select k, "case", sx * w as vx, sy * h as vy, case when h > w then 90.0 else 0.0 end::double as bearing, case when a % 360 > 180 then a % 360 - 360 when a % 360 <= -180 then a % 360 + 360 else a % 360 end as wrapped from t, c""")
+@query(f"""with {STANDS_SQL}, t as (select k, (x1 - x0 + k % 3)::double as w, (y1 - y0 + k % 4)::double as h, ((k * 47) % 1000 - 500)::double as a, (300 + k % 7 * 100)::double as sw, (k % 5 * 200)::double as sh from stands),
+u as (select *, w * cos(radians(h / 2)) as wide from t), z as (select *, least(sw / wide, sh / h) as lying, least(sw / h, sh / wide) as standing from u), c as (select unnest([1, 2, 3, 4]) as "case", unnest([1, -1, 1, -1]) as sx, unnest([1, 1, -1, -1]) as sy)
+select k, "case", sx * w as vx, sy * h as vy, case when sw > 0 and sh > 0 and standing > lying then 94.0 else 4.0 end::double as bearing, case when a % 360 > 180 then a % 360 - 360 when a % 360 <= -180 then a % 360 + 360 else a % 360 end as wrapped from z, c""")
 def orientation_fit(spark, sf_dir):
-    """The bearing that fits a box better, wrapped angles and the four mirrorings of a shape."""
-    rows = venue.stands(spark, sf_dir).selectExpr("k", "cast(x1 - x0 + k % 3 as double) as w", "cast(y1 - y0 + k % 4 as double) as h", "cast((k * 47) % 1000 - 500 as double) as a")
+    """The bearing that shows a box larger on a screen, wrapped angles and the four mirrorings of a shape."""
+    rows = venue.stands(spark, sf_dir).selectExpr("k", "cast(x1 - x0 + k % 3 as double) as w", "cast(y1 - y0 + k % 4 as double) as h", "cast((k * 47) % 1000 - 500 as double) as a", "cast(300 + k % 7 * 100 as double) as sw", "cast(k % 5 * 200 as double) as sh")
+    rows = rows.withColumn("box", F.struct(F.lit(0.0).alias("west"), F.lit(0.0).alias("south"), F.col("w").alias("east"), F.col("h").alias("north")))
     rows = rows.select("*", F.explode(F.expr("array(struct(1 as c, 1 as sx, 1 as sy), struct(2 as c, -1 as sx, 1 as sy), struct(3 as c, 1 as sx, -1 as sy), struct(4 as c, -1 as sx, -1 as sy))")).alias("m"))
-    return rows.select("k", F.col("m.c").alias("case"), (F.col("m.sx") * F.col("w")).alias("vx"), (F.col("m.sy") * F.col("h")).alias("vy"), frames.best_bearing("w", "h", F.lit(1.0)).alias("bearing"), geo.wrap_degrees("a").alias("wrapped"))
+    return rows.select("k", F.col("m.c").alias("case"), (F.col("m.sx") * F.col("w")).alias("vx"), (F.col("m.sy") * F.col("h")).alias("vy"), frames.best_bearing("sw", "sh", "box", 4.0).alias("bearing"), geo.wrap_degrees("a").alias("wrapped"))
+
+
+@query(f"""with {STANDS_SQL}, c as (select venue, -46.6 + x0 * 1e-5 as w, -46.6 + x1 * 1e-5 as e, -23.5 + y0 * 1e-5 as s, -23.5 + y1 * 1e-5 as n from stands where k % 9 <> 0)
+select venue, round(min(w), 9) as west, round(min(s), 9) as south, round(max(e), 9) as east, round(max(n), 9) as north from c group by venue""")
+def coordinate_boxes(spark, sf_dir):
+    """The box of each venue's nested coordinates; shapes without any give none."""
+    s = venue.stands(spark, sf_dir).selectExpr("venue", "k", "-46.6D + x0 * 1e-5D as w", "-46.6D + x1 * 1e-5D as e", "-23.5D + y0 * 1e-5D as s", "-23.5D + y1 * 1e-5D as n")
+    text = F.expr("case when k % 9 = 0 then '[]' when k % 2 = 0 then concat('[[[', w, ',', s, '],[', e, ', ', n, ']]]') else concat('[[', w, ',', n, '],[', e, ',', s, ']]') end")
+    box = s.withColumn("b", geo.coordinate_box(text)).groupBy("venue").agg(F.min("b.west").alias("west"), F.min("b.south").alias("south"), F.max("b.east").alias("east"), F.max("b.north").alias("north"))
+    return box.select("venue", *[F.round(c, 9).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@query(f"""with {STANDS_SQL} select k, round((x0 - 30.0) * 0.194875, 3) as mx, round((y0 - 105.0) * 0.194875, 3) as my, round(x0, 6) as back_x, round(y0, 6) as back_y from stands""")
+def frame_page(spark, sf_dir):
+    """Page points to metres of the drawing, and places on the globe back to the building."""
+    s = venue.stands(spark, sf_dir)
+    mx, my = frames.page_to_metres("x0", "y0", 30.0, 105.0)
+    at = frames.georeference(RING)
+    lng, lat = frames.to_lnglat("x0", "y0", at)
+    rows = s.withColumns({"lng": lng, "lat": lat})
+    bx, by = frames.from_lnglat("lng", "lat", at)
+    return rows.select("k", mx.alias("mx"), my.alias("my"), F.round(bx, 6).alias("back_x"), F.round(by, 6).alias("back_y"))
 
 
 @query("""with l as (select l_orderkey, (l_partkey % 140)::double as x, (l_suppkey * 7 % 90)::double as y, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos from lineitem),

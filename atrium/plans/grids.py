@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from atrium.operators import grid
 from atrium.sources import venue
-from atrium.sources.venue import DOORS_SQL, STANDS_SQL, VISITORS_SQL
+from atrium.sources.venue import STANDS_SQL, VENUES_SQL, VISITORS_SQL
 
 from .registry import query
 
@@ -54,20 +54,33 @@ def edge_list(spark, sf_dir):
     return e.groupBy("venue", (F.col("ti") - F.col("i")).alias("di"), (F.col("tj") - F.col("j")).alias("dj")).agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("total"))
 
 
-@query(f"""with {CELLS_SQL}, near as (select c.venue, c.i, c.j, a, b from cells c, range(-6, 7) x(a), range(-6, 7) y(b) where c.free),
-w as (select n.venue, n.i, n.j, min(greatest(abs(a), abs(b)) + (sqrt(2.0) - 1) * least(abs(a), abs(b))) as d from near n left join cells t on t.venue = n.venue and t.i = n.i + a and t.j = n.j + b where t.free is distinct from true group by 1, 2, 3)
-select c.venue, c.i, c.j, round(case when c.free then least(coalesce(d, 6.0), 6.0) else 0 end, 6)::double as clearance from cells c left join w on w.venue = c.venue and w.i = c.i and w.j = c.j""")
+#: Distances spread from the walls that touch free cells.
+CLEAR_SQL = """f as (select venue, i, j from cells where free), s as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) t(a, b)),
+rim as (select distinct f.venue, f.i + a as i, f.j + b as j from f, s), wall as (select rim.venue, rim.i, rim.j from rim left join f on f.venue = rim.venue and f.i = rim.i and f.j = rim.j where f.i is null),
+near as (select venue, i + a as i, j + b as j, min(greatest(abs(a), abs(b)) + (sqrt(2.0) - 1) * least(abs(a), abs(b))) as d from wall, range(-6, 7) x(a), range(-6, 7) y(b) group by 1, 2, 3),
+clear as (select c.venue, c.i, c.j, round(case when c.free then least(coalesce(d, 6.0), 6.0) else 0 end, 6)::double as clearance from cells c left join near n on n.venue = c.venue and n.i = c.i and n.j = c.j)"""
+
+
+@query(f"with {CELLS_SQL}, {CLEAR_SQL} select venue, i, j, clearance from clear")
 def clearance_field(spark, sf_dir):
     return grid.clearance(cells(spark, sf_dir)).select("venue", "i", "j", F.round("clearance", 6).alias("clearance"))
 
 
-@query(f"""with {CELLS_SQL}, {VISITORS_SQL}, p as (select visitor, x - 0.5 as fi, y - 0.5 as fj, floor(x)::int as ci, floor(y)::int as cj from visitors),
-n as (select visitor, i, j, greatest(abs(i - ci), abs(j - cj)) as ring, (i - fi) * (i - fi) + (j - fj) * (j - fj) as d2 from p join cells c on c.venue = 0 and c.free and c.i between ci - 8 and ci + 8 and c.j between cj - 8 and cj + 8),
+@query(f"""with {CELLS_SQL}, {CLEAR_SQL}, {VISITORS_SQL}, p as (select visitor, venue, floor(x - 0.75 + (visitor % 3) * 0.5 + 0.5)::int as i, floor(y - 0.75 - (visitor % 2) + 0.5)::int as j from visitors)
+select p.visitor, round(coalesce(c.clearance, 0), 6)::double as clearance_m from p left join clear c on c.venue = p.venue and c.i = p.i and c.j = p.j""")
+def clearance_at(spark, sf_dir):
+    """Clearance at places between cells: halves round up, and what lies outside has none."""
+    at = venue.visitors(spark, sf_dir).selectExpr("venue", "visitor as id", "x - 0.75 + (visitor % 3) * 0.5D as fi", "y - 0.75 - (visitor % 2) as fj")
+    return grid.clearance_at(at, grid.clearance(cells(spark, sf_dir))).select(F.col("id").alias("visitor"), F.round("clearance_m", 6).alias("clearance_m"))
+
+
+@query(f"""with {CELLS_SQL}, {VISITORS_SQL}, p as (select visitor, venue, x - 0.5 as fi, y - 0.5 as fj, floor(x)::int as ci, floor(y)::int as cj from visitors),
+n as (select visitor, i, j, greatest(abs(i - ci), abs(j - cj)) as ring, (i - fi) * (i - fi) + (j - fj) * (j - fj) as d2 from p join cells c on c.venue = p.venue and c.free and c.i between ci - 8 and ci + 8 and c.j between cj - 8 and cj + 8),
 b as (select *, row_number() over (partition by visitor order by ring, d2, j, i) as r from n)
 select p.visitor, b.i, b.j, b.ring from p left join b on b.visitor = p.visitor and r = 1""")
 def snap_to_free(spark, sf_dir):
     """Where a tap on the map starts walking."""
-    taps = venue.visitors(spark, sf_dir).selectExpr("0L as venue", "visitor as id", "x - 0.5 as fi", "y - 0.5 as fj")
+    taps = venue.visitors(spark, sf_dir).selectExpr("venue", "visitor as id", "x - 0.5 as fi", "y - 0.5 as fj")
     return grid.snap_to_free(taps, cells(spark, sf_dir), 8).select(F.col("id").alias("visitor"), "i", "j", "ring")
 
 
@@ -85,13 +98,25 @@ def walled(spark, sf_dir):
     return cells(spark, sf_dir).withColumn("free", F.expr("free and not (i = 93 and (venue % 2 = 0 or j <> 20)) and not (i between 30 and 32 and j between 3 and 5 and not (i = 31 and j = 4))"))
 
 
-@query()
+#: Runs of free cells are the nodes: with the corner rule two of neighbouring rows touch exactly if they share a column.
+_REACH = f"""with recursive {CELLS_SQL}, open_ as (select venue, i, j from cells where free and not (i = 93 and (venue % 2 = 0 or j <> 20)) and not (i between 30 and 32 and j between 3 and 5 and not (i = 31 and j = 4))),
+wl as (select *, i - row_number() over (partition by venue, j order by i) as g from open_), rn as (select venue, j, g, min(i) as lo, max(i) as hi from wl group by venue, j, g),
+up as (select a.venue, a.j as aj, a.g as ag, b.j as bj, b.g as bg from rn a join rn b on b.venue = a.venue and b.j = a.j + 1 where a.lo <= b.hi and b.lo <= a.hi),
+tc as (select * from up union all select venue, bj, bg, aj, ag from up),
+rc(venue, j, g) as (select venue, j, g from rn where lo <= 2 and hi >= 2 and j % 10 = 2 union select t.venue, t.bj, t.bg from rc join tc t on t.venue = rc.venue and t.aj = rc.j and t.ag = rc.g),
+reach as (select wl.venue, wl.i, wl.j from wl join rc on rc.venue = wl.venue and rc.j = wl.j and rc.g = wl.g)"""
+
+
+@query(f"{_REACH} select venue, i, j from reach")
 def reachable_from_doors(spark, sf_dir):
     w = grid.stored(walled(spark, sf_dir), "walled")
     return grid.reachable(w, w.where("i = 2 and j % 10 = 2 and free"))
 
 
-@query()
+@query(f"""{_REACH}, near as (select b.venue, b.k, o.i, o.j, sqrt(power(greatest(b.x0 - o.i - 0.5, 0, o.i + 0.5 - b.x1), 2) + power(greatest(b.y0 - o.j - 0.5, 0, o.j + 0.5 - b.y1), 2)) as d
+  from blocks b join open_ o on o.venue = b.venue and o.i + 0.5 between b.x0 - 4 and b.x1 + 4 and o.j + 0.5 between b.y0 - 4 and b.y1 + 4),
+acc as (select *, row_number() over (partition by venue, k order by d, j, i) as n from near where d < 4)
+select b.venue, b.k, case when a.i is null then 'no access' else 'unreached' end as why from blocks b left join acc a on a.venue = b.venue and a.k = b.k and a.n = 1 left join reach r on r.venue = b.venue and r.i = a.i and r.j = a.j where r.i is null""")
 def isolated_blocks(spark, sf_dir):
     """Blocks without an access cell, or whose access cell no door reaches."""
     w = grid.stored(walled(spark, sf_dir), "walled")
@@ -101,6 +126,17 @@ def isolated_blocks(spark, sf_dir):
     return at.where("ai is null").select("venue", "k", F.lit("no access").alias("why")).union(lost)
 
 
+@query(f"""{_REACH} select o.venue, count(*) filter (where o.i = 2 and o.j % 10 = 2) as doors, count(*) as free, count(*) filter (where r.i is null) as isolated
+from open_ o left join reach r on r.venue = o.venue and r.i = o.i and r.j = o.j group by o.venue""")
+def grid_report(spark, sf_dir):
+    """Door cells, free cells and those that no door reaches."""
+    w = grid.stored(walled(spark, sf_dir), "walled")
+    free = w.where("free").select("venue", "i", "j", F.expr("i = 2 and j % 10 = 2").alias("door"))
+    seen = grid.reachable(w, free.where("door")).withColumn("seen", F.lit(True))
+    rows = free.join(seen, ["venue", "i", "j"], "left")
+    return rows.groupBy("venue").agg(F.count_if("door").alias("doors"), F.count("*").alias("free"), F.count_if(F.col("seen").isNull()).alias("isolated"))
+
+
 @query(f"""with {CELLS_SQL}, a as (select venue, i, j from cells where free), b as (select venue, i, j from cells where i % 3 = 0 or j % 4 = 0)
 select 'union' as op, count(*) as n from (select * from a union select * from b) union all select 'intersect', count(*) from (select * from a intersect select * from b) union all select 'difference', count(*) from (select * from a except select * from b)""")
 def cell_set_ops(spark, sf_dir):
@@ -111,14 +147,14 @@ def cell_set_ops(spark, sf_dir):
     return count("union", a.union(b).distinct()).union(count("intersect", a.intersect(b))).union(count("difference", a.subtract(b)))
 
 
-@query(f"""with {CELLS_SQL}, p as (select o_orderkey as id, (o_custkey * 7 % {WIDTH})::int as ai, (o_custkey * 3 % {HEIGHT})::int as aj, (o_orderkey * 5 % {WIDTH})::int as bi, (o_custkey * 3 % {HEIGHT} + o_orderkey % 5)::int as bj from orders),
+@query(f"""with {CELLS_SQL}, {VENUES_SQL}, p as (select o_orderkey as id, o_custkey % nv as venue, (o_custkey * 7 % {WIDTH})::int as ai, (o_custkey * 3 % {HEIGHT})::int as aj, (o_orderkey * 5 % {WIDTH})::int as bi, (o_custkey * 3 % {HEIGHT} + o_orderkey % 5)::int as bj from orders, nv),
 n as (select *, greatest(abs(bi - ai), abs(bj - aj)) as n from p),
-s as (select id, unnest(range(0, n + 1)) as k, n, ai, aj, bi, bj from n),
-q as (select id, floor(ai + (bi - ai) * (k::double / greatest(n, 1)) + 0.5)::int as i, floor(aj + (bj - aj) * (k::double / greatest(n, 1)) + 0.5)::int as j from s)
-select id, bool_and(coalesce(c.free, false)) as visible, count(*) as samples from q left join cells c on c.venue = 0 and c.i = q.i and c.j = q.j group by id""")
+s as (select id, venue, unnest(range(0, n + 1)) as k, n, ai, aj, bi, bj from n),
+q as (select id, venue, floor(ai + (bi - ai) * (k::double / greatest(n, 1)) + 0.5)::int as i, floor(aj + (bj - aj) * (k::double / greatest(n, 1)) + 0.5)::int as j from s)
+select id, bool_and(coalesce(c.free, false)) as visible, count(*) as samples from q left join cells c on c.venue = q.venue and c.i = q.i and c.j = q.j group by id""")
 def line_of_sight(spark, sf_dir):
     """Whether a straight walk between two cells stays on free ones."""
     from atrium.operators.routing import visible
 
-    rows = venue.table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "0L as venue", f"cast(o_custkey * 7 % {WIDTH} as int) as ai", f"cast(o_custkey * 3 % {HEIGHT} as int) as aj", f"cast(o_orderkey * 5 % {WIDTH} as int) as bi", f"cast(o_custkey * 3 % {HEIGHT} + o_orderkey % 5 as int) as bj")
+    rows = venue.table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", f"o_custkey % {venue.venues(spark, sf_dir)}L as venue", f"cast(o_custkey * 7 % {WIDTH} as int) as ai", f"cast(o_custkey * 3 % {HEIGHT} as int) as aj", f"cast(o_orderkey * 5 % {WIDTH} as int) as bi", f"cast(o_custkey * 3 % {HEIGHT} + o_orderkey % 5 as int) as bj")
     return visible(rows, cells(spark, sf_dir)).select("id", "visible", "samples")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from atrium import params
 from atrium.functions import geometry as geo
 from atrium.operators import labels as lab
+from atrium.operators.classify import in_box, wholly_in
 from atrium.sources import venue
 from atrium.sources.venue import DOORS_SQL, STANDS_SQL
 
@@ -83,20 +84,23 @@ def block_split_midpoints(spark, sf_dir):
     return rows.select(F.col("label_id").alias("k"), "line", *[F.round(c, 6).alias(c) for c in ("xa", "ya", "xb", "yb")])
 
 
-@query(f"""with {STANDS_SQL}, {_BLOCKS} select k, line from l""")
+@query(f"""with recursive {STANDS_SQL}, o as (select k, k // 5 as block, y0 + (k % 5) * 1.5 as y, row_number() over (partition by k // 5 order by y0 + (k % 5) * 1.5, k) as n from stands),
+r as (select block, n, k, y as first, 0 as line from o where n = 1 union all select o.block, o.n, o.k, case when o.y - r.first > 2 then o.y else r.first end, r.line + (o.y - r.first > 2)::int from r join o on o.block = r.block and o.n = r.n + 1)
+select k, line from r""")
 def label_rows(spark, sf_dir):
-    s = venue.stands(spark, sf_dir).selectExpr("k as label_id", "k div 5 as block", "case when k % 5 < 3 then y0 + 1 else y0 + 4 end as y")
+    """Rows of labels that drift: a new one starts where the height is too far from the row's first."""
+    s = venue.stands(spark, sf_dir).selectExpr("k as label_id", "k div 5 as block", "y0 + (k % 5) * 1.5D as y")
     return lab.label_rows(s, "block", "2").select(F.col("label_id").alias("k"), "line")
 
 
 @query(f"""with {STANDS_SQL}, l as (select k // 4 as line, k, code, name, 0.5 + (k % 3) * 0.5 as size, x0, y0, x1, y1 from stands)
-select line, string_agg(case when k % 2 = 0 then code else name end, ' ' order by k) as txt, max(size)::double as size, bool_or(size > 0.9 and k % 2 = 1) as named, max(x1) < 90 as in_legend from l group by line""")
+select line, string_agg(case when k % 2 = 0 then code else name end, ' ' order by k) as txt, max(size)::double as size, bool_or(size > 0.9 and k % 2 = 1) as named, bool_and(x0 >= 0 and x1 <= 90 and y0 >= 0 and y1 <= 400) as in_legend, bool_or((x0 + x1) / 2 between 20 and 61 and (y0 + y1) / 2 between 0 and 300) as in_lane from l group by line""")
 def label_filters(spark, sf_dir):
-    """Spans to lines with their largest size, the size filter and the legend box."""
-    rows = venue.stands(spark, sf_dir).selectExpr("k div 4 as line", "k", "case when k % 2 = 0 then code else name end as txt", "cast(0.5 + (k % 3) * 0.5 as double) as size", "x1")
+    """Spans to lines with their largest size, the size filter, the legend box (all vertices) and the lane box (a centre)."""
+    rows = venue.stands(spark, sf_dir).selectExpr("k div 4 as line", "k", "case when k % 2 = 0 then code else name end as txt", "cast(0.5 + (k % 3) * 0.5 as double) as size", "x0", "y0", "x1", "y1").withColumn("ring", geo.rectangle("x0", "y0", "x1", "y1"))
     named = (F.col("size") > params.LABEL_MIN_SIZE) & ~F.col("txt").rlike(params.CODE_RE)
-    lines = rows.groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "txt"))), lambda r: r["txt"]), " ").alias("txt"), F.max("size").alias("size"), F.bool_or(named).alias("named"), F.max("x1").alias("m"))
-    return lines.select("line", "txt", "size", "named", (F.col("m") < 90).alias("in_legend"))
+    lines = rows.groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "txt"))), lambda r: r["txt"]), " ").alias("txt"), F.max("size").alias("size"), F.bool_or(named).alias("named"), F.bool_and(wholly_in("ring", (0.0, 0.0, 90.0, 400.0))).alias("in_legend"), F.bool_or(in_box("ring", (20.0, 0.0, 61.0, 300.0))).alias("in_lane"))
+    return lines.select("line", "txt", "size", "named", "in_legend", "in_lane")
 
 
 @query(f"""with {STANDS_SQL}, {DOORS_SQL}, t as (select door, case door % 3 when 0 then 'Entrada Pública' when 1 then 'ACESSO SERVIÇO HALL' else 'acesso servico' end || ' ' || door as name, [{{i: (door % 7)::int, j: 1}}, {{i: (door % 5)::int, j: 2}}] as cells from doors),

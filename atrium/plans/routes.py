@@ -8,26 +8,29 @@ from atrium import params
 from atrium.functions import geometry as geo
 from atrium.operators import grid, instructions, itinerary, routing
 from atrium.sources import venue
+from atrium.sources.venue import STANDS_SQL, VENUES_SQL
 
 from .grids import HEIGHT, WIDTH, cells
 from .registry import query
 
+
 def requests(spark, sf_dir):
-    """One walk a supplier, from the west wall to a place a few rows on."""
-    rows = venue.table(spark, sf_dir, "supplier")
-    return rows.selectExpr("s_suppkey as id", "0L as venue", "1 as ai", "cast(10 * (s_suppkey % 5) + 11 as int) as aj", "cast(s_suppkey * 37 % 140 as int) as bi", "cast(10 * (s_suppkey % 4 + s_suppkey % 3) + 12 as int) as bj")
+    """One walk an order, in all venues: from the west wall of a row of stands to a place within sixty metres,
+    or, of each hundredth customer, anywhere in the venue."""
+    n = venue.venues(spark, sf_dir)
+    far = f"case when o_custkey % 100 = 0 then cast(o_orderkey * 53 % {HEIGHT} as int) else cast(10 * (o_custkey % 100) + 1 + o_orderkey % 60 as int) end"
+    return venue.table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", f"o_custkey % {n}L as venue", "1 as ai", "cast(10 * (o_custkey % 100) + 11 as int) as aj", "cast(o_orderkey * 37 % 140 as int) as bi", f"{far} as bj")
 
 
 def routed_cells(spark, sf_dir):
-    """The grid with clearance, of the venues that walks are asked for."""
-    asked = requests(spark, sf_dir).select("venue").distinct()
-    return grid.stored(grid.clearance(cells(spark, sf_dir).join(asked, "venue", "left_semi")), "clearance")
+    """The grid with clearance of all venues."""
+    return grid.stored(grid.clearance(cells(spark, sf_dir)), "clearance")
 
 
 @query()
 def route_cost(spark, sf_dir):
-    """True least cost of each requested route."""
-    found = routing.routes(requests(spark, sf_dir), routed_cells(spark, sf_dir), WIDTH, HEIGHT)
+    """True least cost of each requested route; null where there is none."""
+    found = routing.routes(requests(spark, sf_dir), routed_cells(spark, sf_dir), WIDTH, HEIGHT, paths=False)
     return found.select("id", F.round("cost", 6).alias("cost"))
 
 
@@ -38,26 +41,39 @@ def route_path_metres(spark, sf_dir):
     return found.select("id", F.round("metres", 3).alias("metres"), F.size("cells").alias("corners"))
 
 
-def nations_and_regions(spark, sf_dir):
-    """Destinations, one a nation, and doors, one a region."""
-    dest = venue.table(spark, sf_dir, "nation").selectExpr("0L as venue", "cast(n_nationkey as long) as dest", "cast(n_nationkey * 37 % 140 as int) as bi", "cast(10 * (n_nationkey % 7) + 12 as int) as bj")
-    doors = venue.table(spark, sf_dir, "region").selectExpr("0L as venue", "cast(r_regionkey as long) as door", "1 as ai", "cast(10 * r_regionkey + 11 as int) as aj")
-    return dest, doors
+@query()
+def route_clearance(spark, sf_dir):
+    """Figures of each venue's routes: upper median and largest length, corners, clearance along them in metres, and the
+    share of samples within a metre of a wall."""
+    at = routed_cells(spark, sf_dir)
+    found = grid.stored(routing.routes(requests(spark, sf_dir), at, WIDTH, HEIGHT).where("metres is not null"), "routes")
+    lengths = found.selectExpr("venue", "metres", "size(cells) as corners", "row_number() over (partition by venue order by metres, id) - 1 as nth", "count(*) over (partition by venue) as n")
+    per = lengths.groupBy("venue").agg(F.max(F.expr("case when nth = n div 2 then metres end")).alias("median_m"), F.max("metres").alias("max_m"), F.avg("corners").alias("corners"), F.count("*").alias("routes"))
+    along = routing.along(found, at, least_m=40.0).groupBy("venue").agg(F.avg("clearance_m").alias("clearance_m"), F.avg(F.when(F.col("clearance_m") < 1, 100.0).otherwise(0.0)).alias("hugging"))
+    return per.join(along, "venue", "left").select("venue", "routes", *[F.round(c, 3).alias(c) for c in ("median_m", "max_m", "corners", "clearance_m", "hugging")])
+
+
+def destinations_and_doors(spark, sf_dir):
+    """Destinations, one a customer, and doors, those of the suppliers on each venue's west wall."""
+    n = venue.venues(spark, sf_dir)
+    dest = venue.table(spark, sf_dir, "customer").selectExpr(f"c_custkey % {n}L as venue", "c_custkey as dest", "cast(c_custkey * 37 % 140 as int) as bi", f"cast(c_custkey * 53 % {HEIGHT} as int) as bj")
+    doors = venue.table(spark, sf_dir, "supplier").selectExpr(f"s_suppkey % {n}L as venue", "s_suppkey as door", "1 as ai", f"cast(100 * (s_suppkey div {n}L % 10) + 11 as int) as aj")
+    return dest, doors.groupBy("venue", "ai", "aj").agg(F.min("door").alias("door"))
 
 
 @query()
 def nearest_door(spark, sf_dir):
-    """The cheapest way in to each destination, over all doors."""
-    dest, doors = nations_and_regions(spark, sf_dir)
-    pairs = dest.join(doors, "venue").withColumn("id", F.expr("dest * 1000 + door"))
-    found = routing.routes(pairs, routed_cells(spark, sf_dir), WIDTH, HEIGHT).where("cost is not null")
+    """The cheapest way in to each destination, over all doors of its venue: one search from each door."""
+    dest, doors = destinations_and_doors(spark, sf_dir)
+    pairs = dest.join(doors, "venue").withColumn("id", F.xxhash64("dest", "door"))
+    found = routing.routes(pairs, routed_cells(spark, sf_dir), WIDTH, HEIGHT, paths=False).where("cost is not null")
     return found.groupBy("dest").agg(F.round(F.min("cost"), 6).alias("cost"))
 
 
 @query()
 def best_door_by_metres(spark, sf_dir):
     """The door with the shortest simplified route."""
-    dest, doors = nations_and_regions(spark, sf_dir)
+    dest, doors = destinations_and_doors(spark, sf_dir)
     return routing.best_door(dest, doors, routed_cells(spark, sf_dir), WIDTH, HEIGHT).select("dest", "door", F.round("metres", 3).alias("metres"))
 
 
@@ -84,7 +100,7 @@ def leg_pairs(spark, sf_dir):
 
 @query(f"""with {_STOPS}, l as (select itin, pos, sqrt(power(lead(x) over w - x, 2) + power(lead(y) over w - y, 2)) as m, lead(pos) over w as n from s window w as (partition by itin order by pos)),
 t as (select itin, count(*) as legs, sum(m) as m, bool_and(m is not null) as whole from l where n is not null group by itin)
-select itin, legs, round(case when whole then m end, 6) as metres, case when whole then greatest(1, floor(m / 75 + 0.5))::bigint else 1 end as minutes from t""")
+select itin, legs, round(case when whole then m end, 6) as metres, case when whole then greatest(1, floor(m / 75 + 0.5))::bigint end as minutes from t""")
 def itinerary_total(spark, sf_dir):
     legs = itinerary.leg_pairs(stops(spark, sf_dir)).withColumn("metres", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y")))
     return itinerary.totals(legs).select("itin", "legs", F.round("metres", 6).alias("metres"), "minutes")
@@ -118,37 +134,61 @@ def best_order_2opt(spark, sf_dir):
     return itinerary.accept(now, found).select("itin", F.size("route").alias("stops"), F.round("metres", 3).alias("metres"), "accepted")
 
 
+@query(f"""with recursive {_SHORT}, e as (select itin, min(pos) as a, max(pos) as b from few group by itin),
+p(itin, route, metres, n) as (select itin, [a], 0.0::double, 1 from e union all
+  select p.itin, list_append(p.route, t.pos), p.metres + sqrt(power(t.x - f.x, 2) + power(t.y - f.y, 2)), n + 1 from p join e on e.itin = p.itin join few f on f.itin = p.itin and f.pos = p.route[-1]
+  join few t on t.itin = p.itin and not list_contains(p.route, t.pos) and (t.pos <> e.b or len(p.route) = (select count(*) - 1 from few c where c.itin = p.itin))),
+o as (select itin, min(metres) as metres from p join e using (itin) where route[-1] = b group by itin),
+l as (select itin, sqrt(power(lead(x) over w - x, 2) + power(lead(y) over w - y, 2)) as m from few window w as (partition by itin order by pos)), c as (select itin, sum(m) as before from l group by itin)
+select itin, round(metres, 6) as metres, round(before, 6) as before, before - metres > 0.5 as accepted from o join c using (itin)""")
+def itinerary_optimised(spark, sf_dir):
+    """The better order of each itinerary, all orders tried, and whether it is worth a change."""
+    found = itinerary.optimise(short_itineraries(spark, sf_dir))
+    return found.select("itin", F.round("metres", 6).alias("metres"), F.round("before", 6).alias("before"), "accepted")
+
+
+@query()
+def itinerary_routed(spark, sf_dir):
+    """The better order by the metres that are really walked, for itineraries of one customer in fifty."""
+    n = venue.venues(spark, sf_dir)
+    rows = short_itineraries(spark, sf_dir).where("itin % 50 = 0").selectExpr("itin", "pos", "x", "y", f"itin % {n}L as venue", "cast(10 * (pos + itin % 7) + 11 + pos % 3 as int) as j", "cast(x as int) as i")
+    matrix = itinerary.routed_matrix(rows, routed_cells(spark, sf_dir), WIDTH, HEIGHT)
+    return itinerary.optimise(rows, matrix).select("itin", F.size("route").alias("stops"), F.round("metres", 3).alias("metres"), F.round("before", 3).alias("before"), "accepted")
+
+
 #: Streets between the rows of stands, and the gaps between their blocks.
-_WAYS = f"""ways as (select 0 as venue, r + 1 as ord, 'Rua ' || chr((65 + r % 26)::int) || (r // 26) as name, false as derived, 0.0::double as ax, (11.5 + 10 * r)::double as ay, 139.0::double as bx, (11.5 + 10 * r)::double as "by", 4.0::double as width from range(100) t(r)
-  union all select 0, 100 + c, 'Transversal ' || lpad((c + 1)::varchar, 2, '0'), true, (35.5 + 34 * c)::double, 0.0::double, (35.5 + 34 * c)::double, {HEIGHT - 1}.0::double, 4.0::double from range(3) u(c))"""
+_WAYS = f"""{STANDS_SQL}, wr as (select distinct venue, "row" % 100 as r from stands), ways as (select venue, r + 1 as ord, 'Rua ' || chr((65 + r % 26)::int) || (r // 26) as name, false as derived, 0.0::double as ax, (11.5 + 10 * r)::double as ay, 139.0::double as bx, (11.5 + 10 * r)::double as "by", 4.0::double as width from wr
+  union all select venue, 101 + c, 'Transversal ' || lpad((c + 1)::varchar, 2, '0'), true, (35.5 + 34 * c)::double, 0.0::double, (35.5 + 34 * c)::double, {HEIGHT - 1}.0::double, 4.0::double from (select distinct venue from stands), range(3) u(c))"""
 
 
-def ways(spark):
-    rows = spark.sql(f"""select r + 1 as ord, concat('Rua ', chr(65 + r % 26), r div 26) as name, false as derived, array(array(struct(0.0D as x, 11.5D + 10 * r as y), struct(139.0D as x, 11.5D + 10 * r as y))) as lines, 4.0D as width from (select id as r from range(100))
-      union all select 100 + c, concat('Transversal ', lpad(cast(c + 1 as string), 2, '0')), true, array(array(struct(35.5D + 34 * c as x, 0.0D as y), struct(35.5D + 34 * c as x, {HEIGHT - 1}.0D as y))), cast(null as double) from (select id as c from range(3))""")
-    return instructions.ways_in_cells(rows, lambda x, y: (F.col(x), F.col(y))).withColumn("venue", F.lit(0).cast("long"))
+def ways(spark, sf_dir):
+    """A street under each row of stands and three transversals a venue, in cells."""
+    s = venue.stands(spark, sf_dir)
+    street = s.selectExpr("venue", "row % 100 as r").distinct().selectExpr("venue", "r + 1 as ord", "concat('Rua ', chr(65 + r % 26), r div 26) as name", "false as derived", "array(array(struct(0.0D as x, 11.5D + 10 * r as y), struct(139.0D as x, 11.5D + 10 * r as y))) as lines", "4.0D as width")
+    cross = s.select("venue").distinct().selectExpr("venue", "explode(sequence(0, 2)) as c").selectExpr("venue", "cast(101 + c as long) as ord", "concat('Transversal ', lpad(cast(c + 1 as string), 2, '0')) as name", "true as derived", f"array(array(struct(35.5D + 34 * c as x, 0.0D as y), struct(35.5D + 34 * c as x, {HEIGHT - 1}.0D as y))) as lines", "cast(null as double) as width")
+    return instructions.ways_in_cells(street.unionByName(cross), lambda x, y: (F.col(x), F.col(y)), keep=("venue",))
 
 
-@query(f"""with {_WAYS} select ord, name, derived, ax, ay, bx, "by", width from ways""")
+@query(f"""with {_WAYS} select venue, ord, name, derived, ax, ay, bx, "by", width from ways""")
 def ways_in_cells(spark, sf_dir):
-    return ways(spark).select("ord", "name", "derived", "ax", "ay", "bx", "by", "width")
+    return ways(spark, sf_dir).select("venue", "ord", "name", "derived", "ax", "ay", "bx", "by", "width")
 
 
-_LEGS = """legs as (select o_orderkey as leg, 0 as venue, (o_custkey * 7 % 140)::double as pi, (10 * (o_custkey % 4) + 11 + o_custkey % 3)::double as pj, (case when o_orderkey % 2 = 0 then o_orderkey * 5 % 140 else o_custkey * 7 % 140 + 1 end)::double as qi, (case when o_orderkey % 2 = 0 then 10 * (o_custkey % 4) + 12 else o_orderkey % 44 end)::double as qj from orders)"""
+_LEGS = f"""{VENUES_SQL}, legs as (select o_orderkey as leg, o_custkey % nv as venue, (o_custkey * 7 % 140)::double as pi, (10 * (o_custkey % 4) + 11 + o_custkey % 3)::double as pj, (case when o_orderkey % 2 = 0 then o_orderkey * 5 % 140 else o_custkey * 7 % 140 + 1 end)::double as qi, (case when o_orderkey % 2 = 0 then 10 * (o_custkey % 4) + 12 else o_orderkey % 44 end)::double as qj from orders, nv)"""
 
 
 def legs(spark, sf_dir):
     rows = venue.table(spark, sf_dir, "orders")
-    return rows.selectExpr("o_orderkey as leg", "0L as venue", "cast(o_custkey * 7 % 140 as double) as pi", "cast(10 * (o_custkey % 4) + 11 + o_custkey % 3 as double) as pj", "cast(case when o_orderkey % 2 = 0 then o_orderkey * 5 % 140 else o_custkey * 7 % 140 + 1 end as double) as qi", "cast(case when o_orderkey % 2 = 0 then 10 * (o_custkey % 4) + 12 else o_orderkey % 44 end as double) as qj")
+    return rows.selectExpr("o_orderkey as leg", f"o_custkey % {venue.venues(spark, sf_dir)}L as venue", "cast(o_custkey * 7 % 140 as double) as pi", "cast(10 * (o_custkey % 4) + 11 + o_custkey % 3 as double) as pj", "cast(case when o_orderkey % 2 = 0 then o_orderkey * 5 % 140 else o_custkey * 7 % 140 + 1 end as double) as qi", "cast(case when o_orderkey % 2 = 0 then 10 * (o_custkey % 4) + 12 else o_orderkey % 44 end as double) as qj")
 
 
-@query(f"""with {_WAYS}, {_LEGS}, t as (select leg, ord, name, width, pi + (qi - pi) * (s / 16.0::double) as x, pj + (qj - pj) * (s / 16.0::double) as y, ax, ay, bx, "by" from legs, ways, range(17) z(s)),
+@query(f"""with {_WAYS}, {_LEGS}, t as (select leg, ord, name, width, pi + (qi - pi) * (s / 16.0::double) as x, pj + (qj - pj) * (s / 16.0::double) as y, ax, ay, bx, "by" from legs join ways on ways.venue = legs.venue, range(17) z(s)),
 d as (select leg, ord, name, width, x, y, ax, ay, bx, "by", greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * ("by" - ay)) / ((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)))) as u from t),
 c as (select leg, ord, name, width, round(avg(case when sqrt(power(x - (ax + u * (bx - ax)), 2) + power(y - (ay + u * ("by" - ay)), 2)) <= width / 2 + 3 then 1.0 else 0.0 end), 9) as cov from d group by all),
 b as (select *, row_number() over (partition by leg order by cov desc, width desc, ord) as n from c where cov >= 0.7)
 select legs.leg, b.name as way, b.cov as coverage from legs left join b on b.leg = legs.leg and n = 1""")
 def leg_way_coverage(spark, sf_dir):
-    return instructions.leg_ways(legs(spark, sf_dir), ways(spark)).select("leg", "way", "coverage")
+    return instructions.leg_ways(legs(spark, sf_dir), ways(spark, sf_dir)).select("leg", "way", "coverage")
 
 
 _TURNS = """d as (select l_orderkey as route, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq, (l_partkey % 9 - 4)::double as dx, (l_suppkey % 7 - 3)::double as dy, case when l_partkey % 3 = 0 then null else 'Rua ' || (l_partkey % 2) end as way from lineitem),
@@ -169,7 +209,7 @@ def instruction_steps(spark, sf_dir):
     found = routing.routes(requests(spark, sf_dir), routed_cells(spark, sf_dir), WIDTH, HEIGHT).where("size(cells) > 1")
     parts = found.selectExpr("venue", "id as route", "posexplode(zip_with(slice(cells, 1, size(cells) - 1), slice(cells, 2, size(cells) - 1), (p, q) -> struct(p, q))) as (seq, c)")
     rows = parts.selectExpr("venue", "route", "seq", "route * 1000 + seq as leg", "cast(c.p.i as double) as pi", "cast(c.p.j as double) as pj", "cast(c.q.i as double) as qi", "cast(c.q.j as double) as qj")
-    named = instructions.leg_ways(rows, ways(spark)).selectExpr("route", "seq", "qi - pi as dx", "qj - pj as dy", "hypot(qi - pi, qj - pj) as metres", "way", "derived", "concat('Estande ', route) as label")
+    named = instructions.leg_ways(rows, ways(spark, sf_dir)).selectExpr("route", "seq", "qi - pi as dx", "qj - pj as dy", "hypot(qi - pi, qj - pj) as metres", "way", "derived", "concat('Estande ', route) as label")
     return instructions.instructions(named, handedness=-1).withColumn("metres", F.round("metres", 3))
 
 

@@ -24,12 +24,13 @@ def title_case_names(spark, sf_dir):
 
 
 @query("""with i as (select doc_id as ord, regexp_extract(text, '^[^\\s]+\\s+[^\\s]+') as name, 'A' || lpad((doc_id % 1000)::varchar, 3, '0') as code from documents),
-f as (select ord, name, code, strip_accents(lower(name)) as nn, lower(code) as cn from i where name <> ''),
+f as (select ord, coalesce(nullif(name, ''), code) as name, code, strip_accents(lower(coalesce(nullif(name, ''), code))) as nn, lower(code) as cn from (select ord, case when ord % 9 = 0 then '' else name end as name, case when ord % 6 = 0 then '' else code end as code from i) i2 where name <> '' or code <> ''),
 r as (select ord, name, code, case when starts_with(nn, 'es') or starts_with(cn, 'es') then 0 when contains(nn, 'es') then 1 end as rank from f)
-select ord, name, code, rank from r where rank is not null order by rank, ord limit 30""")
+select ord, name, nullif(code, '') as code, rank from r where rank is not null order by rank, ord limit 30""")
 def search_prefix_then_contains(spark, sf_dir):
     rows = venue.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.regexp_extract("text", r"^[^\s]+\s+[^\s]+", 0).alias("name"), F.concat(F.lit("A"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")).alias("code"), F.lit("estande").alias("kind"), F.lit(None).cast("string").alias("cat"))
-    return search(build_index(rows.where("name <> ''")), "  Es ").select("ord", "name", "code", "rank")
+    rows = rows.withColumns({"name": F.when(F.col("ord") % 9 == 0, "").otherwise(F.col("name")), "code": F.when(F.col("ord") % 6 == 0, "").otherwise(F.col("code"))})
+    return search(build_index(rows), "  Es ").select("ord", "name", "code", "rank")
 
 
 @query(f"""with {FEATURES_SQL}, c as (select k, kind, cat, case k % 7 when 0 then 'TL' || lpad((k % 48)::varchar, 2, '0') when 1 then 'TI' || lpad((k % 31)::varchar, 2, '0') when 2 then null when 3 then 'AA' || (k % 50)::varchar when 4 then 'Z9' else code end as code from features)

@@ -48,6 +48,15 @@ def stands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"r": kind(0), "g": kind(1) + F.col("p_size") % 5, "b": kind(2)})
 
 
+def venues(spark: SparkSession, sf_dir: str) -> int:
+    """How many venues the parts make."""
+    return max(1, -(-table(spark, sf_dir, "part").count() // (ROW_STANDS * VENUE_ROWS)))
+
+
+#: The same number in DuckDB.
+VENUES_SQL = "nv as (select greatest(1, (count(*) + 1999) // 2000)::bigint as nv from part)"
+
+
 def doors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One door a supplier, on the west wall of the first venue."""
     return table(spark, sf_dir, "supplier").selectExpr("s_suppkey as door", "s_name as name", "2.0D as x", "cast(4 + 10 * (s_suppkey % 10) + 8 as double) as y")
@@ -57,8 +66,9 @@ DOORS_SQL = "doors as (select s_suppkey as door, s_name as name, 2.0::double as
 
 
 def visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One tap on the map a customer, inside the first hundred metres of the first venue."""
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey as visitor", f"cast((c_custkey * 37) % {WIDTH} as double) + 0.25 as x", "cast((c_custkey * 53) % 100 as double) + 0.25 as y")
+    """One tap on the map a customer, anywhere in the venues."""
+    n = venues(spark, sf_dir)
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as visitor", f"c_custkey % {n}L as venue", f"cast((c_custkey * 37) % {WIDTH} as double) + 0.25 as x", "cast((c_custkey * 53) % 1000 as double) + 0.25 as y")
 
 
-VISITORS_SQL = "visitors as (select c_custkey as visitor, ((c_custkey * 37) % 140)::double + 0.25 as x, ((c_custkey * 53) % 100)::double + 0.25 as y from customer)"
+VISITORS_SQL = f"{VENUES_SQL}, visitors as (select c_custkey as visitor, c_custkey % nv as venue, ((c_custkey * 37) % 140)::double + 0.25 as x, ((c_custkey * 53) % 1000)::double + 0.25 as y from customer, nv)"
