@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .vectors import bounded_sample, exact_cosine, matrix, unit, usable
+from .vectors import bounded_sample, exact_cosine, matrix, of_one_length, unit, usable
 
 #: The centroids of each half are fitted on at most this many vectors; every vector is indexed.
 SAMPLE = 4096
@@ -56,15 +56,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
     """The ``k`` nearest rows of ``vectors`` by cosine for each row of ``queries``, itself excluded.
 
     Both have (vec_id, v), made by ``usable``. Returns query_id, rank (from 1), vec_id, score: the
-    cosine in double precision on the vectors as given; ties go to the smaller vec_id. Vectors of a
-    length other than the sample's raise. An empty side gives no rows.
+    cosine in double precision on the vectors as given; ties go to the smaller vec_id. Vectors of
+    another length than most take no part. Equal vectors under several identifiers count each. An
+    empty side gives no rows.
     """
     spark = vectors.sparkSession
+    vectors = of_one_length(vectors)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fitted = bounded_sample(vectors, sample)
     if not len(fitted):
         return empty
     n, width = vectors.count(), fitted.shape[1]
+    queries = queries.where(F.size("v") == width)
     half = max(1, width // 2)
     size = int(min(64, max(32, round(2 * n**0.25))))
     one, two = kmeans(fitted[:, :half], size), kmeans(fitted[:, half:], size) if width > 1 else np.zeros((1, 0))
@@ -126,10 +129,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
 
 
 def one_per_id(frame: DataFrame) -> DataFrame:
-    """Of rows that share a vec_id the smallest vector stands for all of them."""
+    """Of rows that share a vec_id the smallest vector stands for all of them; unusable ones and null identifiers are out."""
     return usable(frame).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every embedding whose vec_id is divisible by 50."""
     vectors = materialise(one_per_id(table(spark, sf_dir, "embeddings")), "vectors")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, table
 from .multi_index import one_per_id
-from .vectors import bounded_sample, exact_cosine, matrix, unit
+from .vectors import bounded_sample, exact_cosine, matrix, of_one_length, unit
 
 THRESHOLD = 0.95
 #: Reference points: one for so many distinct vectors, at most MAX_PIVOTS, no two closer than APART.
@@ -71,9 +71,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Returns vec_id, n_links, component_id: other vectors linked directly, and the smallest vec_id
     reachable. Equal vectors count as links but are compared once. The reference points come from a
-    bounded sample; every vector is indexed. No rows give no rows.
+    bounded sample; every vector is indexed. Vectors of another length than most don't come back. No
+    rows give no rows.
     """
     spark = vectors.sparkSession
+    vectors = of_one_length(vectors)
     classes = materialise(vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.xxhash64("v").alias("class")), "vector-classes")
     n = classes.count()
     most = int(min(MAX_PIVOTS, max(MIN_PIVOTS, n // ROWS_PER_PIVOT)))

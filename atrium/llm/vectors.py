@@ -15,6 +15,12 @@ def usable(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     return frame.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
+def of_one_length(vectors: DataFrame, v: str = "v") -> DataFrame:
+    """The rows whose vector has the most frequent length, the longer of equals: others can't be compared with them."""
+    top = vectors.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return vectors.where(F.size(v) == (top["n"] if top else 0))
+
+
 def matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(x, dtype=np.float64) for x in vectors]) if len(vectors) else np.zeros((0, 0))
 

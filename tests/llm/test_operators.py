@@ -160,6 +160,38 @@ def test_pivots_find_the_links(spark):
     assert pivots.near_duplicates(usable(vector_frame(spark, m)).where("false")).count() == 0
 
 
+def test_recall_on_the_embeddings(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, m = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in multi_index.op2_inverted_multi_index(spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        s = unit @ unit[k]
+        s[k] = -9
+        hits += len(got[int(ids[k])] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert hits / (5 * len(got)) >= 0.9
+
+
+def test_pairs_near_the_threshold_and_odd_lengths(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = np.where(np.arange(400) % 2 == 0, 0.955, 0.945)[:, None]
+    twins = cos * base + np.sqrt(1 - cos**2) * side
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, twins]))] + [(900, [1.0, 2.0]), (950, [1.0, 2.0])]
+    frame = multi_index.one_per_id(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = {r["vec_id"]: r["n_links"] for r in pivots.near_duplicates(frame).collect()}
+    assert out == {i: int(i % 400 % 2 == 0) for i in range(800)}
+    assert multi_index.nearest(frame, frame.where("vec_id % 50 = 0")).where("query_id >= 900 or vec_id >= 900").isEmpty()
+
+
 # --- 3 segmentations
 
 
