@@ -82,35 +82,36 @@ def grams_of(words: Iterable[tuple[str, int]]) -> Counter:
 class Model:
     """Character n-gram scores of each language and the languages each script is used by."""
 
-    def __init__(self, samples: dict[str, list[str]], counted: dict[str, dict] | None = None):
-        """From texts of each language, or from what grams_of counted in them."""
+    def __init__(self, samples: dict[str, list[str]], counted: pd.DataFrame | None = None):
+        """From texts of each language, or from what grams_of counted in them: rows of lang, kind, gram, n."""
         if counted is None:
-            counted = {lang: grams_of(Counter(w for text in texts for w in text.split()).items()) for lang, texts in samples.items()}
-        self.languages = sorted(counted)
+            rows = [(lang, kind, gram, times) for lang, texts in samples.items() for (kind, gram), times in grams_of(Counter(w for text in texts for w in text.split()).items()).items()]
+            counted = pd.DataFrame(rows, columns=["lang", "kind", "gram", "n"])
+        self.languages = sorted(set(samples) | set(counted["lang"]))
         n = len(self.languages)
-        counts: list[Counter] = [Counter() for _ in GRAMS]
+        language = counted["lang"].map({lang: i for i, lang in enumerate(self.languages)}).to_numpy(dtype=np.int64)
+        kind, gram, times = counted["kind"].to_numpy(dtype=np.int64), counted["gram"].to_numpy(dtype=object), counted["n"].to_numpy(dtype=np.float64)
         script_letters = np.zeros((len(NAMES), n))
-        for i, lang in enumerate(self.languages):
-            for (kind, gram), times in counted[lang].items():
-                if kind == SCRIPT:
-                    script_letters[int(gram), i] = times
-                else:
-                    counts[GRAMS.index(kind)][gram, i] = times
+        own = kind == SCRIPT
+        np.add.at(script_letters, (gram[own].astype(np.int64), language[own]), times[own])
+        totals = np.bincount(language[~own], times[~own], n)
+        tables = []
+        for size in GRAMS:
+            own = kind == size
+            distinct, which = np.unique(gram[own].astype(str), return_inverse=True)
+            table = np.zeros((len(distinct), n))
+            np.add.at(table, (which, language[own]), times[own])
+            tables.append((distinct.tolist(), table))
+        grams = sum(len(distinct) for distinct, _ in tables)
         self.keys, self.scores = [], []
-        grams = sum(len({g for g, _ in c}) for c in counts)
-        totals = np.zeros(n)
-        for c in counts:
-            for (_, i), times in c.items():
-                totals[i] += times
-        for c, size in zip(counts, GRAMS):
-            own = sorted({g for g, _ in c}, key=lambda g: [ord(x) for x in reversed(g)])
-            if not own:
+        for size, (distinct, table) in zip(GRAMS, tables):
+            if not distinct:
                 self.keys.append(np.zeros(0, np.int64))
                 self.scores.append(np.zeros((0, n), np.float32))
                 continue
-            keys = packed(np.array([ord(x) for g in own for x in g], dtype=np.int64), np.arange(len(own)) * size, size)
+            keys = packed(np.array([ord(x) for g in distinct for x in g], dtype=np.int64), np.arange(len(distinct)) * size, size)
             order = np.argsort(keys)
-            score = np.log((np.array([[c[g, i] for i in range(n)] for g in own]).reshape(-1, n) + SMOOTH) / (totals + SMOOTH * (grams + 1)))
+            score = np.log((table + SMOOTH) / (totals + SMOOTH * (grams + 1)))
             self.keys.append(keys[order])
             self.scores.append((score - score.max(axis=1, keepdims=True)).astype(np.float32)[order])
         # A script's languages; one that no language uses says nothing about any.
@@ -209,10 +210,8 @@ def learn(docs: DataFrame, most_docs: int = SAMPLE_DOCS) -> Model:
                 found = grams_of(Counter(w for text in own for w in text.split()).items())
                 yield pd.DataFrame([(lang, kind, gram, n) for (kind, gram), n in found.items()], columns=["lang", "kind", "gram", "n"])
 
-    counted: dict[str, dict] = {}
-    for r in sample.select("lang", "text").mapInPandas(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).collect():
-        counted.setdefault(r["lang"], {})[r["kind"], r["gram"]] = r["n"]
-    return Model({}, counted)
+    grams = sample.select("lang", "text").mapInPandas(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    return Model({}, grams.toArrow().to_pandas())
 
 
 def held_out(column: str) -> F.Column:
