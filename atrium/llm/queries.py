@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import fingerprints, jaccard, language, lines, mixing, multi_index, pages, pivots, segmentations, warc
+from . import chat, codebooks, divergence, fingerprints, jaccard, language, lines, mixing, multi_index, pages, pivots, segmentations, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_template_extraction": pages.op8_template_extraction,
     "op9_low_discrepancy_mix": mixing.op9_low_discrepancy_mix,
     "op10_language_id": language.op10_language_id,
+    "op11_vector_codes": codebooks.op11_vector_codes,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_chat_format": chat.op13_chat_format,
 }
 
 ORACLES = {
@@ -27,4 +30,7 @@ ORACLES = {
     "op6_ngram_jaccard_join": jaccard.ORACLE,
     "op7_pivot_permutation": pivots.ORACLE,
     "op9_low_discrepancy_mix": mixing.ORACLE,
+    "op11_vector_codes": codebooks.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_chat_format": chat.ORACLE,
 }
