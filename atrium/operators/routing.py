@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -11,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atrium import params
+from atrium.operators import grid
 
 ROOT2 = math.sqrt(2.0)
 STEPS = [(a, b, 1.0 if a == 0 or b == 0 else ROOT2) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))]
 
+#: Costs closer than this are equal.
+EQUAL = 1e-9
+
 
 def visible(segments: DataFrame, cells: DataFrame, key: str = "venue") -> DataFrame:
     """``segments`` (key, id, ai, aj, bi, bj) with visible and samples: as many samples as the longer
@@ -30,17 +36,18 @@ def visible(segments: DataFrame, cells: DataFrame, key: str = "venue") -> DataFr
 class Grid:
     """One venue's grid: free[j, i] and the cost factor of entering each cell; a rim of walls lies around."""
 
-    def __init__(self, width: int, height: int, i, j, clearance, comfort: float):
-        self.free = np.zeros((height, width), dtype=bool)
-        self.free[j, i] = True
-        self.clear = np.zeros((height, width))
-        self.clear[j, i] = clearance
-        self.factor = 1 + params.WALL_PENALTY * (1 - np.minimum(1.0, self.clear / comfort))
+    def __init__(self, free: np.ndarray, comfort: float):
+        self.free = free
+        self.factor = 1 + params.WALL_PENALTY * (1 - np.minimum(1.0, grid.chamfer(free) / comfort))
         # The search works on cell numbers of the walled grid, in plain lists.
-        self.stride = width + 2
-        self._open = np.pad(self.free, 1).ravel().tolist()
+        self.stride = s = free.shape[1] + 2
+        self._open = np.pad(free, 1).ravel().tolist()
         self._factor = np.pad(self.factor, 1).ravel().tolist()
-        self._cost = np.full((height + 2) * self.stride, math.inf)
+        self._straight, self._slant = (-s, -1, 1, s), ((-s - 1, -1, -s), (1 - s, 1, -s), (s - 1, -1, s), (s + 1, 1, s))
+        # Steps back to a cell's neighbours in order of their number, with the two cells that a slanted step needs.
+        self._back = sorted([(d, 0, 0, 1.0) for d in self._straight] + [(d, x, y, ROOT2) for d, x, y in self._slant])
+        # The free run of each cell along its column and along its row: what a line may be tilted over.
+        self.runs = [_runs(free.T), _runs(free)]
 
     def number(self, cell: tuple[int, int]) -> int:
         """Number of a cell, -1 if it isn't free."""
@@ -48,133 +55,282 @@ class Grid:
         h, w = self.free.shape
         return (j + 1) * self.stride + i + 1 if 0 <= i < w and 0 <= j < h and self.free[j, i] else -1
 
-    def search(self, a: tuple[int, int], targets: list) -> dict:
-        """{target: (least cost, cells)} of the targets that can be reached from a: one search for all.
+    def spread(self, starts: list, targets: list | None = None) -> tuple[list, dict]:
+        """(cost, owner): least costs from the nearest of the starts, by cell number, until all targets have theirs.
 
-        With one target it is guided by the octile distance, which never exceeds the cost. A heap
-        entry never changes: a cheaper way to a cell is a new entry, so costs are the true least.
+        owner names, for each cell reached, which of the starts (by its place in the list) that is; the
+        first of equals. A single target guides the search by the octile distance, which never exceeds
+        the cost. Heap entries never change: a cheaper way to a cell is a new entry, so costs are the true least.
         """
-        start, wanted = self.number(a), {self.number(t): t for t in targets}
-        wanted.pop(-1, None)
-        if start < 0 or not wanted:
-            return {}
-        s, free, factor = self.stride, self._open, self._factor
-        straight, slant = ((1, -1, s, -s)), ((s + 1, 1, s), (1 - s, 1, -s), (s - 1, -1, s), (-s - 1, -1, -s))
-        goal = next(iter(wanted)) if len(wanted) == 1 else 0
-        gj, gi = divmod(goal, s)
+        cost, owner, heap = [math.inf] * len(self._open), {}, []
+        push, pop, free, factor = heapq.heappush, heapq.heappop, self._open, self._factor
+        straight, slant = self._straight, self._slant
+        wanted = {n for n in map(self.number, targets) if n >= 0} if targets is not None else {-1}
+        if not wanted:
+            return cost, owner
+        goal = next(iter(wanted)) if len(wanted) == 1 and targets is not None else 0
+        gj, gi = divmod(goal, self.stride)
 
         def left(n: int) -> float:
-            if not goal:
-                return 0.0
-            y, x = divmod(n, s)
+            y, x = divmod(n, self.stride)
             x, y = abs(x - gi), abs(y - gj)
             return x + (ROOT2 - 1) * y if x > y else y + (ROOT2 - 1) * x
 
-        cost, came, done = self._cost.tolist(), {start: -1}, set()
-        cost[start] = 0.0
-        heap, out, push, pop = [(left(start), start)], {}, heapq.heappush, heapq.heappop
-        while heap and wanted:
-            _, at = pop(heap)
-            if at in done:
+        for place, n in enumerate(map(self.number, starts)):
+            if n >= 0 and n not in owner:
+                cost[n], owner[n] = 0.0, place
+                heap.append((left(n) if goal else 0.0, place, n, 0.0))
+        heapq.heapify(heap)
+        last = math.inf
+        while heap and (wanted or heap[0][0] <= last):
+            f, place, at, g = pop(heap)
+            if g > cost[at] or place > owner[at]:
                 continue
-            done.add(at)
-            g = cost[at]
             if at in wanted:
-                way, n = [], at
-                while n >= 0:
-                    way.append((n % s - 1, n // s - 1))
-                    n = came[n]
-                out[wanted.pop(at)] = g, way[::-1]
+                wanted.remove(at)
+                last = f + EQUAL if goal else -1.0  # guided, cells on other ways as cheap may still wait
             for d in straight:
                 to = at + d
-                if free[to] and g + factor[to] < cost[to]:
-                    cost[to] = g + factor[to]
-                    came[to] = at
-                    push(heap, (cost[to] + left(to), to))
+                if free[to]:
+                    c = g + factor[to]
+                    if c < cost[to] or (c == cost[to] and place < owner[to]):
+                        cost[to], owner[to] = c, place
+                        push(heap, (c + left(to) if goal else c, place, to, c))
             for d, x, y in slant:
                 to = at + d
-                if free[to] and free[at + x] and free[at + y] and g + ROOT2 * factor[to] < cost[to]:
-                    cost[to] = g + ROOT2 * factor[to]
-                    came[to] = at
-                    push(heap, (cost[to] + left(to), to))
-        return out
+                if free[to] and free[at + x] and free[at + y]:
+                    c = g + ROOT2 * factor[to]
+                    if c < cost[to] or (c == cost[to] and place < owner[to]):
+                        cost[to], owner[to] = c, place
+                        push(heap, (c + left(to) if goal else c, place, to, c))
+        return cost, owner
+
+    def way(self, cost: list, b: tuple[int, int]) -> list:
+        """Cells of a least way to b, given costs that spread found: of equal ways the one whose cells, from its end on, have the smaller numbers."""
+        n, s, free = self.number(b), self.stride, self._open
+        out = [n]
+        while cost[n] > 0:
+            left, factor = cost[n] + EQUAL, self._factor[n]
+            n = next(n + d for d, x, y, length in self._back if free[n + d] and free[n + x] and free[n + y] and cost[n + d] + length * factor <= left)
+            out.append(n)
+        return [(n % s - 1, n // s - 1) for n in reversed(out)]
+
+    def search(self, a: tuple[int, int], targets: list) -> dict:
+        """{target: (least cost, cells)} of the targets that can be reached from a: one search for all."""
+        cost, _ = self.spread([a], targets) if self.number(a) >= 0 else ([], {})
+        return {t: (cost[n], self.way(cost, t)) for t in targets if cost and (n := self.number(t)) >= 0 and cost[n] < math.inf}
 
     def path(self, a: tuple[int, int], b: tuple[int, int]) -> tuple[float, list]:
         """Least cost and cells from a to b; (inf, []) if there is no way."""
         return self.search(a, [b]).get(b, (math.inf, []))
 
-    def sees(self, a, b) -> bool:
-        n = max(abs(b[0] - a[0]), abs(b[1] - a[1]))
-        h, w = self.free.shape
-        for s in range(n + 1):
-            t = s / max(n, 1)
-            i, j = math.floor(a[0] + (b[0] - a[0]) * t + 0.5), math.floor(a[1] + (b[1] - a[1]) * t + 0.5)
-            if not (0 <= i < w and 0 <= j < h and self.free[j, i]):
-                return False
-        return True
-
     def simplify(self, cells: list, most: float = params.SIMPLIFY_MAX) -> list:
-        """Greedy from an anchor: a cell stays when the next can't be seen or the path strays too far."""
+        """Greedy from an anchor: a cell stays when the next can't be seen or the path strays more than ``most`` cells from the line.
+
+        Both tests go on from the cell before: a wedge of the slopes that see past every column so far,
+        and the hull of the cells since the anchor, on which the farthest from any line lies. A path of
+        n cells takes about n steps.
+        """
         if len(cells) < 3:
             return cells
-        out, anchor = [cells[0]], 0
-        for k in range(2, len(cells)):
-            if not self.sees(cells[anchor], cells[k]) or deviation(cells, anchor, k) > most:
-                out.append(cells[k - 1])
-                anchor = k - 1
+        out, sight = [cells[0]], Sight(self, cells[0])
+        for before, cell in zip(cells[1:], cells[2:]):
+            sight.pass_by(before)
+            if not sight.sees(cell) or sight.strays(cell, most):
+                out.append(before)
+                sight = Sight(self, before)
         return [*out, cells[-1]]
 
 
-def deviation(cells: list, a: int, b: int) -> float:
-    """Largest distance of the cells between a and b from the line through both; 0 if they coincide."""
-    (ax, ay), (bx, by) = cells[a], cells[b]
-    n = math.hypot(bx - ax, by - ay)
-    return max((abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / n for x, y in cells[a + 1 : b]), default=0.0) if n else 0.0
+def _runs(free: np.ndarray) -> tuple[list, list]:
+    """(first, last) of the run of free cells that each cell is in, along the second axis; by number of the cell."""
+    n = free.shape[1]
+    at = np.broadcast_to(np.arange(n), free.shape)
+    first = np.maximum.accumulate(np.where(free, -1, at), axis=1) + 1
+    last = np.minimum.accumulate(np.where(free, n, at)[:, ::-1], axis=1)[:, ::-1] - 1
+    return first.tolist(), last.tolist()
+
+
+class Sight:
+    """What an anchor cell sees along a path of neighbouring cells, in whole numbers.
+
+    A line runs along its longer axis, one sample a cell, each rounded half up across. The slopes that
+    pass column s on the free run which the line crosses there are a half-open interval; all columns'
+    intervals meet in one, (low, high) as fractions. The next line crosses every column at the same cell
+    or beside it, so it sees exactly if its slope is in there. Where the axis or direction changes, or the
+    line gets shorter, the wedge is made anew from the columns of the present line.
+    """
+
+    def __init__(self, grid_: Grid, anchor: tuple[int, int]):
+        self.anchor, self.runs, self.free = anchor, grid_.runs, grid_.free
+        self.axis, self.sign, self.columns = 0, 0, 0
+        self.low, self.high = (-1, 0), (1, 0)
+        self.passed: list = []
+        self.most = 16
+
+    def sees(self, cell: tuple[int, int]) -> bool:
+        d = (cell[0] - self.anchor[0], cell[1] - self.anchor[1])
+        axis = self.axis if self.columns and abs(d[self.axis]) >= abs(d[1 - self.axis]) else int(abs(d[1]) > abs(d[0]))
+        n, across, sign = abs(d[axis]), d[1 - axis], 1 if d[axis] > 0 else -1
+        if not n:
+            return True
+        if (axis, sign) != (self.axis, self.sign) or n < self.columns:
+            self.axis, self.sign, self.columns, self.low, self.high = axis, sign, 0, (-1, 0), (1, 0)
+        a, b = self.anchor[axis], self.anchor[1 - axis]
+        first, last = self.runs[axis]
+        for s in range(self.columns + 1, n + 1):
+            along, y = a + sign * s, b + (2 * across * s + n) // (2 * n)
+            if not (self.free[y, along] if axis == 0 else self.free[along, y]):
+                self.columns = 0
+                self.sign = 0
+                return False
+            low, high = (2 * (first[along][y] - b) - 1, 2 * s), (2 * (last[along][y] - b) + 1, 2 * s)
+            self.low = low if low[0] * self.low[1] > self.low[0] * low[1] else self.low
+            self.high = high if high[0] * self.high[1] < self.high[0] * high[1] else self.high
+        self.columns = n
+        return self.low[0] * n <= across * self.low[1] and across * self.high[1] < self.high[0] * n
+
+    def pass_by(self, cell: tuple[int, int]) -> None:
+        """The path goes on over ``cell``. Of the cells passed only the corners of their hull are kept, a few at most at a time more."""
+        self.passed.append((cell[0] - self.anchor[0], cell[1] - self.anchor[1]))
+        if len(self.passed) > self.most:
+            self.passed = hull(self.passed)
+            self.most = 2 * len(self.passed) + 16
+
+    def strays(self, cell: tuple[int, int], most: float) -> bool:
+        """Whether a cell passed lies farther than ``most`` from the line through the anchor and ``cell``; no line, no distance."""
+        x, y = cell[0] - self.anchor[0], cell[1] - self.anchor[1]
+        far = max(abs(p * y - q * x) for p, q in self.passed)
+        return far * far > most * most * (x * x + y * y) > 0
+
+
+def hull(points: list) -> list:
+    """Corners of the convex hull of points."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+    sides = []
+    for order in (points, points[::-1]):
+        side: list = []
+        for p in order:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (p[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (p[0] - side[-2][0]):
+                side.pop()
+            side.append(p)
+        sides += side[:-1]
+    return sides
 
 
 ROUTE = "cost double, metres double, cells array<struct<i:int,j:int>>"
+#: Origins that one search group takes care of, on average, and destinations of one origin that one search finds.
+ORIGINS_PER_PART, ENDS_PER_SEARCH = 16, 512
+#: Packed grids of all venues up to so many bytes are sent once to each executor; more go along with the groups that need them.
+GRIDS_SENT = 64 << 20
+
+
+def with_grids(groups: DataFrame, grids: DataFrame, tasks: int, deal: list[str], key: str) -> DataFrame:
+    """``groups`` with their venue's bits, dealt to ``tasks`` tasks by ``deal``."""
+    size = grids.agg(F.sum(F.length("bits"))).first()[0] or 0
+    if size <= GRIDS_SENT:
+        return groups.join(F.broadcast(grids), key)
+    return groups.join(grids, key).repartition(tasks, *deal)
+
+
+def kept_grid(width: int, height: int, step: float):
+    """A function from a venue's key and bits to its Grid, which keeps the last one."""
+    held: dict = {}
+
+    def get(venue, bits) -> Grid:
+        if venue not in held:
+            held.clear()
+            held[venue] = Grid(grid.unpacked(bits, width, height), params.COMFORT_M / step)
+        return held[venue]
+
+    return get
 
 
-#: Origins that one search group takes care of, on average.
-ORIGINS_PER_PART = 16
+def length(way: list, step: float) -> float:
+    return step * sum(math.hypot(q[0] - p[0], q[1] - p[1]) for p, q in zip(way, way[1:]))
 
 
 def routes(requests: DataFrame, cells: DataFrame, width: int, height: int, step: float = 1.0, key: str = "venue", paths: bool = True) -> DataFrame:
     """``requests`` (key, id, ai, aj, bi, bj) with cost, metres and the simplified cells; nulls if there is no way.
     Without ``paths`` only the cost is found.
 
-    A search is sequential, so it runs in a kernel beside its venue's grid: one search from each
-    origin finds all its destinations. Origins are dealt by venue and a hash, in as many parts as
-    there are origins to share out, so a busy venue is many groups; each builds its grid once. A grid
-    is ``width`` x ``height`` cells: a bounded array. Costs depend on the direction: none is mirrored.
+    A search is sequential, so it runs in a kernel: one search from each origin finds all its
+    destinations, up to ENDS_PER_SEARCH. Requests are gathered by venue, a hash of the origin and, for a
+    busy origin, one of the request: a busy venue or origin is many groups. A venue's grid reaches them
+    as one packed row: a bounded array of ``width`` x ``height`` bits. Costs depend on the direction:
+    none is mirrored. The way among equally cheap ones doesn't depend on what is searched together.
     """
-    venues, origins = requests.agg(F.count_distinct(key), F.count_distinct(key, "ai", "aj")).first()
-    parts = int(max(1, min(256, -(-origins // (ORIGINS_PER_PART * max(1, venues))))))
-    asked = requests.withColumn("part", F.pmod(F.xxhash64("ai", "aj"), F.lit(parts)).cast("int"))
-    packed = cells.where("free").select(key, "i", "j", "clearance").join(requests.select(key).distinct(), key, "left_semi")
-    packed = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-
-    def solve(own: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        g = Grid(width, height, grid["i"].to_numpy(), grid["j"].to_numpy(), grid["clearance"].to_numpy(), params.COMFORT_M / step) if len(own) else None
-        for (ai, aj), same in own.groupby(["ai", "aj"], sort=False):
-            ends = list(zip(same["bi"].astype(int).tolist(), same["bj"].astype(int).tolist()))
-            found = g.search((int(ai), int(aj)), ends)
-            short = {b: g.simplify(way) for b, (_, way) in found.items()} if paths else {}
-            for v, n, b in zip(same[key], same["id"], ends):
-                way = short.get(b)
-                metres = step * sum(math.hypot(q[0] - p[0], q[1] - p[1]) for p, q in zip(way, way[1:])) if way else None
-                rows.append((v, n, found[b][0] if b in found else None, metres, [{"i": i, "j": j} for i, j in way] if way else None))
-        return pd.DataFrame(rows, columns=[key, "id", "cost", "metres", "cells"])
-
-    found = asked.groupBy(key, "part").cogroup(packed.groupBy(key, "part")).applyInPandas(solve, f"{key} long, id long, {ROUTE}")
-    return requests.join(found, [key, "id"])
+    ends = requests.groupBy(key, "ai", "aj").count()
+    venues, origins, asked = ends.agg(F.count_distinct(key), F.count("*"), F.sum("count")).first()
+    parts = int(max(1, -(-origins // (ORIGINS_PER_PART * max(1, venues)))))
+    tasks = int(max(1, min(4096, parts * venues + (asked or 0) // ENDS_PER_SEARCH)))
+    busy = ends.where(F.col("count") > ENDS_PER_SEARCH).select(key, "ai", "aj", F.ceil(F.col("count") / ENDS_PER_SEARCH).cast("int").alias("slices"))
+    dealt = requests.select(key, "id", "ai", "aj", "bi", "bj").dropna().join(busy, [key, "ai", "aj"], "left")
+    dealt = dealt.withColumns({"part": F.pmod(F.xxhash64("ai", "aj"), F.lit(parts)).cast("int"), "slice": F.coalesce(F.pmod(F.xxhash64("id"), F.col("slices")).cast("int") + 1, F.lit(0))})
+    deal = [key, "part", "slice"]
+    groups = dealt.repartition(tasks, *deal).groupBy(*deal).agg(F.collect_list(F.struct("ai", "aj", "bi", "bj", "id")).alias("asked"))
+    rows = with_grids(groups, grid.stored(grid.packed(cells, width, height, key), "grids"), tasks, deal, key)
+    out = [key, "id", "cost", "metres", "cells"]
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = kept_grid(width, height, step)
+        for v, bits, own in (row for frame in frames for row in zip(frame[key], frame["bits"], frame["asked"])):
+            g, rows = at(v, bits), []
+            for a, same in groupby(sorted((tuple(r.values()) for r in own), key=lambda r: r[:2]), key=lambda r: r[:2]):
+                same = list(same)
+                cost, _ = g.spread([a], [r[2:4] for r in same]) if g.number(a) >= 0 else (None, None)
+                short: dict = {}
+                for _, _, bi, bj, n in same:
+                    b, found = g.number((bi, bj)), math.inf
+                    if cost and b >= 0:
+                        found = cost[b]
+                    if paths and found < math.inf and b not in short:
+                        short[b] = g.simplify(g.way(cost, (bi, bj)))
+                    way = short.get(b)
+                    rows.append((v, n, found if found < math.inf else None, length(way, step) if way else None, [{"i": i, "j": j} for i, j in way] if way else None))
+            yield pd.DataFrame(rows, columns=out)
+
+    found = rows.select(key, "bits", "asked").mapInPandas(solve, f"{key} long, id long, {ROUTE}")
+    return requests.join(found, [key, "id"], "left")
+
+
+def nearest_by_cost(requests: DataFrame, doors: DataFrame, cells: DataFrame, width: int, height: int, step: float = 1.0, key: str = "venue") -> DataFrame:
+    """``requests`` (key, dest, bi, bj) with the cost of the cheapest way in and its door (key, door, ai, aj), the smallest of
+    equals; nulls if no door reaches the destination.
+
+    One search a venue, from all its doors at once, gives every cell to a door: the number of doors
+    doesn't multiply the work. Only the cells that are asked for meet in it, at most as many as the grid has.
+    """
+    wanted = requests.where("bi is not null and bj is not null").groupBy(key).agg(F.collect_set(F.struct("bi", "bj")).alias("ends"))
+    first = doors.groupBy(key, "ai", "aj").agg(F.min("door").alias("door")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("door", "ai", "aj"))).alias("doors"))
+    groups = wanted.join(first, key)
+    tasks = int(max(1, min(4096, requests.select(key).distinct().count())))
+    rows = with_grids(groups.repartition(tasks, key), grid.stored(grid.packed(cells, width, height, key), "grids"), tasks, [key], key)
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = kept_grid(width, height, step)
+        for v, bits, ends, ins in (row for frame in frames for row in zip(frame[key], frame["bits"], frame["ends"], frame["doors"])):
+            g, ends = at(v, bits), [(e["bi"], e["bj"]) for e in ends]
+            cost, owner = g.spread([(d["ai"], d["aj"]) for d in ins], ends)
+            reached = [(i, j, n) for i, j in ends if (n := g.number((i, j))) >= 0 and cost[n] < math.inf]
+            yield pd.DataFrame([(v, i, j, cost[n], ins[owner[n]]["door"]) for i, j, n in reached], columns=[key, "bi", "bj", "cost", "door"])
+
+    found = rows.select(key, "bits", "ends", "doors").mapInPandas(solve, f"{key} long, bi int, bj int, cost double, door long")
+    return requests.join(found, [key, "bi", "bj"], "left")
 
 
 def best_door(requests: DataFrame, doors: DataFrame, cells: DataFrame, width: int, height: int, step: float = 1.0, key: str = "venue") -> DataFrame:
-    """For each destination (key, dest, bi, bj) the door (key, door, ai, aj) with the shortest route; ties to the first."""
-    pairs = requests.join(doors, key).withColumn("id", F.xxhash64("dest", "door"))
-    found = routes(pairs, cells, width, height, step, key).where("metres is not null")
+    """For each destination (key, dest, bi, bj) the door (key, door, ai, aj) with the shortest route; ties to the first.
+
+    The cheapest door's route is no longer than its cost, since a step costs at least its length and
+    simplifying shortens. So only doors no farther than that, as the crow flies, can win: routes are
+    searched from those alone.
+    """
+    near = grid.stored(nearest_by_cost(requests, doors, cells, width, height, step, key).where("cost is not null").select(key, "dest", "bi", "bj", F.col("cost").alias("reach")), "nearest")
+    pairs = near.join(doors.select(key, "door", "ai", "aj"), key).where(F.hypot(F.col("bi") - F.col("ai"), F.col("bj") - F.col("aj")) <= F.col("reach") + EQUAL)
+    found = routes(pairs.withColumn("id", F.xxhash64("dest", "door")), cells, width, height, step, key).where("metres is not null")
     return found.groupBy(key, "dest").agg(F.min(F.struct("metres", "door", "cost")).alias("m")).select(key, "dest", "m.door", "m.metres", "m.cost")
 
 
@@ -187,6 +343,4 @@ def along(found: DataFrame, cells: DataFrame, step: float = 1.0, least_m: float
     n = F.greatest(F.lit(1), F.ceil(F.hypot(F.expr("l.q.i - l.p.i"), F.expr("l.q.j - l.p.j"))).cast("int"))
     at = legs.withColumn("n", n).select(key, "id", "leg", "l", "n", F.explode(F.expr("sequence(0, n)")).alias("s"))
     at = at.selectExpr(key, "xxhash64(id, leg, s) as sample", "id", "l.p.i + (l.q.i - l.p.i) * s / n as fi", "l.p.j + (l.q.j - l.p.j) * s / n as fj")
-    from atrium.operators.grid import clearance_at
-
-    return clearance_at(at, cells, step, key).select(key, "id", "clearance_m")
+    return grid.clearance_at(at, cells, step, key).select(key, "id", "clearance_m")

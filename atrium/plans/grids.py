@@ -54,11 +54,12 @@ def edge_list(spark, sf_dir):
     return e.groupBy("venue", (F.col("ti") - F.col("i")).alias("di"), (F.col("tj") - F.col("j")).alias("dj")).agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("total"))
 
 
-#: Distances spread from the walls that touch free cells.
-CLEAR_SQL = """f as (select venue, i, j from cells where free), s as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) t(a, b)),
-rim as (select distinct f.venue, f.i + a as i, f.j + b as j from f, s), wall as (select rim.venue, rim.i, rim.j from rim left join f on f.venue = rim.venue and f.i = rim.i and f.j = rim.j where f.i is null),
-near as (select venue, i + a as i, j + b as j, min(greatest(abs(a), abs(b)) + (sqrt(2.0) - 1) * least(abs(a), abs(b))) as d from wall, range(-6, 7) x(a), range(-6, 7) y(b) group by 1, 2, 3),
-clear as (select c.venue, c.i, c.j, round(case when c.free then least(coalesce(d, 6.0), 6.0) else 0 end, 6)::double as clearance from cells c left join near n on n.venue = c.venue and n.i = c.i and n.j = c.j)"""
+#: The nearest wall of each row on either side by running maxima and minima, then the rows that can hold a nearer one.
+CLEAR_SQL = f"""side as materialized (select venue, i, j, free, least(i - coalesce(max(case when not free then i end) over (partition by venue, j order by i), -1), coalesce(min(case when not free then i end) over (partition by venue, j order by i desc), {WIDTH}) - i) as dx from cells),
+rim as materialized (select venue, i, j, dx from side union all select distinct venue, i, unnest([-1, {HEIGHT}]), 0 from side),
+reach as (select venue, i, j, dx, unnest(range(-dx, dx + 1)) as dy from side where free),
+near as (select r.venue, r.i, r.j, min(greatest(w.dx, abs(dy)) + (sqrt(2.0) - 1) * least(w.dx, abs(dy))) as d from reach r join rim w on w.venue = r.venue and w.i = r.i and w.j = r.j + r.dy group by all),
+clear as (select s.venue, s.i, s.j, round(coalesce(d, 0), 6)::double as clearance from side s left join near n on n.venue = s.venue and n.i = s.i and n.j = s.j)"""
 
 
 @query(f"with {CELLS_SQL}, {CLEAR_SQL} select venue, i, j, clearance from clear")

@@ -23,8 +23,8 @@ def requests(spark, sf_dir):
 
 
 def routed_cells(spark, sf_dir):
-    """The grid with clearance of all venues."""
-    return grid.stored(grid.clearance(cells(spark, sf_dir)), "clearance")
+    """The grid of all venues."""
+    return grid.stored(cells(spark, sf_dir), "cells")
 
 
 @query()
@@ -49,7 +49,7 @@ def route_clearance(spark, sf_dir):
     found = grid.stored(routing.routes(requests(spark, sf_dir), at, WIDTH, HEIGHT).where("metres is not null"), "routes")
     lengths = found.selectExpr("venue", "metres", "size(cells) as corners", "row_number() over (partition by venue order by metres, id) - 1 as nth", "count(*) over (partition by venue) as n")
     per = lengths.groupBy("venue").agg(F.max(F.expr("case when nth = n div 2 then metres end")).alias("median_m"), F.max("metres").alias("max_m"), F.avg("corners").alias("corners"), F.count("*").alias("routes"))
-    along = routing.along(found, at, least_m=40.0).groupBy("venue").agg(F.avg("clearance_m").alias("clearance_m"), F.avg(F.when(F.col("clearance_m") < 1, 100.0).otherwise(0.0)).alias("hugging"))
+    along = routing.along(found, grid.clearance(at), least_m=40.0).groupBy("venue").agg(F.avg("clearance_m").alias("clearance_m"), F.avg(F.when(F.col("clearance_m") < 1, 100.0).otherwise(0.0)).alias("hugging"))
     return per.join(along, "venue", "left").select("venue", "routes", *[F.round(c, 3).alias(c) for c in ("median_m", "max_m", "corners", "clearance_m", "hugging")])
 
 
@@ -63,11 +63,10 @@ def destinations_and_doors(spark, sf_dir):
 
 @query()
 def nearest_door(spark, sf_dir):
-    """The cheapest way in to each destination, over all doors of its venue: one search from each door."""
+    """The cheapest way in to each destination and its door: one search a venue from all its doors."""
     dest, doors = destinations_and_doors(spark, sf_dir)
-    pairs = dest.join(doors, "venue").withColumn("id", F.xxhash64("dest", "door"))
-    found = routing.routes(pairs, routed_cells(spark, sf_dir), WIDTH, HEIGHT, paths=False).where("cost is not null")
-    return found.groupBy("dest").agg(F.round(F.min("cost"), 6).alias("cost"))
+    found = routing.nearest_by_cost(dest, doors, routed_cells(spark, sf_dir), WIDTH, HEIGHT).where("cost is not null")
+    return found.select("dest", "door", F.round("cost", 6).alias("cost"))
 
 
 @query()

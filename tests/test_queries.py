@@ -59,48 +59,6 @@ def test_two_opt_never_longer(spark):
     assert best.join(local, "itin").where("metres < b - 1e-6").isEmpty()
 
 
-def test_route_cost_is_dijkstras():
-    import heapq
-    import random
-
-    import numpy as np
-
-    from atrium.operators.routing import STEPS, Grid
-
-    rng = random.Random(1)
-    for _ in range(60):
-        w, h = rng.randrange(8, 20), rng.randrange(8, 20)
-        free = np.array([[rng.random() > 0.3 for _ in range(w)] for _ in range(h)])
-        j, i = np.nonzero(free)
-        g = Grid(w, h, i, j, np.array([rng.random() * 6 for _ in i]), 6.0)
-        cells = list(zip(i.tolist(), j.tolist()))
-        a, b = rng.choice(cells), rng.choice(cells)
-        cost, heap = {a: 0.0}, [(0.0, a)]
-        while heap:
-            d, (x, y) = heapq.heappop(heap)
-            if d > cost[x, y]:
-                continue
-            for dx, dy, length in STEPS:
-                t = (x + dx, y + dy)
-                ok = lambda p, q: 0 <= p < w and 0 <= q < h and free[q, p]
-                if ok(*t) and (not (dx and dy) or ok(x + dx, y) and ok(x, y + dy)) and d + length * g.factor[t[1], t[0]] < cost.get(t, 1e9) - 1e-12:
-                    cost[t] = d + length * g.factor[t[1], t[0]]
-                    heapq.heappush(heap, (cost[t], t))
-        found, way = g.path(a, b)
-        assert abs(found - cost.get(b, float("inf"))) < 1e-9 or found == cost.get(b, float("inf"))
-        if way:
-            short = g.simplify(way)
-            assert short[0] == a and short[-1] == b and all(g.sees(p, q) for p, q in zip(short, short[1:]) if max(abs(p[0] - q[0]), abs(p[1] - q[1])) > 1)
-
-
-def test_commands():
-    from atrium.operators.itinerary import apply_command as do
-
-    assert do([1, 2], "append", 3) == [1, 2, 3] and do(list(range(8)), "append", 9) == [*range(7), 9]
-    assert do([1, 2], "remove", 1) == [1, None] and do([1, 2, 3], "remove", 4) == [1, 3]
-    assert do([1, 2, 3], "move", 2) == [1, 3, 2] and do([1, 2, 3], "reverse", 0) == [3, 2, 1] and do([], "open", 5) == [None, 5]
-
-
 def test_session_stream(spark, tmp_path):
     from atrium.streaming.taps import session_counts
 
