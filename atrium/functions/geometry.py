@@ -172,3 +172,49 @@ def overlap_share(a, b) -> Column:
     inter = F.greatest(zero, F.least(ax1, bx1) - F.greatest(ax0, bx0)) * F.greatest(zero, F.least(ay1, by1) - F.greatest(ay0, by0))
     area = (ax1 - ax0) * (ay1 - ay0)
     return F.when(area > 0, inter / area).otherwise(0.0)
+
+
+def side_of(e: Column, x: Column, y: Column) -> Column:
+    """Signed distance of (x, y) from the line of a side: positive on its left; null for a side without length."""
+    dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+    return (dx * (y - e["p"]["y"]) - dy * (x - e["p"]["x"])) / F.nullif(F.hypot(dx, dy), F.lit(0.0))
+
+
+def run_inside(ax, ay, bx, by, ring, erode: float = 0.0) -> Column:
+    """Length of a segment inside a convex ring less a rim of ``erode``: 0 if it passes by.
+
+    Each side of the ring, moved inwards, is a half-plane; the segment enters it or leaves it at one
+    parameter. What is between the last entry and the first exit is inside all of them.
+    """
+    ax, ay, bx, by, ring = (col(c) for c in (ax, ay, bx, by, ring))
+    turn = F.signum(ring_area(ring))
+    depth = lambda e, x, y: turn * side_of(e, x, y) - erode
+    ends = F.filter(F.transform(edges(ring), lambda e: F.struct(depth(e, ax, ay).alias("a"), depth(e, bx, by).alias("b"))), lambda d: d["a"].isNotNull())
+    cut = lambda d: d["a"] / F.nullif(d["a"] - d["b"], F.lit(0.0))
+    enter = F.array_max(F.transform(ends, lambda d: F.when((d["a"] < 0) & (d["b"] < 0), 2.0).when(d["a"] < 0, cut(d)).otherwise(0.0)))
+    leave = F.array_min(F.transform(ends, lambda d: F.when((d["a"] >= 0) & (d["b"] < 0), cut(d)).otherwise(1.0)))
+    return F.coalesce(F.greatest(F.lit(0.0), leave - enter), F.lit(0.0)) * F.hypot(bx - ax, by - ay)
+
+
+def clipped(ring, window) -> Column:
+    """The part of any simple ring inside a convex window, as a ring: cut at the window's sides in turn.
+
+    Parts that hang together only through the window's rim are joined along it by sides of no area, so
+    the ring's area is that of the intersection.
+    """
+    ring, window = col(ring), col(window)
+    turn = F.signum(ring_area(window))
+
+    def keep(e: Column, m: Column) -> Column:
+        p, q = m["p"], m["q"]
+        t = m["d"] / F.nullif(m["d"] - m["e"], F.lit(0.0))
+        at = F.array(point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t))
+        own = F.array(point(p["x"], p["y"]))
+        return F.when((m["d"] >= 0) & (m["e"] >= 0), own).when(m["d"] >= 0, F.concat(own, at)).when(m["e"] >= 0, at).otherwise(F.slice(own, 1, 0))
+
+    def cut(points: Column, e: Column) -> Column:
+        depth = lambda v: F.coalesce(turn * side_of(e, v["x"], v["y"]), F.lit(0.0))
+        marked = F.transform(edges(points), lambda s: F.struct(s["p"].alias("p"), s["q"].alias("q"), depth(s["p"]).alias("d"), depth(s["q"]).alias("e")))
+        return F.flatten(F.transform(marked, lambda m: keep(e, m)))
+
+    return F.aggregate(edges(window), F.transform(ring, lambda v: point(v["x"], v["y"])), cut)

@@ -23,6 +23,14 @@ def cells_of_box(x0: str, y0: str, x1: str, y1: str, pad: float = 0.0) -> Column
     return F.expr(f"flatten(transform({span(x0, x1)}, i -> transform({span(y0, y1)}, j -> struct(i, j))))")
 
 
+def cells_of_segment(ax: str, ay: str, bx: str, by: str) -> Column:
+    """The grid cells that the boxes of a segment's pieces of at most a cell's length touch: as many as the segment is long."""
+    n = f"greatest(1, cast(ceil(greatest(abs({bx} - {ax}), abs({by} - {ay})) / {CELL}) as int))"
+    at = lambda a, b, k: f"{a} + ({b} - {a}) * {k} / {n}"
+    span = lambda a, b: f"sequence(cast(floor(least({at(a, b, 'k')}, {at(a, b, '(k + 1)')}) / {CELL}) as int), cast(floor(greatest({at(a, b, 'k')}, {at(a, b, '(k + 1)')}) / {CELL}) as int))"
+    return F.expr(f"array_distinct(flatten(transform(sequence(0, {n} - 1), k -> flatten(transform({span(ax, bx)}, i -> transform({span(ay, by)}, j -> struct(i, j)))))))")
+
+
 def cell_of(x: str, y: str) -> Column:
     return F.expr(f"struct(cast(floor({x} / {CELL}) as int) as i, cast(floor({y} / {CELL}) as int) as j)")
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atrium import params
 from atrium.functions import geometry as geo
 
-from .labels import cell_of, cells_of_box
+from .labels import cell_of, cells_of_box, cells_of_segment
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -62,13 +61,20 @@ def fidelity(matched: DataFrame, least: float = params.IOU_MIN) -> DataFrame:
 
 
 def crossing_blocks(ways: DataFrame, blocks: DataFrame, erode: float = 0.3, least: float = 0.5, key: str = "venue") -> DataFrame:
-    """The straight, axis-parallel ways (key, ord, ax, ay, bx, by) that run over ``least`` metres inside a block less its rim."""
-    w = ways.withColumns({"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")})
-    b = blocks.select(F.col(key), *[F.col(c).alias(f"b{c}") for c in BOX], F.explode(cells_of_box(*BOX)).alias("cell"))
-    near = w.withColumn("cell", F.explode(cells_of_box(*BOX))).join(b, [key, "cell"])
-    run = F.expr(f"greatest(least(x1, bx1 - {erode}) - greatest(x0, bx0 + {erode}), least(y1, by1 - {erode}) - greatest(y0, by0 + {erode}))")
-    inside = F.expr(f"least(x1, bx1 - {erode}) >= greatest(x0, bx0 + {erode}) and least(y1, by1 - {erode}) >= greatest(y0, by0 + {erode})")
-    return near.where(inside & (run > least)).select(key, "ord").distinct()
+    """The ways (key, ord) that run over ``least`` metres inside a block less its rim.
+
+    Ways are lines in any direction (key, ord, ax, ay, bx, by), of which one may have several; blocks are
+    convex rings (key, ring) or boxes (key, x0..y1). Both meet on grid cells; a way's lines inside one block add up.
+    """
+    if "ring" not in blocks.columns:
+        blocks = blocks.withColumn("ring", geo.rectangle(*BOX))
+    box = geo.ring_bbox("ring")
+    b = blocks.select(key, F.col("ring").alias("_ring"), F.monotonically_increasing_id().alias("_block"), *[box[c].alias(c) for c in BOX])
+    b = b.select(key, "_ring", "_block", F.explode(cells_of_box(*BOX)).alias("cell"))
+    w = ways.select(key, "ord", *[F.col(c).alias(f"_{c}") for c in ("ax", "ay", "bx", "by")]).withColumn("_line", F.monotonically_increasing_id())
+    near = w.withColumn("cell", F.explode(cells_of_segment("_ax", "_ay", "_bx", "_by"))).join(b, [key, "cell"])
+    run = near.groupBy(key, "ord", "_line", "_block").agg(F.max(geo.run_inside("_ax", "_ay", "_bx", "_by", "_ring", erode)).alias("m"))
+    return run.groupBy(key, "ord", "_block").agg(F.sum("m").alias("m")).where(F.col("m") > least).select(key, "ord").distinct()
 
 
 def untouched_blocks(blocks: DataFrame, corridors: DataFrame, reach: float = 0.6, key: str = "venue") -> DataFrame:
@@ -79,33 +85,18 @@ def untouched_blocks(blocks: DataFrame, corridors: DataFrame, reach: float = 0.6
     return blocks.join(touched, [key, "ord"], "left_anti")
 
 
-def clipped_area(ring: list[tuple], box: tuple) -> float:
-    """Area of a ring inside a box: the ring cut at the box's four sides in turn."""
-    x0, y0, x1, y1 = box
-    pts = [tuple(map(float, p)) for p in ring]
-    for axis, bound, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
-        out = []
-        for p, q in zip(pts, [*pts[1:], *pts[:1]]):
-            d, e = sign * (p[axis] - bound), sign * (q[axis] - bound)
-            if d >= 0:
-                out.append(p)
-            if (d >= 0) != (e >= 0):
-                t = d / (d - e)
-                out.append((p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t))
-        pts = out
-    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(pts, [*pts[1:], *pts[:1]]))) / 2
-
-
-def outside_building(blocks: DataFrame, building: list[tuple], least: float = 0.5) -> DataFrame:
-    """``blocks`` with more than ``least`` square metres outside the building's ring, with outside_m2 and share in percent."""
-
-    @F.pandas_udf("double")
-    def inside(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-        return pd.Series([clipped_area(building, box) for box in zip(x0, y0, x1, y1)], dtype=float)
-
-    area = F.expr("(x1 - x0) * (y1 - y0)")
-    rows = blocks.withColumn("outside_m2", F.round(area - inside(*BOX), 9)).where(F.col("outside_m2") > least)
-    return rows.withColumn("share", F.round(100 * F.col("outside_m2") / area, 1))
+def outside_building(blocks: DataFrame, building: DataFrame, least: float = 0.5, key: str = "venue") -> DataFrame:
+    """``blocks`` with more than ``least`` square metres outside their venue's building, with outside_m2 and share in percent.
+
+    Blocks are convex rings (ring) or boxes (x0..y1); ``building`` (key, ring) has one simple ring a venue. A venue
+    without one has no inside. The building is cut at the block's sides, in column expressions.
+    """
+    own = F.col("ring") if "ring" in blocks.columns else geo.rectangle(*BOX)
+    rows = blocks.withColumn("_block", own).join(building.select(key, F.col("ring").alias("_building")), key, "left")
+    area = F.abs(geo.ring_area("_block"))
+    within = F.coalesce(F.abs(geo.ring_area(geo.clipped("_building", "_block"))), F.lit(0.0))
+    rows = rows.withColumns({"_area": area, "_within": within}).withColumn("outside_m2", F.round(F.col("_area") - F.col("_within"), 9)).where(F.col("outside_m2") > least)
+    return rows.withColumn("share", F.round(100 * F.col("outside_m2") / F.col("_area"), 1)).drop("_block", "_building", "_area", "_within")
 
 
 def scale_sweep(sides: DataFrame, low: float, high: float, step: float, by: tuple = (), times: str = "1") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from atrium.functions import geometry as geo
 from atrium.operators import quality
-from atrium.operators.grid import components, stored
+from atrium.operators.grid import components, stored, work_path
 from atrium.sources import venue
 from atrium.sources.venue import DOORS_SQL, STANDS_SQL
 
@@ -59,14 +59,50 @@ def block_isolated(spark, sf_dir):
     return quality.untouched_blocks(s.withColumn("ord", F.col("k")).select("venue", "ord", "x0", "y0", "x1", "y1"), corridors).select("venue", "ord")
 
 
-#: A building with a wing: two boxes side by side, as one ring.
-_BUILDING = [(7.0, 0.0), (120.0, 0.0), (120.0, 500.0), (60.0, 500.0), (60.0, 900.0), (7.0, 900.0)]
+#: Ways on a slant through the rows, two lines each, and blocks with their corners cut off.
+_SLANTED = """ways as (select venue, "row" as ord, part, case part when 0 then 2.0 else 60.0 end + "row" % 5 as ax, y1 + 0.5 + "row" % 3 as ay, case part when 0 then 30.0 else 61.0 end + "row" % 5 * 2 as bx, y1 - 2.0 + "row" % 9 * 0.8 as "by" from stands, range(2) p(part) where col = 0),
+corners as (select k, venue, c, case c when 0 then x0 + 1 when 1 then x1 - 1 when 2 then x1 when 3 then x1 when 4 then x1 - 1 when 5 then x0 + 1 else x0 end as x, case c when 0 then y0 when 1 then y0 when 2 then y0 + 2 when 3 then y1 - 1 when 4 then y1 when 5 then y1 when 6 then y1 - 1 else y0 + 2 end as y from stands, range(8) r(c)),
+sides as (select a.k, a.venue, a.x as px, a.y as py, b.x - a.x as dx, b.y - a.y as dy from corners a join corners b on b.k = a.k and b.c = (a.c + 1) % 8)"""
 
 
-@query(f"""with {STANDS_SQL}, o as (select k, 36.0 - greatest(0, least(x1, 120.0) - greatest(x0, 7.0)) * greatest(0, least(y1, 500.0) - greatest(y0, 0.0)) - greatest(0, least(x1, 60.0) - greatest(x0, 7.0)) * greatest(0, least(y1, 900.0) - greatest(y0, 500.0)) as outside_m2 from stands)
-select k, outside_m2::double as outside_m2, round(100 * outside_m2 / 36.0, 1)::double as share from o where outside_m2 > 0.5""")
+@query(f"""with {STANDS_SQL}, {_SLANTED},
+near as (select w.*, s.k from ways w join stands s on s.venue = w.venue and s.x0 <= greatest(ax, bx) and s.x1 >= least(ax, bx) and s.y0 <= greatest(ay, "by") and s.y1 >= least(ay, "by")),
+h as (select venue, ord, part, k, ax, ay, bx, "by", (dx * (ay - py) - dy * (ax - px)) / sqrt(dx * dx + dy * dy) - 0.3 as a, (dx * ("by" - py) - dy * (bx - px)) / sqrt(dx * dx + dy * dy) - 0.3 as b from near n join sides s using (venue, k)),
+t as (select venue, ord, k, part, max(case when a < 0 and b < 0 then 9 when a < 0 then a / (a - b) else 0 end) as low, min(case when a >= 0 and b < 0 then a / (a - b) else 1 end) as high, max(sqrt(power(bx - ax, 2) + power("by" - ay, 2))) as m from h group by all),
+c as (select venue, ord, k, sum(greatest(0, high - low) * m) as m from t group by all)
+select distinct venue, ord from c where m > 0.5""")
+def slanted_way_crosses_block(spark, sf_dir):
+    """Ways on a slant against eight-sided blocks less their rim."""
+    s = venue.stands(spark, sf_dir)
+    start = "case part when 0 then 2D else 60D end + row % 5"
+    ways = s.where("col = 0").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr("venue", "row as ord", f"{start} as ax", "y1 + 0.5D + row % 3 as ay", "case part when 0 then 30D else 61D end + row % 5 * 2 as bx", "y1 - 2D + row % 9 * 0.8D as `by`")
+    at = lambda x, y: geo.point(F.expr(x), F.expr(y))
+    ring = F.array(at("x0 + 1", "y0"), at("x1 - 1", "y0"), at("x1", "y0 + 2"), at("x1", "y1 - 1"), at("x1 - 1", "y1"), at("x0 + 1", "y1"), at("x0", "y1 - 1"), at("x0", "y0 + 2"))
+    return quality.crossing_blocks(ways, s.select("venue", ring.alias("ring")))
+
+
+def buildings(spark, sf_dir):
+    """(venue, ring) of each venue's building, written as GeoJSON and read again as the building's document: west a roof
+    that runs down on a slant, east a wing as far as the venue's stands."""
+    from atrium.sources import documents
+
+    east = venue.stands(spark, sf_dir).groupBy("venue").agg(F.max("x1").alias("e"))
+    at = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    ring = F.array(at("7D", "0D"), at("e - 20", "0D"), at("e - 20", "300D"), at("60D", "300D"), at("60D", "536D"), at("7D", "960D"), at("7D", "0D"))
+    rows = east.select(F.col("venue").cast("int").alias("ord"), F.lit("predio").alias("kind"), F.col("venue").cast("string").alias("name"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("lines")).alias("geometry"))
+    path = work_path(spark, "buildings")
+    documents.write_geojson(rows, path)
+    return documents.read_rings(spark, path).select(F.col("name").cast("long").alias("venue"), "ring")
+
+
+#: Below the slanted roof the area of a box is an integral of the roof's height cut to the box: a square over twice the slope.
+@query(f"""with {STANDS_SQL}, b as (select *, max(x1) over (partition by venue) - 20 as e from stands),
+w as (select k, x0, x1, y0, y1, greatest(x0, 7.0) as l, least(x1, 60.0) as r, greatest(0, least(x1, e) - greatest(x0, 60.0)) * greatest(0, least(y1, 300.0) - greatest(y0, 0.0)) as wing from b),
+u as (select *, 960 - 8 * (l - 7) as hl, 960 - 8 * (r - 7) as hr from w),
+i as (select k, wing + case when r > l then (power(greatest(hl - y0, 0), 2) - power(greatest(hr - y0, 0), 2) - power(greatest(hl - y1, 0), 2) + power(greatest(hr - y1, 0), 2)) / 16 else 0 end as inner_m2 from u)
+select k, round(36.0 - inner_m2, 9)::double as outside_m2, round(100 * (36.0 - inner_m2) / 36.0, 1)::double as share from i where 36.0 - inner_m2 > 0.5""")
 def outside_building(spark, sf_dir):
-    return quality.outside_building(venue.stands(spark, sf_dir), _BUILDING).select("k", "outside_m2", "share")
+    return quality.outside_building(venue.stands(spark, sf_dir), buildings(spark, sf_dir)).select("k", "outside_m2", "share")
 
 
 _SIDES = """sides as (select k, 'x' as axis, (x1 - x0 + k % 3) / 1.02 as length from stands union all select k, 'y', (y1 - y0 + k % 4) / 0.98 from stands)"""

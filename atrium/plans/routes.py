@@ -10,7 +10,7 @@ from atrium.operators import grid, instructions, itinerary, routing
 from atrium.sources import venue
 from atrium.sources.venue import STANDS_SQL, VENUES_SQL
 
-from .grids import HEIGHT, WIDTH, cells
+from .grids import CELLS_SQL, CLEAR_SQL, HEIGHT, WIDTH, cells
 from .registry import query
 
 
@@ -61,7 +61,19 @@ def destinations_and_doors(spark, sf_dir):
     return dest, doors.groupBy("venue", "ai", "aj").agg(F.min("door").alias("door"))
 
 
-@query()
+#: Costs spread from all doors cell by cell: in each round the cells that got cheaper pass their cost on.
+_DOOR_SQL = f"""{CELLS_SQL}, {CLEAR_SQL}, {VENUES_SQL}, fac as materialized (select venue, i, j, 1 + {params.WALL_PENALTY} * (1 - least(1.0, d / {params.COMFORT_M})) as f from near),
+st as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) t(a, b)),
+step as materialized (select f.venue, f.i - a as i, f.j - b as j, f.i as ti, f.j as tj, sqrt((a * a + b * b)::double) * f.f as w from fac f, st
+  where (a = 0 or b = 0 or exists (select 1 from fac t where t.venue = f.venue and t.i = f.i - a and t.j = f.j) and exists (select 1 from fac t where t.venue = f.venue and t.i = f.i and t.j = f.j - b))),
+door as (select s_suppkey % nv as venue, 1 as i, (100 * (s_suppkey // nv % 10) + 11)::int as j, min(s_suppkey) as door from supplier, nv group by all),
+best(venue, i, j, cost, door) using key (venue, i, j) as (select venue, i, j, 0.0::double, door from door join fac using (venue, i, j)
+  union (select s.venue, s.ti, s.tj, min(b.cost + s.w), arg_min(b.door, (b.cost + s.w, b.door)) from best b join step s on s.venue = b.venue and s.i = b.i and s.j = b.j
+    left join recurring.best r on r.venue = s.venue and r.i = s.ti and r.j = s.tj where r.cost is null or b.cost + s.w < r.cost group by s.venue, s.ti, s.tj)),
+dest as (select c_custkey as dest, c_custkey % nv as venue, (c_custkey * 37 % 140)::int as i, (c_custkey * 53 % {HEIGHT})::int as j from customer, nv)"""
+
+
+@query(f"with recursive {_DOOR_SQL} select dest, door, round(cost, 6) as cost from dest join best using (venue, i, j)")
 def nearest_door(spark, sf_dir):
     """The cheapest way in to each destination and its door: one search a venue from all its doors."""
     dest, doors = destinations_and_doors(spark, sf_dir)

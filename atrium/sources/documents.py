@@ -69,6 +69,13 @@ def read_ring(spark: SparkSession, path: str) -> DataFrame:
     return first.select("pos", "p.x", "p.y")
 
 
+def read_rings(spark: SparkSession, path: str) -> DataFrame:
+    """(name, ring): the outer ring of every feature of the documents under ``path``, open, by the feature's name."""
+    rows = read_geojson(spark, path).select("name", F.col("geometry.lines")[0].alias("r"))
+    closed = (F.size("r") > 1) & (F.element_at("r", 1) == F.element_at("r", -1))
+    return rows.select("name", F.when(closed, F.slice("r", F.lit(1), F.size("r") - 1)).otherwise(F.col("r")).alias("ring"))
+
+
 GRID = "venue long, passo double, w int, h int, origem array<double>, ex array<double>, ey array<double>, livre string, acessos map<string,array<int>>, portas map<string,array<array<int>>>"
 
 
