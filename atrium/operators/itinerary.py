@@ -134,92 +134,100 @@ def accept(current: DataFrame, found: DataFrame, gain: float = params.ACCEPT_GAI
     return rows.withColumn("accepted", (F.size("route") >= 4) & (F.col("before") - F.col("metres") > gain))
 
 
-def apply_command(stops: list, kind: str, value) -> list:
-    """One edit of a list of stops: open, append (replaces the last when full), remove (two slots stay), move
-    (towards the start), later (towards the end), reverse."""
-    return edit({"stops": list(stops), "choice": None, "last": None}, kind, value)["stops"]
+#: A fresh list: two slots, none chosen, closed. ``saved`` is the first slot of the list as it was last shown.
+FRESH = {"stops": (None, None), "choice": None, "shown": False, "saved": None}
+COMMANDS = "user_id long, ts timestamp, event_id long, kind string, value long, door long"
 
 
-def edit(state: dict, kind: str, value, door=None) -> dict:
-    """The state of an itinerary after a command: stops, choice (the slot being filled) and last (a remembered origin).
+def edit(state: dict, kind: str, value: int, door: int | None = None) -> dict:
+    """The state of an itinerary after a command; ``value`` is a place or, for a slot, taken modulo their number.
 
-    open: the first place goes in as destination, with the remembered origin or else ``door(place)`` as
-    origin; further ones are appended. define: fills the chosen slot, or the first free one. append:
-    replaces the last stop when all slots are taken. add: an empty slot to fill, if one is left.
-    choose: a slot to fill; the same again lets go. remove: empties one of two slots. move and later:
-    swap a stop with its neighbour. reverse.
+    open: a list that is shown with two places takes the place as its new last stop; one of two slots with
+    no destination takes it as destination and, without an origin, the saved origin or else ``door``; any other takes it as
+    last stop. define: fills the chosen slot, or the first empty one, or else becomes the last stop. add: an
+    empty slot at the end, which is chosen, if there are fewer than MAX_STOPS. choose: a slot, which is let
+    go if it was chosen. remove: takes a slot out, or empties it where there are two. move and later: swap a
+    slot with the one before or after it. reverse. close: hides the list. A last stop replaces the one before
+    if the list is full.
     """
-    stops, choice = list(state["stops"]), state["choice"]
-    at = value % len(stops) if stops and isinstance(value, int) else 0
+    stops, choice, shown = list(state["stops"]), state["choice"], state["shown"]
+    at = value % len(stops)
 
-    def append() -> None:
+    def as_last() -> None:
         if len(stops) >= params.MAX_STOPS:
-            stops[-1] = value
-        elif kind == "append" and stops and stops[-1] is None:
-            stops[-1] = value
-        else:
-            stops.append(value)
+            stops.pop()
+        stops.append(value)
 
+    if kind == "close":
+        return {**state, "choice": None, "shown": False}
     if kind == "open":
-        if stops and not (len(stops) == 2 and stops[1] is None):
-            append()
+        if len(stops) == 2 and stops[1] is None:
+            stops[:] = [stops[0] if stops[0] is not None else state["saved"] if state["saved"] is not None else door, value]
         else:
-            origin = stops[0] if stops and stops[0] is not None else state["last"] if state["last"] is not None else door(value) if door else None
-            stops = [origin, value]
-        choice = None
+            as_last()
+        choice, shown = None, True
     elif kind == "define":
-        slot = choice if choice is not None and choice < len(stops) else next((k for k, s in enumerate(stops) if s is None), None)
+        slot = choice if choice is not None else next((k for k, s in enumerate(stops) if s is None), None)
         if slot is None:
-            append()
+            as_last()
         else:
             stops[slot] = value
-        choice = None
-    elif kind == "append":
-        append()
-        choice = None
+        choice, shown = None, True
     elif kind == "add":
-        if len(stops) < params.MAX_STOPS:
-            stops.append(None)
-            choice = len(stops) - 1
+        if len(stops) >= params.MAX_STOPS:
+            return state
+        stops.append(None)
+        choice = len(stops) - 1
     elif kind == "choose":
         choice = None if choice == at else at
     elif kind == "remove":
         if len(stops) > 2:
             del stops[at]
-        elif stops:
+        else:
             stops[at] = None
         choice = None if choice == at or choice is not None and choice >= len(stops) else choice
     elif kind in ("move", "later"):
-        to = at - 1 if kind == "move" else at + 1
-        if stops and 0 <= to < len(stops):
-            stops[at], stops[to] = stops[to], stops[at]
+        to = at + (1 if kind == "later" else -1)
+        if not 0 <= to < len(stops):
+            return state
+        stops[at], stops[to] = stops[to], stops[at]
         choice = None
-    else:
+    elif kind == "reverse":
         stops.reverse()
         choice = None
-    return {"stops": stops, "choice": choice, "last": stops[0] if stops and stops[0] is not None else state["last"]}
+    else:
+        raise ValueError(f"unknown command {kind!r}")
+    return {"stops": tuple(stops), "choice": choice, "shown": shown, "saved": stops[0]}
+
+
+def after_gap(state: dict) -> dict:
+    """The state of a visitor who comes back after a pause: a fresh list, but the saved origin is known."""
+    return {**FRESH, "saved": state["saved"]}
 
 
-def replay(commands: DataFrame) -> DataFrame:
-    """(user_id, edits, stops): each user's ordered commands (user_id, ts, event_id, kind, value) folded to the final stops.
+def replay(commands: DataFrame, idle_s: float = params.IDLE_S) -> DataFrame:
+    """(user_id, edits, stops, choice): each user's commands (COMMANDS) folded in order of (ts, event_id) to the final list.
 
-    Users are dealt by hash and their commands sorted on disk; a task folds them as a stream, with one
-    user's few stops as its state, so a user of any number of commands fits.
+    After a pause of more than ``idle_s`` seconds a user starts afresh, with the saved origin. Users are
+    dealt by hash and their commands sorted on disk; a task folds them as a stream, with one user's few
+    stops as its state, so a user of any number of commands fits. ``door`` is the origin that a place has by default.
     """
 
     def fold(batches):
-        user, state, edits = None, None, 0
+        user, state, edits, last = None, FRESH, 0, 0.0
         for frame in batches:
             out = []
-            for who, kind, value in frame[["user_id", "kind", "value"]].itertuples(index=False):
+            for who, at, kind, value, door in zip(frame["user_id"].tolist(), frame["at"].tolist(), frame["kind"].tolist(), frame["value"].tolist(), frame["door"].tolist()):
                 if who != user:
                     if edits:
-                        out.append((user, edits, state["stops"]))
-                    user, state, edits = who, {"stops": [], "choice": None, "last": None}, 0
-                state, edits = edit(state, kind, int(value)), edits + 1
-            yield pd.DataFrame(out, columns=["user_id", "edits", "stops"])
+                        out.append((user, edits, state["stops"], state["choice"]))
+                    user, state, edits, last = who, FRESH, 0, at
+                state = edit(after_gap(state) if at - last > idle_s else state, kind, int(value), None if pd.isna(door) else int(door))
+                edits, last = edits + 1, at
+            yield pd.DataFrame(out, columns=["user_id", "edits", "stops", "choice"])
         if edits:
-            yield pd.DataFrame([(user, edits, state["stops"])], columns=["user_id", "edits", "stops"])
+            yield pd.DataFrame([(user, edits, state["stops"], state["choice"])], columns=["user_id", "edits", "stops", "choice"])
 
-    ordered = commands.where("user_id is not null").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
-    return ordered.select("user_id", "kind", "value").mapInPandas(fold, "user_id long, edits long, stops array<int>")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    ordered = commands.where("user_id is not null").withColumn("at", at).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return ordered.select("user_id", "at", "kind", "value", "door").mapInPandas(fold, "user_id long, edits long, stops array<long>, choice int")

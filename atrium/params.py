@@ -48,6 +48,8 @@ SNAP_LIMIT = 25.0
 TURN_MIN, WAY_SLACK, WAY_COVERAGE, WAY_SAMPLES, SHORT_M, WAY_DEFAULT_WIDTH = 30.0, 3.0, 0.7, 16, 12.0, 4.0
 MAX_STOPS, EXHAUSTIVE_UPTO, M_PER_MIN, ACCEPT_GAIN = 8, 7, 75, 0.5
 SEARCH_LIMIT = 30
+#: A visitor who gives no command for so long is taken to have left.
+IDLE_S = 1800.0
 IOU_MIN, MODULE_SIDE = 0.98, (0.5, 40.0)
 METRES_PER_DEGREE = 111320.0
 ISOTROPY, BASELINE_RATIO, BASELINE_DRIFT_CM = 0.05, 0.01, 1.0
