@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import build, corridors, features, frames, grids, labels, legacy, quality, routes, taps, text  # noqa: F401
+from . import build, corridors, features, frames, grids, labels, legacy, quality, routes, taps, text, views  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
