@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atrium import params
@@ -22,28 +24,44 @@ def ways_in_cells(ways: DataFrame, to_cell, keep: tuple = ()) -> DataFrame:
     return rows.select(*keep, "ord", "name", "derived", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), "width")
 
 
-def coverage(step: float = 1.0) -> Column:
-    """Share of a leg's WAY_SAMPLES + 1 samples (pi, pj) to (qi, qj) within half the way's width plus the slack."""
-    at = lambda k: geo.segment_distance(F.col("pi") + (F.col("qi") - F.col("pi")) * k, F.col("pj") + (F.col("qj") - F.col("pj")) * k, "ax", "ay", "bx", "by") * step <= F.col("width") / 2 + params.WAY_SLACK
-    steps = F.sequence(F.lit(0), F.lit(params.WAY_SAMPLES))
-    return F.size(F.filter(F.transform(steps, lambda s: at(s / float(params.WAY_SAMPLES))), lambda v: v)) / float(params.WAY_SAMPLES + 1)
+def with_coverage(pairs: DataFrame, step: float = 1.0) -> DataFrame:
+    """``pairs`` of legs and ways with cov: the share of a leg's WAY_SAMPLES + 1 samples (pi, pj) to (qi, qj) within half
+    the way's width plus the slack.
+
+    The place along the way is linear in the sample, so its start and its step are columns of their own;
+    the terms of the sum are plain arithmetic on them, which is compiled.
+    """
+    along = lambda x, y: f"coalesce((({x}) * (bx - ax) + ({y}) * (`by` - ay)) / nullif((bx - ax) * (bx - ax) + (`by` - ay) * (`by` - ay), 0D), 0D)"
+    motion = {"_t": along("pi - ax", "pj - ay"), "_dt": along("qi - pi", "qj - pj"), "_wx": "bx - ax", "_wy": "`by` - ay", "_x": "pi - ax", "_y": "pj - ay", "_dx": "qi - pi", "_dy": "qj - pj", "_r": f"(width / 2 + {params.WAY_SLACK}D) / {step}D"}
+    hits = []
+    for s in range(params.WAY_SAMPLES + 1):
+        k = f"{s / params.WAY_SAMPLES}D"
+        t = f"greatest(0D, least(1D, _t + _dt * {k}))"
+        hits.append(f"if(hypot(_x + _dx * {k} - {t} * _wx, _y + _dy * {k} - {t} * _wy) <= _r, 1, 0)")
+    rows = pairs.withColumns({c: F.expr(e) for c, e in motion.items()})
+    return rows.withColumn("cov", F.expr(f"round(({' + '.join(hits)}) / {params.WAY_SAMPLES + 1}D, 9)")).drop(*motion)
 
 
 def leg_ways(legs: DataFrame, ways: DataFrame, step: float = 1.0, key: str = "venue") -> DataFrame:
     """``legs`` (key, leg, pi, pj, qi, qj) with the way that explains each, or nulls.
 
-    The way with the best coverage, at least WAY_COVERAGE; of equals the wider, then the first.
+    The way with the best coverage, at least WAY_COVERAGE; of equals the wider, then the first. A leg that a
+    way explains misses it with a few samples at most, so of one sample more in its middle one hits: only the
+    cells of those meet the bands of ways.
     """
-    # Legs and the bands of ways meet in the cells of both their boxes; a pair counts in its first common cell.
-    box = lambda df: df.withColumns({"_i0": F.floor(F.col("x0") / CELL), "_j0": F.floor(F.col("y0") / CELL)})
+    samples = params.WAY_SAMPLES + 1
+    most_missed = samples - math.ceil(samples * params.WAY_COVERAGE - 1e-9)
+    first = (samples - most_missed - 1) // 2
+    middle = f"sequence({first}, {first + most_missed})"
     reach = (F.col("width") / 2 + params.WAY_SLACK) / step
-    boxed = box(ways.withColumns({"x0": F.least("ax", "bx") - reach, "y0": F.least("ay", "by") - reach, "x1": F.greatest("ax", "bx") + reach, "y1": F.greatest("ay", "by") + reach}))
-    boxed = boxed.select("*", F.explode(cells_of_box("x0", "y0", "x1", "y1")).alias("cell")).withColumnsRenamed({"_i0": "_wi", "_j0": "_wj"}).drop("x0", "y0", "x1", "y1")
-    own = box(legs.withColumns({"x0": F.least("pi", "qi"), "y0": F.least("pj", "qj"), "x1": F.greatest("pi", "qi"), "y1": F.greatest("pj", "qj")}))
-    own = own.select(key, "leg", "pi", "pj", "qi", "qj", "_i0", "_j0", F.explode(cells_of_box("x0", "y0", "x1", "y1")).alias("cell"))
-    near = own.join(boxed, [key, "cell"]).where("cell.i = greatest(_i0, _wi) and cell.j = greatest(_j0, _wj)")
-    pairs = near.withColumn("cov", F.round(coverage(step), 9)).where(F.col("cov") >= params.WAY_COVERAGE)
-    best = pairs.groupBy(key, "leg").agg(F.min(F.struct((-F.col("cov")).alias("c"), (-F.col("width")).alias("w"), "ord", "name", "derived")).alias("m"))
+    boxed = ways.withColumns({"x0": F.least("ax", "bx") - reach, "y0": F.least("ay", "by") - reach, "x1": F.greatest("ax", "bx") + reach, "y1": F.greatest("ay", "by") + reach})
+    boxed = boxed.select("*", F.explode(cells_of_box("x0", "y0", "x1", "y1")).alias("cell")).drop("x0", "y0", "x1", "y1")
+    at = lambda p, q: f"cast(floor(({p} + ({q} - {p}) * k / {params.WAY_SAMPLES}D) / {CELL}) as int)"
+    own = legs.select(key, "leg", "pi", "pj", "qi", "qj", F.explode(F.expr(f"array_distinct(transform({middle}, k -> struct({at('pi', 'qi')} as i, {at('pj', 'qj')} as j)))")).alias("cell"))
+    near = with_coverage(own.join(boxed, [key, "cell"]), step)
+    # The threshold stands inside the aggregate: as a filter of its own it would have the coverage worked out twice.
+    good = F.when(F.col("cov") >= params.WAY_COVERAGE, F.struct((-F.col("cov")).alias("c"), (-F.col("width")).alias("w"), "ord", "name", "derived"))
+    best = near.groupBy(key, "leg").agg(F.min(good).alias("m")).where("m is not null")
     return legs.join(best.select(key, "leg", F.col("m.name").alias("way"), F.col("m.derived").alias("derived"), (-F.col("m.c")).alias("coverage")), [key, "leg"], "left")
 
 
