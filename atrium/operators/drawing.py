@@ -36,6 +36,25 @@ def visible_paths(paths: DataFrame, window: tuple) -> DataFrame:
     return paths.groupBy("page").applyInPandas(scan, paths.schema)
 
 
+def text_labels(spans: DataFrame, window: tuple, scale: float = params.M_PER_POINT, by_line: bool = False) -> DataFrame:
+    """The labels of a page's text in metres: (page, block, line, pos, txt, x, y, size).
+
+    ``spans``: page, block, line, pos, text, size, x0, y0, x1, y1 in points; those whose box meets the window
+    count. Each span is a label, for codes, or each line, for names: its spans' texts in order with a space
+    between, the middle of all their boxes, the largest size, and pos null. Blank labels are none.
+    """
+    x0, y0, x1, y1 = window
+    rows = spans.where(f"greatest(x0, {x0}D) < least(x1, {x1}D) and greatest(y0, {y0}D) < least(y1, {y1}D)")
+    if by_line:
+        said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ")
+        rows = rows.groupBy("page", "block", "line").agg(said.alias("text"), F.max("size").alias("size"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        rows = rows.withColumn("pos", F.lit(None).cast("int"))
+    txt = F.regexp_replace("text", r"^\s+|\s+$", "")
+    middle = lambda a, b, start: F.round(((F.col(a) + F.col(b)) / 2 - start) * scale, 3)
+    out = rows.select("page", "block", "line", "pos", txt.alias("txt"), middle("x0", "x1", x0).alias("x"), middle("y0", "y1", y0).alias("y"), (F.col("size") * scale).alias("size"))
+    return out.where("txt <> ''")
+
+
 def flattened(op, points):
     """The points an operation adds: a cubic curve is CURVE_STEPS chords, others are as they stand."""
     p = geo.col(points)

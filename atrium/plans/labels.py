@@ -111,3 +111,23 @@ def door_split(spark, sf_dir):
     rows = venue.doors(spark, sf_dir).selectExpr("door", "concat(case door % 3 when 0 then 'Entrada Pública' when 1 then 'ACESSO SERVIÇO HALL' else 'acesso servico' end, ' ', door) as name", "array(struct(cast(door % 7 as int) as i, 1 as j), struct(cast(door % 5 as int) as i, 2 as j)) as cells")
     service = F.lower("name").contains("serviço") | F.lower("name").contains("servico")
     return rows.select("door", "name", (~service).alias("is_public"), F.explode("cells").alias("c")).select("door", "name", "is_public", "c.i", "c.j")
+
+
+#: Four spans a line, some blank; the window cuts the page's right side off.
+_SPANS = "case when k % 11 = 0 then '  ' when k % 3 = 0 then ' ' || code || ' ' else name end"
+_SPAN_SQL = f"""spans as (select venue as page, "row" as block, col // 4 as line, (col % 4)::int as pos, {_SPANS} as text, 4.0 + k % 5 as size, x0, y0, x1, y0 + 4 as y1 from stands),
+seen as (select * from spans where least(x1, 118.0) > greatest(x0, 10.0) and least(y1, 900.0) > greatest(y0, 30.0))"""
+
+
+@query(f"""with {STANDS_SQL}, {_SPAN_SQL},
+l as (select page, block, line, trim(string_agg(text, ' ' order by pos)) as txt, (min(x0) + max(x1)) / 2 as x, (min(y0) + max(y1)) / 2 as y, max(size) as size from seen group by page, block, line)
+select page, block, line, pos, trim(text) as txt, round(((x0 + x1) / 2 - 10) * {params.M_PER_POINT}, 3)::double as x, round(((y0 + y1) / 2 - 30) * {params.M_PER_POINT}, 3)::double as y, round(size * {params.M_PER_POINT}, 6)::double as size from seen where trim(text) <> ''
+union all select page, block, line, null, txt, round((x - 10) * {params.M_PER_POINT}, 3)::double, round((y - 30) * {params.M_PER_POINT}, 3)::double, round(size * {params.M_PER_POINT}, 6)::double from l where txt <> ''""")
+def text_scan(spark, sf_dir):
+    """The text of a page as labels, span by span and line by line."""
+    from atrium.operators.drawing import text_labels
+
+    text = F.expr("case when k % 11 = 0 then '  ' when k % 3 = 0 then concat(' ', code, ' ') else name end").alias("text")
+    spans = venue.stands(spark, sf_dir).select(F.col("venue").alias("page"), F.col("row").alias("block"), F.expr("col div 4 as line"), F.expr("cast(col % 4 as int) as pos"), text, F.expr("4D + k % 5 as size"), "x0", "y0", "x1", F.expr("y0 + 4 as y1"))
+    both = [text_labels(spans, (10.0, 30.0, 118.0, 900.0), by_line=line) for line in (False, True)]
+    return both[0].unionByName(both[1]).withColumn("size", F.round("size", 6))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atrium.functions import geometry as geo
-from atrium.operators import quality
+from atrium.operators import corridors, quality
 from atrium.operators.grid import components, stored, work_path
 from atrium.sources import venue
 from atrium.sources.venue import DOORS_SQL, STANDS_SQL
 
+from . import corridors as lanes
 from .features import FEATURES_SQL, features
 from .grids import CELLS_SQL, cells
 from .registry import query
@@ -177,15 +178,46 @@ def corridor_coverage(spark, sf_dir):
     return free.groupBy("margin").agg(F.round(F.avg(F.when(F.expr(band), 1.0).otherwise(0.0)), 6).alias("share"))
 
 
-@query()
+def _pieces(open_: str) -> str:
+    """The connected pieces of a relation of cells: the smallest run without one above it spreads over runs of
+    neighbouring lines that share a column. ``big`` has the twelve largest of a venue of at least 20 cells."""
+    return f"""isle as (select venue, i, j, i - row_number() over (partition by venue, j order by i) as g from {open_}),
+run as materialized (select venue, j, min(i) as lo, max(i) as hi, j::bigint * 1000000 + min(i) as id from isle group by venue, j, g),
+above as materialized (select a.venue, a.id, b.id as other from run a join run b on b.venue = a.venue and b.j = a.j + 1 where a.lo <= b.hi and b.lo <= a.hi),
+meet as materialized (select * from above union all select venue, other, id from above),
+mark(venue, id, label) using key (venue, id) as (select venue, id, id from run where not exists (select 1 from above where above.venue = run.venue and other = run.id)
+  union (select t.venue, t.other, min(m.label) from mark m join meet t on t.venue = m.venue and t.id = m.id left join recurring.mark r on r.venue = t.venue and r.id = t.other where r.label is null or m.label < r.label group by t.venue, t.other)),
+whole as (select r.venue, m.label, sum(hi - lo + 1)::bigint as area, min(lo) as i0, max(hi) as i1, min(j) as j0, max(j) as j1 from run r join mark m on m.venue = r.venue and m.id = r.id group by all),
+big as (select *, row_number() over (partition by venue order by area desc, label) as nth from whole where area >= 20 qualify nth <= 12)"""
+
+
+def largest_pieces(rest, least: int = 20, most: int = 12):
+    """(venue, area, i0, i1, j0, j1) of each venue's ``most`` largest connected pieces of cells (free), of at least ``least``."""
+    pieces = components(rest)
+    size = pieces.groupBy("venue", "piece").agg(F.count("*").alias("area"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
+    size = size.where(F.col("area") >= least).selectExpr("*", "row_number() over (partition by venue order by area desc, piece) as nth")
+    return size.where(F.col("nth") <= most).select("venue", "area", "i0", "i1", "j0", "j1")
+
+
+@query(f"""with recursive {CELLS_SQL}, rest as (select venue, i, j from cells where free and not (j % 10 between 0 and 1 and i > 30)), {_pieces("rest")}
+select venue, area, i0, i1, j0, j1 from big""")
 def uncovered_pieces(spark, sf_dir):
     """Of the connected pieces of at least 20 cells that no band covers each venue's twelve largest."""
-    rest = stored(cells(spark, sf_dir).withColumn("free", F.expr("free and not (j % 10 between 0 and 1 and i > 30)")), "uncovered")
-    pieces = components(rest)
-    size = pieces.groupBy("venue", "piece").agg(F.count("*").alias("area")).where("area >= 20")
-    size = size.selectExpr("*", "row_number() over (partition by venue order by area desc, piece) as nth").where("nth <= 12").drop("nth")
-    rows = pieces.join(size, ["venue", "piece"])
-    return rows.groupBy("venue", "piece", "area").agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).drop("piece")
+    return largest_pieces(stored(cells(spark, sf_dir).withColumn("free", F.expr("free and not (j % 10 between 0 and 1 and i > 30)")), "uncovered"))
+
+
+@query(f"""with recursive {lanes._CORRIDOR}, {lanes._RUNS}, {lanes._TRACKS}, lane as (select p.venue, p.axis, p.centre, p.w, p.plo, p.phi from pieces p join ways w on w.venue = p.venue and w.axis = p.axis and w.centre = p.centre and w.part = p.part),
+inner_ as (select venue, i, j from corr where corridor),
+under as (select c.venue, c.i, c.j from inner_ c, lane w where w.venue = c.venue and w.axis = 'y' and abs(c.j + 0.5 - w.centre) <= least(w.w, 12) / 2.0 + 1 and c.i between plo and phi
+  union select c.venue, c.i, c.j from inner_ c, lane w where w.venue = c.venue and w.axis = 'x' and abs(c.i + 0.5 - w.centre) <= least(w.w, 12) / 2.0 + 1 and c.j between plo and phi),
+rest as (select * from inner_ except select * from under), {_pieces("rest")}
+select venue, area, i1 - i0 + 1 as width, j1 - j0 + 1 as height, (i0 + i1 + 1) / 2.0::double as x, (j0 + j1 + 1) / 2.0::double as y from big""")
+def uncovered_corridor(spark, sf_dir):
+    """The largest pieces of the corridor that lie farther than a metre from the band of any derived way: size, extent and middle."""
+    found, _, corridor = lanes.clipped_ways(spark, sf_dir)
+    under = corridors.in_bands(corridor.select("venue", "i", "j"), found, (1,)).select("venue", "i", "j")
+    rest = corridor.select("venue", "i", "j").join(under, ["venue", "i", "j"], "left_anti").withColumn("free", F.lit(True))
+    return largest_pieces(stored(rest, "uncovered")).selectExpr("venue", "area", "i1 - i0 + 1 as width", "j1 - j0 + 1 as height", "(i0 + i1 + 1) / 2D as x", "(j0 + j1 + 1) / 2D as y")
 
 
 @query(f"""with {DOORS_SQL}, d as (select x + door % 5 as x, y + door % 3 as y, door % 3 = 0 as pub from doors), s as (select a as dx, b as dy from range(-6, 7) x(a), range(-6, 7) y(b)),
