@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atrium import params
 from atrium.functions import geometry as geo
-from atrium.functions.text import ascii_fold
+from atrium.functions.text import ascii_fold, title_case
 
 from .classify import first_colour
 from .labels import cells_of_box
@@ -198,6 +199,38 @@ def generate(cells: DataFrame, streets: DataFrame, key: str = "venue") -> DataFr
     return out
 
 
+def generate_anchored(areas: DataFrame, stands: DataFrame, streets: DataFrame, places: DataFrame, exhibitors: DataFrame, booths: DataFrame, key: str = "venue") -> DataFrame:
+    """What the declarative map sets down by position: (key, kind, cat, code, name, weight, mini, x0, y0, x1, y1).
+
+    ``areas`` (key, cat, code, name, x, y, w, h) with their size as weight; ``stands`` (key, cat, code, x, y, w, h) named
+    by code from ``exhibitors`` (code, name), codes TL and a number from ``booths`` (n, name), and mini if a side is
+    under MINI_SIDE; ``streets`` of the annex (key, name, x, y, w, h), each a box and its axis; ``places`` (key, cat,
+    name, x, y), points. Stands beyond ANNEX_M get one floor a venue, as far as they reach and ANNEX_RIM around.
+    """
+    box = {"x0": "x", "y0": "y", "x1": "x + w", "y1": "y + h"}
+    none = {"cat": "cast(null as string)", "code": "cast(null as string)", "name": "cast(null as string)", "weight": "cast(null as double)", "mini": "cast(null as boolean)"}
+
+    def made(df: DataFrame, kind: str, sides: dict = box, **own: str) -> DataFrame:
+        return df.select(key, F.lit(kind).alias("kind"), *[F.expr(e).alias(c) for c, e in {**none, **own}.items()], *[F.expr(e).cast("double").alias(c) for c, e in sides.items()])
+
+    number = F.when(F.col("code").startswith("TL"), F.expr("try_cast(substring(code, 3) as int)"))
+    by_code = exhibitors.groupBy("code").agg(F.min("name").alias("_entry"))
+    by_number = booths.groupBy(F.col("n").cast("int").alias("_n")).agg(F.min("name").alias("_booth"))
+    named = stands.withColumn("_n", number).join(by_code, "code", "left").join(by_number, "_n", "left")
+    named = named.withColumn("name", title_case(F.when(F.col("code").startswith("TL"), F.col("_booth")).otherwise(F.col("_entry"))))
+    floor = stands.where(F.col("x") > params.ANNEX_M).groupBy(key).agg(*[F.expr(e).alias(c) for c, e in {"x": "min(x)", "y": "min(y)", "e": "max(x + w)", "s": "max(y + h)"}.items()])
+    rim, middle = params.ANNEX_RIM, "y + h / 2"
+    out = made(areas, "area", cat="cat", code="code", name="name", weight="round(w * h, 1)")
+    for more in (
+        made(floor, "piso", {"x0": f"x - {rim}", "y0": f"y - {rim}", "x1": f"e + {rim}", "y1": f"s + {rim}"}),
+        made(named, "estande", cat="cat", code="code", name="name", mini=f"w < {params.MINI_SIDE} or h < {params.MINI_SIDE}"),
+        made(streets, "rua", name="name"), made(streets, "rua-eixo", {**box, "y0": middle, "y1": middle}, name="name"),
+        made(places, "poi", {"x0": "x", "y0": "y", "x1": "x", "y1": "y"}, cat="cat", name="name"),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
 def quantise(value: str, lines: list[float], tol: float = 4.0) -> Column:
     """The first of the lines within ``tol``, not the nearest; else the value."""
     return F.coalesce(F.get(F.filter(F.array(*[F.lit(float(x)) for x in lines]), lambda x: F.abs(F.col(value) - x) < tol), F.lit(0)), F.col(value))
@@ -286,12 +319,20 @@ def weld(boxes: DataFrame, gap: float = 5.0, overlap: float = 0.5, by: str = "ro
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord").reset_index(drop=True)
         lo, hi, across = rows[a0].to_numpy(dtype=float).copy(), rows[a1].to_numpy(dtype=float).copy(), rows[[c0, c1]].to_numpy(dtype=float)
+        size = across[:, 1] - across[:, 0]
         for k in range(len(rows)):
-            for n in range(len(rows)):
-                if 0 < lo[n] - hi[k] < gap:
-                    shared = min(across[k, 1], across[n, 1]) - max(across[k, 0], across[n, 0])
-                    if shared >= overlap * min(across[k, 1] - across[k, 0], across[n, 1] - across[n, 0]):
-                        hi[k] = lo[n] = round((hi[k] + lo[n]) / 2, 2)
+            shared = np.minimum(across[k, 1], across[:, 1]) - np.maximum(across[k, 0], across[:, 0])
+            beside = np.flatnonzero(shared >= overlap * np.minimum(size[k], size))
+            at = 0
+            while at < len(beside):  # the next neighbour beyond the end that the last one moved
+                apart = lo[beside[at:]] - hi[k]
+                found = np.flatnonzero((apart > 0) & (apart < gap))
+                if not len(found):
+                    break
+                at += found[0]
+                n = beside[at]
+                hi[k] = lo[n] = round(float(hi[k] + lo[n]) / 2, 2)
+                at += 1
         return rows.assign(**{a0: lo, a1: hi})
 
     return boxes.groupBy(by).applyInPandas(join, boxes.schema)

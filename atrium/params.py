@@ -79,6 +79,7 @@ DECOR_SIDE, DECOR_AREA, MARKER_X, MARKER_CHROMA, MARKER_WIDTH, MARKER_HEIGHT = 8
 GRAPH_GAP, GRAPH_ALIGN, GRAPH_APART, GRAPH_OVERLAP, ANNEX_X, ROW_TOL = (8.0, 90.0), 18.0, 120.0, 40.0, 1270.0, 10.0
 RESTAURANTS = r"(?i)PIZZA HUT|JOHNNY|SPOLETO|BOALI|BAUDUCCO|LOCKERS|INDIGO"
 ARTISTS = "Alameda dos Artistas"
+ANNEX_M, ANNEX_RIM, MINI_SIDE = 255.0, 4.0, 2.5
 BAND_M, STREET_M, CELL_M, AISLE_M, AISLE_MIN, AISLE_MAX = 10.0, 4.2, 7.4, 5.0, 0.5, 12.0
 
 # Particles that stay in lower case inside a title.

@@ -430,6 +430,32 @@ def legacy_generate(spark, sf_dir):
     return out.groupBy("venue", "kind").agg(F.count("*").alias("n"), F.count("name").alias("named"), *[F.round(F.sum(c), 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+@query(f"""with {STANDS_SQL}, a as (select *, x0 * 2.5 as x, y0 as y, 1.5 + k % 4 as w, 2.0 + k % 3 as h, case when k % 5 = 0 then 'TL' || lpad((k % 60)::varchar, 2, '0') else code end as c from stands),
+n as (select *, case when k % 5 = 0 then case when k % 60 between 1 and 48 and k % 60 % 9 <> 4 then 'Autor ' || (k % 60) end when left(code, 1) <> 'D' then 'Empresa ' || substr(code, 2)::int end as entry from a),
+o as (select venue, 'area' as kind, p_type as cat, null as code, name, round(w * h * 4, 1) as weight, null as mini, x as x0, y as y0, x + 2 * w as x1, y + 2 * h as y1 from n where col = 3
+ union all select venue, 'piso', null, null, null, null, null, min(x) - 4, min(y) - 4, max(x + w) + 4, max(y + h) + 4 from n where x > 255 group by venue
+ union all select venue, 'estande', p_type, c, entry, null, w < 2.5 or h < 2.5, x, y, x + w, y + h from n
+ union all select venue, 'rua', null, null, 'RUA ' || left(code, 1) || left(code, 1), null, null, 255, y1, 300, y1 + 4 from n where col = 0
+ union all select venue, 'rua-eixo', null, null, 'RUA ' || left(code, 1) || left(code, 1), null, null, 255, y1 + 2, 300, y1 + 2 from n where col = 0
+ union all select venue, 'poi', 'entrada', null, 'Entrada ' || "row", null, null, x, y, x, y from n where col = 7)
+select venue, kind, count(*) as n, count(cat) as cats, count(code) as codes, count(name) as named, min(name) as first_name, max(name) as last_name, count(*) filter (where mini) as minis, round(coalesce(sum(weight), 0), 3)::double as weight,
+  round(sum(x0), 4)::double as x0, round(sum(y0), 4)::double as y0, round(sum(x1), 4)::double as x1, round(sum(y1), 4)::double as y1 from o group by venue, kind""")
+def legacy_generate_annex(spark, sf_dir):
+    """The declarative map's boxes by position: areas, stands with names from the directory, the annex's floor and streets, places."""
+    s = venue.stands(spark, sf_dir).selectExpr("*", "x0 * 2.5D as x", "y0 as y", "1.5D + k % 4 as w", "2D + k % 3 as h")
+    areas = s.where("col = 3").selectExpr("venue", "p_type as cat", "cast(null as string) as code", "name", "x", "y", "2 * w as w", "2 * h as h")
+    stands = s.selectExpr("venue", "p_type as cat", "case when k % 5 = 0 then concat('TL', lpad(cast(k % 60 as string), 2, '0')) else code end as code", "x", "y", "w", "h")
+    streets = s.where("col = 0").selectExpr("venue", "concat('RUA ', substring(code, 1, 1), substring(code, 1, 1)) as name", "255D as x", "y1 as y", "45D as w", "4D as h")
+    places = s.where("col = 7").selectExpr("venue", "'entrada' as cat", "concat('Entrada ', row) as name", "x", "y")
+    exhibitors = s.where("code not like 'D%'").selectExpr("code", "concat('EMPRESA ', cast(substring(code, 2) as int)) as name").distinct()
+    booths = spark.range(1, 49).where("id % 9 <> 4").selectExpr("id as n", "concat('AUTOR ', id) as name")
+    out = legacy.generate_anchored(areas, stands, streets, places, exhibitors, booths)
+    return out.groupBy("venue", "kind").agg(
+        F.count("*").alias("n"), F.count("cat").alias("cats"), F.count("code").alias("codes"), F.count("name").alias("named"), F.min("name").alias("first_name"), F.max("name").alias("last_name"),
+        F.count_if("mini").alias("minis"), F.round(F.coalesce(F.sum("weight"), F.lit(0.0)), 3).alias("weight"), *[F.round(F.sum(c), 4).alias(c) for c in ("x0", "y0", "x1", "y1")],
+    )
+
+
 @query(f"""with {STANDS_SQL}, s as (select venue, k as ord, code, "row" as band, col, x0 * 3 as x0, x1 * 3 - 1 as x1 from stands where k % 17 <> 3), g as (select *, x0 - max(x1) over (partition by venue, band order by x0, ord rows between unbounded preceding and 1 preceding) as gap from s),
 b as (select *, sum(case when gap > 8 then 1 else 0 end) over (partition by venue, band order by x0, ord) as block from g)
 select venue, ord, code, band, block::int as block, (row_number() over (partition by venue, band, block order by x0, ord) - 1)::int as "column", 'cheia' as side, x1 - x0 as width, min(x0) over (partition by venue, band, block) as "offset" from b
