@@ -116,8 +116,8 @@ def seed_ways(arrows: DataFrame, found: DataFrame, runs: DataFrame, axis: str =
     """Ways (as name_ways gives them) out of arrows (key, ord, name, axis, along, across) whose name no way has.
 
     The axis is the arrow's. Widths are taken at SEED_OFFSETS beside it, where the run across holds the
-    axis and is WIDTH_MIN to WIDTH_OPEN wide; their upper median counts. The piece of the corridor under
-    the arrow must be LENGTH_MIN long. Of arrows with one name the first that succeeds counts.
+    axis and is WIDTH_MIN to WIDTH_OPEN wide; their upper median counts. The piece of the corridor that
+    passes within PIECE_NEAR of the arrow, the first of several, must be LENGTH_MIN long. Of arrows with one name the first that succeeds counts.
     """
     a = arrows.join(found.select(key, "name").distinct(), [key, "name"], "left_anti")
     at = a.select(key, axis, "ord", "along", "across", F.explode(F.array(*[F.lit(float(d)) for d in params.SEED_OFFSETS])).alias("d"))
@@ -125,7 +125,10 @@ def seed_ways(arrows: DataFrame, found: DataFrame, runs: DataFrame, axis: str =
     beside = at.where(f"across >= lo and across < hi + 1 and w between {params.WIDTH_MIN} and {params.WIDTH_OPEN}")
     widths = beside.groupBy(key, axis, "ord").agg(F.expr("array_sort(collect_list(w))[cast(count(*) div 2 as int)]").alias("w"))  # as many as there are offsets, at most
     lines = runs.select(key, F.when(F.col(axis) == "x", "y").otherwise("x").alias(axis), F.col("a").alias("line"), F.col("lo").alias("from"), F.col("hi").alias("to"))
-    under = a.withColumn("line", F.floor("across").cast("int")).join(lines, [key, axis, "line"]).where(f"along >= `from` and along < `to` + 1 and `to` - `from` + 1 >= {params.LENGTH_MIN}")
+    near = f"along > `from` - {params.PIECE_NEAR} and along < `to` + 1 + {params.PIECE_NEAR}"
+    met = a.withColumn("line", F.floor("across").cast("int")).join(lines, [key, axis, "line"]).where(near)
+    own = met.groupBy(key, axis, "ord").agg(F.min(F.struct("from", "to")).alias("m")).select(key, axis, "ord", "m.from", "m.to")
+    under = a.join(own, [key, axis, "ord"]).where(f"`to` - `from` + 1 >= {params.LENGTH_MIN}")
     grown = under.join(widths, [key, axis, "ord"])
     first = grown.groupBy(key, "name").agg(F.min("ord").alias("ord"))
     rows = grown.join(first, [key, "name", "ord"], "left_semi")

@@ -135,18 +135,30 @@ def clearance_at(points: DataFrame, cells: DataFrame, step: float = 1.0, key: st
     return at.join(found, [key, "i", "j"], "left").withColumn("clearance_m", F.coalesce("clearance_m", F.lit(0.0))).drop("i", "j")
 
 
+#: Rings of cells that are looked at for every point; farther ones only for points that found none.
+NEAR_RINGS = 3
+
+
 def snap_to_free(points: DataFrame, cells: DataFrame, limit: int, key: str = "venue") -> DataFrame:
     """``points`` (key, id, fi, fj fractional cells) with the free cell (i, j) they snap to, or nulls.
 
     Their own cell if free; else the first ring of cells around it that has a free one, and in that
-    ring the cell nearest to the point; ties by (j, i). Rings beyond ``limit`` don't count.
+    ring the cell nearest to the point; ties by (j, i). Rings beyond ``limit`` don't count. The first ring
+    decides, so the few points that no ring of NEAR_RINGS settles meet the rest in a second join.
     """
-    own = points.withColumns({"ci": F.floor(F.col("fi") + 0.5).cast("int"), "cj": F.floor(F.col("fj") + 0.5).cast("int")})
-    around = F.expr(f"flatten(transform(sequence(-{limit}, {limit}), a -> transform(sequence(-{limit}, {limit}), b -> struct(a, b))))")
-    near = own.select("*", F.explode(around).alias("s")).selectExpr("*", "cast(ci + s.a as int) as i", "cast(cj + s.b as int) as j", "greatest(abs(s.a), abs(s.b)) as ring")
-    near = near.join(cells.where("free").select(key, "i", "j"), [key, "i", "j"])
-    best = near.groupBy(key, "id").agg(F.min(F.expr("struct(ring, (i - fi) * (i - fi) + (j - fj) * (j - fj) as d2, j, i)")).alias("m"))
-    return points.join(best.select(key, "id", "m.i", "m.j", "m.ring"), [key, "id"], "left")
+    free = cells.where("free").select(key, "i", "j")
+    own = points.select(key, "id", "fi", "fj", F.floor(F.col("fi") + 0.5).cast("int").alias("ci"), F.floor(F.col("fj") + 0.5).cast("int").alias("cj"))
+
+    def settled(rows: DataFrame, low: int, high: int) -> DataFrame:
+        around = f"filter(flatten(transform(sequence(-{high}, {high}), a -> transform(sequence(-{high}, {high}), b -> struct(a, b, greatest(abs(a), abs(b)) as ring)))), s -> s.ring >= {low})"
+        near = rows.select("*", F.explode(F.expr(around)).alias("s")).selectExpr(key, "id", "fi", "fj", "cast(ci + s.a as int) as i", "cast(cj + s.b as int) as j", "s.ring as ring")
+        best = near.join(free, [key, "i", "j"]).groupBy(key, "id").agg(F.min(F.expr("struct(ring, (i - fi) * (i - fi) + (j - fj) * (j - fj) as d2, j, i)")).alias("m"))
+        return best.select(key, "id", "m.i", "m.j", "m.ring")
+
+    found = stored(settled(own, 0, min(limit, NEAR_RINGS)), "snapped")
+    if limit > NEAR_RINGS:
+        found = found.union(settled(own.join(found.select(key, "id"), [key, "id"], "left_anti"), NEAR_RINGS + 1, limit))
+    return points.join(found, [key, "id"], "left")
 
 
 def access_cells(blocks: DataFrame, cells: DataFrame, reach: float = params.ACCESS_REACH, key: str = "venue") -> DataFrame:

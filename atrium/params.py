@@ -40,7 +40,7 @@ POI_LABEL_RADIUS = 8.0
 MIN_SHAPE_AREA, MINI_AREA = 0.5, 6.0
 CLOSING_M, WIDTH_MIN, WIDTH_MAX, WIDTH_OPEN, APRON_M = 12, 2, 12, 20, 6
 SAMPLE_M, CENTRE_TOL, GAP_M = 1.0, 1.5, 14
-LENGTH_MIN, LENGTH_ANON = 12, 20
+LENGTH_MIN, LENGTH_ANON, PIECE_NEAR = 12, 20, 0.6
 
 ACCESS_REACH = 4.0
 COMFORT_M, WALL_PENALTY, SIMPLIFY_MAX = 3.0, 0.35, 1.0

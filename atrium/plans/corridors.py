@@ -128,16 +128,16 @@ def longest_way(spark, sf_dir):
     return corridors.longest_ways(corridors.merge_ways(named_ways(spark, sf_dir)[0]))
 
 
-@query(f"""with {_CORRIDOR}, {_RUNS}, sa as (select venue, "row" as ord, 'RUA V' || ("row" % 5) as name, 10 * ("row" % 100) + 7 as along, 36.0::double as across from (select distinct venue, "row" from blocks)),
+@query(f"""with {_CORRIDOR}, {_RUNS}, sa as (select venue, "row" as ord, 'RUA V' || ("row" % 5) as name, 10 * ("row" % 100) + 7 + case when "row" % 3 = 0 then 0.4 else 0 end as along, 36.0::double as across from (select distinct venue, "row" from blocks)),
 off as (select unnest([{', '.join(map(str, params.SEED_OFFSETS))}]) as d),
-wd as (select a.venue, a.ord, list_sort(list(r.width))[count(*) // 2 + 1] as w from sa a, off, runs r where r.venue = a.venue and r.axis = 'x' and r.a = a.along + d and across >= r.lo and across < r.hi + 1 and r.width between 2 and 20 group by 1, 2),
-un as (select a.*, r.lo, r.hi from sa a join runs r on r.venue = a.venue and r.axis = 'y' and r.a = floor(a.across)::int and a.along >= r.lo and a.along < r.hi + 1 where r.hi - r.lo + 1 >= 12),
+wd as (select a.venue, a.ord, list_sort(list(r.width))[count(*) // 2 + 1] as w from sa a, off, runs r where r.venue = a.venue and r.axis = 'x' and r.a = floor(a.along + d)::int and across >= r.lo and across < r.hi + 1 and r.width between 2 and 20 group by 1, 2),
+un as (select a.*, r.lo, r.hi from sa a join runs r on r.venue = a.venue and r.axis = 'y' and r.a = floor(a.across)::int and a.along > r.lo - 0.6 and a.along < r.hi + 1.6 qualify row_number() over (partition by a.venue, a.ord order by r.lo) = 1 and r.hi - r.lo + 1 >= 12),
 gr as (select un.*, wd.w from un join wd on wd.venue = un.venue and wd.ord = un.ord), fi as (select venue, name, min(ord) as ord from gr group by 1, 2)
 select gr.venue, gr.name, 'x' as axis, across as centre, least(w, 12)::int as width, w > 12 as open, (hi - lo + 1)::bigint as extent, lo as "from", hi as "to" from gr join fi on fi.venue = gr.venue and fi.name = gr.name and fi.ord = gr.ord""")
 def seeded_ways(spark, sf_dir):
     """Ways that only their arrow tells of: measured beside it, along the corridor under it."""
     named, all_runs, _ = named_ways(spark, sf_dir)
-    arrows = blocks(spark, sf_dir).select("venue", "row").distinct().selectExpr("venue", "row as ord", "concat('RUA V', row % 5) as name", "'x' as axis", "cast(10 * (row % 100) + 7 as double) as along", "36.0D as across")
+    arrows = blocks(spark, sf_dir).select("venue", "row").distinct().selectExpr("venue", "row as ord", "concat('RUA V', row % 5) as name", "'x' as axis", "10 * (row % 100) + 7 + case when row % 3 = 0 then 0.4D else 0D end as along", "36.0D as across")
     out = corridors.seed_ways(arrows, named, all_runs)
     return out.select("venue", "name", "axis", "centre", F.col("width").cast("int").alias("width"), "open", "extent", F.col("lines")[0]["from"].alias("from"), F.col("lines")[0]["to"].alias("to"))
 

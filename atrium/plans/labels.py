@@ -9,7 +9,7 @@ from atrium.functions import geometry as geo
 from atrium.operators import labels as lab
 from atrium.operators.classify import in_box, wholly_in
 from atrium.sources import venue
-from atrium.sources.venue import DOORS_SQL, STANDS_SQL
+from atrium.sources.venue import DOORS_SQL, STANDS_SQL, VENUES_SQL
 
 from .registry import query
 
@@ -48,14 +48,15 @@ def names_inside_shapes(spark, sf_dir):
     return lab.names_inside(shapes(spark, sf_dir), labels, by=("y", "x"))
 
 
-@query(f"""with {STANDS_SQL}, {DOORS_SQL}, p as (select door as ord, 0 as venue, x as px, y as py from doors),
+@query(f"""with {STANDS_SQL}, {VENUES_SQL}, p as (select s_suppkey as ord, s_suppkey % nv as venue, 2.0::double as px, (4 + 10 * (s_suppkey // nv % 100) + 8 + (s_suppkey % 3) * 0.25)::double as py from supplier, nv),
 l as (select venue, k as label_id, name as txt, x0 - 1 as x, y1 + 1.5 as y from stands),
 m as (select ord, px, py, txt, sqrt((x - px) * (x - px) + (y - py) * (y - py)) as d, label_id from p join l on l.venue = p.venue),
 b as (select ord, txt, d, row_number() over (partition by ord order by d, label_id) as n from m where d < 8)
 select p.ord, txt as name, round(d, 6) as distance from p left join b on b.ord = p.ord and n = 1""")
 def poi_nearest_label(spark, sf_dir):
-    """The nearest label within 8 m of each door."""
-    points = venue.doors(spark, sf_dir).selectExpr("0L as venue", "door as ord", "x as px", "y as py")
+    """The nearest label within 8 m of each door, in all venues."""
+    n = venue.venues(spark, sf_dir)
+    points = venue.table(spark, sf_dir, "supplier").selectExpr(f"s_suppkey % {n}L as venue", "s_suppkey as ord", "2D as px", f"4 + 10 * (s_suppkey div {n}L % 100) + 8 + (s_suppkey % 3) * 0.25D as py")
     labels = venue.stands(spark, sf_dir).selectExpr("venue", "k as label_id", "name as txt", "x0 - 1 as x", "y1 + 1.5D as y")
     return lab.nearest_label(points, labels).select("ord", "name", F.round("distance", 6).alias("distance"))
 
