@@ -30,6 +30,65 @@ def axis_warp(value: str, knots: list[tuple[float, float]], tail: float = 1.0) -
     return out.otherwise((v - az) * tail + bz)
 
 
+def rising(knots: Column) -> Column:
+    """The knots (old, new) as they are, if they rise on both sides; else the job fails, since a warp would fold the axis."""
+    pairs = F.zip_with(F.slice(knots, F.lit(1), F.size(knots) - 1), F.slice(knots, F.lit(2), F.size(knots) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    falls = F.exists(pairs, lambda s: (s["q"]["old"] <= s["p"]["old"]) | (s["q"]["new"] <= s["p"]["new"]))
+    return F.when(F.size(knots) < 2, knots).when(~falls, knots).otherwise(F.raise_error(F.lit("the knots don't rise")).cast("array<struct<old:double,new:double>>"))
+
+
+def row_knots(streets: DataFrame, rows: int = params.HALL_ROWS, key: str = "venue") -> DataFrame:
+    """(key, ys): the knots that set a hall's street rows at an even pitch, a row and a band high, from the first on.
+
+    ``streets``: key, name, x0, y0, x1. Those of the hall, named and west of HALL_X, whose tops round to the same
+    ten make a row, as high as their mean. A hall that hasn't ``rows`` of them fails the job.
+    """
+    hall = streets.where(f"name is not null and x0 < {params.HALL_X}").groupBy(key, F.bround(F.col("y0") / 10).alias("_row")).agg(F.avg("y0").alias("y"))
+    per = hall.groupBy(key).agg(F.array_sort(F.collect_list("y")).alias("y"))
+    y = F.when(F.size("y") == rows, F.col("y")).otherwise(F.raise_error(F.concat(F.lit(f"expected {rows} rows of streets, found "), F.size("y"))).cast("array<double>"))
+    per = per.select(key, y.alias("y"))
+    knot = lambda old, new: F.struct(old.alias("old"), new.alias("new"))
+    at = lambda i: F.col("y")[0] + i * (params.ROW_HIGH + params.BAND_HIGH)
+    both = F.transform("y", lambda v, i: F.array(knot(v, at(i)), knot(v + params.ROW_HIGH, at(i) + params.ROW_HIGH)))
+    return per.select(key, rising(F.flatten(both)).alias("ys"))
+
+
+def aisle_knots(streets: DataFrame, key: str = "venue") -> DataFrame:
+    """(key, xs): the knots that make a hall's aisles AISLE_WIDE, each around the middle it has now.
+
+    Gaps of AISLE_GAP between neighbouring streets of a row, whose middles follow each other closer than
+    AISLE_APART, are one aisle: its sides and middle are their means.
+    """
+    hall = streets.where(f"name is not null and x0 < {params.HALL_X}").withColumn("_row", F.bround(F.col("y0") / 10))
+    gaps = hall.selectExpr(key, "x1 as west", f"lead(x0) over (partition by {key}, _row order by x0) as east").where(f"east - west > {params.AISLE_GAP[0]} and east - west < {params.AISLE_GAP[1]}").withColumn("mid", F.expr("(west + east) / 2"))
+    # Middles are counted first: what is ordered is a hall's distinct gaps.
+    gaps = gaps.groupBy(key, "mid", "west", "east").agg(F.count("*").alias("n"))
+    gaps = gaps.selectExpr("*", f"case when mid - lag(mid) over (partition by {key} order by mid, west, east) < {params.AISLE_APART} then 0 else 1 end as opens")
+    gaps = gaps.selectExpr("*", f"sum(opens) over (partition by {key} order by mid, west, east) as aisle")
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+    per = gaps.groupBy(key, "aisle").agg(mean("west"), mean("mid"), mean("east"))
+    knots = F.expr(f"array(struct(west as old, mid - {params.AISLE_WIDE / 2}D as new), struct(east as old, mid + {params.AISLE_WIDE / 2}D as new))")
+    return per.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(knots))).alias("xs")).select(key, rising(F.col("xs")).alias("xs"))
+
+
+def warped(value, knots) -> Column:
+    """Piecewise-linear map of a column through an array of knots (old, new); beyond them a shift. No knots, no change."""
+    v, k = geo.col(value), geo.col(knots)
+    legs = F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    leg = F.get(F.filter(legs, lambda s: v <= s["q"]["old"]), F.lit(0))
+    first, last = F.get(k, F.lit(0)), F.get(k, F.size(k) - 1)
+    inner = leg["p"]["new"] + (v - leg["p"]["old"]) / (leg["q"]["old"] - leg["p"]["old"]) * (leg["q"]["new"] - leg["p"]["new"])
+    return F.when(k.isNull() | (F.size(k) == 0), v).when(v <= first["old"], v + first["new"] - first["old"]).when(v >= last["old"], v + last["new"] - last["old"]).otherwise(inner)
+
+
+def straighten(shapes: DataFrame, streets: DataFrame, rows: int = params.HALL_ROWS, key: str = "venue") -> DataFrame:
+    """``shapes`` (key, x0, y0, x1, y1) on the regular grid of their hall's ``streets``: rows at an even pitch, aisles of one
+    width. A hall is one row of knots, which its shapes meet by a join."""
+    knots = row_knots(streets, rows, key).join(aisle_knots(streets, key), key, "left")
+    both = shapes.join(knots, key, "left")
+    return both.withColumns({c: F.round(warped(c, "xs" if c[0] == "x" else "ys"), 2) for c in ("x0", "y0", "x1", "y1")}).drop("xs", "ys")
+
+
 def row_pitch(rows: DataFrame, street: float, band: float, key: str = "venue") -> DataFrame:
     """``rows`` (key, row, y) with target: the first stays, each further one lies a street and a band below the last."""
     nth = F.expr(f"row_number() over (partition by {key} order by y, row) - 1")

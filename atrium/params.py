@@ -80,6 +80,7 @@ GRAPH_GAP, GRAPH_ALIGN, GRAPH_APART, GRAPH_OVERLAP, ANNEX_X, ROW_TOL = (8.0, 90.
 RESTAURANTS = r"(?i)PIZZA HUT|JOHNNY|SPOLETO|BOALI|BAUDUCCO|LOCKERS|INDIGO"
 ARTISTS = "Alameda dos Artistas"
 ANNEX_M, ANNEX_RIM, MINI_SIDE = 255.0, 4.0, 2.5
+HALL_ROWS, HALL_X, ROW_HIGH, BAND_HIGH, AISLE_WIDE, AISLE_GAP, AISLE_APART = 10, 1015.0, 17.0, 40.0, 20.0, (5.0, 60.0), 12.0
 BAND_M, STREET_M, CELL_M, AISLE_M, AISLE_MIN, AISLE_MAX = 10.0, 4.2, 7.4, 5.0, 0.5, 12.0
 
 # Particles that stay in lower case inside a title.

@@ -181,6 +181,30 @@ def legacy_weld(spark, sf_dir):
     return both.groupBy("row").agg(F.round(F.sum(F.expr("x1 - x0")), 6).alias("width"), F.round(F.sum(F.expr("y1 - y0")), 6).alias("height"), F.count("*").alias("n"))
 
 
+#: Halls of ten rows each; their streets lean, their aisles are of two widths, and some streets aren't of the hall.
+_HALL = """hall as (select "row" // 10 as venue, k, col, "row" % 10 as r, x0 * 3 as x0, (60 * ("row" % 10) + 20)::double as y0, x1 * 3 as x1, (60 * ("row" % 10) + 55)::double as y1 from stands),
+road as (select venue, r, 'RUA ' || r as name, min(x0) + r % 3 * 0.37 as x0, 60 * r + 1 + (col // 5) * 0.25 as y0, max(x1) - r % 2 as x1 from hall group by venue, r, col // 5
+  union all select venue, r, null, 100.0, 60 * r + 38.0, 110.0 from hall where col = 0 union all select venue, r, 'RUA Z', 1020.0, 60 * r + 38.0, 1030.0 from hall where col = 0)"""
+
+
+@query(f"""with {STANDS_SQL}, {_HALL}, rd as (select *, round_even(y0 / 10, 0) as band from road where name is not null and x0 < 1015), rw as (select venue, band, avg(y0) as y from rd group by venue, band),
+rn as (select *, row_number() over (partition by venue order by y) - 1 as i, min(y) over (partition by venue) as f from rw),
+yk as (select venue, y + u as old, f + i * 57 + u as new from rn, (values (0), (17)) t(u)), gp as (select venue, x1 as w, lead(x0) over (partition by venue, band order by x0) as e from rd),
+gm as (select venue, w, e, (w + e) / 2 as m from gp where e - w > 5 and e - w < 60), go as (select *, case when m - lag(m) over (partition by venue order by m, w, e) < 12 then 0 else 1 end as o from gm),
+gc as (select *, sum(o) over (partition by venue order by m, w, e rows unbounded preceding) as c from go), ga as (select venue, c, avg(w) as w, avg(m) as m, avg(e) as e from gc group by venue, c),
+xk as (select venue, w as old, m - 10 as new from ga union all select venue, e, m + 10 from ga),
+kn as (select 'x' as axis, venue, old, new from xk union all select 'y', venue, old, new from yk), sg as (select *, lead(old) over w as old2, lead(new) over w as new2, row_number() over w as nth from kn window w as (partition by axis, venue order by old)),
+va as (select venue, k, 'x0' as side, 'x' as axis, x0 as v from hall union all select venue, k, 'y0', 'y', y0 from hall union all select venue, k, 'x1', 'x', x1 from hall union all select venue, k, 'y1', 'y', y1 from hall),
+wv as (select va.venue, k, side, case when nth = 1 and v <= old then v + new - old when old2 is null then v + new - old else new + (v - old) / (old2 - old) * (new2 - new) end as v from va join sg on sg.venue = va.venue and sg.axis = va.axis and (v > old and (old2 is null or v <= old2) or nth = 1 and v <= old))
+select venue, k, round(max(case when side = 'x0' then v end), 2) as x0, round(max(case when side = 'y0' then v end), 2) as y0, round(max(case when side = 'x1' then v end), 2) as x1, round(max(case when side = 'y1' then v end), 2) as y1 from wv group by venue, k""")
+def legacy_straighten(spark, sf_dir):
+    """Shapes on the regular grid of their hall's ten rows of streets and its aisles."""
+    s = venue.stands(spark, sf_dir).selectExpr("row div 10 as venue", "k", "col", "row % 10 as r", "x0 * 3 as x0", "cast(60 * (row % 10) + 20 as double) as y0", "x1 * 3 as x1", "cast(60 * (row % 10) + 55 as double) as y1")
+    roads = s.groupBy("venue", "r", F.expr("col div 5 as b")).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).selectExpr("venue", "concat('RUA ', r) as name", "x0 + r % 3 * 0.37D as x0", "60 * r + 1 + b * 0.25D as y0", "x1 - r % 2 as x1")
+    other = s.where("col = 0").selectExpr("venue", "inline(array(struct(cast(null as string) as name, 100D as x0, 60 * r + 38D as y0, 110D as x1), struct('RUA Z' as name, 1020D as x0, 60 * r + 38D as y0, 1030D as x1)))")
+    return legacy.straighten(s.select("venue", "k", "x0", "y0", "x1", "y1"), roads.unionByName(other))
+
+
 @query()
 def legacy_layout_pipeline(spark, sf_dir):
     """Warp, snap to lines, weld, fit highlights to their band: the older layout in one pass."""

@@ -50,3 +50,20 @@ def test_columns_are_packed_by_one_ordered_fold(spark):
             want[o] = len(columns) - 1
     got = legacy.pack_columns(spark.createDataFrame(rows, "block long, ord long, x0 double, x1 double, side string")).collect()
     assert {r["ord"]: r["column"] for r in got} == want and max(want.values()) > 5
+
+
+def test_layouts_that_are_not_what_they_should_be_fail(spark):
+    import pytest
+
+    streets = [(0, "RUA A", 0.0, 60.0 * r, 50.0) for r in range(9)] + [(0, "RUA A", 70.0, 60.0 * r, 90.0) for r in range(9)]
+    frame = spark.createDataFrame(streets, "venue long, name string, x0 double, y0 double, x1 double")
+    shapes = spark.createDataFrame([(0, 50.0, 0.0, 70.0, 17.0), (0, -5.0, 480.0, 100.0, 500.0), (4, 1.0, 1.0, 2.0, 2.0)], "venue long, x0 double, y0 double, x1 double, y1 double")
+    got = {(r["venue"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in legacy.straighten(shapes, frame, rows=9).collect()}
+    assert got == {(0, 50.0, 0.0, 70.0, 17.0), (0, -5.0, 456.0, 100.0, 476.0), (4, 1.0, 1.0, 2.0, 2.0)}
+    with pytest.raises(Exception, match="expected 10 rows"):
+        legacy.straighten(shapes, frame).collect()
+    close = frame.union(spark.createDataFrame([(0, "RUA B", 0.0, 66.0, 50.0)], frame.schema))  # a row inside another's height folds the axis
+    with pytest.raises(Exception, match="don't rise"):
+        legacy.straighten(shapes, close, rows=10).collect()
+    with pytest.raises(ValueError):
+        legacy.axis_warp("x0", [(0.0, 0.0), (5.0, 5.0), (4.0, 6.0)])
