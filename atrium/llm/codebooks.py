@@ -78,9 +78,24 @@ def integer_vectors(frame: DataFrame, scale: int = SCALE, parts: int = PARTS, ve
 def first_entries(vectors: DataFrame, entries: int = ENTRIES, parts: int = PARTS) -> Codebooks:
     """The parts of the vectors of the ``entries`` smallest vec_ids, ascending: at most so many rows come to the driver.
 
-    Of rows that repeat a vec_id the smallest vector counts.
+    Of rows that repeat a vec_id the smallest vector counts. A task keeps its own smallest, so that nothing
+    else is shuffled.
     """
-    rows = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").limit(entries).collect()
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            most = max(held) if len(held) == entries else np.inf
+            low = np.unique(ids[ids <= most])[:entries]
+            for at in np.flatnonzero(ids <= low[-1]) if len(low) else ():
+                v = batch.column("v")[int(at)].as_py()
+                held[int(ids[at])] = min(v, held.get(int(ids[at]), v))
+            held = {i: held[i] for i in sorted(held)[:entries]}
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.int32()))], names=["vec_id", "v"])
+
+    low = vectors.where("vec_id is not null").select("vec_id", "v").mapInArrow(smallest, "vec_id long, v array<int>")
+    rows = low.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").limit(entries).collect()
     m = np.array([r["v"] for r in rows], dtype=np.int64)
     return Codebooks(m.reshape(len(rows), parts, -1).swapaxes(0, 1) if len(rows) else np.zeros((parts, 0, 0), dtype=np.int64))
 

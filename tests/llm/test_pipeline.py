@@ -30,4 +30,4 @@ def test_stages(spark):
 def test_registry():
     from atrium.llm import queries
 
-    assert set(queries.QUERIES) >= {"pipeline"} and sum(q.startswith("op") for q in queries.QUERIES) == 10
+    assert set(queries.QUERIES) >= {"pipeline"} and sum(q.startswith("op") for q in queries.QUERIES) == 13
