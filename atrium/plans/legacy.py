@@ -109,8 +109,13 @@ def legacy_issue_report(spark, sf_dir):
     return legacy.issues(c, directory).groupBy("severity", "rule", "msg").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with recursive {STANDS_SQL}, c as (select "row" as block, x0 + 3 * (k % 2) as x0, x1 + 3 * (k % 2) as x1, case when k % 2 = 0 then 'top' else 'bottom' end as side, row_number() over (partition by "row" order by x0 + 3 * (k % 2), k) as n from stands),
+f(block, n, col, x0, x1, sides) as (select block, n, 0, x0, x1, [side] from c where n = 1
+  union all select block, n, case when fits then col else col + 1 end, case when fits then px0 else x0 end, case when fits then px1 else x1 end, case when fits then list_append(sides, side) else [side] end
+  from (select c.*, f.col, f.x0 as px0, f.x1 as px1, f.sides, not list_contains(f.sides, c.side) and least(c.x1, f.x1) - greatest(c.x0, f.x0) > 0.5 * least(c.x1 - c.x0, f.x1 - f.x0) as fits from f join c on c.block = f.block and c.n = f.n + 1))
+select block, max(col) as last_column, count(*) as n from f group by block""")
 def legacy_column_pack(spark, sf_dir):
+    """Cells in columns: the last column of each block and how many cells it holds."""
     rows = venue.stands(spark, sf_dir).selectExpr("row as block", "k as ord", "x0 + 3 * (k % 2) as x0", "x1 + 3 * (k % 2) as x1", "case when k % 2 = 0 then 'top' else 'bottom' end as side")
     return legacy.pack_columns(rows).groupBy("block").agg(F.max("column").alias("last_column"), F.count("*").alias("n"))
 
@@ -167,8 +172,14 @@ def legacy_compose_codes(spark, sf_dir):
     return first.select("venue", "k", F.concat("t", "m.dt").alias("code"), part(1).alias("fused_a"), part(2).alias("fused_b"))
 
 
-@query()
+@query(f"""with recursive {STANDS_SQL}, w as (select venue, k as ord, x0 as x, y0 as y, row_number() over (partition by venue order by k) as n from stands where k % 3 = 0), c as (select venue, code, x0 as x, y0 as y from stands where k % 3 = 1),
+p as materialized (select w.venue, w.n, c.code, sqrt(power(c.x - w.x, 2) + power(c.y - w.y, 2)) as d from w join c on c.venue = w.venue and c.x between w.x - 10 and w.x + 10 and c.y between w.y - 10 and w.y + 10 where sqrt(power(c.x - w.x, 2) + power(c.y - w.y, 2)) <= 10),
+t(venue, n, used, code) as (select distinct venue, 0::bigint, []::varchar[], null::varchar from w
+  union all select venue, n + 1, case when code is null then used else list_append(used, code) end, code
+  from (select t.venue, t.n, any_value(t.used) as used, arg_min(p.code, (p.d, p.code)) filter (where not list_contains(t.used, p.code)) as code from t join w on w.venue = t.venue and w.n = t.n + 1 left join p on p.venue = t.venue and p.n = t.n + 1 group by t.venue, t.n))
+select w.venue, w.ord, t.code from t join w on w.venue = t.venue and w.n = t.n where t.code is not null""")
 def legacy_nearest_unused_code(spark, sf_dir):
+    """Each shape in order takes the nearest code that none before it took."""
     s = venue.stands(spark, sf_dir)
     return legacy.nearest_unused(s.where("k % 3 = 0").selectExpr("venue", "k as ord", "x0 as x", "y0 as y"), s.where("k % 3 = 1").selectExpr("venue", "code", "x0 as x", "y0 as y"))
 

@@ -73,7 +73,8 @@ def sql_hit_lookup(spark, sf_dir):
 
 @query()
 def sql_route_cost(spark, sf_dir):
-    """route_cost on the views: each origin's walks are one search of the table function."""
+    """route_cost on the views: an origin's walks are one search of the table function, or several if there are many."""
     return register(spark, sf_dir, "venue_grids", "venue_walks").sql("""
-        with asked as (select venue, ai, aj, collect_list(struct(id, bi, bj)) as ends from venue_walks group by venue, ai, aj)
+        with origins as (select venue, ai, aj, ceil(count(*) / 512) as slices from venue_walks group by venue, ai, aj),
+        asked as (select w.venue, w.ai, w.aj, collect_list(struct(w.id, w.bi, w.bj)) as ends from venue_walks w join origins o on o.venue = w.venue and o.ai = w.ai and o.aj = w.aj group by w.venue, w.ai, w.aj, pmod(xxhash64(w.id), o.slices))
         select r.id, round(r.cost, 6) as cost, round(r.metres, 3) as metres from asked a join venue_grids g on g.venue = a.venue, lateral routes_from(g.grid, a.ai, a.aj, a.ends) r""")
