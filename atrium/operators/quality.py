@@ -93,10 +93,11 @@ def outside_building(blocks: DataFrame, building: DataFrame, least: float = 0.5,
     """
     own = F.col("ring") if "ring" in blocks.columns else geo.rectangle(*BOX)
     rows = blocks.withColumn("_block", own).join(building.select(key, F.col("ring").alias("_building")), key, "left")
-    area = F.abs(geo.ring_area("_block"))
-    within = F.coalesce(F.abs(geo.ring_area(geo.clipped("_building", "_block"))), F.lit(0.0))
-    rows = rows.withColumns({"_area": area, "_within": within}).withColumn("outside_m2", F.round(F.col("_area") - F.col("_within"), 9)).where(F.col("outside_m2") > least)
-    return rows.withColumn("share", F.round(100 * F.col("outside_m2") / F.col("_area"), 1)).drop("_block", "_building", "_area", "_within")
+    # Cut by a generator, so that no filter or sum over the cut ring has it cut again.
+    rows = rows.select("*", F.explode(F.array(geo.clipped("_building", "_block"))).alias("_inside"))
+    rows = rows.withColumns({"_area": F.abs(geo.ring_area("_block")), "_within": F.coalesce(F.abs(geo.ring_area("_inside")), F.lit(0.0))})
+    rows = rows.withColumn("outside_m2", F.round(F.col("_area") - F.col("_within"), 9)).where(F.col("outside_m2") > least)
+    return rows.withColumn("share", F.round(100 * F.col("outside_m2") / F.col("_area"), 1)).drop("_block", "_building", "_inside", "_area", "_within")
 
 
 def scale_sweep(sides: DataFrame, low: float, high: float, step: float, by: tuple = (), times: str = "1") -> DataFrame:
