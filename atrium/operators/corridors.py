@@ -7,6 +7,7 @@ a track, and tracks get widths, extents and names.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,42 +15,58 @@ from pyspark.sql import functions as F
 from atrium import params
 
 
-def dilate(cells: DataFrame, radius: int, flag: str, key: str = "venue") -> DataFrame:
-    """``cells`` with ``flag`` true within ``radius`` (Chebyshev) of a true cell: a sliding maximum along each axis."""
-    one = f"max({flag}) over (partition by {key}, {{}} order by {{}} rows between {radius} preceding and {radius} following)"
-    rows = cells.withColumn(flag, F.expr(one.format("j", "i")))
-    return rows.withColumn(flag, F.expr(one.format("i", "j")))
+def dilate(flag: np.ndarray, radius: int) -> np.ndarray:
+    """True within ``radius`` (Chebyshev) of a true cell: along each axis a window holds one if its running sums differ."""
+    for axis in (1, 0):
+        n = flag.shape[axis]
+        at = np.arange(n)
+        sums = np.insert(np.cumsum(flag, axis=axis), 0, 0, axis=axis)
+        flag = np.take(sums, np.minimum(at + radius + 1, n), axis=axis) > np.take(sums, np.maximum(at - radius, 0), axis=axis)
+    return flag
 
 
-def erode(cells: DataFrame, radius: int, flag: str, key: str = "venue") -> DataFrame:
-    """The opposite of dilate on the complement; what lies outside the table doesn't count."""
-    inverted = cells.withColumn(flag, ~F.col(flag))
-    return dilate(inverted, radius, flag, key).withColumn(flag, ~F.col(flag))
+def erode(flag: np.ndarray, radius: int) -> np.ndarray:
+    """The opposite of dilate on the complement; what lies outside the array doesn't count."""
+    return ~dilate(~flag, radius)
+
+
+def by_venue(cells: DataFrame, flag: str, of, key: str) -> DataFrame:
+    """``cells`` (key, i, j, taken) with ``flag``: ``of`` maps taken[j, i] of a venue, a bounded array, to it. Cells are dealt by venue once."""
+
+    def measure(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].to_numpy() - rows["i"].min(), rows["j"].to_numpy() - rows["j"].min()
+        taken = np.zeros((j.max() + 1, i.max() + 1), dtype=bool)
+        taken[j, i] = rows["taken"].to_numpy(dtype=bool)
+        return rows.assign(**{flag: of(taken)[j, i]})
+
+    return cells.groupBy(key).applyInPandas(measure, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + f", {flag} boolean")
+
+
+def between(flags: np.ndarray) -> np.ndarray:
+    """True from the first true flag to the last."""
+    return np.logical_or.accumulate(flags) & np.logical_or.accumulate(flags[::-1])[::-1]
 
 
 def walkable(cells: DataFrame, closing: int, opening: int, key: str = "venue") -> DataFrame:
-    """``cells`` (taken) with corridor: the closing of what is taken, less it, opened by ``opening``.
+    """``cells`` (taken) with corridor: the closing of what is taken, less it, opened by ``opening``."""
 
-    The cells are dealt by venue once: every sliding window then finds its rows in place.
-    """
-    rows = cells.repartition(key).withColumn("hull", F.col("taken"))
-    rows = erode(dilate(rows, closing, "hull", key), closing, "hull", key)
-    rows = rows.withColumn("corridor", F.col("hull") & ~F.col("taken"))
-    return dilate(erode(rows, opening, "corridor", key), opening, "corridor", key).withColumn("corridor", F.expr("corridor and hull and not taken")).drop("hull")
+    def corridor(taken: np.ndarray) -> np.ndarray:
+        hull = erode(dilate(taken, closing), closing)
+        return dilate(erode(hull & ~taken, opening), opening) & hull & ~taken
+
+    return by_venue(cells, "corridor", corridor, key)
 
 
 def walkable_with_apron(cells: DataFrame, closing: int = params.CLOSING_M, apron: int = params.APRON_M, opening: int = params.WIDTH_MIN // 2, key: str = "venue") -> DataFrame:
     """``cells`` (taken) with walkable: the closing of what is taken and an apron around it, inside the
     box of what is taken, less it, opened by ``opening``."""
-    rows = cells.repartition(key).withColumn("hull", F.col("taken"))
-    rows = erode(dilate(rows, closing, "hull", key), closing, "hull", key)
-    rows = dilate(rows.withColumn("apron", F.col("taken")), apron, "apron", key)
-    for axis in ("i", "j"):
-        for end, f in (("first", "min"), ("last", "max")):
-            rows = rows.withColumn(f"_{end}_{axis}", F.expr(f"{f}(case when taken then {axis} end) over (partition by {key})"))
-    inside = F.expr("i between _first_i and _last_i and j between _first_j and _last_j")
-    rows = rows.withColumn("walkable", (F.col("hull") | F.col("apron") & F.coalesce(inside, F.lit(False))) & ~F.col("taken"))
-    return dilate(erode(rows, opening, "walkable", key), opening, "walkable", key).withColumn("walkable", F.expr("walkable and not taken")).select(*cells.columns, "walkable")
+
+    def walk(taken: np.ndarray) -> np.ndarray:
+        inside = np.outer(between(taken.any(axis=1)), between(taken.any(axis=0)))
+        open_ = (erode(dilate(taken, closing), closing) | dilate(taken, apron) & inside) & ~taken
+        return dilate(erode(open_, opening), opening) & ~taken
+
+    return by_venue(cells, "walkable", walk, key)
 
 
 def scan_runs(cells: DataFrame, along: str, across: str, flag: str = "corridor", key: str = "venue") -> DataFrame:
@@ -101,7 +118,7 @@ def clip_ways(found: DataFrame, runs: DataFrame, axis: str = "axis", key: str =
     line of the other. The last cell of a piece counts.
     """
     other = runs.select(key, F.when(F.col(axis) == "x", "y").otherwise("x").alias(axis), F.col("a").alias("line"), "lo", "hi")
-    rows = found.drop("extent").withColumn("line", F.floor("centre").cast("int")).join(other, [key, axis, "line"]).where("hi >= `from` and lo <= `to`")
+    rows = found.drop("extent").withColumn("line", F.floor("centre").cast("int")).join(other.hint("merge"), [key, axis, "line"]).where("hi >= `from` and lo <= `to`")
     pieces = rows.withColumns({"lo": F.greatest("lo", "from"), "hi": F.least("hi", "to")}).where("hi - lo + 1 >= width")
     per = pieces.groupBy(key, axis, "track").agg(F.sum(F.expr("hi - lo + 1")).alias("extent"), F.array_sort(F.collect_list(F.struct(F.col("lo").alias("from"), F.col("hi").alias("to")))).alias("lines"))
     return found.drop("extent").join(per.where(F.col("extent") >= params.LENGTH_MIN), [key, axis, "track"])
@@ -121,12 +138,12 @@ def seed_ways(arrows: DataFrame, found: DataFrame, runs: DataFrame, axis: str =
     """
     a = arrows.join(found.select(key, "name").distinct(), [key, "name"], "left_anti")
     at = a.select(key, axis, "ord", "along", "across", F.explode(F.array(*[F.lit(float(d)) for d in params.SEED_OFFSETS])).alias("d"))
-    at = at.withColumn("a", F.floor(F.col("along") + F.col("d")).cast("int")).join(runs.select(key, axis, "a", "lo", "hi", F.col("width").alias("w")), [key, axis, "a"])
+    at = at.withColumn("a", F.floor(F.col("along") + F.col("d")).cast("int")).join(runs.select(key, axis, "a", "lo", "hi", F.col("width").alias("w")).hint("merge"), [key, axis, "a"])
     beside = at.where(f"across >= lo and across < hi + 1 and w between {params.WIDTH_MIN} and {params.WIDTH_OPEN}")
     widths = beside.groupBy(key, axis, "ord").agg(F.expr("array_sort(collect_list(w))[cast(count(*) div 2 as int)]").alias("w"))  # as many as there are offsets, at most
     lines = runs.select(key, F.when(F.col(axis) == "x", "y").otherwise("x").alias(axis), F.col("a").alias("line"), F.col("lo").alias("from"), F.col("hi").alias("to"))
     near = f"along > `from` - {params.PIECE_NEAR} and along < `to` + 1 + {params.PIECE_NEAR}"
-    met = a.withColumn("line", F.floor("across").cast("int")).join(lines, [key, axis, "line"]).where(near)
+    met = a.withColumn("line", F.floor("across").cast("int")).join(lines.hint("merge"), [key, axis, "line"]).where(near)
     own = met.groupBy(key, axis, "ord").agg(F.min(F.struct("from", "to")).alias("m")).select(key, axis, "ord", "m.from", "m.to")
     under = a.join(own, [key, axis, "ord"]).where(f"`to` - `from` + 1 >= {params.LENGTH_MIN}")
     grown = under.join(widths, [key, axis, "ord"])
@@ -144,7 +161,7 @@ def in_bands(cells: DataFrame, found: DataFrame, margins: tuple, axis: str = "ax
     bands = found.select(key, axis, "centre", "width", F.explode("lines").alias("l"), F.explode(F.array(*[F.lit(float(m)) for m in margins])).alias("margin"))
     reach = "width / 2 + margin"
     bands = bands.select(key, axis, "margin", F.col("l.from").alias("lo"), F.col("l.to").alias("hi"), F.explode(F.expr(f"sequence(cast(ceil(centre - ({reach}) - 0.5) as int), cast(floor(centre + {reach} - 0.5) as int))")).alias("line"))
-    of = lambda name, line, along: cells.select(key, "i", "j", F.col(line).alias("line"), F.col(along).alias("along")).join(bands.where(F.col(axis) == name), [key, "line"]).where("along between lo and hi")
+    of = lambda name, line, along: cells.select(key, "i", "j", F.col(line).alias("line"), F.col(along).alias("along")).join(bands.where(F.col(axis) == name).hint("merge"), [key, "line"]).where("along between lo and hi")
     return of("y", "j", "i").union(of("x", "i", "j")).select(key, "i", "j", "margin").distinct()
 
 

@@ -123,3 +123,42 @@ def test_a_tail_joins_one_head(spark):
     rows = [(0, 1, "A", 15.5, 10.0, 4.0), (0, 2, "B", 16.5, 10.0, 4.0), (0, 3, "07", 16.0, 12.0, 4.0)]
     out = repair_codes(spark.createDataFrame(rows, "venue long, label_id long, txt string, x double, y double, size double"))
     assert sorted((r["label_id"], r["txt"], r["joined"]) for r in out.collect()) == [(1, "A07", True), (2, "B", False)]
+
+
+@pytest.mark.parametrize("name", "raster_free_cells access_cells cell_set_ops edge_list grid_bitunpack clearance_at line_of_sight circulation_cells corridor_runs nearest_door".split())
+def test_no_table_of_cells_is_broadcast(spark, name):
+    """The optimiser takes listed cells for as few as the blocks they were listed from."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    broadcasts = [part for part in plan.split("BroadcastExchange")[1:] if "[i#" in part or "free#" in part or "mx#" in part]
+    assert not broadcasts
+
+
+def test_edges_keep_to_listed_cells(spark):
+    from atrium.operators.grid import edges
+
+    rows = [(0, i, j, (i, j) != (1, 1)) for i in range(4) for j in range(3) if (i, j) != (3, 0)]
+    free = {(i, j) for _, i, j, f in rows if f}
+    want = {(i, j, i + a, j + b) for i, j in free for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (i + a, j + b) in free and (not (a and b) or (i + a, j) in free and (i, j + b) in free)}
+    got = [(r["i"], r["j"], r["ti"], r["tj"]) for r in edges(spark.createDataFrame(rows, "venue long, i int, j int, free boolean")).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_lines_of_sight_sample_by_sample(spark):
+    import math
+    import random
+
+    from atrium.operators.routing import visible
+
+    rng = random.Random(3)
+    free = {(i, j): rng.random() > 0.15 for i in range(20) for j in range(13)}
+    cells = spark.createDataFrame([(0, i, j, f) for (i, j), f in free.items()], "venue long, i int, j int, free boolean")
+    lines = [(0, n, *(rng.randrange(-1, 21) if n % 9 == 0 else rng.randrange(13) for _ in range(4))) for n in range(300)]
+
+    def walk(ai, aj, bi, bj):
+        n = max(abs(bi - ai), abs(bj - aj))
+        at = [(math.floor(ai + (bi - ai) * (s / max(n, 1)) + 0.5), math.floor(aj + (bj - aj) * (s / max(n, 1)) + 0.5)) for s in range(n + 1)]
+        return all(free.get(c, False) for c in at), n + 1
+
+    rows = spark.createDataFrame([*lines, (0, 300, None, 1, 2, 3)], "venue long, id long, ai int, aj int, bi int, bj int")
+    got = {r["id"]: (r["visible"], r["samples"]) for r in visible(rows, cells, 20, 13).collect()}
+    assert got == {line[1]: walk(*line[2:]) for line in lines}
