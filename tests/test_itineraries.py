@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from atrium.operators.itinerary import COMMANDS, FRESH, after_gap, edit, replay
 
@@ -92,3 +93,33 @@ def test_the_stream_equals_the_replay(spark, tmp_path, order):
         spark.conf.unset(STATE_STORE[0])
     batch = {r["user_id"]: (r["edits"], r["stops"], r["choice"]) for r in replay(spark.createDataFrame(rows, COMMANDS)).collect()}
     assert {u: x for u, x in live.items() if u != 99} == batch
+
+
+def test_two_opt_scans_as_one_itinerary_would(spark):
+    """Against a plain pass, with several thousand itineraries in arrays at once; one group an itinerary took a second a thousand."""
+    from atrium.operators.itinerary import gathered, optimise, two_opt
+
+    rng = random.Random(8)
+    lists = {k: [(rng.randrange(140), rng.randrange(97)) for _ in range(rng.randrange(2, 9))] for k in range(3000)}
+    stops = spark.createDataFrame([(k, n + 1, float(x), float(y)) for k, places in lists.items() for n, (x, y) in enumerate(places)], "itin long, pos int, x double, y double")
+
+    def plain(places):
+        cost = lambda o: sum(((places[p][0] - places[q][0]) ** 2 + (places[p][1] - places[q][1]) ** 2) ** 0.5 for p, q in zip(o, o[1:]))
+        base, better = list(range(len(places))), True
+        while better:
+            better = False
+            for i in range(1, len(base) - 2):
+                for j in range(i + 1, len(base) - 1):
+                    other = [*base[:i], *base[i : j + 1][::-1], *base[j + 1 :]]
+                    if cost(other) < cost(base) - 1e-9:
+                        base, better = other, True
+        return [n + 1 for n in base], cost(base), cost(range(len(places)))
+
+    found = two_opt(stops)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString() and gathered(stops).count() == len(lists)
+    got = {r["itin"]: r for r in found.collect()}
+    for k, places in lists.items():
+        route, metres, before = plain(places)
+        assert got[k]["route"] == route and abs(got[k]["metres"] - metres) < 1e-6 and abs(got[k]["before"] - before) < 1e-6
+    blank = stops.withColumn("x", F.when(F.expr("itin % 7 <> 0 or pos <> 2"), F.col("x")))
+    assert {r["itin"] for r in optimise(blank).select("itin").collect()} == {k for k, p in lists.items() if len(p) >= 4 and k % 7}
