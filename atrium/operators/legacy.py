@@ -372,14 +372,13 @@ def nearest_unused(wanted: DataFrame, free: DataFrame, radius: float = 10.0, key
 
 def weld(boxes: DataFrame, gap: float = 5.0, overlap: float = 0.5, by: str = "row", axis: str = "x") -> DataFrame:
     """``boxes`` (ord, x0, y0, x1, y1) with near ones of a group sharing the middle of their gap along an axis, if they
-    overlap by half across it; later pairs see earlier edits, so a kernel per row or column."""
+    overlap by half across it; later pairs see earlier edits, so a kernel per row or column,
+    many of which a task takes one after the other."""
     a0, a1, c0, c1 = ("x0", "x1", "y0", "y1") if axis == "x" else ("y0", "y1", "x0", "x1")
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord").reset_index(drop=True)
-        lo, hi, across = rows[a0].to_numpy(dtype=float).copy(), rows[a1].to_numpy(dtype=float).copy(), rows[[c0, c1]].to_numpy(dtype=float)
+    def settle(lo: np.ndarray, hi: np.ndarray, across: np.ndarray) -> None:
         size = across[:, 1] - across[:, 0]
-        for k in range(len(rows)):
+        for k in range(len(lo)):
             shared = np.minimum(across[k, 1], across[:, 1]) - np.maximum(across[k, 0], across[:, 0])
             beside = np.flatnonzero(shared >= overlap * np.minimum(size[k], size))
             at = 0
@@ -392,27 +391,51 @@ def weld(boxes: DataFrame, gap: float = 5.0, overlap: float = 0.5, by: str = "ro
                 n = beside[at]
                 hi[k] = lo[n] = round(float(hi[k] + lo[n]) / 2, 2)
                 at += 1
+
+    def join(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        lo, hi, across = rows[a0].to_numpy(dtype=float).copy(), rows[a1].to_numpy(dtype=float).copy(), rows[[c0, c1]].to_numpy(dtype=float)
+        for first, last in zip(starts, [*starts[1:], len(rows)]):
+            settle(lo[first:last], hi[first:last], across[first:last])  # views: the groups' own edges
         return rows.assign(**{a0: lo, a1: hi})
 
-    return boxes.groupBy(by).applyInPandas(join, boxes.schema)
+    def stream(batches):
+        rest = None
+        for frame in batches:
+            rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            group, before = rows[by], rows[by].shift()
+            starts = np.flatnonzero(((group != before) & ~(group.isna() & before.isna())).to_numpy() | (np.arange(len(rows)) == 0))
+            if not len(starts):
+                continue
+            end = starts[-1]  # the last group may go on in the next batch
+            if end:
+                yield join(rows.iloc[:end], starts[:-1])
+            rest = rows.iloc[end:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield join(rest, np.array([0]))
+
+    return boxes.repartition(by).sortWithinPartitions(by, F.col("ord").asc_nulls_last()).mapInPandas(stream, boxes.schema)
 
 
 def pack_columns(cells: DataFrame, by: str = "block") -> DataFrame:
     """``cells`` (block, ord, x0, x1, side) with column: a cell joins the last column if it overlaps it by more than half
-    and stands on the other side; an ordered fold per block."""
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["x0", "ord"])
-        out, column, last = [], -1, None
-        for x0, x1, side in rows[["x0", "x1", "side"]].itertuples(index=False):
-            if last and side not in last[2] and min(x1, last[1]) - max(x0, last[0]) > 0.5 * min(x1 - x0, last[1] - last[0]):
-                last[2].add(side)
-            else:
-                column, last = column + 1, [x0, x1, {side}]
-            out.append(column)
-        return rows.assign(column=out)
-
-    return cells.groupBy(by).applyInPandas(pack, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in cells.schema)}, column int")
+    and stands on the other side; an ordered fold per block, many of which a task takes one after the other."""
+
+    def pack(batches):
+        block, column, last = None, -1, None
+        for frame in batches:
+            out = []
+            for own, x0, x1, side in zip(frame[by].tolist(), frame["x0"].tolist(), frame["x1"].tolist(), frame["side"].tolist()):
+                if own != block:
+                    block, column, last = own, -1, None
+                if last and side not in last[2] and min(x1, last[1]) - max(x0, last[0]) > 0.5 * min(x1 - x0, last[1] - last[0]):
+                    last[2].add(side)
+                else:
+                    column, last = column + 1, [x0, x1, {side}]
+                out.append(column)
+            yield frame.assign(column=out)
+
+    ordered = cells.repartition(by).sortWithinPartitions(by, F.col("x0").asc_nulls_last(), "ord")
+    return ordered.mapInPandas(pack, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in cells.schema)}, column int")
 
 
 def clustered_rows(bands: DataFrame, tol: float = params.ROW_TOL, key: str = "venue") -> DataFrame:

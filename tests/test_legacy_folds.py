@@ -67,3 +67,23 @@ def test_layouts_that_are_not_what_they_should_be_fail(spark):
         legacy.straighten(shapes, close, rows=10).collect()
     with pytest.raises(ValueError):
         legacy.axis_warp("x0", [(0.0, 0.0), (5.0, 5.0), (4.0, 6.0)])
+
+
+def test_welds_and_columns_go_on_over_batches(spark):
+    """Groups are streamed, not a pandas call each, and one that a batch cuts is still one."""
+    from atrium.operators.legacy import pack_columns, weld
+
+    boxes = spark.range(3000).selectExpr("id div 7 as row", "id as ord", "cast(id % 7 * 10 as double) as x0", "0D as y0", "id % 7 * 10 + 8D - id % 3 as x1", "5D as y1")
+    cells = boxes.selectExpr("row as block", "ord", "x0", "x0 + 11D + ord % 4 as x1", "y0", "y1", "case when ord % 3 = 0 then 'sul' else 'norte' end as side")
+    got = []
+    for size in ("10", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            welded, packed = weld(boxes), pack_columns(cells)
+            assert not [p for p in (welded, packed) if "FlatMapGroupsInPandas" in p._jdf.queryExecution().executedPlan().toString()]
+            got.append((sorted(tuple(r) for r in welded.collect()), sorted(tuple(r) for r in packed.collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] and len(got[0][0]) == len(got[0][1]) == 3000
+    ends = {(r[0], r[1]): (r[2], r[4]) for r in got[0][0]}  # neighbours share the middle of their gap
+    assert all(ends[r, n][1] == ends[r, n + 1][0] for r, n in ends if (r, n + 1) in ends)
