@@ -55,3 +55,10 @@ def test_upper_median_and_the_other_views(sql):
     assert [r[0] for r in sql("select upper_median(v) from values (array(3D, 1D, 2D, 9D)), (array(5D)), (cast(array() as array<double>)) t(v)").collect()] == [3.0, 5.0, None]
     counts = {v: sql(f"select count(*) from {v}").first()[0] for v in ("venue_features", "venue_index", "venue_corridor_ways", "venue_taps")}
     assert all(n > 0 for n in counts.values()) and not math.isnan(sql("select avg(centre.x) from venue_index").first()[0])
+
+
+def test_stands_are_dealt(spark):
+    """A small file is one task, but the geometry of its parts is long work."""
+    from atrium.sources import venue
+
+    assert venue.stands(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
