@@ -89,19 +89,20 @@ def fix_prisms(shapes: DataFrame, key: str = "venue") -> DataFrame:
     equi-joins on the rounded corner, so a shape meets its few neighbours only.
     """
     low, high, even, tol = 0.5, 2.5, 0.4, 0.25
-    cell = lambda x, y: F.struct(F.floor(F.col(x)).alias("i"), F.floor(F.col(y)).alias("j"))
-    near = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), c -> struct(cast(floor({x}) + a as long) as i, cast(floor({y}) + c as long) as j))))".format(x="x0", y="y1")))
     own = shapes.select(key, "ord", "x0", "y0", "x1", "y1")
-    f = own.select(F.col(key), F.col("ord").alias("face"), F.col("x0").alias("fx0"), F.col("y0").alias("fy0"), F.col("x1").alias("fx1"), F.col("y1").alias("fy1"))
-    bottoms = own.withColumn("cell", near).join(f.withColumn("cell", cell("fx0", "fy0")), [key, "cell"]).where(
-        f"face <> ord and abs(fx0 - x0) <= {tol} and abs(fy0 - y1) <= {tol} and fy1 - fy0 > {low} and fy1 - fy0 < {high} and fx1 - x1 > {low} and fx1 - x1 < {high} and abs((fx1 - x1) - (fy1 - fy0)) <= {even}"
+    # Faces are thin, so few: they are listed at the cells around their corner, shapes at their own only.
+    f = own.selectExpr(key, "ord as face", "x0 as fx0", "y0 as fy0", "x1 as fx1", "y1 as fy1", "explode(sequence(-1, 1)) as a").selectExpr("*", "explode(sequence(-1, 1)) as c")
+    f = f.selectExpr(key, "face", "fx0", "fy0", "fx1", "fy1", "floor(fx0) + a as i", "floor(fy0) + c as j")
+    meeting = lambda x, y, thin: own.withColumns({"i": F.floor(x), "j": F.floor(y)}).join(f.where(thin).hint("merge"), [key, "i", "j"])
+    bottoms = meeting("x0", "y1", f"fy1 - fy0 > {low} and fy1 - fy0 < {high}").where(
+        f"face <> ord and abs(fx0 - x0) <= {tol} and abs(fy0 - y1) <= {tol} and fx1 - x1 > {low} and fx1 - x1 < {high} and abs((fx1 - x1) - (fy1 - fy0)) <= {even}"
     ).select(key, "ord", F.col("face").alias("bottom"), (F.col("fx1") - F.col("x1")).alias("dx"), (F.col("fy1") - F.col("fy0")).alias("dy"))
-    rights = own.withColumn("cell", F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), c -> struct(cast(floor(x1) + a as long) as i, cast(floor(y0) + c as long) as j))))"))).join(f.withColumn("cell", cell("fx0", "fy0")), [key, "cell"]).where(
-        f"face <> ord and abs(fx0 - x1) <= {tol} and abs(fy0 - y0) <= {tol} and fx1 - fx0 > {low} and fx1 - fx0 < {high}"
+    rights = meeting("x1", "y0", f"fx1 - fx0 > {low} and fx1 - fx0 < {high}").where(
+        f"face <> ord and abs(fx0 - x1) <= {tol} and abs(fy0 - y0) <= {tol}"
     ).select(key, "ord", F.col("face").alias("side"), (F.col("fx1") - F.col("fx0")).alias("wide"))
-    pairs = bottoms.join(rights, [key, "ord"]).where(f"abs(wide - dx) <= {tol} and bottom <> side")
+    pairs = bottoms.join(rights.hint("merge"), [key, "ord"]).where(f"abs(wide - dx) <= {tol} and bottom <> side")
     first = pairs.groupBy(key, "ord").agg(F.min(F.struct("bottom", "side", "dx", "dy")).alias("m")).select(key, "ord", "m.*")
     faces = first.select(key, F.col("bottom").alias("ord")).union(first.select(key, F.col("side").alias("ord"))).distinct()
-    moved = shapes.join(faces, [key, "ord"], "left_anti").join(first.select(key, "ord", "dx", "dy"), [key, "ord"], "left")
+    moved = shapes.join(faces.hint("merge"), [key, "ord"], "left_anti").join(first.select(key, "ord", "dx", "dy").hint("merge"), [key, "ord"], "left")
     d, e = F.coalesce("dx", F.lit(0.0)), F.coalesce("dy", F.lit(0.0))
     return moved.withColumns({"x0": F.col("x0") + d, "x1": F.col("x1") + d, "y0": F.col("y0") + e, "y1": F.col("y1") + e, "moved": F.col("dx").isNotNull()}).drop("dx", "dy")

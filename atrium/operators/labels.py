@@ -38,7 +38,7 @@ def cell_of(x: str, y: str) -> Column:
 def inside(shapes: DataFrame, labels: DataFrame, key: str = "venue") -> DataFrame:
     """Pairs of shapes (key, ord, ring, x0..y1) and labels (key, label_id, txt, x, y, size) inside them."""
     s = shapes.select(key, "ord", "ring", "x0", "y0", "x1", "y1", F.explode(cells_of_box("x0", "y0", "x1", "y1")).alias("cell"))
-    near = labels.withColumn("cell", cell_of("x", "y")).join(s, [key, "cell"])
+    near = labels.withColumn("cell", cell_of("x", "y")).join(s.hint("merge"), [key, "cell"])
     return near.where("x >= x0 and x <= x1 and y >= y0 and y <= y1").where(geo.in_ring("x", "y", "ring")).drop("cell", "ring", "x0", "y0", "x1", "y1")
 
 

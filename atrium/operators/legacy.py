@@ -177,10 +177,10 @@ def synthetic_lanes(missing: DataFrame, lanes: DataFrame, key: str = "venue") ->
     the nearest lane above or below. ``lanes``: key, lane, name, x0..y1. Without either there is none."""
     l = lanes.selectExpr(key, "lane", "name as lname", "x0", "y0", "x1", "y1", "(y0 + y1) / 2 as ly")  # noqa: E741
     near = F.struct(F.abs(F.col("ly") - F.col("cy")), F.col("lane"))
-    sib = missing.join(l, [key]).where("name = lname").groupBy(key, "ord").agg(F.min_by(F.struct("y0", "y1"), near).alias("s"))
+    sib = missing.join(l.withColumnRenamed("lname", "name").hint("merge"), [key, "name"]).groupBy(key, "ord").agg(F.min_by(F.struct("y0", "y1"), near).alias("s"))
     cells = lambda df, a, b: df.withColumn("cell", F.explode(F.expr(f"sequence(cast(floor({a} / 16) as int), cast(floor({b} / 16) as int))")))
-    col = cells(missing, "cx", "cx").join(cells(l, "x0", "x1"), [key, "cell"]).where("cx between x0 and x1").groupBy(key, "ord").agg(F.min_by(F.struct("x0", "x1"), near).alias("c"))
-    return missing.join(sib, [key, "ord"]).join(col, [key, "ord"]).select(key, "ord", "name", "c.x0", "s.y0", "c.x1", "s.y1")
+    col = cells(missing, "cx", "cx").join(cells(l, "x0", "x1").hint("merge"), [key, "cell"]).where("cx between x0 and x1").groupBy(key, "ord").agg(F.min_by(F.struct("x0", "x1"), near).alias("c"))
+    return missing.join(sib.hint("merge"), [key, "ord"]).join(col.hint("merge"), [key, "ord"]).select(key, "ord", "name", "c.x0", "s.y0", "c.x1", "s.y1")
 
 
 def fit_highlights(cells: DataFrame, bands: DataFrame, gap: float = 5.0, key: str = "venue") -> DataFrame:

@@ -62,3 +62,13 @@ def test_stands_are_dealt(spark):
     from atrium.sources import venue
 
     assert venue.stands(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_projected_queries_list_nothing_they_broadcast(spark):
+    """Rows listed at cells are more than the optimiser takes them for; an area is worked out once, whatever asks for it."""
+    from atrium.plans.catalogue import QUERIES
+
+    for name in ("prism_fix", "legacy_lane_synthesis", "names_inside_shapes"):
+        assert "BroadcastExchange" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
+    plan = QUERIES["drawing_bbox"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 2
