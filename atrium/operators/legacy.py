@@ -192,8 +192,8 @@ def fit_highlights(cells: DataFrame, bands: DataFrame, gap: float = 5.0, key: st
     """
     middle = cells.withColumn("cy", F.expr("(y0 + y1) / 2"))
     listed = bands.withColumn("m", F.explode(F.expr("sequence(cast(floor(top - 3) as int), cast(ceil(bottom + 3) as int))")))
-    hit = middle.withColumn("m", F.floor("cy").cast("int")).join(listed, [key, "m"]).where("cy between top - 3 and bottom + 3")
-    placed = middle.join(hit.groupBy(key, "ord").agg(F.min("band").alias("band")), [key, "ord"]).join(bands, [key, "band"])
+    hit = middle.withColumn("m", F.floor("cy").cast("int")).join(listed.hint("merge"), [key, "m"]).where("cy between top - 3 and bottom + 3")
+    placed = middle.join(hit.groupBy(key, "ord").agg(F.min("band").alias("band")).hint("merge"), [key, "ord"]).join(bands, [key, "band"])
     edge = lambda c: placed.where("cat = 'expositor'").groupBy(key, "band", F.round(c, 1).alias("v")).agg(F.count("*").alias("n"), F.min("ord").alias("f")).groupBy(key, "band").agg(F.min(F.struct((-F.col("n")).alias("n"), "f", "v")).alias("m")).select(key, "band", F.col("m.v").alias(f"mode_{c}"))
     high = placed.where("cat in ('patrocinador', 'entidade')").join(edge("y0"), [key, "band"], "left").join(edge("y1"), [key, "band"], "left")
     high = high.withColumns({"top": F.coalesce("mode_y0", "top"), "bottom": F.coalesce("mode_y1", "bottom")}).withColumn("half", F.expr("(top + bottom) / 2"))
@@ -202,10 +202,10 @@ def fit_highlights(cells: DataFrame, bands: DataFrame, gap: float = 5.0, key: st
     high = high.join(stacked, [key, "ord"], "left")
     high = high.withColumns({"y0": F.expr("case when stacked and cy >= half then half else top end"), "y1": F.expr("case when stacked and cy < half then half else bottom end")})
     beside = middle.selectExpr(key, "ord as o", "x0 as ox0", "x1 as ox1", "y0 as oy0", "y1 as oy1").withColumn("cell", F.explode(cells_of_box("ox0", "oy0", "ox1", "oy1")))
-    near = high.select(key, "ord", "x0", "y0", "x1", "y1", F.explode(cells_of_box("x0", "y0", "x1", "y1", gap)).alias("cell")).join(beside, [key, "cell"]).where("o <> ord and least(y1, oy1) - greatest(y0, oy0) >= 0.5 * (y1 - y0)")
+    near = high.select(key, "ord", "x0", "y0", "x1", "y1", F.explode(cells_of_box("x0", "y0", "x1", "y1", gap)).alias("cell")).join(beside.hint("merge"), [key, "cell"]).where("o <> ord and least(y1, oy1) - greatest(y0, oy0) >= 0.5 * (y1 - y0)")
     sides = near.groupBy(key, "ord").agg(F.max(F.expr(f"case when x0 - ox1 > 0 and x0 - ox1 < {gap} then ox1 end")).alias("west"), F.min(F.expr(f"case when ox0 - x1 > 0 and ox0 - x1 < {gap} then ox0 end")).alias("east"))
     fitted = high.join(sides, [key, "ord"], "left").select(key, "ord", F.coalesce("west", "x0").alias("fx0"), F.col("y0").alias("fy0"), F.coalesce("east", "x1").alias("fx1"), F.col("y1").alias("fy1"))
-    out = cells.join(fitted, [key, "ord"], "left")
+    out = cells.join(fitted.hint("merge"), [key, "ord"], "left")
     return out.withColumns({c: F.coalesce(f"f{c}", c) for c in ("x0", "y0", "x1", "y1")}).drop("fx0", "fy0", "fx1", "fy1")
 
 
@@ -214,13 +214,13 @@ def import_structure(cells: DataFrame, bands: DataFrame, gap: float = 8.0, key:
     the block's offset; a cell in no band comes back with nulls. ``bands``: key, band, top, bottom."""
     middle = cells.withColumn("cy", F.expr("(y0 + y1) / 2"))
     listed = bands.withColumn("m", F.explode(F.expr("sequence(cast(floor(top - 3) as int), cast(ceil(bottom + 3) as int))")))
-    hit = middle.withColumn("m", F.floor("cy").cast("int")).join(listed, [key, "m"]).where("cy between top - 3 and bottom + 3")
+    hit = middle.withColumn("m", F.floor("cy").cast("int")).join(listed.hint("merge"), [key, "m"]).where("cy between top - 3 and bottom + 3")
     first = hit.groupBy(key, "ord").agg(F.min("band").alias("band"))
-    rows = middle.join(first, [key, "ord"]).join(bands, [key, "band"]).withColumn("row", F.xxhash64(key, "band"))
+    rows = middle.join(first.hint("merge"), [key, "ord"]).join(bands, [key, "band"]).withColumn("row", F.xxhash64(key, "band"))
     side = F.when(F.expr("y1 - y0 > 0.75 * (bottom - top)"), "cheia").when(F.expr("cy < (top + bottom) / 2"), "norte").otherwise("sul")
     blocks = gap_blocks(rows.withColumn("side", side), gap).withColumn("unit", F.xxhash64("row", "block"))
     packed = pack_columns(blocks, "unit").withColumn("offset", F.expr("min(x0) over (partition by unit)"))
-    return cells.select(key, "ord", "code").join(packed.selectExpr(key, "ord", "band", "block", "column", "side", "x1 - x0 as width", "offset"), [key, "ord"], "left")
+    return cells.select(key, "ord", "code").join(packed.selectExpr(key, "ord", "band", "block", "column", "side", "x1 - x0 as width", "offset").hint("merge"), [key, "ord"], "left")
 
 
 def generate(cells: DataFrame, streets: DataFrame, key: str = "venue") -> DataFrame:
