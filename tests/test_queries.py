@@ -162,3 +162,38 @@ def test_lines_of_sight_sample_by_sample(spark):
     rows = spark.createDataFrame([*lines, (0, 300, None, 1, 2, 3)], "venue long, id long, ai int, aj int, bi int, bj int")
     got = {r["id"]: (r["visible"], r["samples"]) for r in visible(rows, cells, 20, 13).collect()}
     assert got == {line[1]: walk(*line[2:]) for line in lines}
+
+
+def test_pieces_take_no_rounds_of_jobs(spark):
+    """Pieces come out of one pass over the venues; a spiral, whose label takes long ways, and a corner that shuts are labelled right."""
+    from atrium.operators.grid import components
+
+    rows = ["#########", ".......##", "######.##", "#####.#.#", ".....#..#", "##.######", "..#.....#"]
+    cells = [(v, i - 3, j + 5, c == ".") for v in (0, 1) for j, line in enumerate(rows) for i, c in enumerate(line if v == 0 else line[::-1])]
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("pieces", "pieces")
+    got = components(spark.createDataFrame(cells, "venue long, i int, j int, free boolean")).collect()
+    assert len(tracker.getJobIdsForGroup("pieces")) <= 2
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    free = {(v, i, j) for v, i, j, f in cells if f}
+    want = {}
+    for start in sorted(free, key=lambda c: (c[0], c[2], c[1])):
+        todo = [start] if start not in want else []
+        while todo:
+            v, i, j = at = todo.pop()
+            if at not in want:
+                want[at] = start[2] * 1000000 + start[1]
+                for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)):  # a diagonal needs both cells beside it, so it adds nothing
+                    todo += [(v, i + a, j + b)] if (v, i + a, j + b) in free else []
+    assert {(r.venue, r.i, r.j): r.piece for r in got} == want
+
+
+def test_unpacked_grids_are_cut_before_they_are_listed(spark):
+    """No row of a listed grid carries the grid's string: what is exploded last is an octet's."""
+    from atrium.operators.grid import unpack_bits
+
+    packed = spark.createDataFrame([(7, "qsA=")], "venue long, bits string")  # 10101010 11000000
+    out = unpack_bits(packed, 5, 3)
+    assert [(r.venue, r.i, r.j, r.free) for r in out.orderBy("j", "i").collect()] == [(7, n % 5, n // 5, c == "1") for n, c in enumerate("101010101100000")]
+    generators = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
+    assert len(generators) == 2 and not any("unbase64" in line or "[bits" in line for line in generators[:1])
