@@ -124,7 +124,9 @@ union all select venue, 'circulacao', null, 1, 0, count(*)::double from corr whe
 def map_kinds(spark, sf_dir):
     """The whole map, counted by kind: features, named ways (their metres) and circulation (its square metres)."""
     named, _, corridor = ways.named_ways(spark, sf_dir)
+    per = lambda rows: rows.groupBy("venue", "kind", "cat").agg(F.count("*").alias("n"), F.count("name").alias("named"), F.round(F.sum("area_m2"), 3).alias("area_m2"))
+    # Counts of each part are written by themselves: one plan of them all is long work for the driver and its memory.
+    features = stored(per(map_features_of(spark, sf_dir).select("venue", "kind", "cat", "name", "area_m2")), "kinds")
     merged = corridors.merge_ways(named).select("venue", F.lit("via").alias("kind"), F.col("axis").alias("cat"), "name", F.col("extent").cast("double").alias("area_m2"))
-    open_ = corridor.groupBy("venue").agg(F.count("*").cast("double").alias("area_m2")).select("venue", F.lit("circulacao").alias("kind"), F.lit(None).cast("string").alias("cat"), F.lit(None).cast("string").alias("name"), "area_m2")
-    rows = map_features_of(spark, sf_dir).select("venue", "kind", "cat", "name", "area_m2").unionByName(merged).unionByName(open_)
-    return rows.groupBy("venue", "kind", "cat").agg(F.count("*").alias("n"), F.count("name").alias("named"), F.round(F.sum("area_m2"), 3).alias("area_m2"))
+    open_ = corridor.groupBy("venue").agg(F.count("*").cast("double").alias("area_m2")).selectExpr("venue", "'circulacao' as kind", "cast(null as string) as cat", "1L as n", "0L as named", "area_m2")
+    return features.unionByName(stored(per(merged), "kinds")).unionByName(open_)
