@@ -46,6 +46,8 @@ FEW, ROUNDS, CELL_DOCS, PROBED = 48, 2, 8, 4
 #: Elements in each hash group of the sketches that rule pairs out, and the fewest groups.
 PER_GROUP, SHORTEST = 4, 64
 BLOCK_BYTES, BLOCK = 2_000_000, 2000
+#: Pairs of a tile whose sketches are laid side by side at once.
+PAIRS = 8192
 
 
 def band_of(size: np.ndarray) -> np.ndarray:
@@ -391,12 +393,40 @@ def probe_pairs(members: DataFrame, nth: int) -> DataFrame:
     return rows.join(other, ["list_id", "cell"]).where(f"doc_id < b and component <> of_b and {near('size', 'size_b')}").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def rest_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+def elements_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, elements): 32 bits of each element of a document's set, in ascending order."""
+
+    def cut(batches):
+        for frame in batches:
+            bodies = frame["text"].tolist()
+            for a, b in slices([len(t) if isinstance(t, str) else 0 for t in bodies], BLOCK_BYTES, BLOCK):
+                short = [np.sort(x.astype(np.uint32)).tobytes() for x in shingle_sets(bodies[a:b])]
+                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b].to_numpy(), "elements": short})
+
+    return texts.select("doc_id", "text").mapInPandas(cut, "doc_id long, elements binary")
+
+
+def may_share_enough(i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray, s: list[bytes], t: list[bytes]) -> np.ndarray:
+    """False only for pairs (i of s, j of t; i ascending) whose sets, of n and m elements, can't be similar: of 32 bits
+    as many or more are shared as of the whole elements."""
+    fine = np.zeros(len(i), dtype=bool)
+    begins = np.flatnonzero(np.diff(i, prepend=-1))
+    for a, b in zip(begins, np.append(begins[1:], len(i))):
+        own, k = np.frombuffer(s[i[a]], dtype=np.uint32), j[a:b]
+        flat = np.frombuffer(b"".join([t[x] for x in k]), dtype=np.uint32)
+        met = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        common = np.minimum(np.add.reduceat(met, np.cumsum(m[k]) - m[k], dtype=np.int64), n[i[a]])
+        fine[a:b] = DEN * common >= NUM * (n[i[a]] + m[k] - common)
+    return fine
+
+
+def rest_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs still to be verified: in one open list and not yet in one component.
 
     Lists that verified links already hold together give none, so copies aren't expanded into pairs.
-    In a long list the members outside the main component meet all of it, in tiles. The sketches
-    rule out most pairs that only share a passage; none that is similar.
+    In a long list the members outside the main component meet all of it, in tiles, with their sketches and
+    32 bits of each element: those rule out nearly all pairs that aren't similar before they leave the tile, and
+    none that is.
     """
     few = members.where(f"n <= {FEW}").select("list_id", "doc_id", "size", "component")
     other = few.select("list_id", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), F.col("size").alias("size_b"))
@@ -409,10 +439,11 @@ def rest_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
     per = long_.groupBy("list_id").agg(F.count("*").alias("n"), F.max("main").alias("whole"))
     long_ = long_.join(per, "list_id").withColumn("main", F.col("whole"))
     outside = long_.where("component <> main").groupBy("list_id").agg(F.count("*").alias("others"))
-    large = long_.join(outside, "list_id").join(sketches.select("doc_id", "brief"), "doc_id")
+    large = long_.join(outside, "list_id").join(sketches.select("doc_id", "brief", "sketch"), "doc_id")
+    large = large.join(elements_of(texts.join(large.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
     large = large.withColumns({"rows": F.ceil(F.col("others") / TILE).cast("int"), "columns": F.ceil(F.col("n") / TILE).cast("int"), "outside": F.col("component") != F.col("main")})
     spread = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
-    keep = ["list_id", "doc_id", "component", "size", "brief", "outside"]
+    keep = ["list_id", "doc_id", "component", "size", "brief", "sketch", "elements", "outside"]
     left = large.where("outside").select(*keep, F.lit(True).alias("left"), spread("rows").alias("p"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("q"))
     right = large.select(*keep, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("p"), spread("columns").alias("q"))
 
@@ -427,10 +458,16 @@ def rest_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
         if fine.any():
             fine &= shortest_bound(n, m, left["brief"].tolist(), right["brief"].tolist())
         i, j = np.nonzero(fine)
+        s, t = left["sketch"].tolist(), right["sketch"].tolist()
+        whole = [may_be_similar(n[x], m[y], [s[k] for k in x], [t[k] for k in y]) for x, y in ((i[a : a + PAIRS], j[a : a + PAIRS]) for a in range(0, len(i), PAIRS))]
+        some = np.concatenate([np.zeros(0, dtype=bool), *whole])
+        i, j = i[some], j[some]
+        some = may_share_enough(i, j, n, m, left["elements"].tolist(), right["elements"].tolist())
+        i, j = i[some], j[some]
         return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j])})
 
     crossed = left.unionByName(right).groupBy("list_id", "p", "q").applyInPandas(cross, "a long, b long")
-    return plausible(small.union(crossed).distinct(), sketches)
+    return plausible(small, sketches).union(crossed).distinct()
 
 
 def size_pairs(sketches: DataFrame) -> DataFrame:
@@ -494,7 +531,7 @@ def similar_documents(docs: DataFrame, hot: int = HOT_LEVEL) -> DataFrame:
         members = None
     if members is None:
         members = materialise(open_members(lists, connected_components(links, "a", "b")), "open-lists")
-    rest = materialise(rest_pairs(members, sketches).join(star, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = materialise(rest_pairs(members, sketches, texts).join(star, ["a", "b"], "left_anti"), "rest-pairs")
     links = links.union(verify(rest, texts)).union(of.where("doc_id <> head").select("head", "doc_id"))
     whole = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
     out = docs.join(sizes.select("doc_id", "size").distinct(), "doc_id", "left").join(whole, "doc_id", "left")

@@ -614,3 +614,20 @@ def test_language_held_out_accuracy(spark):
     out = language.op10_language_id(spark, "/root/testdata/sf0.01").join(frame.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
     right, n = out.select(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert n > 100 and right / n >= 0.97
+
+
+def test_elements_rule_out_what_sketches_do_not():
+    """Of pairs just under the threshold, which sketches let through, the elements of a tile leave none; no similar pair goes."""
+    from atrium.llm import jaccard as J
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 300 - cut, replace=False), rng.integers(0, 2**63, cut).astype(np.uint64)])) for cut in range(20, 60, 2) for _ in range(3)]
+    sizes = np.array([len(x) for x in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    sketches = J.sketches_of(np.concatenate(sets), sizes)
+    short = [np.sort(x.astype(np.uint32)).tobytes() for x in sets]
+    want = np.array([J.similar(sets[a], sets[b]) for a, b in zip(i, j)])
+    passed = J.may_be_similar(sizes[i], sizes[j], [sketches[a] for a in i], [sketches[b] for b in j])
+    got = J.may_share_enough(i, j, sizes, sizes, short, short)
+    assert want.any() and (got | ~want).all() and (passed & ~want).sum() > 100 and not (got & ~want).any()
