@@ -431,21 +431,26 @@ def rest_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> Dat
     few = members.where(f"n <= {FEW}").select("list_id", "doc_id", "size", "component")
     other = few.select("list_id", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), F.col("size").alias("size_b"))
     small = few.join(other, "list_id").where(f"doc_id < b and component <> of_b and {near('size', 'size_b')}").select(F.col("doc_id").alias("a"), "b").distinct()
+    small = materialise(plausible(small, sketches), "short-list-pairs")
     long_ = members.where(f"n > {FEW}")
     # Lists of nearly the same members, such as those of one passage, are compared as one: they meet by MinHash.
     marks = [F.min(F.xxhash64("doc_id", F.lit(salt))) for salt in (11, 12)]
     merged = long_.groupBy("list_id").agg(F.xxhash64(*marks).alias("of"))
-    long_ = long_.join(merged, "list_id").groupBy(F.col("of").alias("list_id"), "doc_id", "size", "component").agg(F.max("main").alias("main"))
+    # Each step is written: as one plan its members were read 34 times in 40 stages, which the driver planned anew 21 times.
+    long_ = materialise(long_.join(merged, "list_id").groupBy(F.col("of").alias("list_id"), "doc_id", "size", "component").agg(F.max("main").alias("main")), "long-lists")
+    if long_.isEmpty():
+        return small
     per = long_.groupBy("list_id").agg(F.count("*").alias("n"), F.max("main").alias("whole"))
-    long_ = long_.join(per, "list_id").withColumn("main", F.col("whole"))
-    outside = long_.where("component <> main").groupBy("list_id").agg(F.count("*").alias("others"))
-    large = long_.join(outside, "list_id").join(sketches.select("doc_id", "brief", "sketch"), "doc_id")
-    large = large.join(elements_of(texts.join(large.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
-    large = large.withColumns({"rows": F.ceil(F.col("others") / TILE).cast("int"), "columns": F.ceil(F.col("n") / TILE).cast("int"), "outside": F.col("component") != F.col("main")})
-    spread = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
-    keep = ["list_id", "doc_id", "component", "size", "brief", "sketch", "elements", "outside"]
-    left = large.where("outside").select(*keep, F.lit(True).alias("left"), spread("rows").alias("p"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("q"))
-    right = large.select(*keep, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("p"), spread("columns").alias("q"))
+    long_ = long_.drop("main").join(per, "list_id").withColumn("outside", F.col("component") != F.col("whole"))
+    outside = long_.where("outside").groupBy("list_id").agg(F.count("*").alias("others"))
+    large = materialise(long_.join(outside, "list_id").select("list_id", "doc_id", "size", "component", "n", "others", "outside"), "large-lists")
+    own = sketches.select("doc_id", "brief", "sketch").join(elements_of(texts.join(large.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
+    large = large.withColumns({"rows": F.ceil(F.col("others") / TILE).cast("int"), "columns": F.ceil(F.col("n") / TILE).cast("int")})
+    at = lambda c: f"cast(pmod(xxhash64(doc_id), {c}) as int)"
+    left = f"transform(sequence(0, columns - 1), q -> named_struct('left', true, 'p', {at('rows')}, 'q', q))"
+    right = f"transform(sequence(0, rows - 1), p -> named_struct('left', false, 'p', p, 'q', {at('columns')}))"
+    tiles = large.join(own, "doc_id").select("list_id", "doc_id", "component", "size", "brief", "sketch", "elements", "outside", F.explode(F.expr(f"if(outside, concat({left}, {right}), {right})")).alias("tile"))
+    tiles = tiles.select("*", "tile.*").drop("tile")
 
     def cross(tile: pd.DataFrame) -> pd.DataFrame:
         side = tile["left"].to_numpy(dtype=bool)
@@ -466,8 +471,7 @@ def rest_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> Dat
         i, j = i[some], j[some]
         return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j])})
 
-    crossed = left.unionByName(right).groupBy("list_id", "p", "q").applyInPandas(cross, "a long, b long")
-    return plausible(small, sketches).union(crossed).distinct()
+    return small.union(tiles.groupBy("list_id", "p", "q").applyInPandas(cross, "a long, b long")).distinct()
 
 
 def size_pairs(sketches: DataFrame) -> DataFrame:
@@ -503,8 +507,8 @@ def similar_documents(docs: DataFrame, hot: int = HOT_LEVEL) -> DataFrame:
     longest = star.where(f"n > {FEW}").selectExpr("*", "row_number() over (partition by doc_id order by n desc, list_id) as nth").where(f"nth <= {PROBED}").drop("nth")
     star = star.where(f"n <= {FEW}").unionByName(longest).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     whole = of.where("doc_id = head").select("doc_id").distinct()
-    short = sizes.where("short").select("doc_id")
-    asked = lists.select("doc_id").distinct() if short.isEmpty() else whole
+    all_met = sizes.where("short").isEmpty()
+    asked = lists.select("doc_id").distinct() if all_met else whole
 
     def fold(batches):
         for frame in batches:
@@ -512,7 +516,7 @@ def similar_documents(docs: DataFrame, hot: int = HOT_LEVEL) -> DataFrame:
 
     sketches = sizes.select("doc_id", "size", "short", "sketch").dropDuplicates(["doc_id"]).join(asked, "doc_id", "left_semi")
     sketches = materialise(sketches.mapInPandas(fold, "doc_id long, size long, short boolean, sketch binary, brief binary"), "sketches")
-    if not short.isEmpty():
+    if not all_met:
         star = star.union(size_pairs(sketches)).distinct()
     star = materialise(plausible(star, sketches), "star-pairs")
     # What the first pass leaves open is found while whole texts move once for all.
@@ -526,13 +530,13 @@ def similar_documents(docs: DataFrame, hot: int = HOT_LEVEL) -> DataFrame:
         if members.where(f"n > {FEW}").isEmpty():
             break
         lists = members.select("list_id", "doc_id", "size")
-        found = verify(plausible(probe_pairs(members, nth), sketches), texts)
-        links = links.union(materialise(found, "links"))
+        probes = materialise(plausible(probe_pairs(members, nth), sketches), "probes")
+        links = links.union(materialise(verify(probes, texts), "links"))
         members = None
     if members is None:
         members = materialise(open_members(lists, connected_components(links, "a", "b")), "open-lists")
     rest = materialise(rest_pairs(members, sketches, texts).join(star, ["a", "b"], "left_anti"), "rest-pairs")
-    links = links.union(verify(rest, texts)).union(of.where("doc_id <> head").select("head", "doc_id"))
+    links = links.union(materialise(verify(rest, texts), "links")).union(of.where("doc_id <> head").select("head", "doc_id"))
     whole = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
     out = docs.join(sizes.select("doc_id", "size").distinct(), "doc_id", "left").join(whole, "doc_id", "left")
     return out.select("doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

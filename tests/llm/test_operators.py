@@ -399,6 +399,29 @@ def test_large_groups_stay_linear(spark):
     assert [r["component_id"] for r in out] == [0]
 
 
+def test_open_lists_are_compared_in_small_plans(spark, monkeypatch):
+    """All similar pairs of an open list come out, and no plan reads more than a few tables: the driver holds them all."""
+    rng = random.Random(4)
+    base = words(rng, 200, 5000).split()
+    copy = lambda changes: " ".join(f"x{rng.random()}" if k in changes else w for k, w in enumerate(base))
+    texts = {i: copy({rng.randrange(200)}) for i in range(30)} | {i: copy(set(rng.sample(range(200), 3 + i % 9))) for i in range(30, 60)}
+    short = {i: copy({i % 200}) for i in range(60, 63)}
+    sets = dict(zip(texts | short, jaccard.shingle_sets([*(texts | short).values()])))
+    component = {i: 0 if i < 30 else i for i in sets}
+    own = {i: jaccard.sketches_of(x, np.array([len(x)]))[0] for i, x in sets.items()}
+    sketches = spark.createDataFrame([(i, len(x), False, bytearray(own[i]), bytearray(jaccard.brief(own[i]))) for i, x in sets.items()], "doc_id long, size long, short boolean, sketch binary, brief binary")
+    members = [(7 if i in texts else 8, i, len(x), component[i], 0 if i in texts else 60, 60 if i in texts else 3, 30 if i in texts else 2) for i, x in sets.items()]
+    members = spark.createDataFrame(members, "list_id long, doc_id long, size long, component long, main long, n long, others long")
+    plans = []
+    write = jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: plans.append(df) or write(df, name))
+    out = jaccard.rest_pairs(members, sketches, spark.createDataFrame([*(texts | short).items()], "doc_id long, text string"))
+    expected = {(a, b) for own_list in (texts, short) for a in own_list for b in own_list if a < b and component[a] != component[b] and jaccard.similar(sets[a], sets[b])}
+    assert {(r["a"], r["b"]) for r in out.collect() if jaccard.similar(sets[r["a"]], sets[r["b"]])} == expected and len(expected) > 100
+    reads = [sum(df._jdf.queryExecution().optimizedPlan().toString().count(leaf) for leaf in ("Relation [", "LogicalRDD [")) for df in (*plans, out)]
+    assert max(reads) <= 8, reads
+
+
 # --- 8 pages
 
 
