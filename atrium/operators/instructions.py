@@ -29,7 +29,8 @@ def with_coverage(pairs: DataFrame, step: float = 1.0) -> DataFrame:
     the way's width plus the slack.
 
     The place along the way is linear in the sample, so its start and its step are columns of their own;
-    the terms of the sum are plain arithmetic on them, which is compiled.
+    the terms of the sum are plain arithmetic on them, which is compiled; a distance is a root, as in SQL: hypot is
+    long work in Java and rounds otherwise.
     """
     along = lambda x, y: f"coalesce((({x}) * (bx - ax) + ({y}) * (`by` - ay)) / nullif((bx - ax) * (bx - ax) + (`by` - ay) * (`by` - ay), 0D), 0D)"
     motion = {"_t": along("pi - ax", "pj - ay"), "_dt": along("qi - pi", "qj - pj"), "_wx": "bx - ax", "_wy": "`by` - ay", "_x": "pi - ax", "_y": "pj - ay", "_dx": "qi - pi", "_dy": "qj - pj", "_r": f"(width / 2 + {params.WAY_SLACK}D) / {step}D"}
@@ -37,7 +38,8 @@ def with_coverage(pairs: DataFrame, step: float = 1.0) -> DataFrame:
     for s in range(params.WAY_SAMPLES + 1):
         k = f"{s / params.WAY_SAMPLES}D"
         t = f"greatest(0D, least(1D, _t + _dt * {k}))"
-        hits.append(f"if(hypot(_x + _dx * {k} - {t} * _wx, _y + _dy * {k} - {t} * _wy) <= _r, 1, 0)")
+        x, y = f"(_x + _dx * {k} - {t} * _wx)", f"(_y + _dy * {k} - {t} * _wy)"
+        hits.append(f"if(sqrt({x} * {x} + {y} * {y}) <= _r, 1, 0)")
     rows = pairs.withColumns({c: F.expr(e) for c, e in motion.items()})
     return rows.withColumn("cov", F.expr(f"round(({' + '.join(hits)}) / {params.WAY_SAMPLES + 1}D, 9)")).drop(*motion)
 

@@ -197,3 +197,20 @@ def test_unpacked_grids_are_cut_before_they_are_listed(spark):
     assert [(r.venue, r.i, r.j, r.free) for r in out.orderBy("j", "i").collect()] == [(7, n % 5, n // 5, c == "1") for n, c in enumerate("101010101100000")]
     generators = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
     assert len(generators) == 2 and not any("unbase64" in line or "[bits" in line for line in generators[:1])
+
+
+def test_coverage_takes_roots_as_sql_does(spark):
+    """Samples just on a way's edge: hypot rounds some beyond it, the statement's root of squares doesn't."""
+    import math
+    import random
+
+    from atrium.operators.instructions import with_coverage
+
+    rng, rows = random.Random(1), []
+    while len(rows) < 200:
+        x, y = rng.uniform(4, 100), rng.uniform(4, 100)
+        edge = math.sqrt(x * x + y * y)
+        if edge < math.hypot(x, y) and 2 * (edge - 3) / 2 + 3 == edge:
+            rows.append((x, y, x, y, 0.0, 0.0, 0.0, 0.0, 2 * (edge - 3)))
+    ways = spark.createDataFrame(rows, "pi double, pj double, qi double, qj double, ax double, ay double, bx double, by double, width double")
+    assert with_coverage(ways).where("cov < 1").isEmpty()
