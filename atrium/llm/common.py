@@ -46,6 +46,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     before they shuffle, and two equi-joins, so a hub is never gathered in one task. Self-loops
     give a node of its own component; null ends are ignored. Nodes without edges are not returned.
     Edges, rounds and result are written, so no plan holds another: many plans of many stages fill the driver.
+    So do many small broadcasts, each with a table, threads and stacks of its own there: no join is one.
     """
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
     pairs = materialise(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")  # the edges' own plan runs once
@@ -53,14 +54,14 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while True:
         # u is the larger end throughout, so the least neighbour of a node is found where it is u.
         least = stars.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
-        large = stars.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = stars.join(least.hint("merge"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         stars = materialise(small.where("u <> v").distinct(), "cc")
         ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(stars.select("v", F.lit(0), F.lit(1)))
         deep = ends.groupBy("node").agg((F.sum("up") + F.max("down") > 1).alias("deep"), F.max("up").alias("up")).where("deep and up = 1")
         if deep.isEmpty():
             break
     # Every v is a root now; a self-loop names its node, which roots or leaves may be already.
-    roots = stars.select(F.col("v").alias("node")).union(pairs.where("u = v").select("u")).distinct().join(stars.select(F.col("u").alias("node")), "node", "left_anti")
+    roots = stars.select(F.col("v").alias("node")).union(pairs.where("u = v").select("u")).distinct().join(stars.select(F.col("u").alias("node")).hint("merge"), "node", "left_anti")
     return materialise(stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component"))), "components")

@@ -341,7 +341,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar, exactly. A centre with many partners is cut up."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_PART).cast("int").alias("parts"))
-    spread = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    spread = pairs.join(parts.hint("merge"), "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
     right = spread.select("a", "b", "part").join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
     right = right.select(F.col("a").alias("centre"), F.col("b").alias("other"), F.col("part").alias("piece"), F.col("text").alias("body"))
     left = parts.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -377,10 +377,10 @@ def open_members(lists: DataFrame, components: DataFrame) -> DataFrame:
     """(list_id, doc_id, size, component, main, n, others) of the lists that verified links don't hold
     together yet: their n members, with the component that most of them are in and the number of
     members outside it."""
-    known = lists.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list_id", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    known = lists.join(components.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("list_id", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
     parts = known.groupBy("list_id", "component").agg(F.count("*").alias("n")).groupBy("list_id")
     open_ = parts.agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    return known.join(open_.selectExpr("list_id", "top.component as main", "n", "n - top.n as others"), "list_id")
+    return known.join(open_.selectExpr("list_id", "top.component as main", "n", "n - top.n as others").hint("merge"), "list_id")
 
 
 def probe_pairs(members: DataFrame, nth: int) -> DataFrame:
@@ -390,7 +390,7 @@ def probe_pairs(members: DataFrame, nth: int) -> DataFrame:
     rows = members.where(f"n > {FEW}").selectExpr("*", "row_number() over (partition by doc_id order by n desc, list_id) as nth").where(f"nth <= {PROBED}")
     rows = rows.select("list_id", "doc_id", "size", "component", F.pmod(F.xxhash64("doc_id", "list_id", F.lit(nth)), F.ceil(F.col("n") / CELL_DOCS)).alias("cell"))
     other = rows.select("list_id", "cell", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), F.col("size").alias("size_b"))
-    return rows.join(other, ["list_id", "cell"]).where(f"doc_id < b and component <> of_b and {near('size', 'size_b')}").select(F.col("doc_id").alias("a"), "b").distinct()
+    return rows.join(other.hint("merge"), ["list_id", "cell"]).where(f"doc_id < b and component <> of_b and {near('size', 'size_b')}").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 def elements_of(texts: DataFrame) -> DataFrame:
@@ -430,20 +430,20 @@ def rest_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> Dat
     """
     few = members.where(f"n <= {FEW}").select("list_id", "doc_id", "size", "component")
     other = few.select("list_id", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), F.col("size").alias("size_b"))
-    small = few.join(other, "list_id").where(f"doc_id < b and component <> of_b and {near('size', 'size_b')}").select(F.col("doc_id").alias("a"), "b").distinct()
+    small = few.join(other.hint("merge"), "list_id").where(f"doc_id < b and component <> of_b and {near('size', 'size_b')}").select(F.col("doc_id").alias("a"), "b").distinct()
     small = materialise(plausible(small, sketches), "short-list-pairs")
     long_ = members.where(f"n > {FEW}")
     # Lists of nearly the same members, such as those of one passage, are compared as one: they meet by MinHash.
     marks = [F.min(F.xxhash64("doc_id", F.lit(salt))) for salt in (11, 12)]
     merged = long_.groupBy("list_id").agg(F.xxhash64(*marks).alias("of"))
     # Each step is written: as one plan its members were read 34 times in 40 stages, which the driver planned anew 21 times.
-    long_ = materialise(long_.join(merged, "list_id").groupBy(F.col("of").alias("list_id"), "doc_id", "size", "component").agg(F.max("main").alias("main")), "long-lists")
+    long_ = materialise(long_.join(merged.hint("merge"), "list_id").groupBy(F.col("of").alias("list_id"), "doc_id", "size", "component").agg(F.max("main").alias("main")), "long-lists")
     if long_.isEmpty():
         return small
     per = long_.groupBy("list_id").agg(F.count("*").alias("n"), F.max("main").alias("whole"))
-    long_ = long_.drop("main").join(per, "list_id").withColumn("outside", F.col("component") != F.col("whole"))
+    long_ = long_.drop("main").join(per.hint("merge"), "list_id").withColumn("outside", F.col("component") != F.col("whole"))
     outside = long_.where("outside").groupBy("list_id").agg(F.count("*").alias("others"))
-    large = materialise(long_.join(outside, "list_id").select("list_id", "doc_id", "size", "component", "n", "others", "outside"), "large-lists")
+    large = materialise(long_.join(outside.hint("merge"), "list_id").select("list_id", "doc_id", "size", "component", "n", "others", "outside"), "large-lists")
     own = sketches.select("doc_id", "brief", "sketch").join(elements_of(texts.join(large.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
     large = large.withColumns({"rows": F.ceil(F.col("others") / TILE).cast("int"), "columns": F.ceil(F.col("n") / TILE).cast("int")})
     at = lambda c: f"cast(pmod(xxhash64(doc_id), {c}) as int)"
@@ -502,7 +502,7 @@ def similar_documents(docs: DataFrame, hot: int = HOT_LEVEL) -> DataFrame:
     posted = met.where("list_id is not null").select("list_id", "block", "nth").distinct()
     lists = posted.join(of.select("block", "nth", "head", "size"), ["block", "nth"]).select("list_id", F.col("head").alias("doc_id"), "size").distinct()
     centres = lists.groupBy("list_id").agg(F.min(F.struct("doc_id", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    lists = materialise(lists.join(centres.select("list_id", "n", F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size")), "list_id"), "candidate-lists")
+    lists = materialise(lists.join(centres.select("list_id", "n", F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size")).hint("merge"), "list_id"), "candidate-lists")
     star = lists.where(f"doc_id <> centre and {near('size', 'centre_size')}")
     longest = star.where(f"n > {FEW}").selectExpr("*", "row_number() over (partition by doc_id order by n desc, list_id) as nth").where(f"nth <= {PROBED}").drop("nth")
     star = star.where(f"n <= {FEW}").unionByName(longest).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -521,9 +521,9 @@ def similar_documents(docs: DataFrame, hot: int = HOT_LEVEL) -> DataFrame:
     star = materialise(plausible(star, sketches), "star-pairs")
     # What the first pass leaves open is found while whole texts move once for all.
     wide = lists.groupBy("list_id").agg(F.count("*").alias("n")).where("n > 2").select("list_id")
-    asked = star.select(F.col("a").alias("doc_id")).union(star.select("b")).union(lists.join(wide, "list_id", "left_semi").select("doc_id")).distinct()
+    asked = star.select(F.col("a").alias("doc_id")).union(star.select("b")).union(lists.join(wide.hint("merge"), "list_id", "left_semi").select("doc_id")).distinct()
     texts = materialise(valid.dropDuplicates(["doc_id"]).join(asked, "doc_id"), "candidate-texts")
-    lists = lists.select("list_id", "doc_id", "size").join(wide, "list_id", "left_semi")
+    lists = lists.select("list_id", "doc_id", "size").join(wide.hint("merge"), "list_id", "left_semi")
     links = materialise(verify(star, texts), "links")
     for nth in range(ROUNDS):
         members = materialise(open_members(lists, connected_components(links, "a", "b")), "open-lists")
@@ -535,7 +535,7 @@ def similar_documents(docs: DataFrame, hot: int = HOT_LEVEL) -> DataFrame:
         members = None
     if members is None:
         members = materialise(open_members(lists, connected_components(links, "a", "b")), "open-lists")
-    rest = materialise(rest_pairs(members, sketches, texts).join(star, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = materialise(rest_pairs(members, sketches, texts).join(star.hint("merge"), ["a", "b"], "left_anti"), "rest-pairs")
     links = links.union(materialise(verify(rest, texts), "links")).union(of.where("doc_id <> head").select("head", "doc_id"))
     whole = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
     out = docs.join(sizes.select("doc_id", "size").distinct(), "doc_id", "left").join(whole, "doc_id", "left")

@@ -422,6 +422,20 @@ def test_open_lists_are_compared_in_small_plans(spark, monkeypatch):
     assert max(reads) <= 8, reads
 
 
+def test_components_are_joined_without_broadcasts(spark, monkeypatch):
+    """Each small table that is broadcast takes tables and threads of the driver, many times a round."""
+    from atrium.llm import common
+
+    plans = []
+    write = common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: plans.append(df) or write(df, name))
+    edges = spark.createDataFrame([(i + 1, i) for i in range(20, 30)] + [(40, 35), (50, 50)], "a long, b long")
+    out = common.connected_components(edges, "a", "b")
+    assert {(r["node"], r["component"]) for r in out.collect()} == {(i, 20) for i in range(20, 31)} | {(35, 35), (40, 35), (50, 50)}
+    shown = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert len(shown) > 3 and any("SortMergeJoin" in x for x in shown) and not any("Broadcast" in x for x in shown)
+
+
 # --- 8 pages
 
 
