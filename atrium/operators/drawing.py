@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +19,27 @@ def visible_paths(paths: DataFrame, window: tuple) -> DataFrame:
 
     ``paths``: page, seq, level, type (clip, group or a fill), filled, x0, y0, x1, y1. A clip holds for
     the deeper levels after it, until a row of its level or above; the innermost one counts. Boxes that
-    only touch don't meet. The stack is a fold over a page's rows, so a small kernel per page.
+    only touch don't meet. The stack is a fold over a page's rows: pages are dealt by hash and their rows sorted on
+    disk, and a task folds them as a stream, many pages a batch and a page of any length over several.
     """
     x0, y0, x1, y1 = window
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        clips: list[tuple] = []
-        keep = []
-        for level, kind, filled, *box in rows[["level", "type", "filled", "x0", "y0", "x1", "y1"]].itertuples(index=False):
-            clips = [c for c in clips if c[0] < level]
-            if kind == "clip":
-                clips.append((level, box))
-            meets = lambda o: max(o[0], box[0]) < min(o[2], box[2]) and max(o[1], box[1]) < min(o[3], box[3])  # noqa: E731, B023
-            keep.append(kind not in ("clip", "group") and bool(filled) and meets((x0, y0, x1, y1)) and (not clips or meets(clips[-1][1])))
-        return rows[keep]
-
-    return paths.groupBy("page").applyInPandas(scan, paths.schema)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, clips = None, []
+        for batch in batches:
+            keep = []
+            for of, level, kind, filled, *box in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("page", "level", "type", "filled", "x0", "y0", "x1", "y1"))):
+                if of != page:
+                    page, clips = of, []
+                while clips and not clips[-1][0] < level:
+                    clips.pop()
+                if kind == "clip":
+                    clips.append((level, box))
+                meets = lambda o: max(o[0], box[0]) < min(o[2], box[2]) and max(o[1], box[1]) < min(o[3], box[3])  # noqa: E731, B023
+                keep.append(kind not in ("clip", "group") and bool(filled) and meets((x0, y0, x1, y1)) and (not clips or meets(clips[-1][1])))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return paths.repartition("page").sortWithinPartitions("page", "seq").mapInArrow(scan, paths.schema)
 
 
 def text_labels(spans: DataFrame, window: tuple, scale: float = params.M_PER_POINT, by_line: bool = False) -> DataFrame:
