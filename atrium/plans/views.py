@@ -19,7 +19,7 @@ VIEWS = {
     "venue_stand_features": features.features,
     "venue_features": build.map_features_of,
     "venue_index": lambda spark, sf_dir: build_index(build.map_features_of(spark, sf_dir)),
-    "venue_grid": grids.cells,
+    "venue_grid": grids.cells_to_join,
     "venue_grids": lambda spark, sf_dir: packed_grids(spark, sf_dir),
     "venue_ways": routes.ways,
     "venue_corridor_ways": lambda spark, sf_dir: corridors.named_ways(spark, sf_dir)[0],

@@ -72,3 +72,13 @@ def test_projected_queries_list_nothing_they_broadcast(spark):
         assert "BroadcastExchange" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
     plan = QUERIES["drawing_bbox"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") <= 2
+
+
+def test_cells_of_the_view_are_not_broadcast(spark):
+    """The optimiser knows how many cells the view has: joins of SQL, which can't be given hints, are merged beyond the limit."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")  # the table is small; its cells were taken for a few KB
+    try:
+        plan = QUERIES["sql_edge_list"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
