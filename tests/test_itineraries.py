@@ -123,3 +123,18 @@ def test_two_opt_scans_as_one_itinerary_would(spark):
         assert got[k]["route"] == route and abs(got[k]["metres"] - metres) < 1e-6 and abs(got[k]["before"] - before) < 1e-6
     blank = stops.withColumn("x", F.when(F.expr("itin % 7 <> 0 or pos <> 2"), F.col("x")))
     assert {r["itin"] for r in optimise(blank).select("itin").collect()} == {k for k, p in lists.items() if len(p) >= 4 and k % 7}
+
+
+def test_routed_legs_hold_both_ways(spark):
+    """A pair of stops is one leg, shared by all itineraries that have it; both directions cost the same."""
+    from atrium.operators import itinerary
+
+    cells = spark.range(40 * 30).selectExpr("0L as venue", "cast(id % 40 as int) as i", "cast(id div 40 as int) as j", "id % 40 <> 20 or id div 40 = 3 as free")
+    places = [(3, 3), (30, 4), (5, 20), (35, 25), (20, 9)]
+    stops = spark.createDataFrame([(0, itin, pos, *map(float, p), *p) for itin in range(50) for pos, p in enumerate(places[: 4 + itin % 2], 1)], "venue long, itin long, pos int, x double, y double, i int, j int")
+    legs, matrix = (f(stops, cells, 40, 30) for f in (itinerary.routed_legs, itinerary.routed_matrix))
+    half, whole = ({(r["itin"], r["a"], r["b"]): r["d"] for r in rows.collect()} for rows in (legs, matrix))
+    assert len(half) == 25 * 6 + 25 * 10 and half[1, 1, 5] == float("inf") and 27 < half[0, 1, 2] < 29
+    assert whole == {**half, **{(n, b, a): d for (n, a, b), d in half.items()}}
+    orders = [{r["itin"]: (r["route"], r["metres"], r["before"], r["accepted"]) for r in rows.collect()} for rows in (itinerary.optimise(stops, legs, both_ways=True), itinerary.optimise(stops, matrix))]
+    assert orders[0] == orders[1] and orders[0][0][0] == [1, 3, 2, 4] and len(orders[0]) == 50
