@@ -114,6 +114,11 @@ def rounded(m: Column) -> Column:
     return F.greatest(F.lit(5), F.floor(m / 5 + 0.5) * 5)
 
 
+def arrival(label: Column) -> Column:
+    """The sentence of the last step, with the route's label if it has one."""
+    return F.when(label.isNotNull(), F.replace(F.lit(params.TEXT["arrive"]), F.lit("{label}"), label)).otherwise(params.TEXT["arrive_plain"])
+
+
 def instructions(legs: DataFrame, handedness: int = 1) -> DataFrame:
     """(route, seq, turn, way, derived, metres, text) of legs (route, seq, dx, dy, metres, way, derived, label).
 
@@ -135,6 +140,5 @@ def instructions(legs: DataFrame, handedness: int = 1) -> DataFrame:
         line = F.replace(line, F.lit(slot), value)
     steps = steps.select("route", "label", F.col("seq").cast("int").alias("seq"), "turn", "way", "derived", F.col("m").alias("metres"), line.alias("text"))
     end = steps.groupBy("route").agg((F.max("seq") + 1).alias("seq"), F.max("label").alias("label"))
-    arrival = F.when(F.col("label").isNotNull(), F.replace(F.lit(text["arrive"]), F.lit("{label}"), F.col("label"))).otherwise(text["arrive_plain"])
-    end = end.select("route", "label", "seq", F.lit("chegada").alias("turn"), F.lit(None).cast("string").alias("way"), F.lit(False).alias("derived"), F.lit(0.0).alias("metres"), arrival.alias("text"))
+    end = end.select("route", "label", "seq", F.lit("chegada").alias("turn"), F.lit(None).cast("string").alias("way"), F.lit(False).alias("derived"), F.lit(0.0).alias("metres"), arrival(F.col("label")).alias("text"))
     return steps.unionByName(end).drop("label")

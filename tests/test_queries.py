@@ -39,6 +39,29 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_equal_requests_are_told_once(spark, tmp_path, monkeypatch):
+    """Steps are those told request by request, but a route that several ask for is told once."""
+    from pyspark.sql import functions as F
+
+    from atrium.operators import instructions, routing
+    from atrium.plans import grids, routes
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 300")
+    orders.union(orders.withColumn("o_orderkey", F.expr("o_orderkey + 504000"))).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{SF}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    told, plain_ways = [], instructions.leg_ways
+    monkeypatch.setattr(instructions, "leg_ways", lambda legs, *more: told.append(legs.select("route").distinct().count()) or plain_ways(legs, *more))
+    steps = QUERIES["instruction_steps"](spark, str(tmp_path))
+    got = sorted(map(repr, steps.collect()))
+    found = routing.routes(routes.requests(spark, str(tmp_path)), grids.packed(spark, str(tmp_path)), grids.WIDTH, grids.HEIGHT).where("size(cells) > 1")
+    assert 0 < told[0] <= found.count() / 2
+    parts = found.selectExpr("venue", "id as route", "posexplode(zip_with(slice(cells, 1, size(cells) - 1), slice(cells, 2, size(cells) - 1), (p, q) -> struct(p, q))) as (seq, c)")
+    legs = parts.selectExpr("venue", "route", "seq", "route * 1000 + seq as leg", *[f"cast(c.{e}.{c} as double) as {e}{c}" for e in "pq" for c in "ij"])
+    named = plain_ways(legs, routes.ways(spark, str(tmp_path))).selectExpr("route", "seq", "qi - pi as dx", "qj - pj as dy", "hypot(qi - pi, qj - pj) as metres", "way", "derived", "concat('Estande ', route) as label")
+    want = instructions.instructions(named, handedness=-1).withColumn("metres", F.round("metres", 3))
+    assert got == sorted(map(repr, want.select(steps.columns).collect()))
+
+
 def test_instructions_add_up(spark):
     from pyspark.sql import functions as F
 
